@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lines, packing
+from . import chat, lines, packing, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(extra)))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, t=2)
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 _ESCAPED = "replace({0}, chr(92), chr(92)||'b')"
 for _k, _v in chat.CONTROL.items():
     _ESCAPED = f"replace({_ESCAPED}, '{_k}', '{_v}')"
@@ -79,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op1_line_dedup": op1_line_dedup,
         "op7_packing": op7_packing,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_simhash": op10_simhash,
     }
 
 
