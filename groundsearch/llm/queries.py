@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, lines, packing, simhash
+from . import ann, chat, lines, packing, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_file(), window=2048, end_id=1)
 
@@ -82,6 +88,7 @@ from t group by conv_id
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_ann": op2_ann,
         "op7_packing": op7_packing,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_simhash": op10_simhash,
