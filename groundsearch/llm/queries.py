@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lines, packing, simhash
-from .common import table
+from . import ann, chat, lines, packing, quality, simhash, toxicity
+from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,20 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn_from=crc_mod("doc_id", 5) != 0)
+    done = quality.scored(docs, model)
+    return done.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn_from=crc_mod("doc_id", 4) != 2)
+    done = toxicity.scored(docs, model)
+    return done.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_file(), window=2048, end_id=1)
 
@@ -89,6 +103,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_ann": op2_ann,
+        "op4_quality": op4_quality,
+        "op5_toxicity": op5_toxicity,
         "op7_packing": op7_packing,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_simhash": op10_simhash,
