@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lines, lm, packing, quality, simhash, toxicity
+from . import ann, chat, decontam, lines, lm, packing, quality, simhash, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each contaminated document; documents without a covered item have none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.with_overlaps(docs, table(spark, sf_dir, "benchmark")).where(F.size("overlaps") > 0)
+    best = F.array_max(F.transform("overlaps", lambda o: F.struct(o.coverage.alias("coverage"), (-o.item_id).alias("item"))))
+    return found.select(
+        "doc_id", F.lit(True).alias("contaminated"), (-best.item).alias("best_item_id"), best.coverage.alias("coverage"), F.transform("overlaps", lambda o: o.item_id).alias("item_ids")
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_file(), window=2048, end_id=1)
 
@@ -110,6 +120,7 @@ def queries() -> dict[str, Query]:
         "op3_language_model": op3_language_model,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
+        "op6_decontamination": op6_decontamination,
         "op7_packing": op7_packing,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_simhash": op10_simhash,
