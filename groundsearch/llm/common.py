@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def worker_store() -> dict:
+    """A dict that lives as long as the Python worker. Functions sent by value have no module there to keep things in."""
+    return sys.modules.setdefault("_groundsearch_worker", types.ModuleType("_groundsearch_worker")).__dict__
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo: the rule that holds rows out. A null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))

@@ -18,8 +18,10 @@ are documents of their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-
-#: Entries of the per-worker cache of words; it is emptied when full.
-CACHE_WORDS = 400_000
+from .common import worker_store
+from .slots import FREE, Slots
+
+#: Entries of the per-worker caches of words and of their pieces; each is emptied when full.
+CACHE_WORDS, CACHE_PIECES = 500_000, 200_000
+#: Odd multipliers of the two hashes of a word.
+POWER, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Characters that Python and the tokenizer might treat apart, and what control tokens begin with.
+UNLIKE = re.compile("[^\t\n\r -~\u00a1-\u012f\u0131-\u024f]|<\\|")
+#: Line ends, which part words, contractions, letter runs, single digits, runs of signs.
+PIECE = re.compile("\n|'(?:s|t|re|ve|m|ll|d)|[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|(?:[^\\s\\w]|_)+")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -107,26 +117,129 @@ def plan(counts: dict[int, int], window: int) -> tuple[list[tuple[int, int, int,
     return out, sequences
 
 
-def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to little-endian 32-bit ids. A tokenizer that drops white space treats the words of a text apart, so ids are kept by word."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    kept: dict[bytes, bytes] = {}
+class WordTokenizer:
+    """Texts to little-endian 32-bit ids, for a tokenizer that lower-cases, drops white space and keeps letter runs apart.
 
-    def encode(texts: list[str]) -> list[bytes]:
-        nonlocal kept
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({w for ws in words for w in ws}.difference(kept))
-        if len(kept) + len(new) > CACHE_WORDS:
-            kept, new = {}, list({w for ws in words for w in ws})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                kept[word] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([kept[w] for w in ws]) for ws in words]
+    Words are kept by two hashes; new ones are cut where the tokenizer itself cuts: into letter runs, contractions,
+    digits and runs of signs. Each distinct piece is encoded once and kept; new letter runs are encoded a hundred at
+    a time, as one text, and told apart by the tokens that end words. Cutting and case folding by Python are used for characters below U+0250
+    only, where both agree; other words, and those that may hold a control token, are encoded as they stand.
+    """
 
-    return encode
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.kept: dict[str, bytes] = {}
+        self.powers: np.ndarray | None = None
+        self.forget()
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        runs = [p for p in new if p.isalpha()]
+        for piece in new:
+            if not piece.isalpha() and piece != "\n":
+                self.kept[piece] = self.one(piece.removeprefix("\0"))
+        for at in range(0, len(runs), 100):
+            part = runs[at : at + 100]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                data, start = ids.tobytes(), 0
+                for run, stop in zip(part, (4 * stops).tolist(), strict=True):
+                    self.kept[run] = data[start:stop]
+                    start = stop
+            else:
+                self.kept.update((run, self.one(run)) for run in part)
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and each word's number of ids."""
+        text = b"\n".join(words).decode("utf-8", "replace")
+        if UNLIKE.search(text):
+            cut = []
+            for word in text.split("\n"):
+                cut += [f"\0{word}"] if UNLIKE.search(word) else PIECE.findall(word.lower())
+                cut.append("\n")
+        else:
+            cut = PIECE.findall(text.lower())
+            cut.append("\n")
+        new = set(cut).difference(self.kept)
+        if len(self.kept) + len(new) > CACHE_PIECES:
+            self.kept = {}
+            new = set(cut)
+        self.learn(list(new))
+        self.kept["\n"] = b""
+        ids = [self.kept[p] for p in cut]
+        last = np.flatnonzero(np.array([p == "\n" for p in cut]))
+        total = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[last] // 4
+        return np.frombuffer(b"".join(ids), "<u4"), np.diff(total, prepend=0)
+
+    def forget(self) -> None:
+        self.table, self.check = Slots(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS + 1, np.uint64)
+        self.size, self.start, self.flat, self.words = np.zeros(CACHE_WORDS + 1, np.int64), np.zeros(CACHE_WORDS + 1, np.int64), np.zeros(1 << 20, "<u4"), 0
+        self.used = 0
+
+    def keep(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds words: their two hashes, ids and numbers of ids. A word whose first hash is known stays out."""
+        rows = self.words + np.arange(len(keys))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.check[rows], self.size[rows], self.start[rows] = checks, sizes, self.used + np.cumsum(sizes) - sizes
+        fresh = ~self.table.find(keys)[1]
+        self.table.insert(keys[fresh], rows[fresh])
+        self.used += len(ids)
+        self.words += len(keys)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Words between ASCII white space are looked up by two 64-bit hashes, all of a list of texts at once."""
+        data = [(t if UNLIKE.search(t) else t.lower()).encode("utf-8", "surrogatepass") for t in texts]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        joined = b"\n".join(data) + b"\n"
+        a = np.frombuffer(joined, np.uint8)
+        inside = np.concatenate(([False], (a != 32) & ((a < 9) | (a > 13))))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = edge[::2], edge[1::2]
+        if self.powers is None or self.powers.shape[1] < len(a) + 1:
+            self.powers = np.stack([powers(m, len(a) + len(a) // 4 + 1) for m in (POWER, pow(POWER, -1, 1 << 64), OTHER, pow(OTHER, -1, 1 << 64))])
+        hashes = []
+        for up, down in (self.powers[:2], self.powers[2:]):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)))
+            hashes.append((total[end] - total[begin]) * down[begin])
+        key, check = hashes
+        key[key == FREE] = 0
+        row, found = self.table.find(key)
+        found &= self.check[np.minimum(row, CACHE_WORDS)] == check
+        if not found.all():
+            new = np.flatnonzero(~found)
+            new = new[np.unique(key[new], return_index=True)[1]]
+            if self.words + len(new) > CACHE_WORDS:
+                self.forget()
+                new = np.unique(key, return_index=True)[1]
+                if len(new) > CACHE_WORDS:
+                    return [x for at in range(0, len(texts), max(1, len(texts) // 2)) for x in self.encode(texts[at : at + max(1, len(texts) // 2)])] if len(texts) > 1 else [self.one(texts[0])]
+            self.keep(key[new], check[new], *self.of_words([joined[s:e] for s, e in zip(begin[new].tolist(), end[new].tolist(), strict=True)]))
+            row, found = self.table.find(key)
+            found &= self.check[np.minimum(row, CACHE_WORDS)] == check
+        size, start = self.size[row], self.start[row]
+        flat, stop = self.flat, np.cumsum(size)
+        ids = flat[np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        first = np.searchsorted(begin, np.concatenate(([0], np.cumsum(lengths + 1))))
+        at = np.concatenate(([0], stop))[first]
+        out = [ids[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for text in np.unique(np.searchsorted(first, np.flatnonzero(~found), side="right") - 1).tolist():  # a collision of hashes
+            out[text] = self.one(texts[text])
+        return out
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64), dtype=np.uint64)))
 
 
 def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
@@ -138,9 +251,12 @@ def cut(docs: DataFrame, *, tokenizer: str, window: int, end_id: int, id_col: st
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokenizer(tokenizer)
+        store = worker_store()
+        if ("tokenizer", tokenizer) not in store:
+            store["tokenizer", tokenizer] = WordTokenizer(tokenizer)
+        encode = store["tokenizer", tokenizer].encode
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in (s for b in batches for s in _slices(b, 500)):
+        for batch in (s for b in batches for s in _slices(b, 200)):
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids += end
