@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, lines, lm, packing, quality, simhash, toxicity
+from . import ann, chat, decontam, lines, lm, packing, quality, simhash, suffixes, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_file(), window=2048, end_id=1)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text")
     say = "</s>[INST] ok [/INST]"
@@ -122,6 +126,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": op5_toxicity,
         "op6_decontamination": op6_decontamination,
         "op7_packing": op7_packing,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_simhash": op10_simhash,
     }
