@@ -124,8 +124,8 @@ class Items:
         return out
 
 
-def with_overlaps(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, min_match: int = 4, block_bytes: int = 16_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """`docs` with a further column `overlaps`: the items covered to `threshold` or more, with coverage and tiles, by item id."""
+def with_overlaps(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, min_match: int = 4, block_bytes: int = 16_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", into: str = "overlaps") -> DataFrame:
+    """`docs` with a further column: the items covered to `threshold` or more, with coverage and tiles, by item id."""
     if not 0 < threshold <= 1 or min_match < 1:
         raise ValueError("threshold must lie in (0, 1] and min_match must be positive")
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
@@ -145,4 +145,4 @@ def with_overlaps(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0
 
         rows = rows.mapInArrow(run, T.StructType(rows.schema.fields))
     found = F.array_sort("overlaps")
-    return rows.select(*[F.col("row").getField(c).alias(c) for c in keep], found.alias("overlaps"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in keep], found.alias(into))

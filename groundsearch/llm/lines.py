@@ -38,8 +38,8 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line).cast("binary")))
 
 
-def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """`df` with `text` less its boilerplate lines, and the counts `n_lines` and `n_dropped` in `line_stats`."""
+def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source", max_ratio: float = 0.1, min_pages: int = 5, into: str = "line_stats") -> DataFrame:
+    """`df` with `text` less its boilerplate lines, and a further column with the counts `n_lines` and `n_dropped`."""
     if not 0 < max_ratio < 1:
         raise ValueError("max_ratio must lie between 0 and 1")
     key = F.struct(F.col(host).alias("host"))
@@ -60,7 +60,7 @@ def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source",
     rows = rows.select("row", lines.alias("lines"), kept.alias("kept"))
     stats = F.struct(F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"), (F.coalesce(F.size("lines"), F.lit(0)) - F.coalesce(F.size("kept"), F.lit(0))).cast("bigint").alias("n_dropped"))
     out = [F.array_join("kept", "\n").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
-    return rows.select(*out, stats.alias("line_stats"))
+    return rows.select(*out, stats.alias(into))
 
 
 def dedup_pages(pages: DataFrame, *, max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:

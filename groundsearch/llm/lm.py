@@ -13,8 +13,8 @@ worked out through the tree. The table is broadcast in slices of at most `slice_
 context byte), one pass for each slice, so that what a worker holds is bounded whatever the corpus; a text's
 score is the sum over slices.
 
-The base score is that of an add-0.1 unigram model of words. The most frequent words, at most `hot_words`, are
-broadcast; all others are counted by a join.
+The base score is that of an add-0.1 unigram model of words, which are counted by 128 bits of hashes. The most
+frequent words, at most `hot_words`, are broadcast as a hash table; all others are looked up by a join.
 
 Defined results. Null or empty text: the end token alone. Null ids belong to the held-out rows. Repeated rows
 stay. An empty table gives an empty result. Without training rows the tree is empty and every bit has
@@ -23,7 +23,6 @@ probability one half; base scores are then null.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,14 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .slots import Slots, WordHasher
 
 END = b"\xff"
-FLUSH_WORDS, FLUSH_BYTES = 300_000, 8_000_000
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+FLUSH_BYTES = 8_000_000
 
 
 def windows(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,42 +170,6 @@ class Tree:
         return out
 
 
-def hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Open addressing with linear probing, at most half full. Free slots hold a key that no window has."""
-    bits = max(4, int(2 * len(keys)).bit_length())
-    slots = np.full(1 << bits, np.uint64(2**64 - 1))
-    held = np.zeros(1 << bits, np.float32)
-    left = np.arange(len(keys))
-    at = (keys * MULTIPLIER >> np.uint64(64 - bits)).astype(np.int64)
-    while len(left):
-        free = slots[at[left]] == np.uint64(2**64 - 1)
-        trying = left[free]
-        slots[at[trying]] = keys[trying]  # of several for one slot the last stays
-        done = slots[at[left]] == keys[left]
-        held[at[left[done]]] = values[left[done]]
-        left = left[~done]
-        at[left] = (at[left] + 1) & ((1 << bits) - 1)
-    return slots, held, bits
-
-
-def looked_up(table: tuple[np.ndarray, np.ndarray, int], keys: np.ndarray) -> np.ndarray:
-    """Values by key; NaN where there is none."""
-    slots, held, bits = table
-    at = (keys * MULTIPLIER >> np.uint64(64 - bits)).astype(np.int64)
-    found = slots[at]
-    out = held[at].astype(np.float64)
-    left = np.flatnonzero(found != keys)
-    out[left] = np.nan
-    left = left[found[left] != np.uint64(2**64 - 1)]
-    while len(left):
-        at[left] = (at[left] + 1) & ((1 << bits) - 1)
-        now = slots[at[left]]
-        hit = now == keys[left]
-        out[left[hit]] = held[at[left[hit]]]
-        left = left[~hit & (now != np.uint64(2**64 - 1))]
-    return out
-
-
 def ordered(keys: np.ndarray, depth: int) -> np.ndarray:
     """From the newest byte uppermost (as windows are) to the next byte lowest."""
     return (keys & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8) | keys >> np.uint64(8 * depth)
@@ -226,43 +185,70 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterat
             yield batch.slice(a, b - a)
 
 
+class Batch:
+    """Normalised texts of a batch: one buffer of words parted by spaces, and each text's place."""
+
+    def __init__(self, texts: list[str | None], hasher: WordHasher):
+        self.texts = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
+        joined = b"\n".join(self.texts) + b"\n"
+        sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts)) + 1
+        self.begin, self.end, self.hash, self.check = hasher.words(np.frombuffer(joined, np.uint8))
+        self.joined = joined
+        self.first = np.searchsorted(self.begin, np.concatenate(([0], np.cumsum(sizes))))  # each text's first word
+
+
+def counted_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+    return a[edge], b[edge], np.add.reduceat(n, edge) if len(edge) else n
+
+
 def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """word, gram, n: counts of words (gram null) and of byte windows (word null) of column `text`."""
-
-    def rows(words: Counter, keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        names = ["word", "gram", "n"]
-        items = list(words.items())
-        for at in range(0, len(items), 50_000):
-            part = items[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.nulls(len(part), pa.int64()), pa.array([n for _, n in part], pa.int64())], names)
-        if keys:
-            k, n = counted(np.concatenate(keys), np.concatenate(counts))
-            for at in range(0, len(k), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(k[part]), pa.binary()), pa.array(k[part].view(np.int64)), pa.array(n[part].astype(np.int64))], names)
+    """word (true or false), a, b, n: counts of words by their two hashes, and of byte windows (in a; b is 0), of column `text`."""
+
+    def rows(word: bool, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), word)), pa.array(a[part].view(np.int64)), pa.array(b[part].view(np.int64)), pa.array(n[part].astype(np.int64))], ["word", "a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, keys, counts, merged = Counter(), [], [], 0
+        hasher = WordHasher()
+        held = {True: [], False: []}
+        size = {True: 0, False: 0}
+
+        def merge(word: bool) -> None:
+            if word:
+                whole = counted_pairs(*(np.concatenate(x) for x in zip(*held[word], strict=True)))
+            else:
+                k, n = counted(np.concatenate([x[0] for x in held[word]]), np.concatenate([x[2] for x in held[word]]))
+                whole = k, np.zeros(len(k), np.uint64), n
+            held[word], size[word] = [whole], len(whole[0])
+
         for batch in _groups(batches, FLUSH_BYTES // 2):
-            split = [tokens(t) for t in batch.column("text").to_pylist()]
-            for w in split:
-                words.update(w)
-            k, n = counted(windows([b" ".join(w) for w in split], depth)[0])
-            keys.append(k)
-            counts.append(n)
-            if sum(map(len, keys)) > merged + 2_000_000:
-                k, n = counted(np.concatenate(keys), np.concatenate(counts))
-                keys, counts, merged = [k], [n], len(k)
-            if len(words) > FLUSH_WORDS or merged > 4_000_000:
-                yield from rows(words, keys, counts)
-                words, keys, counts, merged = Counter(), [], [], 0
-        yield from rows(words, keys, counts)
-
-    found = docs.select("text").mapInArrow(run, "word binary, gram bigint, n bigint")
-    return found.groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-def score(docs: DataFrame, *, held_out: Column, depth: int = 5, hot_words: int = 300_000, slice_rows: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            texts = Batch(batch.column("text").to_pylist(), hasher)
+            k, n = counted(windows(texts.texts, depth)[0])
+            held[False].append((k, np.zeros(len(k), np.uint64), n))
+            order = np.argsort(texts.hash)
+            a, b = texts.hash[order], texts.check[order]
+            edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+            held[True].append((a[edge], b[edge], np.diff(np.append(edge, len(a)))))
+            for word in (True, False):
+                if sum(len(x[0]) for x in held[word]) > size[word] + 1_500_000:
+                    merge(word)
+                    if size[word] > 2_500_000:
+                        yield from rows(word, *held[word][0])
+                        held[word], size[word] = [], 0
+        for word in (True, False):
+            if held[word]:
+                merge(word)
+                yield from rows(word, *held[word][0])
+
+    found = docs.select("text").mapInArrow(run, "word boolean, a bigint, b bigint, n bigint")
+    return found.groupBy("word", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def score(docs: DataFrame, *, held_out: Column, depth: int = 5, hot_words: int = 800_000, slice_rows: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     if not 1 <= depth <= 6:
         raise ValueError("depth must lie between 1 and 6")
@@ -270,9 +256,9 @@ def score(docs: DataFrame, *, held_out: Column, depth: int = 5, hot_words: int =
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     training = rows.where(~F.col("held_out"))
     counts = common.written(corpus_counts(training, depth), "counts")
-    words = counts.where("word is not null").select("word", "n")
+    words = counts.where("word").select("a", "b", "n")
     by_count = sorted(((r.n, r.words) for r in words.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
-    train_docs = training.count()
+    train_docs = training.select("held_out").count()
     all_tokens, distinct = sum(n * w for n, w in by_count) + train_docs, sum(w for _, w in by_count) + (train_docs > 0)
     least, total = by_count[0][0] + 1 if by_count else 1, 0
     for n, w in by_count:  # the least count whose words are not too many
@@ -280,82 +266,102 @@ def score(docs: DataFrame, *, held_out: Column, depth: int = 5, hot_words: int =
         if total > hot_words:
             break
         least = n
-    hot = {bytes(r.word): float(np.log10(r.n + 0.1)) for r in words.where(F.col("n") >= least).toLocalIterator()}
-    grams = counts.where("gram is not null").select("gram", "n").toArrow()
-    strings = ordered(grams.column("gram").to_numpy().astype(np.int64).view(np.uint64), depth)
-    order = np.argsort(strings)
-    tree = Tree(strings[order], grams.column("n").to_numpy()[order].astype(np.int64), depth)
-    del grams, order
-    strings = tree.levels[depth].keys
-    newest = (strings >> np.uint64(8 * depth)).astype(np.int64)
-    by_newest = np.bincount(newest, minlength=256)
-    cuts, held = [0], 0
-    for byte in range(256):
-        if held and held + by_newest[byte] > slice_rows:
-            cuts.append(byte)
-            held = 0
-        held += by_newest[byte]
-    cuts.append(256)
-    shared_hot = spark.sparkContext.broadcast(hot)
-    end_log, floor_log = float(np.log10(train_docs + 0.1)), -1.0
-
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared_hot.value.get
-        for batch in _groups(batches):
-            out = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = tokens(text)
-                logs = [get(w) for w in found]
-                rare = Counter([w for w, x in zip(found, logs, strict=True) if x is None])
-                known = [x for x in logs if x is not None]
-                out[0].append(len(found) + 1)
-                out[1].append(len(known) + (train_docs > 0))
-                out[2].append(sum(known) + end_log)
-                out[3].append(list(rare.keys()))
-                out[4].append(list(rare.values()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.list_(pa.binary())), pa.array(out[4], pa.list_(pa.int64())), pa.array(np.zeros(batch.num_rows))],
-                [*batch.schema.names, "n_tokens", "hot_known", "hot_log", "rare", "times", "log2"],
-            )
-
-    fields = "doc_id bigint, held_out boolean, text string, n_tokens bigint, hot_known bigint, hot_log double, rare array<binary>, times array<bigint>, log2 double"
-    scored = rows.mapInArrow(base, fields)
+    shared_hot = spark.sparkContext.broadcast(_hot_table(words.where(F.col("n") >= least)))
+    tree = _tree(counts.where("not word").select("a", "n"), depth)
+    cuts = _cuts(tree, slice_rows)
+    end_log = float(np.log10(train_docs + 0.1))
+    fields = "doc_id bigint, held_out boolean, text string, n_tokens bigint, hot_known bigint, hot_log double, rare array<struct<a:bigint,b:bigint>>, log2 double"
+    scored = rows
     for low, high in zip(cuts, cuts[1:], strict=False):
         if low:  # else the workers of all passes would hold their slices at once
             scored = common.written(scored, "passes")
         part = tree if len(cuts) == 2 else tree.part(low, high)
-        mine = part.levels[depth].keys
-        table = hashed((mine & np.uint64(255)) << np.uint64(8 * depth) | mine >> np.uint64(8), np.concatenate([part.log2(mine[at : at + 500_000]) for at in range(0, len(mine), 500_000)]) if len(mine) else np.zeros(0))
-        scored = scored.mapInArrow(_pass(spark.sparkContext.broadcast((part.parts(), table, low, high))), fields)
-    kept = common.written(scored.drop("text").withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = kept.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    sums = rare.join(words.where(F.col("n") < least), "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(0.1))).alias("logs"))
-    done = kept.join(sums, "row", "left").withColumn("n_known", F.col("hot_known") + F.coalesce("known", F.lit(0)))
+        strings = part.levels[depth].keys
+        table = Slots(len(strings), np.float32)
+        table.insert((strings & np.uint64(255)) << np.uint64(8 * depth) | strings >> np.uint64(8), np.concatenate([np.zeros(0), *[part.log2(strings[at : at + 300_000]) for at in range(0, len(strings), 300_000)]]))
+        model = spark.sparkContext.broadcast((part.parts(), (table.bits, table.keys, table.values), low, high))
+        del table
+        last = high == 256
+        scored = scored.mapInArrow(_pass(model, None if low else shared_hot, int(train_docs > 0), end_log, last), fields.replace("text string, ", "") if last else fields)
+    kept = common.written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    rare = kept.select("row", F.inline("rare"))
+    sums = rare.join(words.where(F.col("n") < least), ["a", "b"]).groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + F.lit(0.1))).alias("logs"))
+    done = kept.drop("rare").join(sums, "row", "left").withColumn("n_known", F.col("hot_known") + F.coalesce("known", F.lit(0)))
     each = float(np.log10(all_tokens + 0.1 * (distinct + 1))) if train_docs else None
-    unknown = F.col("n_tokens") - F.col("n_known")
-    base_score = F.col("hot_log") + F.coalesce("logs", F.lit(0.0)) + unknown * F.lit(floor_log) - F.col("n_tokens") * F.lit(each).cast("double")
+    unknown = F.col("n_tokens") - F.col("n_known")  # log10(0.1) is -1
+    base_score = F.col("hot_log") + F.coalesce("logs", F.lit(0.0)) - unknown - F.col("n_tokens") * F.lit(each).cast("double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_tokens).cast("bigint").alias("train_tokens"), base_score.alias("base_score"), (F.col("log2") * F.lit(float(np.log10(2)))).alias("score"))
 
 
-def _pass(shared):
-    """Adds one slice's log probabilities to column log2."""
+def _hot_table(words: DataFrame) -> tuple:
+    """Hash table of the frequent words: hash to row; second hashes and log10(count + 0.1) by row."""
+    found = words.toArrow()
+    a, b, n = (found.column(c).to_numpy() for c in ("a", "b", "n"))
+    key, first = np.unique(a.view(np.uint64), return_index=True)  # of two words with one hash the other is looked up like a rare one
+    table = Slots(len(key), np.int32)
+    table.insert(key, np.arange(len(key)))
+    return table.bits, table.keys, table.values, b[first].view(np.uint64), np.log10(n[first] + 0.1)
+
+
+def _tree(grams: DataFrame, depth: int) -> Tree:
+    found = grams.toArrow()
+    strings = ordered(found.column("a").to_numpy().view(np.uint64), depth)
+    order = np.argsort(strings)
+    return Tree(strings[order], found.column("n").to_numpy()[order], depth)
+
+
+def _cuts(tree: Tree, slice_rows: int) -> list[int]:
+    """Bounds of slices by the newest context byte, each of at most slice_rows strings unless one byte has more."""
+    by_newest = np.bincount((tree.levels[tree.depth].keys >> np.uint64(8 * tree.depth)).astype(np.int64), minlength=256)
+    cuts, held = [0], 0
+    for byte in range(256):
+        if held and held + by_newest[byte] > slice_rows:
+            cuts.append(byte)
+            held = 0
+        held += by_newest[byte]
+    return [*cuts, 256]
+
+
+def _pass(model, hot, end_known: int, end_log: float, last: bool):
+    """One slice's log probabilities, added to column log2; the first pass, which has `hot`, makes the other columns."""
+
+    def base(batch: pa.RecordBatch, texts: Batch, table: Slots, check: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+        row, found = table.find(texts.hash)
+        found &= check[np.minimum(row, max(0, len(check) - 1))] == texts.check if len(check) else False
+        summed = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[texts.first])
+        log = np.zeros(len(row))
+        log[found] = logs[row[found]]
+        rare = np.flatnonzero(~found)
+        offsets = np.searchsorted(rare, texts.first).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(texts.hash[rare].view(np.int64)), pa.array(texts.check[rare].view(np.int64))], ["a", "b"])
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.diff(texts.first) + 1), pa.array(summed(found) + end_known), pa.array(summed(log) + end_log), pa.ListArray.from_arrays(pa.array(offsets), pairs), pa.array(np.zeros(batch.num_rows))],
+            [*batch.schema.names, "n_tokens", "hot_known", "hot_log", "rare", "log2"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, table, low, high = shared.value
-        tree = Tree.of(*parts)
+        parts, slots, low, high = model.value
+        tree, table, hasher = Tree.of(*parts), Slots.of(*slots), WordHasher()
+        words, check, logs = (Slots.of(*hot.value[:3]), *hot.value[3:]) if hot else (None, None, None)
         depth = tree.depth
         for batch in _groups(batches):
-            keys, first = windows([b" ".join(tokens(t)) for t in batch.column("text").to_pylist()], depth)
-            values = looked_up(table, keys)
+            texts = Batch(batch.column("text").to_pylist(), hasher)
+            if hot:
+                batch = base(batch, texts, words, check, logs)
+            keys, first = windows(texts.texts, depth)
+            values, found = table.find(keys)
+            values = values.astype(np.float64)
             if (low, high) != (0, 256):
                 newest = keys >> np.uint64(8 * (depth - 1)) & np.uint64(255)
-                values[(newest < low) | (newest >= high)] = 0
-            new = np.flatnonzero(np.isnan(values))
+                other = (newest < low) | (newest >= high)
+                values[other], found[other] = 0, True
+            new = np.flatnonzero(~found)
             if len(new):
                 strings, where = np.unique(ordered(keys[new], depth), return_inverse=True)
                 values[new] = tree.log2(strings)[where]
             total = np.add.reduceat(values, first) if len(first) else np.zeros(0)
             at = batch.schema.get_field_index("log2")
-            yield batch.set_column(at, "log2", pa.array(batch.column(at).to_numpy() + total))
+            batch = batch.set_column(at, "log2", pa.array(batch.column(at).to_numpy() + total))
+            yield batch.drop_columns(["text"]) if last else batch
 
     return run

@@ -30,12 +30,10 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import worker_store
-from .slots import FREE, Slots
+from .slots import Slots, WordHasher
 
 #: Entries of the per-worker caches of words and of their pieces; each is emptied when full.
 CACHE_WORDS, CACHE_PIECES = 500_000, 200_000
-#: Odd multipliers of the two hashes of a word.
-POWER, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Characters that Python and the tokenizer might treat apart, and what control tokens begin with.
 UNLIKE = re.compile("[^\t\n\r -~\u00a1-\u012f\u0131-\u024f]|<\\|")
 #: Line ends, which part words, contractions, letter runs, single digits, runs of signs.
@@ -135,7 +133,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
-        self.powers: np.ndarray | None = None
+        self.hasher = WordHasher()
         self.forget()
 
     def one(self, text: str) -> bytes:
@@ -203,17 +201,7 @@ class WordTokenizer:
         lengths = np.fromiter(map(len, data), np.int64, len(data))
         joined = b"\n".join(data) + b"\n"
         a = np.frombuffer(joined, np.uint8)
-        inside = np.concatenate(([False], (a != 32) & ((a < 9) | (a > 13))))
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        begin, end = edge[::2], edge[1::2]
-        if self.powers is None or self.powers.shape[1] < len(a) + 1:
-            self.powers = np.stack([powers(m, len(a) + len(a) // 4 + 1) for m in (POWER, pow(POWER, -1, 1 << 64), OTHER, pow(OTHER, -1, 1 << 64))])
-        hashes = []
-        for up, down in (self.powers[:2], self.powers[2:]):
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)))
-            hashes.append((total[end] - total[begin]) * down[begin])
-        key, check = hashes
-        key[key == FREE] = 0
+        begin, end, key, check = self.hasher.words(a)
         row, found = self.table.find(key)
         found &= self.check[np.minimum(row, CACHE_WORDS)] == check
         if not found.all():
@@ -238,10 +226,6 @@ class WordTokenizer:
         return out
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64), dtype=np.uint64)))
-
-
 def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)

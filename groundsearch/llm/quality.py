@@ -102,8 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn_from: Column, label: str =
     return QualityModel(dictionaries, logistic(held[["d", "g", "b"]].to_numpy(), held["label"].to_numpy(np.float64), weight, ridge=1e-6))
 
 
-def scored(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -> DataFrame:
-    """`docs` with a further column `quality_score`, the probability of label 1."""
+def scored(docs: DataFrame, model: QualityModel, *, text_col: str = "text", into: str = "quality_score") -> DataFrame:
+    """`docs` with a further column, the probability of label 1."""
     dictionaries, weights = model.dictionaries, model.weights
     keep = docs.columns
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -113,10 +113,10 @@ def scored(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -> D
         for batch in batches:
             x = np.array([of(t.as_py()) for t in batch.column(1)], dtype=np.float64).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:3] + weights[3], -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["row", "quality_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["row", "score"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([named.schema["row"], T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType([named.schema["row"], T.StructField("score", T.DoubleType())])
     done = named.mapInArrow(run, schema)
-    return done.select(*[F.col("row").getField(c).alias(c) for c in keep], "quality_score")
+    return done.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("score").alias(into))

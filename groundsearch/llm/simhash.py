@@ -214,3 +214,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, t: int = 2, id_col: str
 
 def hexadecimal(column: str = "fingerprint"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """`docs` less all but one of each component of `found` (doc_id, component_id): the one that names it.
+
+    Of repeated rows with that id one stays. Rows with null ids stay. Only the ids that go are joined.
+    """
+    gone = common.written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, docs[id_col] == gone.doc_id, "left_anti")
+    often = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__often"))
+    often = common.written(often, "often")
+    if not often.count():
+        return kept
+    same = kept[id_col] == often["__often"]
+    return kept.join(often, same, "left_anti").unionByName(kept.join(often, same, "left_semi").dropDuplicates([id_col]))
