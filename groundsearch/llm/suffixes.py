@@ -37,8 +37,8 @@ from . import common
 
 P = 0x9E3779B97F4A7C15
 MARK = np.uint64(2**64 - 1)
-#: Documents of one slice that make an anchor hot, bytes of a slice, bytes of text for each bucket.
-HOT, SLICE, BUCKET = 48, 6_000_000, 24_000_000
+#: Documents of one slice that make an anchor hot; bytes of a slice, of a stretch worked on at once, and of text for each bucket.
+HOT, SLICE, PART, BUCKET = 48, 6_000_000, 500_000, 24_000_000
 BITS = 26
 COVER = (0, 1, 2, 4)
 
@@ -72,28 +72,53 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return out ^ out >> np.uint64(29)
 
 
-def anchored(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors that some string of `length` bytes has: hash, position, first string's start, number of strings."""
-    if len(data) < length:
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
-    h, w = gram_hashes(data, k), length - k + 1
-    least = sliding(h, w, np.minimum)
-    hits = np.flatnonzero(sliding(np.concatenate((np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64))), w, np.maximum) == h)
-    at = np.searchsorted(hits, np.arange(len(least)))  # the first selected position in or after each string's start
-    owner = hits[at]
-    wrong = h[owner] != least
-    while wrong.any():  # a selected position that is another string's anchor stands before ours
-        at[wrong] += 1
-        owner[wrong] = hits[at[wrong]]
-        wrong[wrong] = h[owner[wrong]] != least[wrong]
-    edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    return h[owner[edge]], owner[edge], edge, np.diff(np.append(edge, len(owner)))
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of all elements of stretches."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def anchored(texts: list[np.ndarray], length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Anchors that some string of `length` bytes of a text has: hash, position, first string's start, number of strings, text.
+
+    Texts are worked on in stretches of about PART bytes at once; strings across texts are left out.
+    """
+    out = []
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    part = (np.cumsum(sizes) - sizes) // PART
+    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.empty(0, np.int64)
+    w = length - k + 1
+    for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+        data, size = np.concatenate(texts[a:b]), sizes[a:b]
+        if len(data) < length:
+            continue
+        begin = np.cumsum(size) - size
+        h = gram_hashes(data, k)
+        least = sliding(h, w, np.minimum)
+        starts = np.maximum(0, size - length + 1)
+        valid = ragged(begin, starts)  # starts of strings within a text
+        within = np.zeros(len(least), np.uint64)
+        within[valid] = least[valid]
+        pad = np.zeros(w - 1, np.uint64)
+        hits = np.flatnonzero((sliding(np.concatenate((pad, within, pad)), w, np.maximum) == h))
+        at = np.searchsorted(hits, valid)  # the first selected position in or after each string's start
+        owner, least = hits[np.minimum(at, len(hits) - 1)], least[valid]
+        wrong = np.flatnonzero(h[owner] != least)
+        while len(wrong):  # a selected position that is another string's anchor stands before ours
+            at[wrong] += 1
+            owner[wrong] = hits[at[wrong]]
+            wrong = wrong[h[owner[wrong]] != least[wrong]]
+        if not len(owner):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        text = np.repeat(np.arange(len(size)), starts)[first]
+        out.append((h[owner[first]], owner[first] - begin[text], valid[first] - begin[text], np.diff(np.append(first, len(owner))), text + a))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 4)
 
 
 def slices(batches: Iterator[pa.RecordBatch], sizes: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size = batch.column(batch.schema.get_field_index(sizes)).fill_null(0).to_numpy(zero_copy_only=False)
-        part = (np.cumsum(size) - size) // SLICE
+        part = np.maximum((np.cumsum(size) - size) // SLICE, np.arange(len(size)) // 50_000)
         edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.empty(0, np.int64)
         for a, b in zip(edge, edge[1:], strict=False):
             yield batch.slice(a, b - a)
@@ -121,18 +146,51 @@ def _dealt(group: np.ndarray, groups: int, *columns: np.ndarray) -> Iterator[tup
         yield g, [c[rows] for c in columns]
 
 
+def to_parts(owner: np.ndarray, payload: list[bytes], parts: int) -> list[tuple[int, bytes]]:
+    """What belongs to each owner, packed for the parts that owners fall in."""
+    size = np.fromiter(map(len, payload), np.int64, len(payload))
+    out = []
+    for part, (rows,) in _dealt(group_of(owner.astype("<i8").view(np.uint64) ^ np.uint64(P >> 1), parts), parts, np.arange(len(owner))):
+        out.append((part, np.array([len(rows)], "<u8").tobytes() + owner[rows].astype("<i8").tobytes() + size[rows].astype("<u4").tobytes() + b"".join([payload[i] for i in rows])))
+    return out
+
+
+def from_parts(blobs: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Owners, each once, and all that belongs to them."""
+    held: dict[int, list[bytes]] = {}
+    for blob in blobs:
+        n = int(np.frombuffer(blob, "<u8", 1)[0])
+        at = 8 + 12 * n
+        for owner, size in zip(np.frombuffer(blob, "<i8", n, 8).tolist(), np.frombuffer(blob, "<u4", n, 8 + 8 * n).tolist(), strict=True):
+            held.setdefault(owner, []).append(blob[at : at + size])
+            at += size
+    return np.array(list(held), np.int64), [b"".join(x) for x in held.values()]
+
+
+def gathered(parts: DataFrame, owner: str, payload: str) -> DataFrame:
+    """(part, packed) to one row for each owner."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        owners, held = from_parts(rows.column("packed").to_pylist())
+        return pa.table({owner: pa.array(owners), payload: pa.array(held, pa.binary())})
+
+    return parts.groupBy("part").applyInArrow(run, f"{owner} bigint, {payload} binary")
+
+
 def repeated_anchors(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame:
-    """(data binary, key bigint, size bigint) to (key, plain, hot): each content's repeated anchors, six bytes each."""
+    """(data binary, key bigint, size bigint) to (key, marks): each content's repeated anchors, as six bytes and one for whether they are hot."""
     low48 = np.uint64((1 << 48) - 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "size"):
-            hashes, keys = [], []
-            for data, key in zip(batch.column(0), batch.column(1).to_numpy().view(np.uint64), strict=True):
-                found = np.unique(anchored(np.frombuffer(data.as_buffer(), np.uint8), length, k)[0] & low48)
-                hashes.append(found)
-                keys.append(np.full(len(found), key))
-            h, key = np.concatenate(hashes), np.concatenate(keys)
+            texts = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(0)]
+            h, _, _, _, text = anchored(texts, length, k)
+            # Each text's hashes, each once.
+            h = h & low48
+            order = np.lexsort((h, text))
+            h, text = h[order], text[order]
+            once = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1]))) if len(h) else np.empty(0, bool)
+            h, key = h[once], batch.column(1).to_numpy().view(np.uint64)[text[once]]
             if not len(h):
                 continue
             key[key == MARK] = 0
@@ -167,11 +225,12 @@ def repeated_anchors(texts: DataFrame, length: int, k: int, groups: int) -> Data
         all_h, all_key, all_hot = all_h[order], all_key[order], all_hot[order]
         edge = np.flatnonzero(np.concatenate(([True], all_key[1:] != all_key[:-1]))) if len(all_key) else np.empty(0, np.int64)
         stop = np.append(edge[1:], len(all_key)) if len(edge) else edge
-        plain = [six(all_h[a:b][~all_hot[a:b]]) for a, b in zip(edge, stop, strict=True)]
-        warm = [six(all_h[a:b][all_hot[a:b]]) for a, b in zip(edge, stop, strict=True)]
-        return pa.table({"key": pa.array(all_key[edge].view(np.int64)), "plain": pa.array(plain, pa.binary()), "hot": pa.array(warm, pa.binary())})
+        marks = np.ascontiguousarray((all_h | all_hot.astype(np.uint64) << np.uint64(48)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
+        packed = to_parts(all_key[edge].view(np.int64), [marks[a:b].tobytes() for a, b in zip(edge, stop, strict=True)], groups)
+        return pa.table({"part": pa.array([x for x, _ in packed], pa.int64()), "packed": pa.array([x for _, x in packed], pa.binary())})
 
-    return texts.mapInArrow(send, "grp bigint, hashes binary, keys binary, sure binary, sure_keys binary").groupBy("grp").applyInArrow(meet, "key bigint, plain binary, hot binary")
+    met = texts.mapInArrow(send, "grp bigint, hashes binary, keys binary, sure binary, sure_keys binary").groupBy("grp").applyInArrow(meet, "part bigint, packed binary")
+    return gathered(met, "key", "marks")
 
 
 def string_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -182,11 +241,6 @@ def string_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     return (total[starts + length] - total[starts]) * down[starts]
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions of all elements of stretches."""
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-
-
 def pack_rows(doc: np.ndarray, start: np.ndarray, column: np.ndarray, count: np.ndarray, data: bytes) -> bytes:
     import zstandard
 
@@ -207,7 +261,7 @@ def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame:
-    """(data compressed, doc_id, size, plain, hot: arrays of binary) to (grp, rows, decided): stretches for the buckets, and strings decided on the spot (doc_id, start)."""
+    """(data compressed, doc_id, size, marks) to (grp, rows, decided): stretches for the buckets, and strings decided on the spot (doc_id, start)."""
     low48 = np.uint64((1 << 48) - 1)
     reach = length - k
 
@@ -215,22 +269,24 @@ def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame
         import zstandard
 
         for batch in slices(batches, "size"):
-            texts, parts, base = [], [], 0
-            for blob, doc, plain, hot in zip(*[batch.column(batch.schema.get_field_index(c)) for c in ("data", "doc_id", "plain", "hot")], strict=True):
-                data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_buffer()), np.uint8)
-                h, position, start, count = anchored(data, length, k)
-                h = h & low48
-                sets = [np.unique(from_six(b"".join(x.as_py()))) for x in (plain, hot)]
-                kind = np.zeros(len(h), np.int8)
-                for i, known in enumerate(sets, 1):
-                    if len(known):
-                        kind[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h] = i
-                mine = kind > 0
-                texts.append(data)
-                parts.append((h[mine], np.full(int(mine.sum()), doc.as_py()), start[mine], reach - (position - start)[mine], count[mine], kind[mine], np.full(int(mine.sum()), base)))
-                base += len(data)
+            unpack = zstandard.ZstdDecompressor().decompress
+            texts = [np.frombuffer(unpack(x.as_buffer()), np.uint8) for x in batch.column(batch.schema.get_field_index("data"))]
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
+            raw = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 7) for x in batch.column(batch.schema.get_field_index("marks"))]
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            h, position, start, count, text = anchored(texts, length, k)
+            h = h & low48
+            # Which anchors are marked, by text and hash. A slice has fewer than 65,536 texts: all have `length` bytes.
+            marks = np.concatenate(raw)
+            known = from_six(np.ascontiguousarray(marks[:, :6]).tobytes()) | np.repeat(np.arange(len(raw)), [len(x) for x in raw]).astype(np.uint64) << np.uint64(48)
+            order = np.argsort(known)
+            wanted = h | text.astype(np.uint64) << np.uint64(48)
+            at = order[np.minimum(np.searchsorted(known[order], wanted), len(known) - 1)]
+            kind = np.where(known[at] == wanted, 1 + marks[at, 6].astype(np.int8), 0)
+            mine = kind > 0
+            h, start, count, text, kind = h[mine], start[mine], count[mine], text[mine], kind[mine]
+            column, doc, base = reach - (position[mine] - start), ids[text], (np.cumsum(sizes) - sizes)[text]
             data = np.concatenate(texts)
-            h, doc, start, column, count, kind, base = (np.concatenate(c) for c in zip(*parts, strict=True))
             cold, warm = kind == 1, np.flatnonzero(kind == 2)
             # A hot anchor's strings go one by one.
             of = np.repeat(warm, count[warm])
@@ -333,8 +389,8 @@ def runs_by_document(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, li
     return owner[edge], [runs[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(owner)), strict=True)] if len(edge) else []
 
 
-def removed_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """doc_id, runs: strings to remove, one row for each document and bucket."""
+def removed_runs(rows: DataFrame, length: int, k: int, groups: int) -> DataFrame:
+    """doc_id, runs: strings to remove."""
     reach = length - k
 
     def resolve(bucket: pa.Table) -> pa.Table:
@@ -348,9 +404,10 @@ def removed_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
             starts.append(start[row] + c - column[row])
         decided = np.frombuffer(b"".join(bucket.column("decided").to_pylist()), "<i8").reshape(-1, 2)
         owner, runs = runs_by_document(np.concatenate([*docs, decided[:, 0]]), np.concatenate([*starts, decided[:, 1]]))
-        return pa.table({"doc_id": pa.array(owner, pa.int64()), "runs": pa.array(runs, pa.binary())})
+        packed = to_parts(owner, runs, groups)
+        return pa.table({"part": pa.array([x for x, _ in packed], pa.int64()), "packed": pa.array([x for _, x in packed], pa.binary())})
 
-    return rows.groupBy("grp").applyInArrow(resolve, "doc_id bigint, runs binary")
+    return gathered(rows.groupBy("grp").applyInArrow(resolve, "part bigint, packed binary"), "doc_id", "runs")
 
 
 def spans(runs: np.ndarray, length: int) -> np.ndarray:
@@ -362,7 +419,7 @@ def spans(runs: np.ndarray, length: int) -> np.ndarray:
 
 
 def cut_texts(texts: DataFrame, length: int) -> DataFrame:
-    """(data compressed, doc_id, key, size, runs: array of binary) to the digests of what stays."""
+    """(data compressed, doc_id, key, size, runs) to the digests of what stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -371,7 +428,7 @@ def cut_texts(texts: DataFrame, length: int) -> DataFrame:
             out = [], [], []
             for blob, runs in zip(batch.column(0), batch.column(4), strict=True):
                 data = zstandard.ZstdDecompressor().decompress(blob.as_buffer())
-                gone = spans(np.frombuffer(b"".join(runs.as_py()), "<u4").reshape(-1, 2).astype(np.int64), length)
+                gone = spans(np.frombuffer(runs.as_py(), "<u4").reshape(-1, 2).astype(np.int64), length)
                 digest, at = hashlib.sha256(), 0
                 for start, stop in gone.tolist():
                     digest.update(data[at:start])
@@ -423,16 +480,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     groups = max(common.partitions(spark), -(-(meta.agg(F.sum("size")).first()[0] or 0) // BUCKET))
     least = meta.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("least"), F.first("key").alias("key"))
     long_enough = texts.where((F.col("size") >= length) & F.col("doc_id").isNotNull())
-    anchors = repeated_anchors(long_enough.select("data", "key", "size"), length, k, groups)
-    lists = anchors.groupBy("key").agg(F.collect_list("plain").alias("plain"), F.collect_list("hot").alias("hot"))
+    lists = repeated_anchors(long_enough.select("data", "key", "size"), length, k, groups)
     lists = lists.join(least.select(F.col("key").alias("key"), F.col("least").alias("doc_id")), "key")
-    holders = compressed(long_enough).join(lists, ["key", "doc_id"]).select("data", "doc_id", "size", "plain", "hot")
-    runs = common.written(removed_runs(bucket_rows(holders, length, k, groups), length, k), "runs")
-    merged = runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    holders = compressed(long_enough).join(lists, ["key", "doc_id"]).select("data", "doc_id", "size", "marks")
+    runs = common.written(removed_runs(bucket_rows(holders, length, k, groups), length, k, groups), "runs")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS)).alias("bit")
     touched = compressed(long_enough.select("data", "doc_id", "key", "size", bit), bit_table(runs, "doc_id")).drop("bit")
     firsts = least.select(F.col("least").alias("doc_id"), "key")
-    cut = cut_texts(touched.join(merged.join(firsts, "doc_id"), ["doc_id", "key"]).select("data", "doc_id", "key", "size", "runs"), length).dropDuplicates(["doc_id", "key"])
+    cut = cut_texts(touched.join(runs.join(firsts, "doc_id"), ["doc_id", "key"]).select("data", "doc_id", "key", "size", "runs"), length).dropDuplicates(["doc_id", "key"])
     whole = meta.join(least.select("sha", "least"), "sha", "left").join(cut, ["doc_id", "key"], "left")
     copy = F.coalesce((F.col("doc_id") > F.col("least")) & (F.col("size") >= length), F.lit(False))
     return whole.select(
