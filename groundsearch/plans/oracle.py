@@ -150,8 +150,8 @@ SQL = {
       select query_id, coalesce(string_agg(measure_id, ',' order by measure_id), '') as measure_ids from routed left join hits using (query_id) group by 1""",
     "literal_id_route": f"with {ROUTED} select query_id, array_to_string({LITERAL}, ',') as measure_ids from routed",
     "token_estimate": f"select doc_id, {ESTIMATE.format('text')} as tokens from documents",
-    "word_windows": f"""with w as (select doc_id, {SPLIT_WORDS.format("text")} as w from documents), s as (select doc_id, w, unnest(range(0, len(w), 320)) as at from w)
-      select doc_id, (at / 320)::bigint as pos, length(array_to_string(w[at + 1 : at + 369], ' ')) as n_chars, md5(array_to_string(w[at + 1 : at + 369], ' ')) as digest from s""",
+    "word_windows": f"""with w as (select doc_id, {SPLIT_WORDS.format("text")} as w from documents), s as (select doc_id, w, unnest(range(0, len(w), 320)) as a from w)
+      select doc_id, (a / 320)::bigint as pos, length(array_to_string(w[a + 1 : a + 369], ' ')) as n_chars, md5(array_to_string(w[a + 1 : a + 369], ' ')) as digest from s""",
     "chunk_ids": f"""with {CHUNKS}, c as (select *, case when lang = 'en' then null else lang end as m from chunks)
       select doc_id, source || ':' || coalesce(m, 'doc') || ':' || section || ':' || substr(sha256(source || '|' || coalesce(m, 'None') || '|' || section || '|' || text), 1, 16) as chunk_id from c""",
     "chunk_dedup": f"""with {CHUNKS}, c as (select *, case when lang = 'en' then null else lang end as m from chunks)
