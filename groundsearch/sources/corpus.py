@@ -101,7 +101,7 @@ def read_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def load_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold items from JSON lines; blank lines are skipped, a line that can't be read is named by its number."""
-    text = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
     parsed = text.select((F.col("line") + 1).alias("line"), F.from_json("value", GOLD_ITEM).alias("item"))
     bad = parsed.where("item is null or item.item_id is null").select("line").take(20)
     if bad:
