@@ -24,18 +24,19 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "doc_id", vector: str = "embedding", query_key: str = "query_id", groups: str | None = None, block_rows: int = 4096) -> DataFrame:
     """query_id, doc_id, score, rank. groups: a column of both tables; a query sees only candidates of its group."""
     spark = queries.sparkSession
-    empty = spark.createDataFrame([], f"{query_key} bigint, {key} bigint, score double, rank int")
-    asked = queries.select(F.col(query_key).cast("bigint").alias("q"), F.col(vector).alias("v"), (F.col(groups).cast("string") if groups else F.lit("")).alias("g"))
+    kinds = {query_key: dict(queries.dtypes)[query_key], key: dict(vectors.dtypes)[key]}
+    fields = f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, score double"
+    asked = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("v"), (F.col(groups).cast("string") if groups else F.lit("")).alias("g"))
     n = asked.count()
     if not n or k <= 0:
-        return empty
+        return spark.createDataFrame([], f"{fields}, rank int")
     blocks, parts = -(-n // block_rows), []
-    candidates = vectors.select(F.col(key).cast("bigint").alias("c"), F.col(vector).alias("v"), (F.col(groups).cast("string") if groups else F.lit("")).alias("g"))
+    candidates = vectors.select(F.col(key).alias("c"), F.col(vector).alias("v"), (F.col(groups).cast("string") if groups else F.lit("")).alias("g"))
     for block in range(blocks):
         held = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toArrow()
         if not held.num_rows:
             continue
-        ids = held.column("q").to_numpy()
+        ids = held.column("q").combine_chunks()
         dim = len(held.column("v")[0])
         shared = spark.sparkContext.broadcast((ids, _unit(held.column("v").combine_chunks(), dim), np.array(held.column("g").to_pylist(), dtype=object)))
 
@@ -44,18 +45,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "doc_id"
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                keys, theirs = batch.column(0).to_numpy(), np.array(batch.column(2).to_pylist(), dtype=object)
+                order, theirs = np.unique(np.array(batch.column(0).to_pylist()), return_inverse=True)[1], np.array(batch.column(2).to_pylist(), dtype=object)
                 score = np.round(matrix @ _unit(batch.column(1), dim).T, 12)
                 q, c, s = [], [], []
-                for i in range(len(ids)):
+                for i in range(len(group)):
                     at = np.flatnonzero(theirs == group[i])
-                    best = at[np.lexsort((keys[at], -np.round(score[i, at], 9)))[:k]]
-                    q.append(np.full(len(best), ids[i]))
-                    c.append(keys[best])
+                    best = at[np.lexsort((order[at], -np.round(score[i, at], 9)))[:k]]
+                    q.append(np.full(len(best), i))
+                    c.append(best)
                     s.append(score[i, best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, c, s)], [query_key, key, "score"])
+                q, c, s = (np.concatenate(x) for x in (q, c, s))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(c)), pa.array(s)], [query_key, key, "score"])
 
-        parts.append(candidates.mapInArrow(run, f"{query_key} bigint, {key} bigint, score double"))
+        parts.append(candidates.mapInArrow(run, fields))
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
