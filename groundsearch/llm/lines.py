@@ -6,8 +6,8 @@ A line is boilerplate on its host if it stands on more than `max_ratio` of the h
 A page's lines are made distinct before they are counted, and counts are summed map-side, so that a host or
 a line with a third of all rows costs no task more than its share. Lines travel as 128-bit digests. A host
 has at most (mean distinct lines of its pages / max_ratio) boilerplate lines, which bounds the array that
-joins its pages; Spark broadcasts that table only below its own size threshold and splits skewed hosts
-otherwise.
+joins its pages. The table of these arrays is written, measured, and broadcast up to BROADCAST_BYTES, so that
+pages are not shuffled at all; beyond it is joined by host, where Spark splits the pages of a frequent host.
 
 Defined results. Lines are compared without leading and trailing white space; empty lines always stay.
 Null text: it stays null. Null host: those pages form one host. Repeated rows are pages of their own.
@@ -19,6 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
+BROADCAST_BYTES = 16_000_000
 #: Tags inside a line of text; all others end the line.
 INLINE_TAGS = r"(?i)</?(?:a|abbr|b|code|em|i|small|span|strong|sub|sup|u)(?:\s[^>]*)?>"
 BLOCKS = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>"
@@ -54,6 +57,9 @@ def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source",
         .groupBy("site")
         .agg(F.collect_list("line").alias("boilerplate"))
     )
+    bad = common.written(bad, "boilerplate")
+    size = bad.agg(F.sum(16 * F.size("boilerplate") + F.coalesce(F.octet_length("site.host"), F.lit(0)) + 32)).first()[0] or 0
+    bad = F.broadcast(bad) if size <= BROADCAST_BYTES else bad
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("site")).join(bad, "site", "left")
     lines = F.split(F.col("row").getField(text), "\n")
     kept = F.when(F.col("boilerplate").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("boilerplate", _key(x))))
