@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .common import tidy
 
 MAX_CELLS = 4096
 
@@ -97,6 +98,7 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found."""
     spark = vectors.sparkSession
+    common.frugal(spark)
     clean = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     first = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     entries = clean.withColumn("n", first).where(F.col("n") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
@@ -117,7 +119,7 @@ def search(
             codes = np.stack([nearest(np.ascontiguousarray(p), b) for p, b in zip(parts, books, strict=True)], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), pa.array([c.tobytes() for c in codes], pa.binary())], ["entry", "cell", "code"])
 
-    index = common.written(entries.select("entry", "vector").mapInArrow(encode, "entry bigint, cell bigint, code binary"), "index")
+    index = common.written(entries.select("entry", "vector").mapInArrow(tidy(encode), "entry bigint, cell bigint, code binary"), "index")
     sizes = np.zeros(len(model["centres"]), dtype=np.int64)
     for r in index.groupBy("cell").count().collect():  # at most MAX_CELLS rows
         sizes[r["cell"]] = r["count"]
@@ -147,7 +149,7 @@ def search(
             packed = np.packbits(bits, axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([u.tobytes() for u in x], pa.binary()), pa.array([p.tobytes() for p in packed], pa.binary())], ["query", "unit", "cells"])
 
-    probes = asked.select("entry", "vector").mapInArrow(probe, "query bigint, unit binary, cells binary")
+    probes = asked.select("entry", "vector").mapInArrow(tidy(probe), "query bigint, unit binary, cells binary")
     probes = probes.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("bigint")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
     index = index.withColumn("shard", shard_of()).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,51 @@ def worker_store() -> dict:
     return sys.modules.setdefault("_groundsearch_worker", types.ModuleType("_groundsearch_worker")).__dict__
 
 
+def sliced(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about `limit` bytes or one row."""
+    for batch in batches:
+        step = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def trim() -> None:
+    """Gives freed memory back, which idle Python workers would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def frugal(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB, where the session has the default of 64: each task holds some in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, "8m")
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], limit: int = 4_000_000):
+    """For mapInArrow: `run` over small batches, with memory given back at the end of a task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(sliced(batches, limit))
+        trim()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]):
+    """The same for applyInArrow."""
+
+    def tidied(rows: pa.Table) -> pa.Table:
+        out = run(rows)
+        trim()
+        return out
+
+    return tidied
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo: the rule that holds rows out. A null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))

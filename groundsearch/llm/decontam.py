@@ -23,10 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import frugal, tidy
+
 BASE = np.uint64(0x100000001B3)
 OVERLAPS = "array<struct<item_id:bigint,coverage:double,tiles:array<struct<doc_start:int,item_start:int,length:int>>>>"
 WORD = re.compile(r"\w+")
@@ -131,8 +134,10 @@ def with_overlaps(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    frugal(docs.sparkSession)
     keep = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.expr(f"cast(array() as {OVERLAPS})").alias("overlaps"))
+    at = keep.index(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.expr(f"cast(array() as {OVERLAPS})").alias("overlaps"))
     for block in range(blocks):
         held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in held])
@@ -140,9 +145,9 @@ def with_overlaps(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = Items(shared.value, min_match)
             for batch in batches:
-                found = [before + known.overlaps(text, threshold) for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                yield batch.set_column(2, "overlaps", pa.array(found, batch.schema.field(2).type))
+                found = [before + known.overlaps(text or "", threshold) for text, before in zip(pa.compute.struct_field(batch.column(0), [at]).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield batch.set_column(1, "overlaps", pa.array(found, batch.schema.field(1).type))
 
-        rows = rows.mapInArrow(run, T.StructType(rows.schema.fields))
+        rows = rows.mapInArrow(tidy(run), T.StructType(rows.schema.fields))
     found = F.array_sort("overlaps")
     return rows.select(*[F.col("row").getField(c).alias(c) for c in keep], found.alias(into))

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import tidy
 from .slots import Slots, WordHasher
 
 END = b"\xff"
@@ -244,7 +245,7 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
                 merge(word)
                 yield from rows(word, *held[word][0])
 
-    found = docs.select("text").mapInArrow(run, "word boolean, a bigint, b bigint, n bigint")
+    found = docs.select("text").mapInArrow(tidy(run), "word boolean, a bigint, b bigint, n bigint")
     return found.groupBy("word", "a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -253,6 +254,7 @@ def score(docs: DataFrame, *, held_out: Column, depth: int = 5, hot_words: int =
     if not 1 <= depth <= 6:
         raise ValueError("depth must lie between 1 and 6")
     spark = docs.sparkSession
+    common.frugal(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     training = rows.where(~F.col("held_out"))
     counts = common.written(corpus_counts(training, depth), "counts")
@@ -282,7 +284,7 @@ def score(docs: DataFrame, *, held_out: Column, depth: int = 5, hot_words: int =
         model = spark.sparkContext.broadcast((part.parts(), (table.bits, table.keys, table.values), low, high))
         del table
         last = high == 256
-        scored = scored.mapInArrow(_pass(model, None if low else shared_hot, int(train_docs > 0), end_log, last), fields.replace("text string, ", "") if last else fields)
+        scored = scored.mapInArrow(tidy(_pass(model, None if low else shared_hot, int(train_docs > 0), end_log, last)), fields.replace("text string, ", "") if last else fields)
     kept = common.written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = kept.select("row", F.inline("rare"))
     sums = rare.join(words.where(F.col("n") < least), ["a", "b"]).groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + F.lit(0.1))).alias("logs"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import worker_store
+from .common import tidy, worker_store
 from .slots import Slots, WordHasher
 
 #: Entries of the per-worker caches of words and of their pieces; each is emptied when full.
@@ -250,7 +250,7 @@ def cut(docs: DataFrame, *, tokenizer: str, window: int, end_id: int, id_col: st
                     out.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(pieces), PIECES)
 
 
 def pack(docs: DataFrame, *, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
@@ -258,6 +258,7 @@ def pack(docs: DataFrame, *, tokenizer: str, window: int = 2048, end_id: int = 1
     if window < 1:
         raise ValueError("window must be positive")
     spark = docs.sparkSession
+    common.frugal(spark)
     pieces = common.written(
         cut(docs, tokenizer=tokenizer, window=window, end_id=end_id, id_col=id_col, text_col=text_col).withColumn("row", F.monotonically_increasing_id()), "pieces"
     )
@@ -288,4 +289,4 @@ def pack(docs: DataFrame, *, tokenizer: str, window: int = 2048, end_id: int = 1
             sequence, offset = run[:, 3] + at // run[:, 4], run[:, 5] + at % run[:, 4] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(place, f"{PIECES}, sequence_id bigint, offset bigint")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(tidy(place), f"{PIECES}, sequence_id bigint, offset bigint")

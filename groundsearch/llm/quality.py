@@ -20,9 +20,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, tidy
 from .labelled import logistic, sample
 
 BLOCK, LEVEL, DICTIONARY = 1024, 3, 65_536
@@ -85,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn_from: Column, label: str =
             out = [(label, b) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for b in blocks_of(text)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["label", "block"])
 
-    pieces = rows.where("part = 0").select("label", "text").mapInArrow(cut, "label int, block binary").orderBy("label", F.xxhash64("block"), "block").toArrow()
+    pieces = rows.where("part = 0").select("label", "text").mapInArrow(tidy(cut), "label int, block binary").orderBy("label", F.xxhash64("block"), "block").toArrow()
     by = {c: pieces.filter(pa.compute.equal(pieces.column("label"), c)).column("block").to_pylist() for c in (1, 0)}
     dictionaries = [build(by[1] or [b" "]), build(by[0] or [b" "])]
 
@@ -95,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn_from: Column, label: str =
             x = [run(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([v[i] for v in x], pa.float64()) for i in range(3)]], ["label", "d", "g", "b"])
 
-    held = rows.where("part = 1").select("label", "text").mapInArrow(measure, "label int, d double, g double, b double").orderBy("label", "d", "g", "b").toArrow().to_pandas()
+    held = rows.where("part = 1").select("label", "text").mapInArrow(tidy(measure), "label int, d double, g double, b double").orderBy("label", "d", "g", "b").toArrow().to_pandas()
     if held["label"].nunique() < 2:
         return QualityModel(dictionaries, np.array([4.0, 0.0, 0.0, 0.0]))
     weight = held["label"].map(share).to_numpy(np.float64)
@@ -104,19 +106,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn_from: Column, label: str =
 
 def scored(docs: DataFrame, model: QualityModel, *, text_col: str = "text", into: str = "quality_score") -> DataFrame:
     """`docs` with a further column, the probability of label 1."""
+    frugal(docs.sparkSession)
     dictionaries, weights = model.dictionaries, model.weights
     keep = docs.columns
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named, at = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")), keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = features(dictionaries) if dictionaries else lambda text: (0.0, 0.0, 0.0)
         for batch in batches:
-            x = np.array([of(t.as_py()) for t in batch.column(1)], dtype=np.float64).reshape(-1, 3)
+            x = np.array([of(t or "") for t in pa.compute.struct_field(batch.column(0), [at]).to_pylist()], dtype=np.float64).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:3] + weights[3], -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["row", "score"])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([named.schema["row"], T.StructField("score", T.DoubleType())])
-    done = named.mapInArrow(run, schema)
+    done = named.mapInArrow(tidy(run), schema)
     return done.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("score").alias(into))

@@ -9,7 +9,7 @@ only. No link within t bits is lost.
 
 Equal fingerprints are one node, so exact copies cost one row whatever their number. Within an anchor,
 linked fingerprints leave as a star round the least of them, not as pairs; an anchor with many distinct
-fingerprints is resolved by their common neighbours at one bit (for t <= 2), in time linear in their number.
+fingerprints is resolved by their common neighbours at one bit (for t = 2), in time linear in their number.
 Components are then joined over all anchors by `components.connected`.
 
 Defined results. Null or wordless text: fingerprint zero, linked like any other. Null ids: such rows get a
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import tidy, tidy_group
 from .components import connected, local_roots
 
 SEED = 42
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", tex
             values = np.array([fingerprint(t.as_py() or "", words) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id bigint, fingerprint bigint")
 
 
 def code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def anchors(fps: np.ndarray, t: int, cosets_of: tuple[np.ndarray, np.ndarray, np
 
 def _links_of_many(fps: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all pairs within t bits in an anchor of many distinct fingerprints, without listing the pairs."""
-    if t <= 2:  # two points within two bits have a common neighbour at one bit or fewer
+    if t == 2:  # two points within two bits have a common neighbour at one bit or fewer
         bits = np.concatenate(([0], np.uint64(1) << np.arange(64, dtype=np.uint64))).astype(np.uint64)
         a, b, slices = [], [], -(-len(fps) * 65 // 4_000_000)
         for part in range(slices):  # a share of the neighbours at a time, to bound memory
@@ -123,11 +124,7 @@ def _links_of_many(fps: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
             same = np.flatnonzero(z[order][1:] == z[order][:-1])
             a.append(who[order[same]])
             b.append(who[order[same + 1]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if t == 2:
-            return a, b
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= t  # for t < 2 a common neighbour isn't enough, but then it is an end itself
-        return a[near], b[near]
+        return np.concatenate(a), np.concatenate(b)
     a, b, left = [], [], np.arange(len(fps))
     todo: list[int] = []
     while len(left):
@@ -198,12 +195,13 @@ def links(fps: DataFrame, *, t: int = 2) -> DataFrame:
         a, b = resolve(packed["anchor"].copy(), packed["fp"].copy(), t)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    dealt = fps.select("fingerprint").mapInArrow(deal, "grp bigint, copies binary")
-    return dealt.groupBy("grp").applyInArrow(compare, "a bigint, b bigint")
+    dealt = fps.select("fingerprint").mapInArrow(tidy(deal), "grp bigint, copies binary")
+    return dealt.groupBy("grp").applyInArrow(tidy_group(compare), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 3, t: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (bigint) and component_id: the smallest doc_id reachable over links of t bits or fewer."""
+    common.frugal(docs.sparkSession)
     marked = common.written(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "fingerprints")
     nodes = common.written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected(links(nodes, t=t))

@@ -34,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import tidy, tidy_group
 
 P = 0x9E3779B97F4A7C15
 MARK = np.uint64(2**64 - 1)
 #: Documents of one slice that make an anchor hot; bytes of a slice, of a stretch worked on at once, and of text for each bucket.
-HOT, SLICE, PART, BUCKET = 48, 6_000_000, 500_000, 24_000_000
+HOT, SLICE, PART, BUCKET = 48, 6_000_000, 100_000, 24_000_000
 BITS = 26
 COVER = (0, 1, 2, 4)
 
@@ -99,8 +100,9 @@ def anchored(texts: list[np.ndarray], length: int, k: int) -> tuple[np.ndarray,
         within = np.zeros(len(least), np.uint64)
         within[valid] = least[valid]
         pad = np.zeros(w - 1, np.uint64)
-        hits = np.flatnonzero((sliding(np.concatenate((pad, within, pad)), w, np.maximum) == h))
-        at = np.searchsorted(hits, valid)  # the first selected position in or after each string's start
+        selected = sliding(np.concatenate((pad, within, pad)), w, np.maximum) == h
+        hits = np.flatnonzero(selected)
+        at = (np.cumsum(selected) - selected)[valid]  # the first selected position in or after each string's start
         owner, least = hits[np.minimum(at, len(hits) - 1)], least[valid]
         wrong = np.flatnonzero(h[owner] != least)
         while len(wrong):  # a selected position that is another string's anchor stands before ours
@@ -174,7 +176,7 @@ def gathered(parts: DataFrame, owner: str, payload: str) -> DataFrame:
         owners, held = from_parts(rows.column("packed").to_pylist())
         return pa.table({owner: pa.array(owners), payload: pa.array(held, pa.binary())})
 
-    return parts.groupBy("part").applyInArrow(run, f"{owner} bigint, {payload} binary")
+    return parts.groupBy("part").applyInArrow(tidy_group(run), f"{owner} bigint, {payload} binary")
 
 
 def repeated_anchors(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame:
@@ -229,7 +231,7 @@ def repeated_anchors(texts: DataFrame, length: int, k: int, groups: int) -> Data
         packed = to_parts(all_key[edge].view(np.int64), [marks[a:b].tobytes() for a, b in zip(edge, stop, strict=True)], groups)
         return pa.table({"part": pa.array([x for x, _ in packed], pa.int64()), "packed": pa.array([x for _, x in packed], pa.binary())})
 
-    met = texts.mapInArrow(send, "grp bigint, hashes binary, keys binary, sure binary, sure_keys binary").groupBy("grp").applyInArrow(meet, "part bigint, packed binary")
+    met = texts.mapInArrow(tidy(send, 2 * SLICE), "grp bigint, hashes binary, keys binary, sure binary, sure_keys binary").groupBy("grp").applyInArrow(tidy_group(meet), "part bigint, packed binary")
     return gathered(met, "key", "marks")
 
 
@@ -315,7 +317,7 @@ def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["grp", "rows", "decided"])
 
-    return texts.mapInArrow(send, "grp bigint, rows binary, decided binary")
+    return texts.mapInArrow(tidy(send, 2 * SLICE), "grp bigint, rows binary, decided binary")
 
 
 def dense(values: np.ndarray) -> np.ndarray:
@@ -407,7 +409,7 @@ def removed_runs(rows: DataFrame, length: int, k: int, groups: int) -> DataFrame
         packed = to_parts(owner, runs, groups)
         return pa.table({"part": pa.array([x for x, _ in packed], pa.int64()), "packed": pa.array([x for _, x in packed], pa.binary())})
 
-    return gathered(rows.groupBy("grp").applyInArrow(resolve, "part bigint, packed binary"), "doc_id", "runs")
+    return gathered(rows.groupBy("grp").applyInArrow(tidy_group(resolve), "part bigint, packed binary"), "doc_id", "runs")
 
 
 def spans(runs: np.ndarray, length: int) -> np.ndarray:
@@ -439,7 +441,7 @@ def cut_texts(texts: DataFrame, length: int) -> DataFrame:
                 out[2].append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "key", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.mapInArrow(run, "doc_id bigint, key bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return texts.mapInArrow(tidy(run, 2 * SLICE), "doc_id bigint, key bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def compressed(texts: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
@@ -456,7 +458,7 @@ def compressed(texts: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
                 batch = batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             yield batch.set_column(0, "data", pa.array([pack(x.as_buffer()) for x in batch.column(0)], pa.binary()))
 
-    return texts.mapInArrow(run, texts.schema)
+    return texts.mapInArrow(tidy(run, 2 * SLICE), texts.schema)
 
 
 def bit_table(ids: DataFrame, column: str) -> np.ndarray:
@@ -474,6 +476,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     if length < 16:
         raise ValueError("length must be at least 16")
     spark, k = docs.sparkSession, length // 2 - 1
+    common.frugal(spark)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"), F.col(id_col).cast("bigint").alias("doc_id"))
     texts = texts.select("data", "doc_id", F.xxhash64("data").alias("key"), F.octet_length("data").cast("bigint").alias("size"))
     meta = common.written(texts.select("doc_id", "key", "size", F.unhex(F.sha2("data", 256)).alias("sha")), "contents")
