@@ -39,7 +39,7 @@ from .common import tidy, tidy_group
 P = 0x9E3779B97F4A7C15
 MARK = np.uint64(2**64 - 1)
 #: Documents of one slice that make an anchor hot; bytes of a slice, of a stretch worked on at once, and of text for each bucket.
-HOT, SLICE, PART, BUCKET = 48, 6_000_000, 100_000, 24_000_000
+HOT, SLICE, PART, BUCKET = 48, 6_000_000, 100_000, 12_000_000
 BITS = 26
 COVER = (0, 1, 2, 4)
 
@@ -335,20 +335,20 @@ def matched(doc: np.ndarray, column: np.ndarray, count: np.ndarray, data: np.nda
     grid = np.zeros((len(doc), width), np.uint8)
     grid[np.repeat(np.arange(len(doc)), size), ragged(column, size)] = data
     # Rolling hashes leave the strings that some other row holds at the same column.
-    total = np.zeros(len(doc), np.uint64)
-    sums = [total]
-    for c in range(reach + length):
-        total = total * np.uint64(P) + grid[:, c] + np.uint64(1)
-        sums.append(total)
+    total, sums, chosen = np.zeros(len(doc), np.uint64), [], []
     power = np.uint64(pow(P, length, 1 << 64))
-    chosen = []
-    for c in range(reach + 1):
-        rows = np.flatnonzero((column <= c) & (c < column + count))
-        value = sums[c + length][rows] - sums[c][rows] * power
-        order = np.argsort(value)
-        twin = value[order][1:] == value[order][:-1]
-        chosen.append(np.sort(rows[order[np.concatenate((twin, [False])) | np.concatenate(([False], twin))]]) if len(rows) else rows)
-    del sums
+    for stop in range(reach + length + 1):
+        if stop <= reach:
+            sums.append(total)
+        if stop >= length:
+            c = stop - length
+            rows = np.flatnonzero((column <= c) & (c < column + count))
+            value = total[rows] - sums[c][rows] * power
+            order = np.argsort(value)
+            twin = value[order][1:] == value[order][:-1]
+            chosen.append(np.sort(rows[order[np.concatenate((twin, [False])) | np.concatenate(([False], twin))]]) if len(rows) else rows)
+        total = total * np.uint64(P) + grid[:, stop] + np.uint64(1)
+    del sums, total
     live = np.unique(np.concatenate(chosen))
     grid, where = grid[live], np.zeros(len(doc), np.int64)
     where[live] = np.arange(len(live))
