@@ -22,9 +22,10 @@ def legs(chunks: DataFrame, questions: DataFrame, settings: Settings, *, group:
     by_vector = dense.top_k(vectors, asked, settings.dense_k, groups="g")
     if not lexical:
         return by_vector, by_vector.where("false")
-    keep = questions.select("query_id", *group).join(chunks.select("doc_id", *group), group).select("query_id", "doc_id") if group else None
-    by_text = bm25.top_k(chunks.select("doc_id", "text"), questions.select("query_id", "query"), settings.bm25_k, keep=keep)
-    return by_vector, by_text
+    scored = bm25.scores(chunks.select("doc_id", "text"), questions.select("query_id", "query"))
+    if group:  # filters look at scored pairs only, never at all pairs of questions and chunks
+        scored = scored.join(questions.select("query_id", *group), "query_id").join(chunks.select("doc_id", *group), ["doc_id", *group], "left_semi").select("query_id", "doc_id", "score")
+    return by_vector, bm25.ranked(scored, settings.bm25_k)
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), *, measure: str | None = None, year: str | None = None, lexical: bool = True, rerank: Reranker | None = None) -> DataFrame:
