@@ -473,8 +473,8 @@ def bit_table(ids: DataFrame, column: str) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs`."""
-    if length < 16:
-        raise ValueError("length must be at least 16")
+    if not 16 <= length <= 500:
+        raise ValueError("length must lie between 16 and 500")
     spark, k = docs.sparkSession, length // 2 - 1
     common.frugal(spark)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"), F.col(id_col).cast("bigint").alias("doc_id"))
