@@ -273,7 +273,7 @@ def pack(docs: DataFrame, *, tokenizer: str, window: int = 2048, end_id: int = 1
     before = F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("block", "length", F.coalesce(before, F.lit(0)).alias("first"))
     local = F.row_number().over(Window.partitionBy("block", "length").orderBy("row"))
-    ranked = rests.withColumn("local", local).join(first, ["block", "length"]).withColumn("rank", F.col("first") + F.col("local") - 1)
+    ranked = rests.withColumn("local", local).join(first.hint("merge"), ["block", "length"]).withColumn("rank", F.col("first") + F.col("local") - 1)
     shared = spark.sparkContext.broadcast(np.array(assigned, dtype=np.int64).reshape(-1, 6))  # bounded, see above
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
