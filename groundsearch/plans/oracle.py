@@ -128,16 +128,16 @@ _DEFAULT = "(select max(plan_year) from (select plan_year, count(*) as n from ch
 
 SQL = {
     "tokenize_stats": f"select doc_id, len({TOKENS.format('text')}) as n_tokens, len(list_distinct({TOKENS.format('text')})) as n_distinct from documents",
-    "bm25_df_idf": f"with {BM25} select token, df, round(idf, 6) as idf from idf",
-    "bm25_topk": f"with {BM25} select query_id, doc_id, rank, round(score, 6) as score from {_ranked('scored', 8, 'round(score, 9) > 0')}",
-    "bm25_topk_filtered": f"with {CHUNKS}, {BM25} select query_id, doc_id, rank, round(score, 6) as score from {_ranked('(select s.* from scored s join chunks c using (doc_id) where lang = ' + chr(39) + 'en' + chr(39) + ' and plan_year = 2026)', 8, 'round(score, 9) > 0')}",
-    "dense_topk": f"with {QUESTIONS}, {COSINES} select query_id, doc_id, rank, round(score, 6) as score from {_ranked('cosines', 8)}",
-    "dense_topk_filtered": f"with {QUESTIONS}, {COSINES} select query_id, doc_id, rank, round(score, 6) as score from {_ranked('cosines', 8, 'label = query_id % 10')}",
-    "best_similarity_gate": f"with {CHUNKS}, {QUESTIONS}, {COSINES} select q.query_id, round(max(score), 6) as best_similarity, coalesce(max(score) < 0.97, false) as refused from questions q left join (select cosines.* from cosines join chunks using (doc_id)) c using (query_id) group by 1",
-    "rrf_fuse": f"{PAIRS}, {_leg('d', 'den', 'true', False)}, {_leg('b', 'lex', 'true', True)}, {FUSED.format(name='f', d='d', b='b')} select query_id, doc_id, dense_rank, bm25_rank, round(score, 6) as score, rank from f",
-    "hybrid_topk": f"{PAIRS}, {_leg('d', 'den', 'in_year', False)}, {_leg('b', 'lex', 'in_year', True)}, {FUSED.format(name='f', d='d', b='b')} select query_id, doc_id, rank, round(score, 6) as score, dense_rank, bm25_rank, section, source from f join chunks using (doc_id) where rank <= 8",
-    "hybrid_fallback": f"{FALLBACK}, {MERGED.format(name='found', first='hybrid_first')} select query_id, doc_id, rank, round(score, 6) as score, used_fallback from found where rank <= 8",
-    "dense_only_arm": f"{FALLBACK}, {MERGED.format(name='found', first='dense_first')} select query_id, doc_id, rank, round(score, 6) as score, used_fallback from found where rank <= 8",
+    "bm25_df_idf": f"with {BM25} select token, df, round(round(idf, 10), 6) as idf from idf",
+    "bm25_topk": f"with {BM25} select query_id, doc_id, rank, round(round(score, 10), 6) as score from {_ranked('scored', 8, 'round(score, 9) > 0')}",
+    "bm25_topk_filtered": f"with {CHUNKS}, {BM25} select query_id, doc_id, rank, round(round(score, 10), 6) as score from {_ranked('(select s.* from scored s join chunks c using (doc_id) where lang = ' + chr(39) + 'en' + chr(39) + ' and plan_year = 2026)', 8, 'round(score, 9) > 0')}",
+    "dense_topk": f"with {QUESTIONS}, {COSINES} select query_id, doc_id, rank, round(round(score, 10), 6) as score from {_ranked('cosines', 8)}",
+    "dense_topk_filtered": f"with {QUESTIONS}, {COSINES} select query_id, doc_id, rank, round(round(score, 10), 6) as score from {_ranked('cosines', 8, 'label = query_id % 10')}",
+    "best_similarity_gate": f"with {CHUNKS}, {QUESTIONS}, {COSINES} select q.query_id, round(round(max(score), 10), 6) as best_similarity, coalesce(max(score) < 0.97, false) as refused from questions q left join (select cosines.* from cosines join chunks using (doc_id)) c using (query_id) group by 1",
+    "rrf_fuse": f"{PAIRS}, {_leg('d', 'den', 'true', False)}, {_leg('b', 'lex', 'true', True)}, {FUSED.format(name='f', d='d', b='b')} select query_id, doc_id, dense_rank, bm25_rank, round(round(score, 10), 6) as score, rank from f",
+    "hybrid_topk": f"{PAIRS}, {_leg('d', 'den', 'in_year', False)}, {_leg('b', 'lex', 'in_year', True)}, {FUSED.format(name='f', d='d', b='b')} select query_id, doc_id, rank, round(round(score, 10), 6) as score, dense_rank, bm25_rank, section, source from f join chunks using (doc_id) where rank <= 8",
+    "hybrid_fallback": f"{FALLBACK}, {MERGED.format(name='found', first='hybrid_first')} select query_id, doc_id, rank, round(round(score, 10), 6) as score, used_fallback from found where rank <= 8",
+    "dense_only_arm": f"{FALLBACK}, {MERGED.format(name='found', first='dense_first')} select query_id, doc_id, rank, round(round(score, 10), 6) as score, used_fallback from found where rank <= 8",
     "default_year": f"with {CHUNKS} select {_DEFAULT} as default_year",
     "year_inference": f"""with {CHUNKS}, said as (select item_id as query_id, text || ({_list(MENTIONS)})[item_id % 6 + 1] as query from benchmark),
       indexed as (select {_KNOWN} as indexed, {_DEFAULT} as latest),
@@ -196,13 +196,13 @@ SQL = {
       union all select item_id, 'answerable item needs a reference_answer' from items where not trap and trim(coalesce(reference_answer, '')) = ''""",
     "dataset_summary": f"""with {ITEMS}, n as (select i.*, (select count(*) from gold g where g.item_id = i.item_id) as n from items i)
       select split, category, count(*) as items, min(n) as least_gold, max(n) as most_gold, sum(n)::bigint as total_gold from n group by all""",
-    "eval_per_item": f"{EVAL} select item_id, category, split, metric, round(value, 6) as value from metrics",
-    "eval_grouping_sets": f"{EVAL}, {REPORT} select scope, name, metric, round(value, 6) as value from report",
-    "refusal_accuracy": f"{EVAL} select round(avg(value), 6) as refusal_trap_accuracy from metrics where metric = 'refused'",
+    "eval_per_item": f"{EVAL} select item_id, category, split, metric, round(round(value, 10), 6) as value from metrics",
+    "eval_grouping_sets": f"{EVAL}, {REPORT} select scope, name, metric, round(round(value, 10), 6) as value from report",
+    "refusal_accuracy": f"{EVAL} select round(round(avg(value), 10), 6) as refusal_trap_accuracy from metrics where metric = 'refused'",
     "ratchet_gate": f"""{EVAL}, {REPORT}, baseline as (select * from (values {", ".join(f"('{k}', {v}::double)" for k, v in BASELINE.items())}) b(metric, baseline) where metric in ('recall@8', 'mrr'))
-      select metric, baseline, round(value, 6) as value, value is null or value < baseline - 0.02::double as regressed from baseline left join (select metric, value from report where scope = 'overall') using (metric)""",
+      select metric, baseline, round(round(value, 10), 6) as value, value is null or value < baseline - 0.02::double as regressed from baseline left join (select metric, value from report where scope = 'overall') using (metric)""",
     "hybrid_dense_delta": f"""{EVAL}, h as (select metric, avg(value) as hybrid from metrics where metric <> 'refused' group by 1), d as (select metric, avg(value) as dense from metrics_dense where metric <> 'refused' group by 1)
-      select metric, round(hybrid, 6) as hybrid, round(dense, 6) as dense, round(hybrid - dense, 6) as delta from h full join d using (metric)""",
+      select metric, round(round(hybrid, 10), 6) as hybrid, round(round(dense, 10), 6) as dense, round(round(hybrid - dense, 10), 6) as delta from h full join d using (metric)""",
     "judge_verdicts": """with v as (select conv_id, turn, conv_id % 4 <> 3 as ok, turn % 3 as t, case when turn % 2 = 0 then 1 when turn % 5 = 0 then 0 end as flag from conversations)
       select conv_id, turn, case when ok then 2::bigint end as claims_total, case when ok then 1 + (t = 0)::bigint end as claims_supported, case when ok then (t = 1)::bigint end as claims_unsupported, case when ok then (t = 2)::bigint end as claims_contradicted,
         case when ok then case when flag is null then 1.0::double else (1 + flag) / 2.0::double end end as citation_valid_ratio, case when ok then (1 + (t = 0)::int) / 2.0::double end as faithfulness from v""",

@@ -51,7 +51,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return _big(df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
+    """Six digits; ten first, so that sums of another order fall on the same side of a half."""
+    return _big(df.select(*[F.round(F.round(c, 10), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
 
 
 def tokenize_stats(spark, sf_dir):
