@@ -19,7 +19,7 @@ def duck():
 
 
 def plain(v):
-    return round(v, 5) if isinstance(v, float) else v
+    return round(v, 6) if isinstance(v, float) else v
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
