@@ -16,8 +16,8 @@ UTF-8 bytes, and matches never cross documents.
 5. Each document takes the union of its removed strings.
 
 Skew. An anchor that many documents of one slice hold is hot everywhere: each of its strings goes to a bucket of its
-own content, after equal strings of the slice have become one (the least document's; the others are decided on the
-spot). So no task collects a frequent passage, line or copy. Buckets and slices are bounded in bytes on average.
+own content, after equal strings of the slice have become one (the least document's first; those of other documents are
+decided on the spot, and its own further ones, as runs, share the first's fate). So no task collects a frequent passage, line or copy. Buckets and slices are bounded in bytes on average.
 
 Defined results. Null text: empty. Null ids: such a document loses nothing and takes nothing. Repeated rows of one
 id don't count against each other. An empty table gives an empty result. Further columns are ignored.
@@ -263,7 +263,11 @@ def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame:
-    """(data compressed, doc_id, size, marks) to (grp, rows, decided): stretches for the buckets, and strings decided on the spot (doc_id, start)."""
+    """(data compressed, doc_id, size, marks) to (grp, rows, decided, further).
+
+    Stretches for the buckets; strings decided on the spot (doc_id, start); and further places of a bucket's string in
+    its own document (doc_id, start there, first, last).
+    """
     low48 = np.uint64((1 << 48) - 1)
     reach = length - k
 
@@ -308,16 +312,22 @@ def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame
             keep = first | ~same
             decided = ~keep & (doc[of] > doc[of[leader]])
             decided_rows = np.stack([doc[of[decided]], s[decided]], axis=1).astype("<i8")
+            more = np.flatnonzero(~keep & ~decided)  # further ones of the leader's document, next to each other by leader
+            lead, at = leader[more], s[more]
+            fresh = np.flatnonzero(np.concatenate(([True], (lead[1:] != lead[:-1]) | (at[1:] > at[:-1] + 1)))) if len(more) else more
+            last = at[np.append(fresh[1:], len(more)) - 1] if len(more) else at
+            runs = np.stack([doc[of[lead[fresh]]], s[lead[fresh]], at[fresh], last], axis=1).astype("<i8")
+            further = {g: r.tobytes() for g, (r,) in _dealt(group_of(value[lead[fresh]], groups), groups, runs)}
             grp = np.concatenate([group_of(h[cold], groups), group_of(value[keep], groups)])
             at = np.concatenate([(start + base)[cold], (s + base[of])[keep]])
             columns = [np.concatenate(x) for x in ((doc[cold], doc[of[keep]]), (start[cold], s[keep]), (column[cold], (column[of] + step)[keep]), (count[cold], np.ones(int(keep.sum()), np.int64)))]
-            out = [(g, pack_rows(a, b, c, d, data[ragged(e, d + length - 1)].tobytes()), b"") for g, (a, b, c, d, e) in _dealt(grp, groups, *columns, at)]
+            out = [(g, pack_rows(a, b, c, d, data[ragged(e, d + length - 1)].tobytes()), b"", further.get(g, b"")) for g, (a, b, c, d, e) in _dealt(grp, groups, *columns, at)]
             if len(decided_rows):
-                out.append((int(decided_rows[0, 0]) % groups, b"", decided_rows.tobytes()))
+                out.append((int(decided_rows[0, 0]) % groups, b"", decided_rows.tobytes(), b""))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["grp", "rows", "decided"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *[pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3)]], ["grp", "rows", "decided", "further"])
 
-    return texts.mapInArrow(tidy(send, 2 * SLICE), "grp bigint, rows binary, decided binary")
+    return texts.mapInArrow(tidy(send, 2 * SLICE), "grp bigint, rows binary, decided binary, further binary")
 
 
 def dense(values: np.ndarray) -> np.ndarray:
@@ -404,6 +414,14 @@ def removed_runs(rows: DataFrame, length: int, k: int, groups: int) -> DataFrame
             row, c = matched(doc, column, count, data, length, reach)
             docs.append(doc[row])
             starts.append(start[row] + c - column[row])
+            further = np.frombuffer(b"".join(bucket.column("further").to_pylist()), "<i8").reshape(-1, 4)
+            if len(further):
+                pair = np.concatenate([np.stack([docs[1], starts[1]], axis=1), further[:, :2]])
+                same = np.unique(pair, axis=0, return_inverse=True)[1].ravel()
+                hit = np.isin(same[len(docs[1]) :], same[: len(docs[1])])
+                n = further[hit, 3] - further[hit, 2] + 1
+                docs.append(np.repeat(further[hit, 0], n))
+                starts.append(ragged(further[hit, 2], n))
         decided = np.frombuffer(b"".join(bucket.column("decided").to_pylist()), "<i8").reshape(-1, 2)
         owner, runs = runs_by_document(np.concatenate([*docs, decided[:, 0]]), np.concatenate([*starts, decided[:, 1]]))
         packed = to_parts(owner, runs, groups)

@@ -282,6 +282,18 @@ def test_suffixes(spark, hot, monkeypatch):
     assert suffixes.remove_repeats(df.where("false")).count() == 0
 
 
+def test_suffixes_repeat_in_a_slices_first_document(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    passage = "A passage of words that many texts share, and that is longer than fifty bytes. "
+    rows = [(i, f"{i} {passage}{i} between {passage * 2}{i} {'-' * 120} {i} {'=' * 70}{i}{'-' * 60}") for i in range(40)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several slices
+    try:
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs(spark, rows), length=50).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == brute_repeats(rows, 50)
+
+
 # 9
 
 
