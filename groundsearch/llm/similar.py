@@ -1,14 +1,20 @@
-"""Near-copies by five-word shingles: SimHash proposes, exact similarity decides.
-
-The contract's fingerprints link at two bits; texts that share 0.8 of their five-word shingles differ in more. Here a
-text has two fingerprints, taken over its distinct words, of which such texts share nearly all, and candidates are pairs
-within eight bits in either. Anchor-point covering finds them all: the 64 bits are three blocks, at least one of which then
-differs in two bits or fewer; the anchors of a block are the words of the Golay code, every text is at home with its
-nearest anchor, is copied to all anchors within covering radius plus two (about 22 of 4,096), and is compared with
-those at home there. Block distance is symmetric, so the neighbours of a text all come to where it is at home: there it
-proposes all of them if they are six or fewer, else the two nearest and the four in the bucket's middle, so links number
-a few for each text, not the square of a group. Proposed pairs whose Jaccard similarity over distinct five-word shingles is `least` or
-more are linked; components follow.
+"""Near-copies by five-word shingles: every pair of Jaccard similarity `least` or more links its texts.
+
+Two steps, of which the first only saves work and the second is exact.
+
+1. SimHash proposes pairs, the similarity over distinct five-word shingles decides, and components follow. A text has two
+   fingerprints over its distinct words; pairs within eight bits in either meet by anchor-point covering: the 64 bits are
+   three blocks, at least one of which then differs in two bits or fewer; the anchors of a block are the words of the Golay
+   code, every text is at home with its nearest anchor and is copied to all within covering radius plus two (about 22 of
+   4,096). At home a text proposes all its neighbours if they are six or fewer, else the two nearest and those among the
+   bucket's eight most central.
+2. All other pairs meet by prefix filter. Shingles have one order, the rare ones first; the first |x| - ceil(least |x|) + 1
+   of a text x are its prefix. Texts of similarity `least` share a shingle of both prefixes, whose place and the texts' sizes
+   bound what they can share. Pairs that meet, may be similar and are not yet in one component are decided by their shingles.
+   Texts of one component never pair, so a dense group costs each of its shingles one pass, not its square.
+
+The order is by counts of 2^20 cells of shingles, a table of fixed size; any order gives the same links. What is left to
+the square is texts of different components that share a rare shingle and the size.
 
 Equal token sequences are one node.
 
@@ -18,10 +24,11 @@ ids: no component (null). Repeated rows share one. An empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +36,13 @@ from . import common
 from .common import tidy, tidy_group
 from .components import connected
 from .simhash import MESSAGE, LENGTH, RADIUS, SEED, code
-from .suffixes import BITS, bit_table
+from .suffixes import BITS, bit_table, group_of, ragged
 
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 DISTANCE = 8
 FEW, CENTRAL = 6, 8
+#: Cells of the table that orders shingles, and the pieces in which it is summed; pairs looked at at once.
+CELLS, PIECES, PAIRS = 1 << 20, 64, 500_000
 COPY = [("bucket", "<u2"), ("home", "u1"), ("fp", "<u8"), ("id", "<i8")]
 
 
@@ -162,8 +171,11 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return dealt.groupBy("grp").applyInArrow(tidy_group(compare), "a bigint, b bigint").distinct()
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, content, shingles of the documents in `wanted` (doc_id); others are left out by a filter of fixed size before their text is read."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str, then=lambda rows: rows, schema: str = "doc_id bigint, content bigint, shingles array<bigint>") -> DataFrame:
+    """doc_id, content, shingles of the documents in `wanted` (doc_id); others are left out by a filter of fixed size before their text is read.
+
+    `then` goes over these batches in the same Python worker and gives batches of `schema`.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,22 +191,151 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, tex
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     rows = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS)).alias("bit"))
-    return rows.mapInArrow(tidy(run), "doc_id bigint, content bigint, shingles array<bigint>")
+    return rows.mapInArrow(tidy(lambda batches: then(run(batches)), 1_000_000), schema)
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: the smallest doc_id reachable over pairs of similarity `least` or more."""
-    common.frugal(docs.sparkSession)
-    marked = common.written(contents(docs, id_col, text_col), "contents")
-    nodes = common.written(marked.where("doc_id is not null").groupBy("content", "first", "second").agg(F.min("doc_id").alias("id")), "nodes")
-    pairs = common.written(candidates(nodes), "pairs")
+def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of similarity `least` or more."""
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     sets = shingle_sets(docs, ends, words, id_col, text_col).join(nodes.select(F.col("id").alias("doc_id"), "content"), ["doc_id", "content"]).dropDuplicates(["doc_id"])
     sets = common.written(sets.select("doc_id", "shingles"), "shingles")
     side = lambda name, other: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(other))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    links = both.where(shared / (F.size("x") + F.size("y") - shared) >= least).select("a", "b")
-    roots = connected(links)
+    return common.written(both.where(shared / (F.size("x") + F.size("y") - shared) >= least).select("a", "b"), "similar")
+
+
+def cell_counts(sets: Callable[..., DataFrame]) -> np.ndarray:
+    """How many texts hold a shingle of each cell."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        total = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            total += np.bincount(batch.column(2).flatten().to_numpy().view(np.uint64) & np.uint64(CELLS - 1), minlength=CELLS).astype(np.uint32)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int64()), pa.array([pack(x.tobytes()) for x in np.split(total, PIECES)], pa.binary())], ["piece", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack, total = zstandard.ZstdDecompressor().decompress, np.zeros(CELLS // PIECES, np.uint64)
+        for x in rows.column("counts"):
+            total += np.frombuffer(unpack(x.as_buffer()), np.uint32)
+        return pa.table({"piece": rows.column("piece")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    out = np.zeros((PIECES, CELLS // PIECES), np.uint32)
+    for r in sets(count, "piece bigint, counts binary").groupBy("piece").applyInArrow(tidy_group(add), "piece bigint, counts binary").collect():
+        out[r.piece] = np.frombuffer(r.counts, np.uint32)
+    return out.ravel()
+
+
+def meeting(token: np.ndarray, place: np.ndarray, size: np.ndarray, comp: np.ndarray, ids: np.ndarray, least: float) -> np.ndarray:
+    """Pairs (a < b) of different components that share a token of their prefixes and may have similarity `least`."""
+    if not len(token):
+        return np.empty((0, 2), np.int64)
+    order = np.lexsort((size, token))
+    token, place, size, comp, ids = (x[order] for x in (token, place, size, comp, ids))
+    lists = np.cumsum(np.concatenate(([False], token[1:] != token[:-1])))
+    # Each list's most frequent component: two of its texts never pair, so only the others look for partners.
+    by = np.lexsort((comp, lists))
+    edge = np.flatnonzero(np.concatenate(([True], (lists[by][1:] != lists[by][:-1]) | (comp[by][1:] != comp[by][:-1]))))
+    run = np.diff(np.append(edge, len(by)))
+    best = np.lexsort((run, lists[by][edge]))
+    most = np.empty(lists[-1] + 1, np.int64)
+    most[lists[by][edge][best]] = comp[by][edge][best]  # the last of a list stays: its longest run
+    other = comp != most[lists]
+    at = np.flatnonzero(other)
+    key = lists.astype(np.int64) << 32 | size
+    low = np.searchsorted(key, lists[at].astype(np.int64) << 32 | np.ceil(least * size[at] - 1e-6).astype(np.int64))
+    high = np.searchsorted(key, lists[at].astype(np.int64) << 32 | np.floor(size[at] / least + 1e-6).astype(np.int64), "right")
+    out = [np.empty((0, 2), np.int64)]
+    part = np.cumsum(high - low) // PAIRS
+    for start, stop in zip(np.searchsorted(part, np.unique(part)), np.searchsorted(part, np.unique(part), "right"), strict=True):
+        i = np.repeat(at[start:stop], (high - low)[start:stop])
+        j = ragged(low[start:stop], (high - low)[start:stop])
+        mine = (comp[i] != comp[j]) & (~other[j] | (j > i))
+        i, j = i[mine], j[mine]
+        # Of two texts' first common token: no more than it and what follows can be shared.
+        enough = 1e-6 + np.minimum(size[i] - place[i], size[j] - place[j]) >= least / (1 + least) * (size[i] + size[j])
+        a, b = ids[i[enough]], ids[j[enough]]
+        out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def remaining(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """Distinct pairs (a < b) of nodes in different components that may have similarity `least`: none that has is missing."""
+    spark = docs.sparkSession
+    # Two contents of one id are two rows here; the filter of fixed size leaves in some copies, which the join drops.
+    wanted = nodes.select(F.col("id").alias("doc_id"))
+    sets = lambda then, schema: shingle_sets(docs, wanted, words, id_col, text_col, then, schema)
+    counts = spark.sparkContext.broadcast(cell_counts(sets))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            flat, edge = batch.column(2).flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy())))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                x = flat[a:b]
+                out.append(x[np.lexsort((x, counts.value[x & np.uint64(CELLS - 1)]))][: len(x) - int(np.ceil(least * len(x) - 1e-6)) + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(edge), pa.int64()), pa.array(out, pa.binary())], ["doc_id", "content", "size", "prefix"])
+
+    known = nodes.join(roots, nodes.id == roots.node, "left").select(F.col("id").alias("doc_id"), "content", F.coalesce("root", "id").alias("comp"))
+    rows = sets(cut, "doc_id bigint, content bigint, size bigint, prefix binary").join(known, ["doc_id", "content"])
+    rows = common.written(rows.dropDuplicates(["doc_id", "content"]).select("doc_id", "comp", "size", "prefix"), "prefixes")
+    groups = max(common.partitions(spark), -(-(rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 4_000_000))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            ids, comp, size = (batch.column(i).to_numpy() for i in range(3))
+            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
+            if not held:
+                continue
+            n = np.fromiter(map(len, held), np.int64, len(held))
+            token, row, place = np.concatenate(held), np.repeat(np.arange(len(held)), n), ragged(np.zeros(len(n), np.int64), n)
+            group = group_of(token, groups)
+            order = np.argsort(group, kind="stable")
+            edge = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
+            used = np.flatnonzero(np.diff(edge))
+            blobs = []
+            for g in used.tolist():
+                x = order[edge[g] : edge[g + 1]]
+                r = row[x]
+                blobs.append(pack(b"".join([np.array([len(x)], "<i8").tobytes(), token[x].tobytes(), *[c.astype("<i8").tobytes() for c in (place[x], size[r], comp[r], ids[r])]])))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], ["grp", "postings"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        import zstandard
+
+        parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer()), "<i8")[1:].reshape(5, -1) for x in rows.column("postings")]
+        token = np.concatenate([p[0] for p in parts])
+        order = np.argsort(token, kind="stable")
+        same = token[order][1:] == token[order][:-1]
+        keep = np.zeros(len(token), bool)
+        keep[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))  # a token of one text joins none
+        at = np.cumsum([0, *[p.shape[1] for p in parts]])
+        columns = [np.concatenate([p[i][keep[a:b]] for p, a, b in zip(parts, at, at[1:], strict=False)]) for i in range(5)]
+        del parts, token, order
+        pairs = meeting(*columns, least)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    dealt = rows.mapInArrow(tidy(deal), "grp bigint, postings binary")
+    return dealt.groupBy("grp").applyInArrow(tidy_group(meet), "a bigint, b bigint").where("a <> b").distinct()
+
+
+def similar_documents(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: the smallest doc_id reachable over pairs of similarity `least` or more."""
+    common.frugal(docs.sparkSession)
+    marked = common.written(contents(docs, id_col, text_col), "contents")
+    nodes = common.written(marked.where("doc_id is not null").groupBy("content", "first", "second").agg(F.min("doc_id").alias("id")), "nodes")
+    pairs = common.written(candidates(nodes), "pairs")
+    links = similar_links(docs, nodes, pairs, words, least, id_col, text_col)
+    more = common.written(remaining(docs, nodes, connected(links), words, least, id_col, text_col), "remaining")
+    roots = connected(links.unionByName(similar_links(docs, nodes, more, words, least, id_col, text_col)))
     named = nodes.join(roots, nodes.id == roots.node, "left").select("content", "first", "second", F.coalesce("root", "id").alias("component_id"))
     return marked.join(named, ["content", "first", "second"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -391,6 +391,28 @@ def test_similar(spark):
     assert similar.similar_documents(df.where("false")).count() == 0
 
 
+def linked_alike(spark, rows):
+    sets = {i: set(similar.shingles(similar.tokens(t), 5)) for i, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(docs(spark, rows)).collect()}
+    return got, brute_components(sorted(sets), alike)
+
+
+def test_similar_in_dense_groups(spark):
+    import random
+
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(200)], []
+    for n in range(15):  # the same words in other orders: no bit apart, but only their own edited copies are similar
+        random.shuffle(base)
+        copy = list(base)
+        copy[random.randrange(200)] = word()
+        rows += [(n, " ".join(base)), (100 + n, " ".join(copy))]
+    got, want = linked_alike(spark, rows)
+    assert len(set(want.values())) == 15 and got == want
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (5, 5), (300, 100)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
