@@ -413,6 +413,21 @@ def test_similar_in_dense_groups(spark):
     assert len(set(want.values())) == 15 and got == want
 
 
+def test_similar_with_a_block_added_or_replaced(spark):
+    import random
+
+    random.seed(5)
+    words = ["".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
+    text = lambda n: random.choices(words, k=n)
+    rows = []
+    for group in range(60):
+        n = random.randint(60, 400)
+        base = text(n)
+        rows += [(3 * group, " ".join(base)), (3 * group + 1, " ".join(base + text(n * 22 // 100))), (3 * group + 2, " ".join(text(n // 10) + base[n // 10 :]))]
+    got, want = linked_alike(spark, rows)
+    assert len(set(want.values())) <= 60 and got == want
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (5, 5), (300, 100)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
