@@ -13,8 +13,9 @@ from groundsearch.llm.queries import tokenizer_file
 
 #: A document stays if its probability of being good is at least this.
 KEEP_QUALITY = 0.3
-#: A line goes if it stands in more than this share of its source's documents, and in five of them.
-MAX_LINE_RATIO = 0.02
+#: A line goes if it stands in more than this share of its source's distinct texts, and in five of them. Copies are left to
+#: the next stage: a text counts once, and one that would lose all its lines keeps them.
+MAX_LINE_RATIO = 0.1
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stats = common.fresh(docs, "line_stats")
-    done = lines.drop_boilerplate(docs, host="source", max_ratio=MAX_LINE_RATIO, into=stats).drop(stats)
+    done = lines.drop_boilerplate(docs, host="source", max_ratio=MAX_LINE_RATIO, copies=False, into=stats).drop(stats)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -41,15 +41,27 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line).cast("binary")))
 
 
-def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source", max_ratio: float = 0.1, min_pages: int = 5, into: str = "line_stats") -> DataFrame:
-    """`df` with `text` less its boilerplate lines, and a further column with the counts `n_lines` and `n_dropped`."""
+def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source", max_ratio: float = 0.1, min_pages: int = 5, copies: bool = True, into: str = "line_stats") -> DataFrame:
+    """`df` with `text` less its boilerplate lines, and a further column with the counts `n_lines` and `n_dropped`.
+
+    Without `copies`, pages of one host and text count as one page, and a page that would lose all its lines keeps them:
+    lines of a text that was copied often are no boilerplate, which stands around other text.
+    """
     if not 0 < max_ratio < 1:
         raise ValueError("max_ratio must lie between 0 and 1")
     key = F.struct(F.col(host).alias("host"))
     pages = df.select(key.alias("site"), F.split(text, "\n").alias("lines"))
     distinct = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), _key))
-    seen = pages.select("site", F.explode(distinct).alias("line")).groupBy("site", "line").agg(F.count("*").alias("pages"))
-    totals = pages.groupBy("site").agg(F.count("*").alias("total"))
+    if copies:
+        seen = pages.select("site", F.explode(distinct).alias("line"))
+        counted = pages
+    else:  # summed map-side too, so copies of a page cost no task more than its share
+        digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("page")
+        pages = df.select(key.alias("site"), F.split(text, "\n").alias("lines"), digest)
+        seen = pages.select("site", "page", F.explode(distinct).alias("line")).distinct()
+        counted = pages.select("site", "page").distinct()
+    seen = seen.groupBy("site", "line").agg(F.count("*").alias("pages"))
+    totals = counted.groupBy("site").agg(F.count("*").alias("total"))
     bad = (
         seen.where(F.col("pages") >= min_pages)
         .join(totals, "site")
@@ -64,6 +76,8 @@ def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source",
     lines = F.split(F.col("row").getField(text), "\n")
     kept = F.when(F.col("boilerplate").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("boilerplate", _key(x))))
     rows = rows.select("row", lines.alias("lines"), kept.alias("kept"))
+    if not copies:
+        rows = rows.select("row", "lines", F.when(F.exists("kept", lambda x: F.trim(x) != ""), F.col("kept")).otherwise(F.col("lines")).alias("kept"))
     stats = F.struct(F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"), (F.coalesce(F.size("lines"), F.lit(0)) - F.coalesce(F.size("kept"), F.lit(0))).cast("bigint").alias("n_dropped"))
     out = [F.array_join("kept", "\n").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
     return rows.select(*out, stats.alias(into))

@@ -23,3 +23,19 @@ def test_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf)
     assert packed.select("doc_id").distinct().count() == now.count()
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_a_large_group_of_copies_leaves_its_text(spark):
+    body = [f"line {n} of a text that was copied often" for n in range(8)]
+    once, rows = "\n".join(body), []
+    for i in range(300):
+        own = f"nav\n{' '.join(f'w{i}x{k}' for k in range(12))}"
+        rows.append((i, once if i % 3 == 0 else own, "en", "a", 0))
+    for i in range(300, 330):  # near copies, in a small source
+        rows.append((i, "\n".join(body[:4] + body[5:] if i % 2 else body[:7]).replace("text that was copied", "page of another kind seen"), "en", "b", 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    after = corpus_pipeline.drop_lines(spark, docs, "").cache()
+    text = {r.doc_id: r.text for r in after.collect()}
+    assert text[0] == once and "nav" not in text[1] and all(text[i] for i in range(330))
+    left = {r.text for r in corpus_pipeline.drop_near_copies(spark, after, "").collect()}
+    assert once in left and any("another kind" in t for t in left)
