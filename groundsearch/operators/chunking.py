@@ -11,9 +11,13 @@ UNIT = "struct<text:string,tokens:int>"
 STATE = f"struct<windows:array<string>,units:array<{UNIT}>,tokens:int>"
 
 
+def most_words(max_tokens: int) -> int:
+    return max(int(max_tokens / 1.3), 1)
+
+
 def word_windows(text: Column, max_tokens: int, overlap_tokens: int) -> Column:
     """Windows of max_tokens / 1.3 words, each overlapping the last by overlap_tokens / 1.3."""
-    most = int(max_tokens / 1.3)
+    most = most_words(max_tokens)
     step = max(most - int(overlap_tokens / 1.3), 1)
     found = T.words(text)
     starts = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(step))
@@ -21,9 +25,9 @@ def word_windows(text: Column, max_tokens: int, overlap_tokens: int) -> Column:
 
 
 def units(text: Column, max_tokens: int, overlap_tokens: int) -> Column:
-    """Sentences and bullets; one that is too long becomes word windows."""
+    """Sentences and bullets; one of too many words becomes word windows. Long characters alone are left to `bounded`."""
     split = F.filter(F.transform(F.split(text, r"(?U)(?<=[.;])\s+|\n(?=[•-])"), T.stripped), lambda u: u != "")
-    sized = F.flatten(F.transform(split, lambda u: F.when(T.token_estimate(u) > max_tokens, word_windows(u, max_tokens, overlap_tokens)).otherwise(F.array(u))))
+    sized = F.flatten(F.transform(split, lambda u: F.when(F.size(T.words(u)) > most_words(max_tokens), word_windows(u, max_tokens, overlap_tokens)).otherwise(F.array(u))))
     return F.transform(sized, lambda u: F.struct(u.alias("text"), T.token_estimate(u).alias("tokens")).cast(UNIT))
 
 

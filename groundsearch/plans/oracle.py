@@ -26,14 +26,16 @@ QUESTIONS = """questions as (
   select item_id as query_id, text as query, 2025 + item_id % 3 as plan_year, (['en', 'fr', 'de', 'es'])[item_id % 4 + 1] || '-src' || (item_id % 20) as measure_id, embedding
   from benchmark left join embeddings on vec_id = item_id
 )"""
-BM25 = f"""toks as (select doc_id, {TOKENS.format("text")} as t from documents),
+IDF = f"""toks as (select doc_id, {TOKENS.format("text")} as t from documents),
 lens as (select doc_id, len(t) as n from toks),
 summary as (select count(*) as docs, avg(n) as mean_length from lens),
 flat as (select doc_id, unnest(t) as token from toks),
 tf as (select doc_id, token, count(*) as f from flat group by all),
 df as (select token, count(*) as df from tf group by token),
-raw as (select token, df, ln(docs - df + 0.5::double) - ln(df + 0.5::double) as raw from df, summary),
-idf as (select token, df, case when raw < 0 then 0.25::double * (select avg(raw) from raw) else raw end as idf from raw),
+raw as (select token, df, ln(docs - df + 0.5::double) - ln(df + 0.5::double) as raw from df cross join summary),
+floor_ as (select 0.25::double * avg(raw) as least from raw),
+idf as (select token, df, case when raw < 0 then least else raw end as idf from raw cross join floor_)"""
+BM25 = f"""{IDF},
 asked as (select item_id as query_id, unnest({TOKENS.format("text")}) as token from benchmark),
 scored as (
   select query_id, tf.doc_id, sum(idf * f * 2.5::double / (f + 1.5::double * (0.25::double + 0.75::double * n / mean_length))) as score
@@ -122,13 +124,36 @@ FIELDS = f"""blocks as (
 ), split_fields as (
   select doc_id, pos, case when pos = 0 then 'Body' else trim(regexp_replace(string_split(part, '␟')[1], '\\s+', ' ', 'g')) end as label, case when pos = 0 then part else substr(part, instr(part, '␟') + 1) end as body from fields
 ), kinds as (select doc_id, pos, label, {_KIND} as kind, md5(body) as digest from split_fields)"""
+_MARK = "chr(1)"
+#: Units are sentences, bullets and word windows; a window is the units lo .. hi, of which those from `fresh` on are new. Token counts run on.
+CHUNKED = f"""with recursive docs as (select doc_id, text, {ESTIMATE.format("text")} as tokens from documents),
+cut as (select doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.;])\\s+', '\\1' || {_MARK}, 'g'), '\\n([•-])', {_MARK} || '\\1', 'g'), {_MARK}),
+  lambda u: regexp_replace(u, '^\\s+|\\s+$', '', 'g')), lambda u: u <> '') as parts from docs where tokens > 480),
+words as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as place from cut),
+split as (select doc_id, place, part, {SPLIT_WORDS.format("part")} as w from words),
+pieces as (select doc_id, place, 0 as turn, part as unit from split where len(w) <= 369
+  union all select doc_id, place, turn, array_to_string(w[turn + 1 : turn + 369], ' ') from (select *, unnest(range(0, len(w), 320)) as turn from split where len(w) > 369)),
+sized as (select *, {ESTIMATE.format("unit")} as t from pieces),
+units as (select doc_id, list(unit order by place, turn) as u, list(total order by place, turn) as p from (select *, sum(t) over (partition by doc_id order by place, turn)::bigint as total from sized) group by 1),
+walk as (
+  select doc_id, 0 as n, 1::bigint as lo, greatest(1, len(list_filter(p, lambda x: x <= 480)))::bigint as hi from units
+  union all
+  select doc_id, n + 1, lo, greatest(fresh, len(list_filter(p, lambda x: x <= before + 480)))::bigint from (
+    select doc_id, n, p, lo, fresh, coalesce(p[lo - 1], 0) as before from (
+      select doc_id, n, p, hi + 1 as fresh, greatest(walk.lo, 1 + len(list_filter(p, lambda x: x < p[hi] - 64)) + (p[hi] > 64)::bigint) as lo from walk join units using (doc_id) where hi < len(p)))),
+windows as (select doc_id, n, array_to_string(u[lo : hi], ' ') as w from walk join units using (doc_id)),
+bounds as (select *, {ESTIMATE.format("w")} <= 480 as fits from windows),
+short as (select doc_id, n, 0 as c, w as piece from bounds where fits
+  union all select doc_id, n, c, regexp_replace(substr(w, c + 1, 1920), '^\\s+|\\s+$', '', 'g') from (select *, unnest(range(0, length(w), 1920)) as c from bounds where not fits)
+  union all select doc_id, 0, 0, text from docs where tokens <= 480),
+chunked as (select doc_id, row_number() over (partition by doc_id order by n, c) - 1 as pos, piece from short where piece <> '' or (n, c) = (0, 0))"""
 _M = Messages()
 _KNOWN = "(select list(distinct plan_year) from chunks)"
 _DEFAULT = "(select max(plan_year) from (select plan_year, count(*) as n from chunks group by 1) where n >= 0.05::double * (select count(*) from chunks))"
 
 SQL = {
     "tokenize_stats": f"select doc_id, len({TOKENS.format('text')}) as n_tokens, len(list_distinct({TOKENS.format('text')})) as n_distinct from documents",
-    "bm25_df_idf": f"with {BM25} select token, df, round(round(idf, 10), 6) as idf from idf",
+    "bm25_df_idf": f"with {IDF} select token, df, round(round(idf, 10), 6) as idf from idf",
     "bm25_topk": f"with {BM25} select query_id, doc_id, rank, round(round(score, 10), 6) as score from {_ranked('scored', 8, 'round(score, 9) > 0')}",
     "bm25_topk_filtered": f"with {CHUNKS}, {BM25} select query_id, doc_id, rank, round(round(score, 10), 6) as score from {_ranked('(select s.* from scored s join chunks c using (doc_id) where lang = ' + chr(39) + 'en' + chr(39) + ' and plan_year = 2026)', 8, 'round(score, 9) > 0')}",
     "dense_topk": f"with {QUESTIONS}, {COSINES} select query_id, doc_id, rank, round(round(score, 10), 6) as score from {_ranked('cosines', 8)}",
@@ -152,6 +177,7 @@ SQL = {
     "token_estimate": f"select doc_id, {ESTIMATE.format('text')} as tokens from documents",
     "word_windows": f"""with w as (select doc_id, {SPLIT_WORDS.format("text")} as w from documents), s as (select doc_id, w, unnest(range(0, len(w), 320)) as a from w)
       select doc_id, (a / 320)::bigint as pos, length(array_to_string(w[a + 1 : a + 369], ' ')) as n_chars, md5(array_to_string(w[a + 1 : a + 369], ' ')) as digest from s""",
+    "chunk_greedy": f"{CHUNKED} select doc_id, pos, length(piece) as n_chars, {ESTIMATE.format('piece')} as tokens, md5(piece) as digest from chunked",
     "chunk_ids": f"""with {CHUNKS}, c as (select *, case when lang = 'en' then null else lang end as m from chunks)
       select doc_id, source || ':' || coalesce(m, 'doc') || ':' || section || ':' || substr(sha256(source || '|' || coalesce(m, 'None') || '|' || section || '|' || text), 1, 16) as chunk_id from c""",
     "chunk_dedup": f"""with {CHUNKS}, c as (select *, case when lang = 'en' then null else lang end as m from chunks)
@@ -202,7 +228,7 @@ SQL = {
     "ratchet_gate": f"""{EVAL}, {REPORT}, baseline as (select * from (values {", ".join(f"('{k}', {v}::double)" for k, v in BASELINE.items())}) b(metric, baseline) where metric in ('recall@8', 'mrr'))
       select metric, baseline, round(round(value, 10), 6) as value, value is null or value < baseline - 0.02::double as regressed from baseline left join (select metric, value from report where scope = 'overall') using (metric)""",
     "hybrid_dense_delta": f"""{EVAL}, h as (select metric, avg(value) as hybrid from metrics where metric <> 'refused' group by 1), d as (select metric, avg(value) as dense from metrics_dense where metric <> 'refused' group by 1)
-      select metric, round(round(hybrid, 10), 6) as hybrid, round(round(dense, 10), 6) as dense, round(round(hybrid - dense, 10), 6) as delta from h full join d using (metric)""",
+      select metric, round(round(hybrid, 10), 6) as hybrid, round(round(dense, 10), 6) as dense, round(round(hybrid - dense, 10), 6) + 0.0 as delta from h full join d using (metric)""",
     "judge_verdicts": """with v as (select conv_id, turn, conv_id % 4 <> 3 as ok, turn % 3 as t, case when turn % 2 = 0 then 1 when turn % 5 = 0 then 0 end as flag from conversations)
       select conv_id, turn, case when ok then 2::bigint end as claims_total, case when ok then 1 + (t = 0)::bigint end as claims_supported, case when ok then (t = 1)::bigint end as claims_unsupported, case when ok then (t = 2)::bigint end as claims_contradicted,
         case when ok then case when flag is null then 1.0::double else (1 + flag) / 2.0::double end end as citation_valid_ratio, case when ok then (1 + (t = 0)::int) / 2.0::double end as faithfulness from v""",

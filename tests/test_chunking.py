@@ -1,4 +1,4 @@
-"""Chunking against a plain Python version, and its invariants."""
+"""Chunking by hand-worked pieces and by what must hold; the query `chunk_greedy` has the same in SQL."""
 
 import re
 
@@ -8,49 +8,64 @@ from groundsearch.functions import text as T
 from groundsearch.operators import chunking
 
 
-def estimate(s):
-    return max(int(len(s.split()) * 1.3), len(s) // 4)
-
-
-def plain(text, most=480, overlap=64):
-    if estimate(text) <= most:
-        return [text]
-    found = []
-    for unit in (u.strip() for u in re.split(r"(?<=[.;])\s+|\n(?=[•-])", text)):
-        if not unit:
-            continue
-        if estimate(unit) > most:
-            words, size = unit.split(), int(most / 1.3)
-            found += [" ".join(words[i : i + size]) for i in range(0, len(words), max(size - int(overlap / 1.3), 1))]
-        else:
-            found.append(unit)
-    windows, now = [], []
-    for unit in found:
-        if now and sum(map(estimate, now)) + estimate(unit) > most:
-            windows.append(" ".join(now))
-            carried = []
-            for u in reversed(now):
-                if sum(map(estimate, carried)) + estimate(u) > overlap:
-                    break
-                carried.insert(0, u)
-            now = carried
-        now.append(unit)
-    windows += [" ".join(now)] if now else []
-    out = []
-    for w in windows:
-        pieces = [w[i : i + 4 * most].strip() for i in range(0, len(w), 4 * most)] if estimate(w) > most else [w]
-        out += [p for p in pieces if p]
-    return out
-
-
-def test_same_as_plain_python(spark):
+def pieces(spark, text, most=480, overlap=64):
+    return spark.createDataFrame([(text,)], "t string").select(chunking.split_text(F.col("t"), most, overlap).alias("c")).first().c
+
+
+def estimated(spark, texts):
+    return [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.token_estimate(F.col("t")).alias("n")).orderBy("i").collect()]
+
+
+def test_pieces_by_hand(spark):
+    assert pieces(spark, "short enough") == ["short enough"]
+    assert pieces(spark, "") == [""]
+    assert pieces(spark, " " * 2000) == []
+    # Four tokens a sentence, ten at most: two to a window, and one of them is carried over when four may be.
+    five = "a1 b1 c1 . a2 b2 c2; a3 b3 c3. a4 b4 c4. a5 b5 c5."
+    assert estimated(spark, ["a2 b2 c2;", "a1 b1 c1 ."]) == [3, 5]
+    assert pieces(spark, five, 10, 0) == ["a1 b1 c1 . a2 b2 c2;", "a3 b3 c3. a4 b4 c4. a5 b5 c5."]
+    assert pieces(spark, five, 10, 3) == ["a1 b1 c1 . a2 b2 c2;", "a2 b2 c2; a3 b3 c3. a4 b4 c4.", "a4 b4 c4. a5 b5 c5."]
+    # Bullets part without a full stop; a hyphen inside a line doesn't.
+    assert pieces(spark, "one two three four\n• five six seven - eight\n- nine ten eleven twelve", 8, 0) == ["one two three four", "• five six seven - eight", "- nine ten eleven twelve"]
+
+
+def test_long_words_are_left_to_the_character_bound(spark):
+    text = " ".join(["w" * 7] * 350)  # 350 words, 2,799 characters: an estimate of 699, but not too many words
+    assert pieces(spark, text) == [text[:1920].strip(), text[1920:].strip()]
+    spaced = "a  b " + "x" * 1990
+    assert pieces(spark, spaced)[0] == spaced[:1920]  # as it stands, with both spaces
+
+
+def test_one_word_of_many_characters(spark):
+    assert [len(p) for p in pieces(spark, "x" * 9000)] == [1920, 1920, 1920, 1920, 1320]
+
+
+def test_too_many_words_without_a_stop(spark):
+    text = " ".join(f"G{i:04d}" for i in range(2000))
+    got = pieces(spark, text)
+    assert all(len(p.split()) <= 369 for p in got)
+    assert {w for p in got for w in p.split()} == set(text.split())
+    assert [p.split()[0] for p in got] == [f"G{320 * i:04d}" for i in range(len(got))]
+
+
+def test_windows_of_real_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    extra = [(-1, ""), (-2, " ".join(f"G{i:04d}" for i in range(2000))), (-3, "x" * 9000), (-4, "• a\n• b. c; d")]
-    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
-    got = docs.select("doc_id", "text", chunking.split_text(F.col("text")).alias("c"), chunking.split_text(F.col("text"), 50, 10).alias("s")).collect()
-    for r in got:
-        assert r.c == plain(r.text), r.doc_id
-        assert r.s == plain(r.text, 50, 10), r.doc_id
+    for most, overlap in ((480, 64), (50, 10)):
+        rows = docs.select("text", chunking.split_text(F.col("text"), most, overlap).alias("c"), T.token_estimate(F.col("text")).alias("n"))
+        rows = rows.select("*", F.transform("c", T.token_estimate).alias("each"), F.transform("c", F.length).alias("size")).collect()
+        assert any(len(r.c) > 3 for r in rows)
+        for r in rows:
+            if r.n <= most:
+                assert r.c == [r.text]
+                continue
+            assert set("".join(r.c).replace(" ", "").replace("\n", "")) <= set(r.text)
+            assert max(r.size) <= 4 * (most + overlap) and max(r.each) <= 1.35 * (most + overlap)
+            place = 0  # pieces follow each other: each begins with words at or after where the last began
+            for p in r.c:
+                words = re.escape(p.split()[0])
+                found = re.compile(words).search(r.text, place)
+                assert found
+                place = found.start()
 
 
 def test_word_windows(spark):
