@@ -19,12 +19,14 @@ WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or, where that is unset and driver and executors are one process, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="groundsearch-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -43,13 +45,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, computed once: written to the shared folder and read from there.
 
     The written table replaces the lineage, so that an executor lost later costs no recomputation.
-    It is removed when the driver's Python ends.
+    It is removed by `dropped`, or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/groundsearch/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that `written` gave and that nothing reads any more."""
+    for t in tables:
+        _forget(t.sparkSession, t._written_at)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -45,13 +45,18 @@ def _star(links: DataFrame, both_ways: bool) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """Links (a bigint, b bigint) to (node bigint, root bigint): the smallest node reachable, for every node that has a link."""
-    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("h")).first()
+    """Links (a bigint, b bigint) to (node bigint, root bigint): the smallest node reachable, for every node that has a link.
+
+    Rounds end when a round's links are those of the last: as many, and none new.
+    """
     now = common.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    seen = mark(now)
-    while seen.n:
-        now = common.written(_star(_star(now, True), False), "links")
-        last, seen = seen, mark(now)
-        if last == seen:
+    n = now.count()
+    while n:
+        last, before = now, n
+        now = common.written(_star(_star(last, True), False), "links")
+        n = now.count()
+        same = n == before and not now.join(last, ["a", "b"], "left_anti").take(1)
+        common.dropped(last)
+        if same:
             break
     return now.selectExpr("a as node", "b as root").unionByName(now.selectExpr("b as node", "b as root").distinct())

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -70,27 +71,62 @@ def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id bigint, fingerprint bigint")
 
 
-def code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the Golay code: every 23-bit point's syndrome, and by syndrome the patterns that lead to a code word, lightest first, with their weights."""
-    points = np.arange(1 << LENGTH, dtype=np.uint32)
-    syndrome = points.copy()
-    for bit in range(LENGTH - 1, LENGTH - MESSAGE, -1):
-        syndrome ^= (syndrome >> bit & 1) * np.uint32(GOLAY << (bit - (LENGTH - MESSAGE)))
-    syndrome ^= (syndrome >> (LENGTH - MESSAGE) & 1) * np.uint32(GOLAY)
-    weight = np.bitwise_count(points)
+class Golay(NamedTuple):
+    """Syndromes of a point's two halves (their sum is its own), and by syndrome the patterns that lead to a code word, lightest first, with their weights."""
+
+    low: np.ndarray
+    high: np.ndarray
+    patterns: np.ndarray
+    weights: np.ndarray
+
+    def syndrome(self, points: np.ndarray) -> np.ndarray:
+        return self.low[points & np.uint32((1 << MESSAGE) - 1)] ^ self.high[points >> np.uint32(MESSAGE)]
+
+
+def code(heaviest: int = LENGTH) -> Golay:
+    """The Golay code's patterns up to a weight; all cosets have some within RADIUS. Rows are filled up with weight 99."""
+    check = np.zeros(LENGTH, np.uint16)  # the syndrome of each bit
+    for bit in range(LENGTH):
+        left = 1 << bit
+        for b in range(LENGTH - 1, LENGTH - MESSAGE - 1, -1):
+            if left >> b & 1:
+                left ^= GOLAY << (b - (LENGTH - MESSAGE))
+        check[bit] = left
+
+    def table(bits: np.ndarray) -> np.ndarray:
+        out = np.zeros(1, np.uint16)
+        for c in bits:
+            out = np.concatenate((out, out ^ c))
+        return out
+
+    layer, layers = np.zeros(1, np.uint32), [np.zeros(1, np.uint32)]
+    for _ in range(heaviest):
+        highest = np.frexp(layer.astype(np.float64))[1]  # one above the highest bit
+        n = LENGTH - highest
+        first = np.repeat(highest, n)
+        added = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        layer = np.repeat(layer, n) | np.uint32(1) << added.astype(np.uint32)
+        layers.append(layer)
+    points = np.concatenate(layers)
+    weight = np.repeat(np.arange(len(layers)), [len(x) for x in layers])
+    golay = Golay(table(check[:MESSAGE]), table(check[MESSAGE:]), points, weight)
+    syndrome = golay.syndrome(points)
     order = np.lexsort((points, weight, syndrome))
-    patterns = order.astype(np.uint32).reshape(1 << (LENGTH - MESSAGE), 1 << MESSAGE)
-    return syndrome.astype(np.uint16), patterns, weight[patterns]
+    syndrome, points, weight = syndrome[order], points[order], weight[order]
+    size = np.bincount(syndrome, minlength=1 << (LENGTH - MESSAGE))
+    place = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+    patterns, weights = np.zeros((len(size), size.max()), np.uint32), np.full((len(size), size.max()), 99, np.uint8)
+    patterns[syndrome, place], weights[syndrome, place] = points, weight
+    return golay._replace(patterns=patterns, weights=weights)
 
 
-def anchors(fps: np.ndarray, t: int, cosets_of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and 46-bit anchors: every fingerprint with each anchor that it is copied to. cosets_of: code()."""
-    syndrome, patterns, weights = cosets_of
+def anchors(fps: np.ndarray, t: int, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and 46-bit anchors: every fingerprint with each anchor that it is copied to. golay: code(RADIUS + t) or more."""
     half = (1 << LENGTH) - 1
     parts = [(fps >> np.uint64(LENGTH * i) & np.uint64(half)).astype(np.uint32) for i in (0, 1)]
     rows, out = [], []
-    cosets = [syndrome[p] for p in parts]
-    excess = np.maximum(weights[:, : np.count_nonzero(weights <= RADIUS + t, axis=1).max()].astype(np.int64) - RADIUS, 0)
+    cosets = [golay.syndrome(p) for p in parts]
+    excess = np.maximum(golay.weights.astype(np.int64) - RADIUS, 0)
     bounds = np.stack([np.count_nonzero(excess <= e, axis=1) for e in range(t + 1)])  # patterns of a coset up to each excess
     for e1 in range(t + 1):
         lo1 = bounds[e1 - 1] if e1 else np.zeros_like(bounds[0])
@@ -100,8 +136,8 @@ def anchors(fps: np.ndarray, t: int, cosets_of: tuple[np.ndarray, np.ndarray, np
         row = np.repeat(np.arange(len(fps)), n)
         at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         i1, i2 = first[row] + at // n2[row], at % n2[row]
-        a1 = parts[0][row] ^ patterns[cosets[0][row], i1]
-        a2 = parts[1][row] ^ patterns[cosets[1][row], i2]
+        a1 = parts[0][row] ^ golay.patterns[cosets[0][row], i1]
+        a2 = parts[1][row] ^ golay.patterns[cosets[1][row], i2]
         rows.append(row)
         out.append(a1.astype(np.uint64) | a2.astype(np.uint64) << np.uint64(LENGTH))
     return np.concatenate(rows), np.concatenate(out)
@@ -176,7 +212,7 @@ def links(fps: DataFrame, *, t: int = 2) -> DataFrame:
     groups = max(common.partitions(spark), -(-copies // GROUP_COPIES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = code()
+        golay = code(RADIUS + t)
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
             for start in range(0, len(values), 10_000):

@@ -1,211 +1,143 @@
 """Near-copies by five-word shingles: every pair of Jaccard similarity `least` or more links its texts.
 
-Two steps, of which the first only saves work and the second is exact.
-
-1. SimHash proposes pairs, the similarity over distinct five-word shingles decides, and components follow. A text has two
-   fingerprints over its distinct words; pairs within eight bits in either meet by anchor-point covering: the 64 bits are
-   three blocks, at least one of which then differs in two bits or fewer; the anchors of a block are the words of the Golay
-   code, every text is at home with its nearest anchor and is copied to all within covering radius plus two (about 22 of
-   4,096). At home a text proposes all its neighbours if they are six or fewer, else the two nearest and those among the
-   bucket's eight most central.
-2. All other pairs meet by prefix filter. Shingles have one order, the rare ones first; the first |x| - ceil(least |x|) + 1
-   of a text x are its prefix. Texts of similarity `least` share a shingle of both prefixes, whose place and the texts' sizes
-   bound what they can share. Pairs that meet, may be similar and are not yet in one component are decided by their shingles.
-   Texts of one component never pair, so a dense group costs each of its shingles one pass, not its square.
-
-The order is by counts of 2^20 cells of shingles, a table of fixed size; any order gives the same links. What is left to
-the square is texts of different components that share a rare shingle and the size.
-
-Equal token sequences are one node.
-
-Defined results. Null and wordless texts are equal to each other. A text of fewer than five words is one shingle. Null
-ids: no component (null). Repeated rows share one. An empty table gives an empty result. Further columns are ignored.
+Proposals only save work; what links two texts is always their similarity over distinct shingles, and no pair is missed.
+
+1. SimHash: fingerprints over the shingles meet by anchor-point covering (`simhash.links`, two bits); each text proposes
+   the least text of a fingerprint that its own is linked to, and similar pairs make the first components.
+2. Prefix filter, for what two bits miss. Shingles have one order, the rare ones first, by counts of 2^20 cells; of a text x
+   of |x| shingles the first |x| - ceil(least |x|) + k are its prefix. Of two texts, let x be the one whose prefix ends
+   first in the order: what of that prefix is not in the other's is not in the other at all. So two texts share no more
+   than their common prefix shingles and the larger of what stands behind the prefixes, nor more than the larger of the
+   rests; a rest is what a text holds besides prefix shingles that no other prefix has. Both bounds prune, and miss none.
+3. Hubs: in each shingle's list the text that shares most is the hub; each text of another component proposes the hub that
+   most of its lists name. A family of near-copies becomes a component so, for one pair a text.
+4. All other pairs: texts of different components that meet in k lists, whatever their number. Within a component
+   nothing pairs, so a family costs its lists, not their square.
+
+Lists, votes and pairs are plain rows, joined and summed by Spark, which splits hot lists; only the table of cells, of
+fixed size, is broadcast. Shingles of hot cells skip the count of step 2, so no task gathers a list.
+
+Defined results. Equal token sequences (by 64 bits) are one text; null and wordless texts are equal to each other. A text
+of fewer words than a shingle is one shingle. Null ids: no component (null). Repeated rows share one. An empty table
+gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .common import tidy, tidy_group
 from .components import connected
-from .simhash import MESSAGE, LENGTH, RADIUS, SEED, code
-from .suffixes import BITS, bit_table, group_of, ragged
+from .slots import WordHasher
+from .suffixes import BITS, bit_table, group_of
 
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-DISTANCE = 8
-FEW, CENTRAL = 6, 8
-#: Cells of the table that orders shingles, and the pieces in which it is summed; pairs looked at at once.
-CELLS, PIECES, PAIRS = 1 << 20, 64, 500_000
-COPY = [("bucket", "<u2"), ("home", "u1"), ("fp", "<u8"), ("id", "<i8")]
+BITS_APART = 2
+#: Shingles that both prefixes must share; cells of the table that orders shingles, and the pieces in which it is summed.
+SHARED, CELLS, PIECES = 4, 1 << 20, 64
+EPSILON = 1e-6
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_fingerprints(words: set[bytes]) -> tuple[int, int]:
-    """SimHash over distinct words: 128 bits, as two fingerprints."""
-    import xxhash
-
-    if not words:
-        return 0, 0
-    digests = b"".join([xxhash.xxh3_128_digest(w, SEED) for w in words])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
-    both = np.packbits(2 * bits > len(words)).tobytes()
-    return int.from_bytes(both[:8], "big"), int.from_bytes(both[8:], "big")
-
-
-def shingles(words: list[bytes], size: int) -> list[int]:
-    import xxhash
-
-    n = max(1, len(words) - size + 1)
-    return sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(n)})
-
-
-def contents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, content (a hash of the token sequence), first and second fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            split = [tokens(t.as_py()) for t in batch.column(1)]
-            content = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in split], np.uint64)
-            prints = np.array([word_fingerprints(set(w)) for w in split], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content.view(np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["doc_id", "content", "first", "second"])
-
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id bigint, content bigint, first bigint, second bigint")
-
-
-def copies(fps: np.ndarray, ids: np.ndarray, golay: tuple, base: int) -> np.ndarray:
-    """Every text with each anchor that it is at home with or copied to."""
-    syndrome, patterns, weights = golay
+def shingle_sets(texts: list[list[bytes]], size: int, hasher: WordHasher) -> list[np.ndarray]:
+    """Each text's distinct shingles, as sorted 64-bit hashes."""
+    lines = [b" ".join(t) for t in texts]
+    begin, _, word, check = hasher.words(np.frombuffer(b"\n".join(lines) + b"\n", np.uint8))
+    ends = np.cumsum([0, *[len(line) + 1 for line in lines]])
+    first = np.searchsorted(begin, ends)
+    total = np.zeros(max(0, len(word) - size + 1), np.uint64)
+    for i in range(size):
+        total = total * np.uint64(WordHasher.ODD[0]) + (word ^ check >> np.uint64(7))[i : i + len(total)]
+    total = mixed(total)
     out = []
-    for block, (low, bits) in enumerate(BLOCKS):
-        point = (fps >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.uint32)
-        coset = syndrome[point]
-        n = np.count_nonzero(weights <= RADIUS + DISTANCE // len(BLOCKS), axis=1)[coset]
-        row = np.repeat(np.arange(len(fps)), n)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        anchor = (point[row] ^ patterns[coset[row], nth]) >> np.uint32(LENGTH - MESSAGE)
-        part = np.empty(len(row), dtype=COPY)
-        part["bucket"], part["home"], part["fp"], part["id"] = anchor + (block + base << MESSAGE), nth == 0, fps[row], ids[row]
-        out.append(part)
-    return np.concatenate(out)
-
-
-def proposed(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text at home with a bucket's anchor, those in the bucket within DISTANCE: all if they are FEW or fewer, else the two nearest and the most central."""
-    held = held[np.lexsort((held["id"], held["bucket"]))]
-    edge = np.flatnonzero(np.concatenate(([True], held["bucket"][1:] != held["bucket"][:-1], [True])))
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for start, stop in zip(edge, edge[1:], strict=False):
-        fp, ids = held["fp"][start:stop], held["id"][start:stop]
-        at = np.flatnonzero(held["home"][start:stop])
-        if not len(at) or stop - start < 2:
-            continue
-        step = max(1, 2_000_000 // len(ids))  # homes at once, to bound memory
-
-        def distances(first: int, at=at, fp=fp, step=step) -> tuple[np.ndarray, np.ndarray]:
-            some = at[first : first + step]
-            apart = np.bitwise_count(fp[some][:, None] ^ fp)
-            apart[np.arange(len(some)), some] = 255
-            return some, apart
-
-        central = np.empty(0, np.int64)
-        if len(at) > FEW:  # the texts that copies were made from lie in the middle of their copies
-            total = np.zeros(len(ids), np.int64)
-            for first in range(0, len(at), step):
-                total += np.minimum(distances(first)[1], 2 * DISTANCE).sum(axis=0, dtype=np.int64)
-            central = np.argsort(total, kind="stable")[:CENTRAL]
-        for first in range(0, len(at), step):
-            some, apart = distances(first)
-            within = apart <= DISTANCE
-            hits = np.count_nonzero(within, axis=1)
-            row, column = np.nonzero(within & (hits <= FEW)[:, None])
-            a.append(ids[some[row]])
-            b.append(ids[column])
-            many = np.flatnonzero(hits > FEW)
-            row, column = np.nonzero(within[np.ix_(many, central)])
-            a.append(ids[some[many[row]]])
-            b.append(ids[central[column]])
-            for _ in range(2 if len(many) else 0):
-                nearest = apart[many].argmin(axis=1)  # ties go to the smallest id
-                a.append(ids[some[many]])
-                b.append(ids[nearest])
-                apart[many, nearest] = 255
-    return np.concatenate(a), np.concatenate(b)
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(id, first, second) to distinct proposed pairs (a < b)."""
-    spark = nodes.sparkSession
-    groups = max(common.partitions(spark), -(-nodes.count() * 132 // 3_000_000))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = code()
-        for batch in batches:
-            ids, prints = batch.column(0).to_numpy(), [batch.column(i).to_numpy().view(np.uint64) for i in (1, 2)]
-            for start in range(0, len(ids), 5_000):
-                part = np.concatenate([copies(fps[start : start + 5_000], ids[start : start + 5_000], golay, i * len(BLOCKS)) for i, fps in enumerate(prints)])
-                group = (part["bucket"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(groups)
-                order = np.argsort(group, kind="stable")
-                edge = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
-                part = part[order]
-                used = np.flatnonzero(np.diff(edge))
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([part[edge[g] : edge[g + 1]].tobytes() for g in used], pa.binary())], ["grp", "copies"])
-
-    def compare(rows: pa.Table) -> pa.Table:
-        a, b = proposed(np.frombuffer(b"".join(rows.column("copies").to_pylist()), dtype=COPY))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= size:
+            out.append(np.unique(total[a : b - size + 1]))
+        else:  # all words at once; no words are a shingle of their own
+            x = np.full(1, b - a, np.uint64)
+            for w in word[a:b]:
+                x = x * np.uint64(WordHasher.ODD[1]) + w
+            out.append(mixed(x))
+    return out
 
-    dealt = nodes.select("id", "first", "second").mapInArrow(tidy(deal), "grp bigint, copies binary")
-    return dealt.groupBy("grp").applyInArrow(tidy_group(compare), "a bigint, b bigint").distinct()
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(WordHasher.ODD[1])
+    return x ^ x >> np.uint64(29)
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str, then=lambda rows: rows, schema: str = "doc_id bigint, content bigint, shingles array<bigint>") -> DataFrame:
-    """doc_id, content, shingles of the documents in `wanted` (doc_id); others are left out by a filter of fixed size before their text is read.
 
-    `then` goes over these batches in the same Python worker and gives batches of `schema`.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "doc_id"))
+def contents(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, content (a hash of the token sequence), fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
-            split = [tokens(t.as_py()) for t in batch.column(1)]
-            content = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in split], np.uint64)
-            sets = [np.array(shingles(w, size), np.uint64).view(np.int64) for w in split]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "content", "shingles"])
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    rows = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS)).alias("bit"))
-    return rows.mapInArrow(tidy(lambda batches: then(run(batches)), 1_000_000), schema)
-
-
-def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of similarity `least` or more."""
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    sets = shingle_sets(docs, ends, words, id_col, text_col).join(nodes.select(F.col("id").alias("doc_id"), "content"), ["doc_id", "content"]).dropDuplicates(["doc_id"])
-    sets = common.written(sets.select("doc_id", "shingles"), "shingles")
-    side = lambda name, other: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(other))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return common.written(both.where(shared / (F.size("x") + F.size("y") - shared) >= least).select("a", "b"), "similar")
-
-
-def cell_counts(sets: Callable[..., DataFrame]) -> np.ndarray:
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            content = np.array([xxhash.xxh64_intdigest(b" ".join(tokens(t)), simhash.SEED) for t in texts], np.uint64)
+            prints = np.array([simhash.fingerprint(t, words) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content.view(np.int64)), pa.array(prints.view(np.int64))], ["doc_id", "content", "fingerprint"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id bigint, content bigint, fingerprint bigint")
+
+
+class Sets:
+    """The shingle sets of `nodes` (content, doc_id), read from `docs`."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str):
+        self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+        self.nodes, self.words = nodes, words
+
+    def each(self, wanted: DataFrame, then: Callable, schema: str) -> DataFrame:
+        """What `then` makes of batches of (doc_id, content, shingles). Documents that are not `wanted` (doc_id) are left out by a filter of fixed size, which lets some pass."""
+        spark, words = self.docs.sparkSession, self.words
+        shared = spark.sparkContext.broadcast(bit_table(wanted, "doc_id"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
+
+            hasher = WordHasher()
+            for batch in batches:
+                bit = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
+                if not batch.num_rows:
+                    continue
+                split = [tokens(t.as_py()) for t in batch.column(1)]
+                content = np.array([xxhash.xxh64_intdigest(b" ".join(w), simhash.SEED) for w in split], np.uint64)
+                sets = [s.view(np.int64) for s in shingle_sets(split, words, hasher)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "content", "shingles"])
+
+        rows = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS)).alias("bit"))
+        return rows.mapInArrow(tidy(lambda batches: then(run(batches)), 1_000_000), schema)
+
+    def of(self, contents: DataFrame, then: Callable, columns: str) -> DataFrame:
+        """One row (content, `columns`) for each of `contents`, a subset of the nodes."""
+        held = self.nodes.join(contents, "content", "left_semi").select("doc_id", "content")
+        return self.each(held, then, f"doc_id bigint, content bigint, {columns}").join(held, ["doc_id", "content"]).dropDuplicates(["content"]).drop("doc_id")
+
+    def similar(self, pairs: DataFrame, least: float) -> DataFrame:
+        """The pairs (a, b) of similarity `least` or more."""
+        ends = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
+        sets = common.written(self.of(ends, lambda rows: rows, "shingles array<bigint>"), "shingles")
+        side = lambda name, other: sets.select(F.col("content").alias(name), F.col("shingles").alias(other))
+        shared = F.size(F.array_intersect("x", "y"))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        found = common.written(both.where(shared >= least * (F.size("x") + F.size("y") - shared) - EPSILON).select("a", "b"), "similar")
+        common.dropped(sets)
+        return found
+
+
+def cell_counts(sets: Sets) -> np.ndarray:
     """How many texts hold a shingle of each cell."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,115 +159,154 @@ def cell_counts(sets: Callable[..., DataFrame]) -> np.ndarray:
         return pa.table({"piece": rows.column("piece")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     out = np.zeros((PIECES, CELLS // PIECES), np.uint32)
-    for r in sets(count, "piece bigint, counts binary").groupBy("piece").applyInArrow(tidy_group(add), "piece bigint, counts binary").collect():
+    for r in sets.each(sets.nodes, count, "piece bigint, counts binary").groupBy("piece").applyInArrow(tidy_group(add), "piece bigint, counts binary").collect():
         out[r.piece] = np.frombuffer(r.counts, np.uint32)
     return out.ravel()
 
 
-def meeting(token: np.ndarray, place: np.ndarray, size: np.ndarray, comp: np.ndarray, ids: np.ndarray, least: float) -> np.ndarray:
-    """Pairs (a < b) of different components that share a token of their prefixes and may have similarity `least`."""
-    if not len(token):
-        return np.empty((0, 2), np.int64)
-    order = np.lexsort((size, token))
-    token, place, size, comp, ids = (x[order] for x in (token, place, size, comp, ids))
-    lists = np.cumsum(np.concatenate(([False], token[1:] != token[:-1])))
-    # Each list's most frequent component: two of its texts never pair, so only the others look for partners.
-    by = np.lexsort((comp, lists))
-    edge = np.flatnonzero(np.concatenate(([True], (lists[by][1:] != lists[by][:-1]) | (comp[by][1:] != comp[by][:-1]))))
-    run = np.diff(np.append(edge, len(by)))
-    best = np.lexsort((run, lists[by][edge]))
-    most = np.empty(lists[-1] + 1, np.int64)
-    most[lists[by][edge][best]] = comp[by][edge][best]  # the last of a list stays: its longest run
-    other = comp != most[lists]
-    at = np.flatnonzero(other)
-    key = lists.astype(np.int64) << 32 | size
-    low = np.searchsorted(key, lists[at].astype(np.int64) << 32 | np.ceil(least * size[at] - 1e-6).astype(np.int64))
-    high = np.searchsorted(key, lists[at].astype(np.int64) << 32 | np.floor(size[at] / least + 1e-6).astype(np.int64), "right")
-    out = [np.empty((0, 2), np.int64)]
-    part = np.cumsum(high - low) // PAIRS
-    for start, stop in zip(np.searchsorted(part, np.unique(part)), np.searchsorted(part, np.unique(part), "right"), strict=True):
-        i = np.repeat(at[start:stop], (high - low)[start:stop])
-        j = ragged(low[start:stop], (high - low)[start:stop])
-        mine = (comp[i] != comp[j]) & (~other[j] | (j > i))
-        i, j = i[mine], j[mine]
-        # Of two texts' first common token: no more than it and what follows can be shared.
-        enough = 1e-6 + np.minimum(size[i] - place[i], size[j] - place[j]) >= least / (1 + least) * (size[i] + size[j])
-        a, b = ids[i[enough]], ids[j[enough]]
-        out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-    return np.unique(np.concatenate(out), axis=0)
-
-
-def remaining(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """Distinct pairs (a < b) of nodes in different components that may have similarity `least`: none that has is missing."""
-    spark = docs.sparkSession
-    # Two contents of one id are two rows here; the filter of fixed size leaves in some copies, which the join drops.
-    wanted = nodes.select(F.col("id").alias("doc_id"))
-    sets = lambda then, schema: shingle_sets(docs, wanted, words, id_col, text_col, then, schema)
-    counts = spark.sparkContext.broadcast(cell_counts(sets))
+def prefix_length(size: int, least: float) -> int:
+    must = max(1, ceil(least * size - EPSILON))
+    return size - must + min(SHARED, must)
+
+
+def postings(sets: Sets, least: float) -> DataFrame:
+    """token, id, size, rest, weight: tokens of prefixes that another prefix holds too.
+
+    rest: how many shingles a text has besides the prefix's others; weight: how much its lists hold.
+    """
+    spark = sets.docs.sparkSession
+    counts = cell_counts(sets)
+    shared = spark.sparkContext.broadcast(counts)
+    often = 4096 + 8 * int(counts.mean())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            flat, edge = batch.column(2).flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy())))
+            n = pa.compute.list_value_length(batch.column(2)).to_numpy()
+            flat, edge, out = batch.column(2).flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(n))), []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 x = flat[a:b]
-                out.append(x[np.lexsort((x, counts.value[x & np.uint64(CELLS - 1)]))][: len(x) - int(np.ceil(least * len(x) - 1e-6)) + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(edge), pa.int64()), pa.array(out, pa.binary())], ["doc_id", "content", "size", "prefix"])
+                out.append(x[np.lexsort((x, shared.value[x & np.uint64(CELLS - 1)]))][: prefix_length(b - a, least)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int32)), pa.array(out, pa.binary())], ["doc_id", "content", "size", "prefix"])
 
-    known = nodes.join(roots, nodes.id == roots.node, "left").select(F.col("id").alias("doc_id"), "content", F.coalesce("root", "id").alias("comp"))
-    rows = sets(cut, "doc_id bigint, content bigint, size bigint, prefix binary").join(known, ["doc_id", "content"])
-    rows = common.written(rows.dropDuplicates(["doc_id", "content"]).select("doc_id", "comp", "size", "prefix"), "prefixes")
+    rows = common.written(sets.of(sets.nodes.select("content"), cut, "size int, prefix binary"), "prefixes")
     groups = max(common.partitions(spark), -(-(rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 4_000_000))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids, comp, size = (batch.column(i).to_numpy() for i in range(3))
-            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
+            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
             if not held:
                 continue
             n = np.fromiter(map(len, held), np.int64, len(held))
-            token, row, place = np.concatenate(held), np.repeat(np.arange(len(held)), n), ragged(np.zeros(len(n), np.int64), n)
-            group = group_of(token, groups)
+            token, row = np.concatenate(held), np.repeat(np.arange(len(held)), n)
+            ids, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # A token of a frequent cell counts as shared, and goes to a group by its text.
+            hot = shared.value[token & np.uint64(CELLS - 1)] > often
+            group = np.where(hot, group_of(ids.view(np.uint64)[row], groups) + np.uint64(groups), group_of(token, groups))
             order = np.argsort(group, kind="stable")
-            edge = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
+            edge = np.searchsorted(group[order], np.arange(2 * groups + 1, dtype=np.uint64))
             used = np.flatnonzero(np.diff(edge))
             blobs = []
             for g in used.tolist():
                 x = order[edge[g] : edge[g + 1]]
-                r = row[x]
-                blobs.append(pack(b"".join([np.array([len(x)], "<i8").tobytes(), token[x].tobytes(), *[c.astype("<i8").tobytes() for c in (place[x], size[r], comp[r], ids[r])]])))
+                blobs.append(np.array([len(x)], "<i8").tobytes() + token[x].tobytes() + ids[row[x]].tobytes() + size[row[x]].astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], ["grp", "postings"])
 
-    def meet(rows: pa.Table) -> pa.Table:
-        import zstandard
+    def keep(rows: pa.Table) -> pa.Table:
+        parts = []
+        for blob in rows.column("postings"):
+            raw = blob.as_buffer()
+            n = int(np.frombuffer(raw, "<i8", 1)[0])
+            parts.append((np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 16 * n)))
+        token, ids, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if rows.column("grp")[0].as_py() >= groups:
+            n = np.full(len(token), often)
+        else:
+            n = np.unique(token, return_inverse=True, return_counts=True)
+            n = n[2][n[1]]
+        mine = n > 1
+        return pa.table({"token": token[mine], "id": ids[mine], "size": size[mine], "n": n[mine]})
+
+    found = rows.mapInArrow(tidy(deal), "grp bigint, postings binary").groupBy("grp").applyInArrow(tidy_group(keep), "token bigint, id bigint, size int, n bigint")
+    by_text = Window.partitionBy("id")
+    rest = found.select("token", "id", "size", (behind(F.col("size"), least) + F.count("*").over(by_text)).cast("int").alias("rest"), F.sum("n").over(by_text).alias("weight"))
+    out = common.written(rest, "postings")
+    common.dropped(rows)
+    return out
+
+
+def behind(size: Column, least: float) -> Column:
+    """How many shingles stand behind the prefix of a text."""
+    must = F.greatest(F.lit(1), F.ceil(size * least - EPSILON))
+    return must - F.least(F.lit(SHARED), must)
+
+
+def common_least(least: float) -> Column:
+    """How many shingles texts x and y (structs) must share to have similarity `least`."""
+    return F.ceil(least / (1 + least) * (F.col("x.size") + F.col("y.size")) - EPSILON)
+
+
+def may(least: float) -> Column:
+    """Whether the sizes and rests of texts x and y (structs) let them have similarity `least`."""
+    return F.greatest("x.rest", "y.rest", F.lit(0)) >= common_least(least)
+
+
+def within_size(least: float) -> Column:
+    return F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - EPSILON
+
+
+def met(pairs: DataFrame, least: float) -> DataFrame:
+    """a, b, votes of pairs (x, y: structs of id, size) that meet as often as similar texts must."""
+    need = F.greatest(F.lit(1), common_least(least) - F.greatest(behind(F.col("x.size"), least), behind(F.col("y.size"), least)))
+    votes = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("votes"), F.first("need").alias("need"))
+    return votes.where("votes >= need").select("a", "b", "votes")
+
+
+def hub_pairs(lists: DataFrame, least: float) -> DataFrame:
+    """a, b: each text with the hub of another component that most of its lists name."""
+    text = F.struct("weight", "id", "comp", "size", "rest")
+    hubs = lists.groupBy("token").agg(F.max(text).alias("y"))
+    asked = lists.select("token", text.alias("x")).join(hubs, "token").where((F.col("x.comp") != F.col("y.comp")) & within_size(least) & may(least))
+    return met(asked, least).groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
+
+
+def other_pairs(lists: DataFrame, least: float) -> DataFrame:
+    """a, b: all texts of different components that meet."""
+    held = lists.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    main = held.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
+    text = F.struct("id", "comp", "size", "rest")
+    mixed_lists = lists.join(main, "token").select("token", "main", text.alias("y"))
+    outside = mixed_lists.where("y.comp <> main").select("token", F.col("y").alias("x"))
+    once = (F.col("y.comp") == F.col("main")) | (F.col("x.id") < F.col("y.id"))
+    pairs = outside.join(mixed_lists, "token").where((F.col("x.comp") != F.col("y.comp")) & once & within_size(least) & may(least))
+    ordered = pairs.select(F.when(F.col("x.id") < F.col("y.id"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("x.id") < F.col("y.id"), F.col("y")).otherwise(F.col("x")).alias("y"))
+    return met(ordered, least).select("a", "b")
 
-        parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer()), "<i8")[1:].reshape(5, -1) for x in rows.column("postings")]
-        token = np.concatenate([p[0] for p in parts])
-        order = np.argsort(token, kind="stable")
-        same = token[order][1:] == token[order][:-1]
-        keep = np.zeros(len(token), bool)
-        keep[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))  # a token of one text joins none
-        at = np.cumsum([0, *[p.shape[1] for p in parts]])
-        columns = [np.concatenate([p[i][keep[a:b]] for p, a, b in zip(parts, at, at[1:], strict=False)]) for i in range(5)]
-        del parts, token, order
-        pairs = meeting(*columns, least)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    dealt = rows.mapInArrow(tidy(deal), "grp bigint, postings binary")
-    return dealt.groupBy("grp").applyInArrow(tidy_group(meet), "a bigint, b bigint").where("a <> b").distinct()
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: each text with the least of its fingerprint, and that one with the least of a linked fingerprint."""
+    reps = common.written(nodes.groupBy("fingerprint").agg(F.min("content").alias("rep")), "fingerprints")
+    linked = simhash.links(reps.select("fingerprint"), t=BITS_APART)
+    named = lambda column, name: reps.select(F.col("fingerprint").alias(column), F.col("rep").alias(name))
+    across = linked.join(named("a", "x"), "a").join(named("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    within = nodes.join(reps, "fingerprint").select(F.col("content").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    return across.unionByName(within).distinct()
 
 
 def similar_documents(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over pairs of similarity `least` or more."""
     common.frugal(docs.sparkSession)
-    marked = common.written(contents(docs, id_col, text_col), "contents")
-    nodes = common.written(marked.where("doc_id is not null").groupBy("content", "first", "second").agg(F.min("doc_id").alias("id")), "nodes")
-    pairs = common.written(candidates(nodes), "pairs")
-    links = similar_links(docs, nodes, pairs, words, least, id_col, text_col)
-    more = common.written(remaining(docs, nodes, connected(links), words, least, id_col, text_col), "remaining")
-    roots = connected(links.unionByName(similar_links(docs, nodes, more, words, least, id_col, text_col)))
-    named = nodes.join(roots, nodes.id == roots.node, "left").select("content", "first", "second", F.coalesce("root", "id").alias("component_id"))
-    return marked.join(named, ["content", "first", "second"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    marked = common.written(contents(docs, words, id_col, text_col), "contents")
+    nodes = common.written(marked.where("doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint")), "nodes")
+    sets = Sets(docs, nodes, words, id_col, text_col)
+    links = sets.similar(common.written(fingerprint_pairs(nodes), "pairs"), least)
+    lists = postings(sets, least)
+    with_components = lambda links: lists.join(connected(links), F.col("id") == F.col("node"), "left").select("token", "id", "size", "rest", "weight", F.coalesce("root", "id").alias("comp"))
+    asked = common.written(hub_pairs(with_components(links), least), "pairs")
+    links = links.unionByName(sets.similar(asked, least))
+    done = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = common.written(other_pairs(with_components(links), least).join(done, ["a", "b"], "left_anti"), "pairs")
+    roots = connected(links.unionByName(sets.similar(more, least)))
+    classes = nodes.join(roots, nodes.content == roots.node, "left").select("content", "doc_id", F.coalesce("root", "content").alias("root"))
+    named = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of = classes.join(named, "root").select("content", "component_id")
+    return marked.join(of, "content", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
