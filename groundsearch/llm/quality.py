@@ -5,9 +5,9 @@ teaching the compressor what the dictionary lacks. The normalised difference of
 the two sizes per byte that it is made of, becomes a probability by logistic regression on labelled rows that
 built no dictionary.
 
-Fitting uses a bounded sample: up to `sample_rows` labelled rows of each class, and of each row that builds a
-dictionary up to eight blocks spread over its whole text. Scoring takes every byte of every document. Nothing
-but the text enters a score.
+Fitting uses a bounded sample: up to `sample_rows` labelled rows of each class, with their whole texts; by the ids'
+hashes half of the rows build the dictionaries and half calibrate. Scoring takes every byte of every document.
+Nothing but the text enters a score.
 
 Defined results. Null or empty text: the score of no bytes at all, which is the calibrated constant. Without
 labelled rows of both classes every score is the share of label 1 among those there are, or 0.5. Repeated rows
@@ -23,19 +23,17 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import frugal, tidy
 from .labelled import logistic, sample
 
 BLOCK, LEVEL, DICTIONARY = 1024, 3, 65_536
-SPREAD = 8
 
 
 def blocks_of(text: str) -> list[bytes]:
-    """Up to SPREAD blocks, evenly over the text."""
     data = text.encode("utf-8", "surrogatepass")
-    starts = range(0, len(data), BLOCK)
-    return [data[s : s + BLOCK] for s in starts[:: -(-len(starts) // SPREAD) or 1]]
+    return [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
 
 
 def build(samples: list[bytes]) -> bytes:
@@ -59,12 +57,11 @@ def features(dictionaries: list[bytes]) -> Callable[[str], tuple[float, float, f
     good, bad = made
 
     def run(text: str) -> tuple[float, float, float]:
-        data = text.encode("utf-8", "surrogatepass")
-        if not data:
+        parts = blocks_of(text)
+        if not parts:
             return 0.0, 0.0, 0.0
-        parts = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
-        g, b = sum(len(good(p)) for p in parts), sum(len(bad(p)) for p in parts)
-        return (b - g) / max(g, b), g / len(data), b / len(data)
+        size, g, b = sum(map(len, parts)), sum(len(good(p)) for p in parts), sum(len(bad(p)) for p in parts)
+        return (b - g) / max(g, b), g / size, b / size
 
     return run
 
@@ -118,8 +115,6 @@ def scored(docs: DataFrame, model: QualityModel, *, text_col: str = "text", into
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:3] + weights[3], -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["row", "score"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([named.schema["row"], T.StructField("score", T.DoubleType())])
     done = named.mapInArrow(tidy(run), schema)
     return done.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("score").alias(into))

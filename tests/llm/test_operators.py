@@ -158,6 +158,49 @@ def test_quality_and_toxicity(spark):
         assert module.scored(odd, bare).count() == len(ODD)
 
 
+def test_label_model_sums_by_definition(spark):
+    """Rounds over the written patterns against plain loops over single documents, and what they learn."""
+    rng = np.random.default_rng(2)
+    n, hidden = 6, rng.random(800) < 0.3
+    rates = np.array([[0.02, 0.05, 0.01, 0.03, 0.02, 0.9], [0.6, 0.5, 0.4, 0.0, 0.3, 0.05]])
+    votes = (rng.random((800, n)) < rates[hidden.astype(int)]).astype(float)
+    votes[:, 3] = votes[:, 0] * (rng.random(800) < 0.95)  # repeats voter 0
+    lists = [[int(j) for j in np.flatnonzero(v)] for v in votes]
+    table = spark.createDataFrame([(v,) for v in lists], "votes array<int>").groupBy("votes").count()
+    model = toxicity.LabelModel(n, 0.2)
+    for turn in range(6):
+        got = toxicity.total(table, n, lambda v, c: model.sums(v, c).ravel()).reshape(2, n + 1, n + 1)
+        want = np.zeros((2, n + 1, n + 1))
+        for v in lists:
+            z = math.log(model.prior / (1 - model.prior))
+            for j in v:
+                z += model.alone[j] + (model.more[j] if model.parent[j] in v else 0)
+            p = 1 / (1 + math.exp(-z))
+            for c, share in enumerate((1 - p, p)):
+                for i in [*v, n]:
+                    for j in [*v, n]:
+                        want[c, i, j] += share
+        assert np.allclose(got, want)
+        model.update(got, tree=turn >= 2)
+    assert model.parent[3] == 0 or model.parent[0] == 3  # the correlation is found
+    assert model.alone[1] > 1 and ((model.posterior(votes) > 0.5) == hidden).mean() > 0.85
+    gain = np.array([[0, 5, 1, 9], [5, 0, 4, 9], [1, 4, 0, 9], [9, 9, 9, 0]], float)
+    assert toxicity.spanning_tree(gain).tolist() == [-1, 0, 1, -1]
+
+
+def test_quality_features_by_definition():
+    import zstandard
+
+    dictionaries = [b"good words about bridges and rivers " * 30, b"BUY NOW click here free!!! " * 30]
+    text = "good words about rivers " * 90 + "é"
+    data = text.encode()
+    plain = [[len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(data[i : i + 1024])) for i in range(0, len(data), 1024)] for d in dictionaries]
+    g, b = map(sum, plain)
+    assert quality.features(dictionaries)(text) == ((b - g) / max(g, b), g / len(data), b / len(data)) and g < b
+    assert quality.features(dictionaries)("") == (0, 0, 0)
+    assert b"".join(quality.blocks_of(text)) == data and quality.blocks_of("") == []
+
+
 def test_tail():
     assert toxicity.tail(2, 2, 0.5) == pytest.approx(0.25) and toxicity.tail(0, 3, 0.2) == pytest.approx(1)
 
