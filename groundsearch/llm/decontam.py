@@ -3,12 +3,14 @@
 Texts and benchmark items are runs of word characters, case-folded. A document and an item are compared only
 if they share a seed, a string of `min_match` tokens, found by Karp-Rabin hashes of the document's windows among
 those of the items. Tiling then marks, again and again, the longest matches of unmarked tokens that do not
-overlap, until none of `min_match` tokens is left; hashes find where matches may start, tokens decide. The share
-of an item's tokens that is marked is its coverage: passages that were cut up and put in another order are
-covered piece by piece. A document is contaminated if any item's coverage reaches `threshold`.
+overlap, until none of `min_match` tokens is left: Karp-Rabin hashes of one length run over both texts, and the length
+falls from round to round to the longest that still matches; tokens decide. The share of an item's tokens that is
+marked is its coverage: passages that were cut up and put in another order are covered piece by piece. A document
+is contaminated if any item's coverage reaches `threshold`.
 
 Items are broadcast in blocks of at most about `block_bytes` of text, with one pass over the documents for each
-block, so the memory of a worker is bounded for any benchmark. Documents are neither shuffled nor cut.
+block; between passes documents are written, so a worker holds one block whatever the benchmark's size. With one
+block documents are neither shuffled, written nor cut.
 
 Defined results. Null or empty text: no overlap. Null text or id of an item, or an item of fewer than `min_match`
 tokens: it takes no part. Repeated items count as one each; repeated documents each get their result. Ties for
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal, tidy
+from .common import dropped, frugal, tidy, written
 
 BASE = np.uint64(0x100000001B3)
 OVERLAPS = "array<struct<item_id:bigint,coverage:double,tiles:array<struct<doc_start:int,item_start:int,length:int>>>>"
@@ -49,29 +51,52 @@ def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tile(doc: list[int], item: list[int], starts: dict[int, list[int]], n: int) -> list[tuple[int, int, int]]:
-    """Tiles (doc start, item start, length). starts: for each item position, the document positions whose window hashes agree with its."""
-    free_doc, free_item = bytearray(b"\1") * len(doc), bytearray(b"\1") * len(item)
+class Running:
+    """Karp-Rabin hashes of windows of any length over one text, and which tokens are still unmarked."""
+
+    def __init__(self, ids: np.ndarray, free: np.ndarray):
+        self.ids, self.free = ids, free
+        steps = [np.full(len(ids), s, np.uint64) for s in (int(BASE), pow(int(BASE), -1, 1 << 64))]
+        up, self.down = (np.concatenate((np.ones(1, np.uint64), np.cumprod(s, dtype=np.uint64))) for s in steps)
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of unmarked tokens."""
+        taken = np.concatenate(([0], np.cumsum(~self.free)))
+        starts = np.flatnonzero(taken[size:] == taken[:-size]) if size <= len(self.ids) else np.empty(0, np.int64)
+        return starts, (self.total[starts + size] - self.total[starts]) * self.down[starts]
+
+
+def tile(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """Tiles (doc start, item start, length) of n tokens or more, longest first, ties from the left of the document. A token 0 matches nothing."""
+    left, right = Running(doc, doc != 0), Running(item, item != 0)
     tiles: list[tuple[int, int, int]] = []
-    while True:
-        longest, found = n - 1, []
-        for p, places in starts.items():
-            if not free_item[p]:
+
+    def met(size: int) -> bool:
+        return bool(np.isin(left.windows(size)[1], right.windows(size)[1]).any())
+
+    high = min(len(doc), len(item))
+    while high >= n and met(n):
+        low = n  # the longest common length: what matches at a length does at all shorter ones
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if met(middle) else (low, middle - 1)
+        (t, a), (p, b) = left.windows(low), right.windows(low)
+        order = np.argsort(b, kind="stable")
+        p, b = p[order], b[order]
+        first, last = np.searchsorted(b, a), np.searchsorted(b, a, "right")
+        found = 0
+        for start, i, j in zip(t[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
+            if not left.free[start : start + low].all():
                 continue
-            for t in places:
-                k = 0
-                while p + k < len(item) and t + k < len(doc) and item[p + k] == doc[t + k] and free_item[p + k] and free_doc[t + k]:
-                    k += 1
-                if k > longest:
-                    longest, found = k, [(t, p)]
-                elif k == longest and k >= n:
-                    found.append((t, p))
-        if not found:
-            return sorted(tiles, key=lambda x: x[1])
-        for t, p in sorted(found):
-            if all(free_item[p : p + longest]) and all(free_doc[t : t + longest]):
-                free_item[p : p + longest] = free_doc[t : t + longest] = bytes(longest)
-                tiles.append((t, p, longest))
+            for at in p[i:j].tolist():
+                if right.free[at : at + low].all() and np.array_equal(doc[start : start + low], item[at : at + low]):
+                    left.free[start : start + low] = right.free[at : at + low] = False
+                    tiles.append((start, at, low))
+                    found += 1
+                    break
+        high = low if found else low - 1  # hashes that agree by chance
+    return sorted(tiles, key=lambda x: x[1])
 
 
 class Items:
@@ -81,11 +106,11 @@ class Items:
         self.n, self.vocabulary, self.ids = n, {}, {}
         seeds = defaultdict(set)
         for item, text in sorted(set(texts)):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)]
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], dtype=np.int64)
             if len(ids) < n:
                 continue
             at = len(self.ids)
-            self.ids[at] = item, ids, window_hashes(np.array(ids), n)
+            self.ids[at] = item, ids, window_hashes(ids, n)
             for h in self.ids[at][2].tolist():
                 seeds[h].add(at)
         self.seeds = dict(seeds)
@@ -107,20 +132,19 @@ class Items:
         hit = self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
         if not hit.any():
             return []
-        places, touched = defaultdict(list), set()
-        for at, key in zip(whole[hit].tolist(), h[hit].tolist(), strict=True):
-            places[key].append(at)
+        places, touched = np.unique(h[hit]).tolist(), set()
+        for key in places:
             touched |= self.seeds[key]
-        doc, out = ids.tolist(), []
+        known, out = set(places), []
         for at in sorted(touched):
             item, item_ids, hashes = self.ids[at]
-            starts = {p: places[key] for p, key in enumerate(hashes.tolist()) if key in places}
             reach = np.zeros(len(item_ids), bool)  # no tiling can cover more
-            for p in starts:
-                reach[p : p + n] = True
+            for p, key in enumerate(hashes.tolist()):
+                if key in known:
+                    reach[p : p + n] = True
             if reach.mean() < least:
                 continue
-            tiles = tile(doc, item_ids, starts, n)
+            tiles = tile(ids, item_ids, n)
             coverage = sum(t[2] for t in tiles) / len(item_ids)
             if coverage >= least:
                 out.append({"item_id": item, "coverage": coverage, "tiles": [dict(zip(("doc_start", "item_start", "length"), t, strict=True)) for t in tiles]})
@@ -139,6 +163,11 @@ def with_overlaps(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0
     at = keep.index(text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.expr(f"cast(array() as {OVERLAPS})").alias("overlaps"))
     for block in range(blocks):
+        if block:  # else all blocks would stand in one stage's workers
+            now = written(rows, "overlaps")
+            if block > 1:
+                dropped(before)
+            rows = before = now
         held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in held])
 

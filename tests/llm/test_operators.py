@@ -208,11 +208,51 @@ def test_tail():
 # 6
 
 
+def plain_tiles(doc, item, n):
+    """Greedy string tiling by its definition: all pairs of places, again and again."""
+    marked_doc, marked_item, tiles = set(), set(), []
+    while True:
+        runs = {}
+        for t in range(len(doc)):
+            for p in range(len(item)):
+                k = 0
+                while t + k < len(doc) and p + k < len(item) and doc[t + k] == item[p + k] != 0 and t + k not in marked_doc and p + k not in marked_item:
+                    k += 1
+                if k >= n:
+                    runs[t, p] = k
+        if not runs:
+            return sorted(tiles, key=lambda x: x[1])
+        most = max(runs.values())
+        for t, p in sorted(x for x, k in runs.items() if k == most):
+            here = {*range(t, t + most)}, {*range(p, p + most)}
+            if not here[0] & marked_doc and not here[1] & marked_item:
+                marked_doc |= here[0]
+                marked_item |= here[1]
+                tiles.append((t, p, most))
+
+
 def test_tiling_takes_the_longest_first():
-    doc, item = [1, 2, 3, 9, 1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6]
-    hashes = decontam.window_hashes(np.array(doc), 3).tolist()
-    starts = {p: [i for i, h in enumerate(hashes) if h == w] for p, w in enumerate(decontam.window_hashes(np.array(item), 3).tolist())}
-    assert decontam.tile(doc, item, starts, 3) == [(4, 0, 6)]
+    rng = np.random.default_rng(4)
+    assert decontam.tile(np.array([1, 2, 3, 9, 1, 2, 3, 4, 5, 6]), np.array([1, 2, 3, 4, 5, 6]), 3) == [(4, 0, 6)]
+    for _ in range(150):
+        doc, item = rng.integers(0, 4, rng.integers(0, 40)), rng.integers(1, 4, rng.integers(1, 15))
+        assert decontam.tile(doc, item, 3) == plain_tiles(doc.tolist(), item.tolist(), 3)
+
+
+def test_tiling_of_a_passage_repeated_in_a_long_text():
+    item = np.arange(1, 101)
+    assert decontam.tile(np.tile(np.r_[item, 0], 2000), item, 4) == [(0, 0, 100)]
+
+
+def test_decontamination_query_ties(spark, tmp_path):
+    from groundsearch.llm import queries
+
+    half = "one two three four five six seven eight"
+    docs(spark, [(1, half), (2, "nothing here"), (3, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(9, half), (4, half), (5, half + " nine ten")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [tuple(r) for r in queries.op6_decontamination(spark, str(tmp_path)).collect()]
+    assert got == [(1, True, 4, 1.0, [4, 5, 9])]
 
 
 def test_decontamination(spark):
