@@ -1,13 +1,14 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turn structs are collected and sorted, neighbours of one role are merged by an array
-aggregation, and the blocks are joined to one string:
+A conversation's turn structs are collected and sorted, neighbours of one role are merged by array
+functions, and the blocks are joined to one string:
 
     <|turn|>role\\ntext<|and|>text<|end|>\\n
 
 `<|and|>` stands between the texts of merged turns, so that reading back gives the turns as they were.
 The loss mask is an array of (start, length) spans, in characters of the formatted string, one for each
-assistant text.
+assistant text. Where texts start is a running sum over the turns, before they are collected: one exchange
+serves the sum and the collecting, and no step's work grows faster than the turns.
 
 Defined results. Null text: empty. Null role: the role `unknown`. Rows of one conversation are ordered by
 (turn, role, text), so ties have one order; repeated rows are turns of their own. Null conv_id: a
@@ -17,16 +18,15 @@ One conversation is one string, so its length is bounded by what a string can ho
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, AND, END = "<|turn|>", "<|and|>", "<|end|>"
 #: What no text may hold as it is. Only the first character is replaced.
 CONTROL = {"<|": "\\l|", "</s>": "\\l/s>", "<s>": "\\ls>", "[INST]": "\\sINST]", "[/INST]": "\\s/INST]"}
-TURN = "struct<turn:bigint,role:string,text:string>"
-BLOCK = "struct<role:string,texts:array<string>>"
 
 
 def escaped(text: Column) -> Column:
@@ -40,62 +40,40 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once: what a lambda takes from outside would be worked out for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def merged(turns: Column) -> Column:
-    """Blocks of neighbouring turns of one role. The state holds the closed blocks and the open one."""
-    empty = F.expr(f"cast(named_struct('done', array(), 'open', array()) as struct<done:array<{BLOCK}>,open:array<{BLOCK}>>)")
+    """Sorted turns to an array of blocks: arrays of neighbouring turns of one role."""
 
-    def step(state: Column, turn: Column) -> Column:
-        new = F.array(F.struct(turn.role.alias("role"), F.array(turn.text).alias("texts")))
-        last = F.get(state.open, F.lit(0))
-        longer = F.array(F.struct(last.role.alias("role"), F.concat(last.texts, F.array(turn.text)).alias("texts")))
-        return (
-            F.when((F.size(state.open) > 0) & (last.role == turn.role), F.struct(state.done.alias("done"), longer.alias("open")))
-            .otherwise(F.struct(F.concat(state.done, state.open).alias("done"), new.alias("open")))
-            .cast(f"struct<done:array<{BLOCK}>,open:array<{BLOCK}>>")
-        )
+    def blocks(known: Column) -> Column:
+        starts = F.filter(F.transform(known, lambda t, i: F.when(t.opens, i + 1)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.slice(known, i, F.coalesce(F.get(at, j + 1), F.size(known) + 1) - i)))
 
-    return F.aggregate(turns, empty, step, lambda s: F.concat(s.done, s.open))
+    return let(turns, blocks)
 
 
 def format_chats(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each conversation: conv_id, formatted, loss_spans."""
     rows = df.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(F.col(turn).cast("bigint").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
-    )
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    chats = chats.select("conv_id", merged(F.col("turns")).alias("blocks"))
-
-    def piece(b: Column) -> Column:
-        head = F.concat(F.lit(OPEN), F.replace(escaped(b.role), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
-        texts = F.transform(b.texts, escaped)
-        return F.struct(head.alias("head"), texts.alias("texts"), (b.role == "assistant").alias("learn"))
-
-    pieces = chats.select("conv_id", F.transform("blocks", piece).alias("pieces"))
-    whole = lambda p: F.concat(p["head"], F.array_join(p["texts"], AND), F.lit(f"{END}\n"))
-    formatted = F.array_join(F.transform("pieces", whole), "")
-    size = lambda p: (F.length(p["head"]) + F.aggregate(p["texts"], F.lit(0), lambda n, t: n + F.length(t)) + (F.size(p["texts"]) - 1) * len(AND) + len(END) + 1)
-    spans_type = "struct<at:int,spans:array<struct<start:int,length:int>>>"
-
-    def text_spans(start: Column, texts: Column) -> Column:
-        zero = F.struct(start.alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans")).cast(spans_type)
-        return F.aggregate(
-            texts,
-            zero,
-            lambda s, t: F.struct((s.at + F.length(t) + len(AND)).alias("at"), F.concat(s.spans, F.array(F.struct(s.at.alias("start"), F.length(t).alias("length")))).alias("spans")).cast(spans_type),
-            lambda s: s.spans,
-        )
-
-    spans = F.aggregate(
-        "pieces",
-        F.expr(f"cast(named_struct('at', 0, 'spans', array()) as {spans_type})"),
-        lambda s, p: F.struct(
-            (s.at + size(p)).alias("at"),
-            F.when(p.learn, F.concat(s.spans, text_spans(s.at + F.length(p["head"]), p["texts"]))).otherwise(s.spans).alias("spans"),
-        ).cast(spans_type),
-        lambda s: s.spans,
+        F.col(conv).alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    return pieces.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.select("conv_id", "role", F.row_number().over(order).alias("n"), F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True)).alias("opens"), escaped(F.col("text")).alias("text"))
+    head = F.concat(F.lit(OPEN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+    closing = F.when(F.col("n") > 1, len(END) + 1).otherwise(0)
+    before = F.when(F.col("opens"), closing + F.length(head)).otherwise(len(AND))
+    sizes = rows.select("*", head.alias("head"), before.alias("before"), F.length("text").alias("length"))
+    so_far = F.sum(F.col("before").cast("bigint") + F.col("length")).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.select("conv_id", F.struct("n", "role", "head", "text", "opens", (so_far - F.col("length")).alias("start"), "length").alias("t"))
+    chats = sizes.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    block = lambda b: F.concat(F.get(b, F.lit(0)).head, F.array_join(F.transform(b, lambda t: t.text), AND), F.lit(f"{END}\n"))
+    formatted = F.array_join(F.transform(merged(F.col("turns")), block), "")
+    learned = F.filter("turns", lambda t: t.role == "assistant")
+    spans = F.transform(learned, lambda t: F.struct(t.start.cast("int").alias("start"), t.length.alias("length")))
+    return chats.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -109,7 +87,9 @@ def read_back(chats: DataFrame) -> DataFrame:
         body = b.substr(at + 1, F.length(b) - at - len(END) - 1)
         return F.transform(F.split(body, "<\\|and\\|>"), lambda t: F.struct(role.alias("role"), unescaped(t).alias("text")))
 
-    learned = F.transform("loss_spans", lambda s: unescaped(F.col("formatted").substr(s.start + 1, s.length)))
+    # Four bytes a character, so that a span is cut out without counting characters from the start.
+    cut = lambda wide, s: F.decode(F.substring(wide, 4 * s.start + 1, 4 * s.length), "UTF-32")
+    learned = let(F.encode("formatted", "UTF-32"), lambda wide: F.transform("loss_spans", lambda s: unescaped(cut(wide, s))))
     return chats.select("conv_id", F.flatten(F.transform(blocks, turns)).alias("turns"), learned.alias("learned"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 

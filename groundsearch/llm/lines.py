@@ -9,7 +9,8 @@ has at most (mean distinct lines of its pages / max_ratio) boilerplate lines, wh
 joins its pages. The table of these arrays is written, measured, and broadcast up to BROADCAST_BYTES, so that
 pages are not shuffled at all; beyond it is joined by host, where Spark splits the pages of a frequent host.
 
-Defined results. Lines are compared without leading and trailing white space; empty lines always stay.
+Defined results. Lines are compared without leading and trailing ASCII white space; empty lines always stay.
+A host of fewer than `min_pages` pages loses no line. The column of counts has underscores before its name if there is one so called.
 Null text: it stays null. Null host: those pages form one host. Repeated rows are pages of their own.
 A page that loses all its lines stays with an empty text. All other columns are kept, whatever their names.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BROADCAST_BYTES = 16_000_000
+SPACE = " \t\n\x0b\f\r"
 #: Tags inside a line of text; all others end the line.
 INLINE_TAGS = r"(?i)</?(?:a|abbr|b|code|em|i|small|span|strong|sub|sup|u)(?:\s[^>]*)?>"
 BLOCKS = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>"
@@ -37,8 +39,13 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
+def bare(line: Column) -> Column:
+    """Without leading and trailing ASCII white space."""
+    return F.trim(line, F.lit(SPACE))
+
+
 def _key(line: Column) -> Column:
-    return F.unhex(F.md5(F.trim(line).cast("binary")))
+    return F.unhex(F.md5(bare(line).cast("binary")))
 
 
 def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source", max_ratio: float = 0.1, min_pages: int = 5, copies: bool = True, into: str = "line_stats") -> DataFrame:
@@ -49,9 +56,10 @@ def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source",
     """
     if not 0 < max_ratio < 1:
         raise ValueError("max_ratio must lie between 0 and 1")
+    into = common.fresh(df, into)
     key = F.struct(F.col(host).alias("host"))
     pages = df.select(key.alias("site"), F.split(text, "\n").alias("lines"))
-    distinct = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), _key))
+    distinct = F.array_distinct(F.transform(F.filter("lines", lambda x: bare(x) != ""), _key))
     if copies:
         seen = pages.select("site", F.explode(distinct).alias("line"))
         counted = pages
@@ -74,10 +82,10 @@ def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source",
     bad = F.broadcast(bad) if size <= BROADCAST_BYTES else bad
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("site")).join(bad, "site", "left")
     lines = F.split(F.col("row").getField(text), "\n")
-    kept = F.when(F.col("boilerplate").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("boilerplate", _key(x))))
+    kept = F.when(F.col("boilerplate").isNull(), lines).otherwise(F.filter(lines, lambda x: (bare(x) == "") | ~F.array_contains("boilerplate", _key(x))))
     rows = rows.select("row", lines.alias("lines"), kept.alias("kept"))
     if not copies:
-        rows = rows.select("row", "lines", F.when(F.exists("kept", lambda x: F.trim(x) != ""), F.col("kept")).otherwise(F.col("lines")).alias("kept"))
+        rows = rows.select("row", "lines", F.when(F.exists("kept", lambda x: bare(x) != ""), F.col("kept")).otherwise(F.col("lines")).alias("kept"))
     stats = F.struct(F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"), (F.coalesce(F.size("lines"), F.lit(0)) - F.coalesce(F.size("kept"), F.lit(0))).cast("bigint").alias("n_dropped"))
     out = [F.array_join("kept", "\n").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
     return rows.select(*out, stats.alias(into))

@@ -80,6 +80,7 @@ _ESCAPED = "replace({0}, chr(92), chr(92)||'b')"
 for _k, _v in chat.CONTROL.items():
     _ESCAPED = f"replace({_ESCAPED}, '{_k}', '{_v}')"
 
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP1_SQL = f"""
 with p as (
   select page_id, lower(regexp_extract(url, '{lines.HOST}', 1)) as host,
@@ -89,11 +90,11 @@ with p as (
 ), l as (
   select page_id, host, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from p
 ), seen as (
-  select host, trim(line) as line, count(distinct page_id) as n from l where trim(line) <> '' group by all
+  select host, trim(line, {_SPACE}) as line, count(distinct page_id) as n from l where trim(line, {_SPACE}) <> '' group by all
 ), bad as (
   select host, line from seen join (select host, count(*) as total from p group by host) using (host) where n >= 5 and n > 0.1::double * total
 ), marked as (
-  select l.page_id, l.line, l.pos, bad.line is not null as dropped from l left join bad on l.host = bad.host and trim(l.line) = bad.line
+  select l.page_id, l.line, l.pos, bad.line is not null as dropped from l left join bad on l.host = bad.host and trim(l.line, {_SPACE}) = bad.line
 )
 select page_id, p.host, coalesce(string_agg(marked.line, chr(10) order by pos) filter (where not dropped), '') as text,
   count(*) as n_lines, count(*) filter (where dropped) as n_dropped

@@ -45,6 +45,14 @@ def test_lines(spark):
         lines.drop_boilerplate(df, max_ratio=1.5)
 
 
+def test_lines_white_space_long_texts_and_clashes(spark):
+    rows = [(i, "h", "\tnav\r\nbody %d" % i) for i in range(4)] + [(i, "h", f" nav\x0b\n{'long ' * 100_000}{i}") for i in range(4, 8)]
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string").withColumn("line_stats", F.lit("mine"))
+    got = lines.drop_boilerplate(df, max_ratio=0.6)
+    assert got.columns == ["doc_id", "source", "text", "line_stats", "_line_stats"]
+    assert all(r._line_stats == (2, 1) and "nav" not in r.text for r in got.collect())
+
+
 def test_html_lines(spark):
     html = "<p>a <b>bold</b> x</p><script>var a='<p>';</script><!-- no --><div>c</div>"
     got = spark.createDataFrame([(html,)], ["h"]).select(F.regexp_replace(lines.html_lines(F.col("h")), "\n+", "|").alias("x")).first().x
@@ -393,6 +401,16 @@ def test_chats(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chats_of_many_turns_and_long_texts(spark):
+    turns = [(1, n, ("user", "assistant", "assistant")[n % 3], f"turn {n} é<|and|>") for n in range(20_000)] + [(2, 0, "assistant", "𝄞x" * 300_000)]
+    rows = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    for r in chat.digests(chat.format_chats(rows)).collect():
+        mine = [t for t in turns if t[0] == r.conv_id]
+        said = "".join(t[3] for t in mine if t[2] == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(mine), len(said), hashlib.sha256(said.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in mine).encode()).hexdigest()
+
+
 # 10
 
 
