@@ -2,25 +2,28 @@
 
 Fitting uses a bounded sample (`sample_rows`); every vector is indexed. Equal vectors are one entry that keeps
 the k + 1 smallest ids, which is all that any answer can hold of them, so a vector shared by a third of all
-rows costs one entry and one search. Large cells are cut into chunks of `chunk_rows`, chunks are dealt over
-shards of about as many rows. Queries are a stated set, in blocks of about `query_rows`: each goes to the shards
-with the list of its nearest cells, is scored against those cells' residual codes through its table of
-distances, and the best codes of all shards are scored exactly on the original vectors, in double precision.
+rows costs one entry and one search. Neighbouring cells share a shard of about `chunk_rows` entries, and a larger cell
+is cut over several. Queries are a stated set, in blocks of about `query_rows`: each goes to the shards that hold a cell
+it probes, is scored against those cells' residual codes through its table of distances, and the best codes of all
+shards are scored exactly on the original vectors, in double precision: the `rerank` best, with all that tie with the
+last, and all that lie within `margin` times the code's error of the k-th, as in a clump of vectors that are almost equal.
 
 Probing: the nearest cells until `probe_share` of the cells, and at least `probe_cells`, and `rerank` entries
-are reached. Model, cell sizes: at most 4,096 centroids and 256 codes a subspace, so what is broadcast is bounded.
+are reached. Model, cell sizes: at most MAX_CELLS centroids and 256 codes a subspace, so what is broadcast is bounded.
 
-Defined results. Vectors that are null, zero, hold null or non-finite components, or differ in length from the
-longest of the sample, and rows without an id, take no part. Repeated rows (id and vector) count once. Ties
-go to the smaller id. Fewer candidates than k: all of them. An empty table gives an empty result.
+Defined results. Vectors that are null, zero, hold null or non-finite components, or differ in length from most of
+the sample (of two lengths as frequent, the longer), and rows without an id, take no part. Repeated rows (id and
+vector) count once. Ties go to the smaller id. Fewer candidates than k: all of them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,14 +52,34 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, rows: int, subspaces: int, seed: int = 7) -> dict[str, np.ndarray]:
-    """Centroids of unit vectors, about the square root of the rows, and code books of the residuals' subspaces."""
-    cells = max(1, min(MAX_CELLS, int(rows**0.5), len(sample)))
+    """Centroids of unit vectors, about four times the square root of the rows, and code books of the residuals' subspaces."""
+    cells = max(1, min(MAX_CELLS, int(4 * rows**0.5), len(sample) // 4))
     centres = kmeans(sample, cells, 8, seed)
     residual = sample - centres[nearest(sample, centres)]
     dim = sample.shape[1]
     m = max(d for d in range(1, min(subspaces, dim) + 1) if dim % d == 0)
     books = np.stack([_padded(kmeans(np.ascontiguousarray(part), 256, 6, seed)) for part in np.split(residual[:16_384], m, axis=1)])
-    return {"centres": centres.astype(np.float32), "books": books.astype(np.float32)}
+    near = np.concatenate([b[nearest(np.ascontiguousarray(p), b)] for p, b in zip(np.split(residual, m, axis=1), books, strict=True)], axis=1)
+    error = np.sqrt(((residual - near) ** 2).sum(1).mean() / dim)  # of a code, in one direction
+    return {"centres": centres.astype(np.float32), "books": books.astype(np.float32), "error": float(error)}
+
+
+def laid_out(model: dict[str, np.ndarray], sizes: np.ndarray, chunk_rows: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's first shard, and over how many it is cut. Cells follow their centroids' main direction, so that neighbours meet."""
+    centres = model["centres"].astype(np.float64)
+    way = np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0]
+    order, cut = np.argsort(centres @ way, kind="stable"), np.maximum(1, -(-sizes // chunk_rows))
+    room = max(1, min(chunk_rows, -(-int(sizes.sum()) // shards)))
+    first, shard, held = np.zeros(len(sizes), np.int64), 0, 0
+    for cell in order.tolist():
+        if cut[cell] > 1 or held and held + sizes[cell] > room:
+            shard, held = shard + (held > 0), 0
+        first[cell] = shard
+        if cut[cell] > 1:
+            shard += int(cut[cell])
+        else:
+            held += int(sizes[cell])
+    return first, cut
 
 
 def _padded(book: np.ndarray) -> np.ndarray:
@@ -71,6 +94,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All of first .. first + n - 1."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
@@ -89,12 +117,13 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample_rows: int = 40_000,
-    subspaces: int = 16,
-    probe_cells: int = 24,
-    probe_share: float = 0.6,
+    subspaces: int = 32,
+    probe_cells: int = 8,
+    probe_share: float = 0.4,
     rerank: int = 160,
-    chunk_rows: int = 8192,
-    query_rows: int = 4096,
+    margin: float = 4.0,
+    chunk_rows: int = 32_768,
+    query_rows: int = 16_384,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found."""
     spark = vectors.sparkSession
@@ -105,9 +134,10 @@ def search(
     entries = common.written(entries.select(F.get("ids", F.lit(0)).alias("entry"), "ids", "vector"), "entries")
     rows = entries.count()
     sample = entries.select("vector").orderBy(F.xxhash64("entry")).limit(sample_rows).toArrow().column("vector").combine_chunks()
-    dim = max((len(v) for v in sample), default=0)
+    lengths = Counter(pa.compute.list_value_length(sample).to_pylist())
+    dim = max(lengths, key=lambda n: (lengths[n], n), default=0)
     entries = entries.where(F.size("vector") == dim)
-    model = fit(_matrix(sample.filter(pa.compute.equal(pa.compute.list_value_length(sample), dim))), rows, subspaces) if rows else {"centres": np.zeros((1, 1), np.float32), "books": np.zeros((1, 256, 1), np.float32)}
+    model = fit(_matrix(sample.filter(pa.compute.equal(pa.compute.list_value_length(sample), dim))), rows, subspaces) if rows else {"centres": np.zeros((1, 1), np.float32), "books": np.zeros((1, 256, 1), np.float32), "error": 0.0}
     shared = spark.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +153,8 @@ def search(
     sizes = np.zeros(len(model["centres"]), dtype=np.int64)
     for r in index.groupBy("cell").count().collect():  # at most MAX_CELLS rows
         sizes[r["cell"]] = r["count"]
-    chunks = np.maximum(1, -(-sizes // chunk_rows))
-    chunk_count = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), (F.col("cell") + 1).cast("int")) if chunks.max() > 1 else F.lit(1)
-    index = index.withColumn("chunk", F.pmod(F.xxhash64("entry"), chunk_count).cast("bigint"))
-    shards = max(common.partitions(spark), -(-rows // chunk_rows))
-    shard_of = lambda: F.pmod(F.hash("cell", "chunk"), F.lit(shards)).cast("bigint")
+    first_shard, cut = laid_out(model, sizes, chunk_rows, common.partitions(spark))
+    places = spark.createDataFrame([(c, int(f), int(n)) for c, (f, n) in enumerate(zip(first_shard, cut, strict=True))], "cell bigint, first_shard bigint, cut bigint")  # at most MAX_CELLS rows
     queries = common.written(clean.where("asks").select("vec_id", "vector").distinct().join(entries.select("entry", "vector"), "vector").select("vec_id", "entry"), "queries")
     asked = common.written(queries.select("entry").distinct().join(entries.select("entry", "vector"), "entry"), "asked")
     blocks = max(1, -(-asked.count() // query_rows))
@@ -147,11 +174,15 @@ def search(
             bits = np.zeros(order.shape, bool)
             np.put_along_axis(bits, order, np.arange(order.shape[1]) < enough[:, None], axis=1)
             packed = np.packbits(bits, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([u.tobytes() for u in x], pa.binary()), pa.array([p.tobytes() for p in packed], pa.binary())], ["query", "unit", "cells"])
+            held = [np.unique(ranges(first_shard[b], cut[b])) for b in bits]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([u.tobytes() for u in x], pa.binary()), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(held, pa.list_(pa.int64()))], ["query", "unit", "cells", "shards"])
+
+    probes = asked.select("entry", "vector").mapInArrow(tidy(probe), "query bigint, unit binary, cells binary, shards array<bigint>")
+    probes = probes.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("bigint")).withColumn("shard", F.explode("shards")).drop("shards")
+    shard = (F.col("first_shard") + F.pmod(F.xxhash64("entry"), F.col("cut"))).alias("shard")
+    index = index.join(F.broadcast(places), "cell").select("entry", "cell", "code", shard, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"))
 
-    probes = asked.select("entry", "vector").mapInArrow(tidy(probe), "query bigint, unit binary, cells binary")
-    probes = probes.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("bigint")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
-    index = index.withColumn("shard", shard_of()).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    slack = margin * model["error"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         """The best codes of a shard's cells for each query that probes them."""
@@ -171,17 +202,18 @@ def search(
                 for c in codes:
                     near = near + tables[c[at]]
                 if len(near) > rerank:
-                    keep = near >= np.partition(near, -rerank)[-rerank]
+                    last, kth = np.partition(near, (-rerank, -k - 1))[[-rerank, -k - 1]]
+                    keep = near >= min(last, kth - slack)
                     at, near = at[keep], near[keep]
-                best = np.lexsort((entry[at], -near))[:rerank]
-                out[0].append(np.full(len(best), query))
-                out[1].append(entry[at[best]])
-                out[2].append(near[best].astype(np.float32))
+                out[0].append(np.full(len(at), query))
+                out[1].append(entry[at])
+                out[2].append(near.astype(np.float32))
         return pa.table({"query": np.concatenate(out[0]), "entry": np.concatenate(out[1]), "near": np.concatenate(out[2])})
 
     scored = index.groupBy("shard", "block").cogroup(probes.groupBy("shard", "block")).applyInArrow(score, "query bigint, entry bigint, near float")
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "entry"))
-    candidates = scored.withColumn("n", best).where(F.col("n") <= rerank).select("query", "entry").unionByName(asked.selectExpr("entry as query", "entry")).distinct()
+    best = F.rank().over(Window.partitionBy("query").orderBy(F.desc("near")))  # ties with the last stay
+    kth = F.min(F.when(F.col("n") <= k + 1, F.col("near"))).over(Window.partitionBy("query"))
+    candidates = scored.withColumn("n", best).withColumn("kth", kth).where((F.col("n") <= rerank) | (F.col("near") >= F.col("kth") - slack)).select("query", "entry").unionByName(asked.selectExpr("entry as query", "entry")).distinct()
     vector_of = lambda name, other: entries.selectExpr(f"entry as {name}", f"vector as {other}")
     exact = candidates.join(vector_of("query", "a"), "query").join(entries.select("entry", "ids", F.col("vector").alias("b")), "entry").select("query", cosine(F.col("a"), F.col("b")).alias("score"), F.explode("ids").alias("vec_id"))
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))

@@ -88,6 +88,43 @@ def test_ann(spark, rows):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def recall(spark, ids, x, **more):
+    """Share of the five nearest, by brute force, that the operator finds for ids divisible by 50."""
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<float>")
+    found = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, k=5, **more).collect():
+        found[r.query_id].add(r.vec_id)
+    unit = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = total = 0
+    for at in np.flatnonzero(ids % 50 == 0):
+        near = unit @ unit[at]
+        near[at] = -9
+        best = np.argpartition(-near, 5)[:5]
+        hits, total = hits + len(found[ids[at]] & set(ids[best].tolist())), total + 5
+    return hits / total
+
+
+def test_ann_recall_where_not_all_cells_are_probed(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    assert recall(spark, np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32)) >= 0.9
+    rng = np.random.default_rng(3)
+    assert recall(spark, np.arange(10_240), rng.normal(size=(10_240, 64)).astype(np.float32), chunk_rows=1000, query_rows=100) >= 0.9
+
+
+def test_ann_in_a_dense_clump(spark):
+    """Half of the vectors differ by a thousandth, less than codes tell apart: what is lost is lost to cells that are not probed."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5000, 16)).astype(np.float32)
+    x[:2500] = x[0] * (1 + 1e-3 * rng.normal(size=(2500, 16)))
+    assert recall(spark, np.arange(5000), x) >= 0.7 and recall(spark, np.arange(5000), x, probe_share=1.0) >= 0.95
+
+
+def test_ann_vectors_of_another_length(spark):
+    x = [(i, [float(i % 7), 1.0, float(i % 5)]) for i in range(60)] + [(1000, [1.0] * 5), (1050, [])]
+    got = ann.search(spark.createDataFrame(x, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert {r.query_id for r in got} == {0, 50} and len(got) == 10
+
+
 # 3
 
 
