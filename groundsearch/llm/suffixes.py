@@ -8,19 +8,23 @@ UTF-8 bytes, and matches never cross documents.
    leftmost of equals; equal strings have equal anchors at one offset. Contents send the hashes of their anchors to
    groups by hash; anchors that occur in two contents or more come back to the contents that hold them.
 3. The least document of such a content sends each repeated anchor's strings, which start next to each other, to the
-   anchor's bucket, as one stretch of bytes. All suffixes that can match meet in one bucket.
-4. A bucket's suffixes are sorted by difference cover: rows are laid out with their anchors in one column; the
-   suffixes at the columns of the cover {0, 1, 2, 4} modulo 8 are ranked first, right to left; any other suffix is
-   sorted by its first eight bytes and then by the rank of a cover suffix less than eight columns on. Neighbours in
-   that order are compared on `length` bytes. Rolling hashes first leave out suffixes that have no partner.
+   anchor's group, as one stretch of bytes. All suffixes that can match meet in one group.
+4. A group's stretches are one text. Its suffixes at the positions of the difference cover {0, 1, 2, 4} modulo 8 are ranked
+   first, by doubling. All suffixes are then sorted one bucket at a time, those of one first byte: by eight bytes, and
+   where these tie by the ranks of the sampled suffixes at a distance less than eight at which both meet the cover.
+   Neighbours in that order with a common prefix of `length` bytes are one string. Rolling hashes first leave out
+   stretches that hold no string twice.
 5. Each document takes the union of its removed strings.
 
-Skew. An anchor that many documents of one slice hold is hot everywhere: each of its strings goes to a bucket of its
+Why not all suffixes: sending every suffix to its bucket shuffles over ten bytes for each byte of text. Anchors leave
+the suffixes that can match, and what is sorted is still every one of these.
+
+Skew. An anchor that many documents of one slice, or of all, hold is hot: each of its strings goes to a bucket of its
 own content, after equal strings of the slice have become one (the least document's first; those of other documents are
 decided on the spot, and its own further ones, as runs, share the first's fate). So no task collects a frequent passage, line or copy. Buckets and slices are bounded in bytes on average.
 
 Defined results. Null text: empty. Null ids: such a document loses nothing and takes nothing. Repeated rows of one
-id don't count against each other. An empty table gives an empty result. Further columns are ignored.
+id have one text and don't count against each other. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +42,13 @@ from .common import tidy, tidy_group
 
 P = 0x9E3779B97F4A7C15
 MARK = np.uint64(2**64 - 1)
-#: Documents of one slice that make an anchor hot; bytes of a slice, of a stretch worked on at once, and of text for each bucket.
-HOT, SLICE, PART, BUCKET = 48, 6_000_000, 100_000, 12_000_000
+#: Documents of one slice, or of all, that make an anchor hot; bytes of a slice, of a stretch worked on at once, and of text for each bucket.
+HOT, OFTEN, SLICE, PART, BUCKET = 48, 1000, 6_000_000, 100_000, 5_000_000
 BITS = 26
-COVER = (0, 1, 2, 4)
+#: Contents that hold more than one in so many documents are joined by a broadcast.
+FREQUENT = 100_000
+#: Any two positions come, less than PERIOD bytes on, both to residues of the cover.
+COVER, PERIOD = (0, 1, 2, 4), 8
 
 
 def sliding(values: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
@@ -217,7 +224,7 @@ def repeated_anchors(texts: DataFrame, length: int, k: int, groups: int) -> Data
         size = np.diff(np.append(edge, len(h)))
         most = np.maximum.reduceat(key, edge) if len(edge) else key
         repeated = np.repeat(most != np.minimum.reduceat(key, edge), size) if len(edge) else np.empty(0, bool)
-        hot = np.repeat(most == MARK, size)
+        hot = np.repeat((most == MARK) | (size >= OFTEN), size)
         mine = key != MARK
         # A marker alone says that other contents hold the anchor; this group's contents with it are hot.
         all_h = np.concatenate([h[mine & repeated], from_six(sure)])
@@ -243,20 +250,20 @@ def string_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     return (total[starts + length] - total[starts]) * down[starts]
 
 
-def pack_rows(doc: np.ndarray, start: np.ndarray, column: np.ndarray, count: np.ndarray, data: bytes) -> bytes:
+def pack_rows(doc: np.ndarray, start: np.ndarray, count: np.ndarray, data: bytes) -> bytes:
     import zstandard
 
     head = np.array([len(doc)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + doc.astype("<i8").tobytes() + start.astype("<u4").tobytes() + column.astype("u1").tobytes() + count.astype("u1").tobytes() + data)
+    return zstandard.ZstdCompressor(level=1).compress(head + doc.astype("<i8").tobytes() + start.astype("<u4").tobytes() + count.astype("u1").tobytes() + data)
 
 
-def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<u8", 1)[0])
     at, out = 8, []
-    for dtype, width in (("<i8", 8), ("<u4", 4), ("u1", 1), ("u1", 1)):
+    for dtype, width in (("<i8", 8), ("<u4", 4), ("u1", 1)):
         out.append(np.frombuffer(raw, dtype, n, at).astype(np.int64))
         at += width * n
     return (*out, np.frombuffer(raw, np.uint8, -1, at))
@@ -269,7 +276,6 @@ def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame
     its own document (doc_id, start there, first, last).
     """
     low48 = np.uint64((1 << 48) - 1)
-    reach = length - k
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -280,7 +286,7 @@ def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
             raw = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 7) for x in batch.column(batch.schema.get_field_index("marks"))]
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            h, position, start, count, text = anchored(texts, length, k)
+            h, _, start, count, text = anchored(texts, length, k)
             h = h & low48
             # Which anchors are marked, by text and hash. A slice has fewer than 65,536 texts: all have `length` bytes.
             marks = np.concatenate(raw)
@@ -291,7 +297,7 @@ def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame
             kind = np.where(known[at] == wanted, 1 + marks[at, 6].astype(np.int8), 0)
             mine = kind > 0
             h, start, count, text, kind = h[mine], start[mine], count[mine], text[mine], kind[mine]
-            column, doc, base = reach - (position[mine] - start), ids[text], (np.cumsum(sizes) - sizes)[text]
+            doc, base = ids[text], (np.cumsum(sizes) - sizes)[text]
             data = np.concatenate(texts)
             cold, warm = kind == 1, np.flatnonzero(kind == 2)
             # A hot anchor's strings go one by one.
@@ -300,7 +306,7 @@ def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame
             s = start[of] + step
             value = string_hashes(data, s + base[of], length) if len(of) else np.empty(0, np.uint64)
             order = np.lexsort((s, doc[of], value))
-            of, step, s, value = of[order], step[order], s[order], value[order]
+            of, s, value = of[order], s[order], value[order]
             first = np.concatenate(([True], value[1:] != value[:-1])) if len(value) else np.empty(0, bool)
             leader = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0)) if len(first) else np.empty(0, np.int64)
             same = np.ones(len(s), bool)  # hashes propose, bytes decide
@@ -320,8 +326,8 @@ def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame
             further = {g: r.tobytes() for g, (r,) in _dealt(group_of(value[lead[fresh]], groups), groups, runs)}
             grp = np.concatenate([group_of(h[cold], groups), group_of(value[keep], groups)])
             at = np.concatenate([(start + base)[cold], (s + base[of])[keep]])
-            columns = [np.concatenate(x) for x in ((doc[cold], doc[of[keep]]), (start[cold], s[keep]), (column[cold], (column[of] + step)[keep]), (count[cold], np.ones(int(keep.sum()), np.int64)))]
-            out = [(g, pack_rows(a, b, c, d, data[ragged(e, d + length - 1)].tobytes()), b"", further.get(g, b"")) for g, (a, b, c, d, e) in _dealt(grp, groups, *columns, at)]
+            columns = [np.concatenate(x) for x in ((doc[cold], doc[of[keep]]), (start[cold], s[keep]), (count[cold], np.ones(int(keep.sum()), np.int64)))]
+            out = [(g, pack_rows(a, b, c, data[ragged(e, c + length - 1)].tobytes()), b"", further.get(g, b"")) for g, (a, b, c, e) in _dealt(grp, groups, *columns, at)]
             if len(decided_rows):
                 out.append((int(decided_rows[0, 0]) % groups, b"", decided_rows.tobytes(), b""))
             if out:
@@ -330,64 +336,110 @@ def bucket_rows(texts: DataFrame, length: int, k: int, groups: int) -> DataFrame
     return texts.mapInArrow(tidy(send, 2 * SLICE), "grp bigint, rows binary, decided binary, further binary")
 
 
-def dense(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1].astype(np.uint64)
+def sorted_by(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys of so many bits, and whether each in that order differs from the last. Keys that leave room are sorted with their places in them, which is several times faster."""
+    room = max(1, len(key) - 1).bit_length()
+    if bits + room <= 64:
+        packed = np.sort(key << np.uint64(room) | np.arange(len(key), dtype=np.uint64))
+        order, key = (packed & np.uint64((1 << room) - 1)).astype(np.int64), packed >> np.uint64(room)
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    return order, np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+
+
+def dense(key: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Ranks from 0, equal ones for equal keys."""
+    room = max(1, len(key) - 1).bit_length()
+    if bits > 64 - room and 3 * room <= 64 and bits <= 64:  # the upper bits first, then what is left
+        key = dense(key >> np.uint64(room), 64 - room) << np.uint64(room) | key & np.uint64((1 << room) - 1)
+        bits = 2 * room
+    order, new = sorted_by(key, bits)
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(new, dtype=np.uint64) - np.uint64(1)
+    return out
+
+
+class Sampled:
+    """Ranks of the suffixes at the difference cover's positions of a text, by their first `depth` bytes, which are `length` or more."""
+
+    def __init__(self, data: np.ndarray, length: int):
+        padded = np.concatenate((data, np.zeros(-len(data) % PERIOD + 2 * length + 4 * PERIOD, np.uint8)))
+        self.words = np.ndarray((len(padded) - 8,), ">u8", padded, strides=(1,))
+        step, place = len(COVER), np.arange((len(data) // PERIOD + 2) * PERIOD).reshape(-1, PERIOD)
+        rank, depth = dense(self.words[place[:, COVER].ravel()].astype(np.uint64)), 8
+        while depth < length:  # a sampled suffix is followed, `depth` bytes on, by another
+            on = depth // PERIOD * step
+            width = len(rank).bit_length()
+            rank, depth = dense(rank << np.uint64(width) | np.concatenate((rank[on:], np.zeros(min(on, len(rank)), np.uint64))), 2 * width), 2 * depth
+        self.rank = np.zeros(place.size + PERIOD, np.uint64)
+        self.rank[place[:, COVER].ravel()] = rank
+        self.width = len(rank).bit_length()
+
+
+def to_cover(r: int, s: int) -> int:
+    """How many bytes on both residues lie in the cover."""
+    return next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (s + d) % PERIOD in COVER)
 
 
-def matched(doc: np.ndarray, column: np.ndarray, count: np.ndarray, data: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the strings that a smaller document holds too.
+def sorted_bucket(text: Sampled, at: np.ndarray) -> np.ndarray:
+    """Suffixes in order, to `length` bytes or more: by their first eight, ties by the ranks of sampled suffixes at one distance.
 
-    Row i's bytes are laid out from column[i] on, so that anchors stand in one column; its strings start at
-    column[i] .. column[i] + count[i] - 1.
+    Suffixes of one residue are sorted at once; any two residues are merged at the distance at which both meet the cover.
     """
-    width = -(-(reach + length) // 8) * 8 + 8
+    first, residue = dense(text.words[at].astype(np.uint64)) << np.uint64(text.width), at % PERIOD
+    bits = text.width + len(at).bit_length()
+    classes = []
+    for r in range(PERIOD):
+        mine = np.flatnonzero(residue == r)
+        classes.append(mine[sorted_by(first[mine] | text.rank[at[mine] + to_cover(r, r)], bits)[0]])
+    place = np.zeros(len(at), np.int64)
+    for r in range(PERIOD):
+        place[classes[r]] += np.arange(len(classes[r]))
+        for s in range(r):
+            x, y, on = classes[r], classes[s], to_cover(r, s)
+            a, b = first[x] | text.rank[at[x] + on], first[y] | text.rank[at[y] + on]
+            place[x] += np.searchsorted(b, a, "right")
+            place[y] += np.searchsorted(a, b, "left")
+    return at[sorted_by(place.astype(np.uint64), len(at).bit_length())[0]]
+
+
+def matched(doc: np.ndarray, count: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and offsets of the strings that a smaller document holds too. Row i has count[i] strings, in count[i] + length - 1 bytes of data."""
     size = count + length - 1
-    grid = np.zeros((len(doc), width), np.uint8)
-    grid[np.repeat(np.arange(len(doc)), size), ragged(column, size)] = data
-    # Rolling hashes leave the strings that some other row holds at the same column.
-    total, sums, chosen = np.zeros(len(doc), np.uint64), [], []
-    power = np.uint64(pow(P, length, 1 << 64))
-    for stop in range(reach + length + 1):
-        if stop <= reach:
-            sums.append(total)
-        if stop >= length:
-            c = stop - length
-            rows = np.flatnonzero((column <= c) & (c < column + count))
-            value = total[rows] - sums[c][rows] * power
-            order = np.argsort(value)
-            twin = value[order][1:] == value[order][:-1]
-            chosen.append(np.sort(rows[order[np.concatenate((twin, [False])) | np.concatenate(([False], twin))]]) if len(rows) else rows)
-        total = total * np.uint64(P) + grid[:, stop] + np.uint64(1)
-    del sums, total
-    live = np.unique(np.concatenate(chosen))
-    grid, where = grid[live], np.zeros(len(doc), np.int64)
-    where[live] = np.arange(len(live))
-    word = lambda c: np.ascontiguousarray(grid[:, c : c + 8]).view(">u8").ravel().astype(np.uint64)
-    # Ranks of the cover's suffixes, each from the one eight columns on.
-    rank: dict[int, np.ndarray] = {}
-    for c in range(width - 8, -1, -1):
-        if c % 8 in COVER:
-            rank[c] = dense(word(c)) << np.uint64(32) | rank[c + 8] if c + 8 in rank else word(c)
-            rank[c] = dense(rank[c])
-    found_rows, found_columns = [], []
-    for c, rows in enumerate(chosen):
-        if len(rows) < 2:
+    base = np.cumsum(size) - size
+    # Rows of which no string's rolling hash occurs twice have no part in the sorting.
+    row, starts = np.repeat(np.arange(len(doc)), count), ragged(base, count)
+    order, new = sorted_by(string_hashes(data, starts, length) >> np.uint64(24), 40)
+    twin = np.flatnonzero(~new)
+    live = np.zeros(len(doc), bool)
+    live[row[order[twin]]] = live[row[order[twin - 1]]] = True
+    del order, twin, starts, row
+    keep = np.flatnonzero(live)
+    if not len(keep):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    data, doc, count, size = data[ragged(base[keep], size[keep])], doc[keep], count[keep], size[keep]
+    base, text = np.cumsum(size) - size, Sampled(data, length)
+    row, at = np.repeat(np.arange(len(doc)), count), ragged(base, count)
+    owner = np.zeros(len(data), np.int32)
+    owner[at] = row
+    found = [np.empty(0, np.int64)]
+    by = np.argsort(data[at], kind="stable")
+    edge = np.searchsorted(data[at][by], np.arange(257))
+    for a, b in zip(edge, edge[1:], strict=False):  # one bucket of suffixes, those of one first byte, at a time
+        if b - a < 2:
             continue
-        at = where[rows]
-        step = next(d for d in range(1, 8) if (c + d) % 8 in COVER)
-        order = np.lexsort((rank[c + step][at], word(c)[at]))  # the suffixes of this column, in order
-        at, rows = at[order], rows[order]
-        equal = np.ones(len(at) - 1, bool)
-        for x in [*range(c, c + length - 7, 8), c + length - 8]:
-            w = word(x)[at]
+        suffix = sorted_bucket(text, at[by[a:b]])
+        equal = np.ones(len(suffix) - 1, bool)  # neighbours whose common prefix has `length` bytes
+        for x in [*range(0, length - 7, 8), length - 8]:
+            w = text.words[suffix + x]
             equal &= w[1:] == w[:-1]
-        edge = np.flatnonzero(np.concatenate(([True], ~equal)))
-        least = np.repeat(np.minimum.reduceat(doc[rows], edge), np.diff(np.append(edge, len(rows))))
-        hit = rows[doc[rows] > least]
-        found_rows.append(hit)
-        found_columns.append(np.full(len(hit), c))
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *found_rows]), np.concatenate([none, *found_columns])
+        runs = np.flatnonzero(np.concatenate(([True], ~equal)))
+        of = doc[owner[suffix]]
+        least = np.repeat(np.minimum.reduceat(of, runs), np.diff(np.append(runs, len(suffix))))
+        found.append(suffix[of > least])
+    hit = np.concatenate(found)
+    return keep[owner[hit]], hit - base[owner[hit]]
 
 
 def runs_by_document(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -403,17 +455,16 @@ def runs_by_document(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, li
 
 def removed_runs(rows: DataFrame, length: int, k: int, groups: int) -> DataFrame:
     """doc_id, runs: strings to remove."""
-    reach = length - k
 
     def resolve(bucket: pa.Table) -> pa.Table:
         docs, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         parts = [unpack_rows(b) for b in bucket.column("rows").to_pylist() if b]
         if parts:
-            doc, start, column, count, data = (np.concatenate(c) for c in zip(*parts, strict=True))
+            doc, start, count, data = (np.concatenate(c) for c in zip(*parts, strict=True))
             del parts
-            row, c = matched(doc, column, count, data, length, reach)
+            row, on = matched(doc, count, data, length)
             docs.append(doc[row])
-            starts.append(start[row] + c - column[row])
+            starts.append(start[row] + on)
             further = np.frombuffer(b"".join(bucket.column("further").to_pylist()), "<i8").reshape(-1, 4)
             if len(further):
                 pair = np.concatenate([np.stack([docs[1], starts[1]], axis=1), further[:, :2]])
@@ -499,7 +550,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     texts = texts.select("data", "doc_id", F.xxhash64("data").alias("key"), F.octet_length("data").cast("bigint").alias("size"))
     meta = common.written(texts.select("doc_id", "key", "size", F.unhex(F.sha2("data", 256)).alias("sha")), "contents")
     groups = max(common.partitions(spark), -(-(meta.agg(F.sum("size")).first()[0] or 0) // BUCKET))
-    least = meta.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("least"), F.first("key").alias("key"))
+    least = meta.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("least"), F.first("key").alias("key"), F.count("*").alias("copies"))
     long_enough = texts.where((F.col("size") >= length) & F.col("doc_id").isNotNull())
     lists = repeated_anchors(long_enough.select("data", "key", "size"), length, k, groups)
     lists = lists.join(least.select(F.col("key").alias("key"), F.col("least").alias("doc_id")), "key")
@@ -509,7 +560,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     touched = compressed(long_enough.select("data", "doc_id", "key", "size", bit), bit_table(runs, "doc_id")).drop("bit")
     firsts = least.select(F.col("least").alias("doc_id"), "key")
     cut = cut_texts(touched.join(runs.join(firsts, "doc_id"), ["doc_id", "key"]).select("data", "doc_id", "key", "size", "runs"), length).dropDuplicates(["doc_id", "key"])
-    whole = meta.join(least.select("sha", "least"), "sha", "left").join(cut, ["doc_id", "key"], "left")
+    frequent = common.written(least.where(F.col("copies") > F.greatest(F.lit(1000), F.lit(meta.count()) / FREQUENT)).select("sha", "least"), "frequent")
+    rare = meta.join(F.broadcast(frequent), "sha", "left_anti").join(least.select("sha", "least"), "sha", "left")  # at most FREQUENT rows are broadcast
+    whole = meta.join(F.broadcast(frequent), "sha").unionByName(rare).join(cut, ["doc_id", "key"], "left")
     copy = F.coalesce((F.col("doc_id") > F.col("least")) & (F.col("size") >= length), F.lit(False))
     return whole.select(
         "doc_id",
