@@ -37,7 +37,7 @@ SEED = 42
 GOLAY = 0b101011100011
 LENGTH, MESSAGE, RADIUS = 23, 12, 3
 #: Copies that one group of anchors should hold: 12 bytes each.
-GROUP_COPIES = 2_000_000
+GROUP_COPIES = 600_000
 #: Anchors with more fingerprints than this are resolved one by one.
 SMALL = 24
 
@@ -215,8 +215,8 @@ def links(fps: DataFrame, *, t: int = 2) -> DataFrame:
         golay = code(RADIUS + t)
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
-            for start in range(0, len(values), 10_000):
-                part = values[start : start + 10_000]
+            for start in range(0, len(values), 4_000):
+                part = values[start : start + 4_000]
                 row, anchor = anchors(part, t, golay)
                 group = ((anchor * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)
                 order = np.argsort(group, kind="stable")

@@ -7,8 +7,8 @@ Proposals only save work; what links two texts is always their similarity over d
 2. Prefix filter, for what two bits miss. Shingles have one order, the rare ones first, by counts of 2^20 cells; of a text x
    of |x| shingles the first |x| - ceil(least |x|) + k are its prefix. Of two texts, let x be the one whose prefix ends
    first in the order: what of that prefix is not in the other's is not in the other at all. So two texts share no more
-   than their common prefix shingles and the larger of what stands behind the prefixes, nor more than the larger of the
-   rests; a rest is what a text holds besides prefix shingles that no other prefix has. Both bounds prune, and miss none.
+   than their common prefix shingles and what stands behind x's prefix, nor more than x's rest: what it holds besides
+   prefix shingles that no other prefix has. Both bounds prune, and miss none.
 3. Hubs: in each shingle's list the text that shares most is the hub; each text of another component proposes the hub that
    most of its lists name. A family of near-copies becomes a component so, for one pair a text.
 4. All other pairs: texts of different components that meet in k lists, whatever their number. Within a component
@@ -88,7 +88,7 @@ def contents(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             prints = np.array([simhash.fingerprint(t, words) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content.view(np.int64)), pa.array(prints.view(np.int64))], ["doc_id", "content", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id bigint, content bigint, fingerprint bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, 1_000_000), "doc_id bigint, content bigint, fingerprint bigint")
 
 
 class Sets:
@@ -96,12 +96,18 @@ class Sets:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str):
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-        self.nodes, self.words = nodes, words
+        self.nodes, self.words, self.shared = nodes, words, []
+
+    def free(self) -> None:
+        """Takes back the filters of tables that are written by now."""
+        while self.shared:
+            self.shared.pop().destroy()
 
     def each(self, wanted: DataFrame, then: Callable, schema: str) -> DataFrame:
         """What `then` makes of batches of (doc_id, content, shingles). Documents that are not `wanted` (doc_id) are left out by a filter of fixed size, which lets some pass."""
         spark, words = self.docs.sparkSession, self.words
         shared = spark.sparkContext.broadcast(bit_table(wanted, "doc_id"))
+        self.shared.append(shared)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
@@ -118,7 +124,7 @@ class Sets:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "content", "shingles"])
 
         rows = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS)).alias("bit"))
-        return rows.mapInArrow(tidy(lambda batches: then(run(batches)), 1_000_000), schema)
+        return rows.mapInArrow(tidy(lambda batches: then(run(batches)), 400_000), schema)
 
     def of(self, contents: DataFrame, then: Callable, columns: str) -> DataFrame:
         """One row (content, `columns`) for each of `contents`, a subset of the nodes."""
@@ -129,6 +135,7 @@ class Sets:
         """The pairs (a, b) of similarity `least` or more."""
         ends = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
         sets = common.written(self.of(ends, lambda rows: rows, "shingles array<bigint>"), "shingles")
+        self.free()
         side = lambda name, other: sets.select(F.col("content").alias(name), F.col("shingles").alias(other))
         shared = F.size(F.array_intersect("x", "y"))
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
@@ -161,6 +168,7 @@ def cell_counts(sets: Sets) -> np.ndarray:
     out = np.zeros((PIECES, CELLS // PIECES), np.uint32)
     for r in sets.each(sets.nodes, count, "piece bigint, counts binary").groupBy("piece").applyInArrow(tidy_group(add), "piece bigint, counts binary").collect():
         out[r.piece] = np.frombuffer(r.counts, np.uint32)
+    sets.free()
     return out.ravel()
 
 
@@ -170,9 +178,10 @@ def prefix_length(size: int, least: float) -> int:
 
 
 def postings(sets: Sets, least: float) -> DataFrame:
-    """token, id, size, rest, weight: tokens of prefixes that another prefix holds too.
+    """token, id, size, rest, weight, ends: tokens of prefixes that another prefix holds too.
 
-    rest: how many shingles a text has besides the prefix's others; weight: how much its lists hold.
+    rest: how many shingles a text has besides the prefix's others; weight: how much its lists hold; ends: where in the
+    order the prefix ends (to 31 bits of a hash; two that are equal say nothing).
     """
     spark = sets.docs.sparkSession
     counts = cell_counts(sets)
@@ -182,14 +191,17 @@ def postings(sets: Sets, least: float) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = pa.compute.list_value_length(batch.column(2)).to_numpy()
-            flat, edge, out = batch.column(2).flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(n))), []
+            flat, edge, out, ends = batch.column(2).flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(n))), [], []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 x = flat[a:b]
-                out.append(x[np.lexsort((x, shared.value[x & np.uint64(CELLS - 1)]))][: prefix_length(b - a, least)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int32)), pa.array(out, pa.binary())], ["doc_id", "content", "size", "prefix"])
+                x = x[np.lexsort((x, shared.value[x & np.uint64(CELLS - 1)]))][: prefix_length(b - a, least)]
+                out.append(x.tobytes())
+                ends.append(int(shared.value[x[-1] & np.uint64(CELLS - 1)]) << 31 | int(x[-1]) >> 33)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int32)), pa.array(out, pa.binary()), pa.array(ends, pa.int64())], ["doc_id", "content", "size", "prefix", "ends"])
 
-    rows = common.written(sets.of(sets.nodes.select("content"), cut, "size int, prefix binary"), "prefixes")
-    groups = max(common.partitions(spark), -(-(rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 4_000_000))
+    rows = common.written(sets.of(sets.nodes.select("content"), cut, "size int, prefix binary, ends bigint"), "prefixes")
+    sets.free()
+    groups = max(common.partitions(spark), -(-(rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 2_000_000))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +210,7 @@ def postings(sets: Sets, least: float) -> DataFrame:
                 continue
             n = np.fromiter(map(len, held), np.int64, len(held))
             token, row = np.concatenate(held), np.repeat(np.arange(len(held)), n)
-            ids, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, size, ends = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
             # A token of a frequent cell counts as shared, and goes to a group by its text.
             hot = shared.value[token & np.uint64(CELLS - 1)] > often
             group = np.where(hot, group_of(ids.view(np.uint64)[row], groups) + np.uint64(groups), group_of(token, groups))
@@ -208,7 +220,7 @@ def postings(sets: Sets, least: float) -> DataFrame:
             blobs = []
             for g in used.tolist():
                 x = order[edge[g] : edge[g + 1]]
-                blobs.append(np.array([len(x)], "<i8").tobytes() + token[x].tobytes() + ids[row[x]].tobytes() + size[row[x]].astype("<i4").tobytes())
+                blobs.append(np.array([len(x)], "<i8").tobytes() + token[x].tobytes() + ids[row[x]].tobytes() + size[row[x]].astype("<i4").tobytes() + ends[row[x]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], ["grp", "postings"])
 
     def keep(rows: pa.Table) -> pa.Table:
@@ -216,20 +228,21 @@ def postings(sets: Sets, least: float) -> DataFrame:
         for blob in rows.column("postings"):
             raw = blob.as_buffer()
             n = int(np.frombuffer(raw, "<i8", 1)[0])
-            parts.append((np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 16 * n)))
-        token, ids, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+            parts.append((np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 16 * n), np.frombuffer(raw, "<i8", n, 8 + 20 * n)))
+        token, ids, size, ends = (np.concatenate(c) for c in zip(*parts, strict=True))
         if rows.column("grp")[0].as_py() >= groups:
             n = np.full(len(token), often)
         else:
             n = np.unique(token, return_inverse=True, return_counts=True)
             n = n[2][n[1]]
         mine = n > 1
-        return pa.table({"token": token[mine], "id": ids[mine], "size": size[mine], "n": n[mine]})
+        return pa.table({"token": token[mine], "id": ids[mine], "size": size[mine], "n": n[mine], "ends": ends[mine]})
 
-    found = rows.mapInArrow(tidy(deal), "grp bigint, postings binary").groupBy("grp").applyInArrow(tidy_group(keep), "token bigint, id bigint, size int, n bigint")
+    found = rows.mapInArrow(tidy(deal, 2_000_000), "grp bigint, postings binary").groupBy("grp").applyInArrow(tidy_group(keep), "token bigint, id bigint, size int, n bigint, ends bigint")
     by_text = Window.partitionBy("id")
-    rest = found.select("token", "id", "size", (behind(F.col("size"), least) + F.count("*").over(by_text)).cast("int").alias("rest"), F.sum("n").over(by_text).alias("weight"))
+    rest = found.select("token", "id", "size", (behind(F.col("size"), least) + F.count("*").over(by_text)).cast("int").alias("rest"), F.sum("n").over(by_text).alias("weight"), "ends")
     out = common.written(rest, "postings")
+    shared.destroy()
     common.dropped(rows)
     return out
 
@@ -245,9 +258,14 @@ def common_least(least: float) -> Column:
     return F.ceil(least / (1 + least) * (F.col("x.size") + F.col("y.size")) - EPSILON)
 
 
+def first_ended(x: Column, y: Column) -> Column:
+    """Of values of texts x and y that of the one whose prefix ends first; the larger if that is not known."""
+    return F.when(F.col("x.ends") < F.col("y.ends"), x).when(F.col("y.ends") < F.col("x.ends"), y).otherwise(F.greatest(x, y))
+
+
 def may(least: float) -> Column:
     """Whether the sizes and rests of texts x and y (structs) let them have similarity `least`."""
-    return F.greatest("x.rest", "y.rest", F.lit(0)) >= common_least(least)
+    return first_ended(F.col("x.rest"), F.col("y.rest")) >= common_least(least)
 
 
 def within_size(least: float) -> Column:
@@ -255,30 +273,33 @@ def within_size(least: float) -> Column:
 
 
 def met(pairs: DataFrame, least: float) -> DataFrame:
-    """a, b, votes of pairs (x, y: structs of id, size) that meet as often as similar texts must."""
-    need = F.greatest(F.lit(1), common_least(least) - F.greatest(behind(F.col("x.size"), least), behind(F.col("y.size"), least)))
-    votes = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("votes"), F.first("need").alias("need"))
+    """a, b, votes of pairs (x, y: structs of id, size; tokens: how many they meet by) that meet as often as similar texts must."""
+    need = F.greatest(F.lit(1), common_least(least) - first_ended(behind(F.col("x.size"), least), behind(F.col("y.size"), least)))
+    votes = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), need.alias("need"), "tokens").groupBy("a", "b").agg(F.sum("tokens").alias("votes"), F.first("need").alias("need"))
     return votes.where("votes >= need").select("a", "b", "votes")
 
 
 def hub_pairs(lists: DataFrame, least: float) -> DataFrame:
     """a, b: each text with the hub of another component that most of its lists name."""
-    text = F.struct("weight", "id", "comp", "size", "rest")
+    text = F.struct("weight", "id", "comp", "size", "rest", "ends")
     hubs = lists.groupBy("token").agg(F.max(text).alias("y"))
     asked = lists.select("token", text.alias("x")).join(hubs, "token").where((F.col("x.comp") != F.col("y.comp")) & within_size(least) & may(least))
-    return met(asked, least).groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
+    return met(asked.withColumn("tokens", F.lit(1)), least).groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
 
 
 def other_pairs(lists: DataFrame, least: float) -> DataFrame:
-    """a, b: all texts of different components that meet."""
-    held = lists.groupBy("token", "comp").agg(F.count("*").alias("n"))
-    main = held.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
-    text = F.struct("id", "comp", "size", "rest")
-    mixed_lists = lists.join(main, "token").select("token", "main", text.alias("y"))
+    """a, b: all texts of different components that meet. Shingles that only one's own component holds are no part of its rest here."""
+    held = lists.groupBy("token", "comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("q"))
+    main = held.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.bit_xor("p").alias("p"), F.bit_xor("q").alias("q")).where("comps > 1")
+    # Lists of the same texts are one list of so many tokens.
+    main = main.groupBy("n", "p", "q").agg(F.min("token").alias("token"), F.first("main").alias("main"), F.count("*").alias("tokens")).select("token", "main", "tokens")
+    text = F.struct("id", "comp", "size", "rest", "ends")
+    rest = (behind(F.col("size"), least) + F.sum("tokens").over(Window.partitionBy("id"))).cast("int")
+    mixed_lists = lists.join(main, "token").withColumn("rest", rest).select("token", "main", "tokens", text.alias("y"))
     outside = mixed_lists.where("y.comp <> main").select("token", F.col("y").alias("x"))
     once = (F.col("y.comp") == F.col("main")) | (F.col("x.id") < F.col("y.id"))
     pairs = outside.join(mixed_lists, "token").where((F.col("x.comp") != F.col("y.comp")) & once & within_size(least) & may(least))
-    ordered = pairs.select(F.when(F.col("x.id") < F.col("y.id"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("x.id") < F.col("y.id"), F.col("y")).otherwise(F.col("x")).alias("y"))
+    ordered = pairs.select("tokens", F.when(F.col("x.id") < F.col("y.id"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("x.id") < F.col("y.id"), F.col("y")).otherwise(F.col("x")).alias("y"))
     return met(ordered, least).select("a", "b")
 
 
@@ -300,7 +321,7 @@ def similar_documents(docs: DataFrame, *, words: int = 5, least: float = 0.8, id
     sets = Sets(docs, nodes, words, id_col, text_col)
     links = sets.similar(common.written(fingerprint_pairs(nodes), "pairs"), least)
     lists = postings(sets, least)
-    with_components = lambda links: lists.join(connected(links), F.col("id") == F.col("node"), "left").select("token", "id", "size", "rest", "weight", F.coalesce("root", "id").alias("comp"))
+    with_components = lambda links: lists.join(connected(links), F.col("id") == F.col("node"), "left").select("token", "id", "size", "rest", "weight", "ends", F.coalesce("root", "id").alias("comp"))
     asked = common.written(hub_pairs(with_components(links), least), "pairs")
     links = links.unionByName(sets.similar(asked, least))
     done = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
