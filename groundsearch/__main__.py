@@ -3,9 +3,10 @@
     python -m groundsearch build --source DIR --index DIR
     python -m groundsearch ask "question" --index DIR [--year 2026]
     python -m groundsearch eval --retrieval --dataset FILE --index DIR [--gate --baseline FILE] [--out FILE]
-    python -m groundsearch report --artifact FILE --readme FILE
+    python -m groundsearch report --readme FILE [--artifact FILE]
 
-Without a model every answer is the cards of the passages found. Vectors are read from the index where it has them.
+Without a model every answer is the cards of the passages found. Vectors are read from the index where it has them;
+`main` takes a function that embeds passages and questions, without which search is by words alone.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import argparse
 import hashlib
 import json
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,8 @@ from .plans import index, retrieval
 from .sources import corpus
 
 VERSION = "0.1.0"
+#: Turns (query_id, text) into (query_id, embedding).
+Embed = Callable[[DataFrame], DataFrame]
 
 
 def session() -> SparkSession:
@@ -39,28 +43,29 @@ def open_index(spark: SparkSession, directory: str) -> DataFrame:
     index.verify(spark, directory)
     chunks = corpus.read_chunks(spark, f"{directory}/chunks")
     chunks = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("document"), embed_text(F.col("header"), F.col("text")).alias("text"), F.col("text").alias("body"), "header", "section", "measure_id", "measure_name", "plan_year", "license_posture", "source_url")
-    return chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
+    return chunks.join(index.vectors(spark, directory).withColumnRenamed("chunk_id", "doc_id"), "doc_id", "left")
 
 
 def planned(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Questions (query_id, query, year) with the plan year that applies."""
+    """Questions (query_id, query, year) with the plan year and the measures (an empty list for all) that apply."""
     known = chunks.agg(F.sort_array(F.collect_set("plan_year")).alias("years")).crossJoin(routing.default_year(chunks))  # one row
     year = routing.inferred_year(F.col("query"), F.col("years"), F.col("default_year"), F.col("year"))
-    return questions.crossJoin(F.broadcast(known)).select("query_id", "query", year.alias("plan_year"), F.lit(None).cast("array<float>").alias("embedding"))
+    asked = questions.crossJoin(F.broadcast(known)).select("query_id", "query", year.alias("plan_year"))
+    routes = routing.route(asked, routing.alias_table(routing.entries(chunks)), year="plan_year")
+    return asked.join(routes.withColumnRenamed("measure_ids", "measure_id"), "query_id")
 
 
-def found(chunks: DataFrame, questions: DataFrame, settings: Settings) -> DataFrame:
-    """Ranked chunks; questions without a year see all years."""
-    asked = planned(chunks, questions)
-    dated = retrieval.retrieve(chunks, asked.where("plan_year is not null"), settings, year="plan_year")
-    return dated.unionByName(retrieval.retrieve(chunks, asked.where("plan_year is null"), settings))
+def found(chunks: DataFrame, questions: DataFrame, settings: Settings, embed: Embed | None = None) -> DataFrame:
+    """Ranked chunks of the year and the measures that a question names; questions without see all."""
+    asked = index.embed_questions(planned(chunks, questions), embed, settings)
+    return retrieval.retrieve(chunks, asked, settings, measure="measure_id", year="plan_year")
 
 
 def ask(args: argparse.Namespace) -> int:
     spark = session()
     chunks = open_index(spark, args.index)
     question = spark.createDataFrame([("q", args.question, args.year)], "query_id string, query string, year int")
-    ranked = retrieval.hydrate(found(chunks, question, Settings()), chunks, "header", "document", "body", "plan_year", "license_posture", "source_url")
+    ranked = retrieval.hydrate(found(chunks, question, Settings(), args.embed), chunks, "header", "document", "body", "plan_year", "license_posture", "source_url")
     from .functions.text import snippet
 
     cards = ranked.select("rank", answering.title(F.col("header"), F.col("document")).alias("title"), "plan_year", "source_url", snippet(F.col("body"), corpus.committable(F.col("license_posture"))).alias("snippet"))
@@ -75,7 +80,7 @@ def ask(args: argparse.Namespace) -> int:
 
 def build(args: argparse.Namespace) -> int:
     spark = session()
-    print(json.dumps(index.build(corpus.load_normalized(spark, args.source), args.index, Settings())))
+    print(json.dumps(index.build(corpus.load_normalized(spark, args.source), args.index, Settings(), embed=args.embed and (lambda texts: args.embed(texts.withColumnRenamed("chunk_id", "query_id")).withColumnRenamed("query_id", "chunk_id")))))
     return 0
 
 
@@ -97,7 +102,7 @@ def evaluate(args: argparse.Namespace) -> int:
     lost = [r.label_id for r in evaluation.unresolved(labels, matches).collect()]
     if lost:
         raise evaluation.DatasetError(f"labels that match no chunk: {sorted(lost)}")
-    ranked = found(chunks, items.select(F.col("item_id").alias("query_id"), F.col("question").alias("query"), F.lit(None).cast("int").alias("year")), Settings())
+    ranked = found(chunks, items.select(F.col("item_id").alias("query_id"), F.col("question").alias("query"), F.lit(None).cast("int").alias("year")), Settings(), args.embed)
     listed = items.select("item_id", "category", "split", F.col("category").startswith("refusal").alias("is_refusal"), F.lit(None).cast("boolean").alias("refused"))
     metrics = evaluation.item_metrics(listed, ranked.select(F.col("query_id").alias("item_id"), F.col("doc_id").alias("chunk_id"), "rank"), evaluation.resolved(matches))
     report = evaluation.report(metrics).collect()  # a few rows for each category
@@ -119,11 +124,12 @@ def evaluate(args: argparse.Namespace) -> int:
 
 
 def report(args: argparse.Namespace) -> int:
-    evaluation.sync_region(Path(args.readme), json.loads(Path(args.artifact).read_text()))
+    artifact = Path(args.artifact) if args.artifact else evaluation.latest_artifact(Path(args.readme).parent)
+    evaluation.sync_region(Path(args.readme), json.loads(artifact.read_text()))
     return 0
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, embed: Embed | None = None) -> int:
     parser = argparse.ArgumentParser(prog="groundsearch")
     commands = parser.add_subparsers(dest="command", required=True)
     p = commands.add_parser("build")
@@ -141,10 +147,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--baseline")
     p.add_argument("--out")
     p = commands.add_parser("report")
-    p.add_argument("--artifact", required=True)
+    p.add_argument("--artifact")
     p.add_argument("--readme", required=True)
     commands.add_parser("version")
     args = parser.parse_args(argv)
+    args.embed = embed
     try:
         if args.command == "version":
             print(VERSION)

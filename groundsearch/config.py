@@ -17,6 +17,8 @@ class Settings:
     chunk_max_tokens: int = 480
     chunk_overlap_tokens: int = 64
     refusal_score_floor: float = 0.35
+    #: What the model wants before a question, but not before a passage. A fixed value.
+    query_prefix: str = "Represent this sentence for searching relevant passages: "
 
     @property
     def index_hash(self) -> str:

@@ -97,10 +97,13 @@ def regressions(current: Mapping[str, float], baseline: Mapping[str, float], tol
 
 
 def ratchet(report_rows: DataFrame, baseline: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """metric, baseline, value, regressed, as a table: gated metrics of `baseline` (metric, baseline) against the overall ones."""
-    now = report_rows.where("scope = 'overall'").select("metric", "value")
+    """metric, baseline, value, regressed, as a table: gated metrics of `baseline` (metric, baseline) against the test split's, or the overall ones where there is no such split."""
+    split = report_rows.where("scope = 'split' and name = 'test'").select("metric", F.col("value").alias("tested"))
+    overall = report_rows.where("scope = 'overall'").select("metric", F.col("value").alias("whole"))
+    some = split.agg((F.count("*") > 0).alias("some"))  # one row
+    now = overall.join(split, "metric", "full").crossJoin(F.broadcast(some)).select("metric", F.when(F.col("some"), F.col("tested")).otherwise(F.col("whole")).alias("value"))
     joined = baseline.where(F.col("metric").isin(*GATES)).join(now, "metric", "left")
-    return joined.withColumn("regressed", F.col("value").isNull() | (F.col("value") < F.col("baseline") - tolerance))
+    return joined.withColumn("regressed", F.col("value").isNull() | (F.col("value") < F.col("baseline") - tolerance - 1e-12))
 
 
 def markdown(artifact: Mapping) -> str:
@@ -114,6 +117,21 @@ def markdown(artifact: Mapping) -> str:
     return "\n".join([*lines, *(["", f"_{', '.join(stamps)}_"] if stamps else [])])
 
 
+def summary(items: DataFrame, gold: DataFrame) -> DataFrame:
+    """split, category, items, and the least, most and total gold chunks of an item."""
+    sized = items.join(gold.groupBy("item_id").agg(F.count("*").alias("gold_chunks")), "item_id", "left")
+    n = F.coalesce("gold_chunks", F.lit(0))
+    return sized.groupBy("split", "category").agg(F.count("*").alias("items"), F.min(n).alias("least_gold"), F.max(n).alias("most_gold"), F.sum(n).alias("total_gold"))
+
+
+def latest_artifact(directory: Path) -> Path:
+    """The newest artifact (*.json) of a folder; of two as new the last by name."""
+    found = sorted(directory.glob("*.json"), key=lambda p: (p.stat().st_mtime, p.name))
+    if not found:
+        raise DatasetError(f"no artifact in {directory}")
+    return found[-1]
+
+
 def write_artifact(path: Path, artifact: Mapping) -> None:
     path.write_text(json.dumps(artifact, sort_keys=True, indent=2, allow_nan=False) + "\n", encoding="utf-8", newline="\n")
 

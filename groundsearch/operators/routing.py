@@ -38,6 +38,11 @@ CROSS_YEAR = r"(?i)\b(chang\w*|renam\w*|differ\w*|previous year|prior year|prior
 LEAST_SHARE = 0.05
 
 
+def entries(chunks: DataFrame) -> DataFrame:
+    """plan_year, measure_id, measure_name of the measures that chunks name."""
+    return chunks.where("measure_id is not null and measure_name is not null").select("plan_year", "measure_id", "measure_name").distinct()
+
+
 def alias_table(entries: DataFrame) -> DataFrame:
     """Entries (plan_year, measure_id, measure_name) to (alias, plan_year, measure_ids). The fragments are a fixed short list."""
     known = F.array(*[F.struct(F.lit(fragment).alias("fragment"), F.array(*map(F.lit, names)).alias("names")) for fragment, names in ALIASES.items()])

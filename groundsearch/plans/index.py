@@ -33,7 +33,13 @@ def build(docs: DataFrame, directory: str, settings: Settings = Settings(), *, e
     corpus.write_chunks(chunks, f"{directory}/chunks")
     kept = corpus.read_chunks(spark, f"{directory}/chunks")
     if embed:
-        embed(kept.select("chunk_id", embed_text(F.col("header"), F.col("text")).alias("text"))).write.mode("overwrite").parquet(f"{directory}/vectors")
+        embed(kept.select("chunk_id", embed_text(F.col("header"), F.col("text")).alias("text"))).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(f"{directory}/vectors")
+        held = spark.read.parquet(f"{directory}/vectors").agg(F.count_distinct("chunk_id").alias("n"), F.count("embedding").alias("vectors"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+        if (held.n, held.vectors) != (kept.count(),) * 2 or held.least != held.most:
+            raise ValueError(f"{held.vectors} vectors of {held.least} to {held.most} components for {kept.count()} chunks")
+    else:  # vectors of an earlier build don't fit
+        vectors_at, _ = _files(spark, f"{directory}/vectors")
+        fs.delete(vectors_at, True)
     stamp = {
         "embedding_model": settings.embedding_model, "config_hash": settings.index_hash, "manifest_version": manifest_version,
         "chunk_count": kept.count(), "built_at": datetime.now(timezone.utc).isoformat(),
@@ -44,6 +50,23 @@ def build(docs: DataFrame, directory: str, settings: Settings = Settings(), *, e
     return stamp
 
 
+def vectors(spark: SparkSession, directory: str) -> DataFrame:
+    """chunk_id, embedding; no rows where the index was built without."""
+    at, fs = _files(spark, f"{directory}/vectors")
+    return spark.read.parquet(f"{directory}/vectors") if fs.exists(at) else spark.createDataFrame([], "chunk_id string, embedding array<float>")
+
+
+def embed_questions(questions: DataFrame, embed: Callable[[DataFrame], DataFrame] | None, settings: Settings = Settings()) -> DataFrame:
+    """Questions with `embedding` (null without `embed`, which turns query_id, text into query_id, embedding). The model's prefix stands before each question exactly once."""
+    from pyspark.sql import functions as F
+
+    if embed is None:
+        return questions.withColumn("embedding", F.lit(None).cast("array<float>"))
+    prefix = F.lit(settings.query_prefix)
+    asked = F.when(F.startswith("query", prefix), F.col("query")).otherwise(F.concat(prefix, "query"))
+    return questions.join(embed(questions.select("query_id", asked.alias("text"))).select("query_id", "embedding"), "query_id", "left")
+
+
 def verify(spark: SparkSession, directory: str, settings: Settings = Settings()) -> dict:
     """The stamp, if the index fits the settings and holds as many chunks as it says."""
     at, fs = _files(spark, f"{directory}/stamp.json")

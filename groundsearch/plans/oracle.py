@@ -73,6 +73,17 @@ MERGED = """{name} as (
     union all
     select s.*, 1, true from second s left join (select query_id, count(*) as n from {first} group by 1) c using (query_id)
     where coalesce(n, 0) < 4 and not exists (select 1 from {first} f where f.query_id = s.query_id and f.doc_id = s.doc_id)))"""
+ROUTED_PAIRS = f"""with {CHUNKS}, {QUESTIONS}, {BM25}, {COSINES},
+filters as (select query_id, case when query_id % 4 > 0 then plan_year end as y, case query_id % 3 when 0 then [measure_id, 'en-src' || (query_id % 7)] when 1 then [measure_id] end as ms from questions),
+lex as (select s.query_id, s.doc_id, s.score, y is null or y = c.plan_year as in_year, ms is null or list_contains(ms, c.measure_id) as in_measure from scored s join filters using (query_id) join chunks c using (doc_id)),
+den as (select s.query_id, s.doc_id, s.score, y is null or y = c.plan_year as in_year, ms is null or list_contains(ms, c.measure_id) as in_measure from cosines s join filters using (query_id) join chunks c using (doc_id) where s.query_id % 5 > 0)"""
+#: The list without the measure filter follows only where there was one.
+ROUTED_TOPK = f"""{ROUTED_PAIRS}, {_leg("d1", "den", "in_year and in_measure", False)}, {_leg("b1", "lex", "in_year and in_measure", True)}, {_leg("d2", "den", "in_year", False)}, {_leg("b2", "lex", "in_year", True)},
+{FUSED.format(name="one", d="d1", b="b1")}, {FUSED.format(name="two", d="d2", b="b2")},
+starved as (select query_id from filters left join one using (query_id) where ms is not null group by 1 having count(doc_id) < 4),
+found as (select query_id, doc_id, score, used_fallback, row_number() over (partition by query_id order by turn, rank) as rank from (
+  select one.*, 0 as turn, query_id in (from starved) as used_fallback from one
+  union all select two.*, 1, true from two where query_id in (from starved) and not exists (select 1 from one where one.query_id = two.query_id and one.doc_id = two.doc_id)))"""
 ENTRIES = "(values " + ", ".join(f"({2025 + i % 2 + y}, '{'CD'[i % 2]}{10 + i}', '{name.title()}')" for i, name in enumerate(ALIASES) for y in (0, 1)) + ") e(plan_year, measure_id, measure_name)"
 NAMED = "(values " + ", ".join(f"('{f}', '{a}')" for f, names in ALIASES.items() for a in names) + ") a(fragment, alias)"
 ALIAS_TABLE = f"aliases as (select distinct alias, plan_year, measure_id from {ENTRIES}, {NAMED} where contains(lower(measure_name), fragment))"
@@ -163,6 +174,7 @@ SQL = {
     "hybrid_topk": f"{PAIRS}, {_leg('d', 'den', 'in_year', False)}, {_leg('b', 'lex', 'in_year', True)}, {FUSED.format(name='f', d='d', b='b')} select query_id, doc_id, rank, round(round(score, 10), 6) as score, dense_rank, bm25_rank, section, source from f join chunks using (doc_id) where rank <= 8",
     "hybrid_fallback": f"{FALLBACK}, {MERGED.format(name='found', first='hybrid_first')} select query_id, doc_id, rank, round(round(score, 10), 6) as score, used_fallback from found where rank <= 8",
     "dense_only_arm": f"{FALLBACK}, {MERGED.format(name='found', first='dense_first')} select query_id, doc_id, rank, round(round(score, 10), 6) as score, used_fallback from found where rank <= 8",
+    "routed_topk": f"{ROUTED_TOPK} select query_id, doc_id, rank, round(round(score, 10), 6) as score, used_fallback from found where rank <= 8",
     "default_year": f"with {CHUNKS} select {_DEFAULT} as default_year",
     "year_inference": f"""with {CHUNKS}, said as (select item_id as query_id, text || ({_list(MENTIONS)})[item_id % 6 + 1] as query from benchmark),
       indexed as (select {_KNOWN} as indexed, {_DEFAULT} as latest),
@@ -226,7 +238,7 @@ SQL = {
     "eval_grouping_sets": f"{EVAL}, {REPORT} select scope, name, metric, round(round(value, 10), 6) as value from report",
     "refusal_accuracy": f"{EVAL} select round(round(avg(value), 10), 6) as refusal_trap_accuracy from metrics where metric = 'refused'",
     "ratchet_gate": f"""{EVAL}, {REPORT}, baseline as (select * from (values {", ".join(f"('{k}', {v}::double)" for k, v in BASELINE.items())}) b(metric, baseline) where metric in ('recall@8', 'mrr'))
-      select metric, baseline, round(round(value, 10), 6) as value, value is null or value < baseline - 0.02::double as regressed from baseline left join (select metric, value from report where scope = 'overall') using (metric)""",
+      select metric, baseline, round(round(value, 10), 6) as value, value is null or value < baseline - 0.02::double - 1e-12::double as regressed from baseline left join (select metric, value from report where scope = 'split' and name = 'test') using (metric)""",
     "hybrid_dense_delta": f"""{EVAL}, h as (select metric, avg(value) as hybrid from metrics where metric <> 'refused' group by 1), d as (select metric, avg(value) as dense from metrics_dense where metric <> 'refused' group by 1)
       select metric, round(round(hybrid, 10), 6) as hybrid, round(round(dense, 10), 6) as dense, round(round(hybrid - dense, 10), 6) + 0.0 as delta from h full join d using (metric)""",
     "judge_verdicts": """with v as (select conv_id, turn, conv_id % 4 <> 3 as ok, turn % 3 as t, case when turn % 2 = 0 then 1 when turn % 5 = 0 then 0 end as flag from conversations)

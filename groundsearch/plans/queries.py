@@ -15,6 +15,7 @@ from ..config import Settings
 from ..functions import text as T
 from ..operators import answering, bm25, chunking, dense, evaluation, fusion, parsing, routing
 from ..schemas import SECTION_KINDS
+from ..sources import corpus
 from . import retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +118,16 @@ def dense_only_arm(spark, sf_dir):
     return _fallback(spark, sf_dir, False)
 
 
+def routed_topk(spark, sf_dir):
+    """Questions filter by a list of measures, or none, and by a year, or none; no embedding for some."""
+    q, i = questions(spark, sf_dir), F.col("query_id")
+    other = F.concat(F.lit("en-src"), (i % 7).cast("string"))
+    measures = F.when(i % 3 == 0, F.array("measure_id", other)).when(i % 3 == 1, F.array("measure_id"))
+    q = q.select("query_id", "query", F.when(i % 4 > 0, F.col("plan_year")).alias("plan_year"), measures.alias("measure_id"), F.when(i % 5 > 0, F.col("embedding")).alias("embedding"))
+    found = retrieval.retrieve(chunks(spark, sf_dir), q, SETTINGS, measure="measure_id", year="plan_year")
+    return rounded(found.select("query_id", "doc_id", "rank", "score", "used_fallback"))
+
+
 def default_year(spark, sf_dir):
     return _big(routing.default_year(chunks(spark, sf_dir)))
 
@@ -316,9 +327,7 @@ def dataset_validation(spark, sf_dir):
 
 
 def dataset_summary(spark, sf_dir):
-    items = _items(spark, sf_dir).join(gold_resolution(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("gold_chunks")), "item_id", "left")
-    n = F.coalesce("gold_chunks", F.lit(0))
-    return _big(items.groupBy("split", "category").agg(F.count("*").alias("items"), F.min(n).alias("least_gold"), F.max(n).alias("most_gold"), F.sum(n).alias("total_gold")))
+    return _big(evaluation.summary(_items(spark, sf_dir), gold_resolution(spark, sf_dir)))
 
 
 def _metrics(spark, sf_dir, lexical=True):
@@ -363,19 +372,17 @@ def judge_verdicts(spark, sf_dir):
 
 
 def integrity_sha256(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+    return table(spark, sf_dir, "pages").select("page_id", corpus.digest(F.col("html")).alias("sha256"))
 
 
 def license_gate(spark, sf_dir):
-    from ..sources.corpus import committable
-
     posture = F.element_at(F.array(*map(F.lit, ("us_gov_public_domain", "redistributable", "public_web_cite_only", "fetch_at_build_only"))), (F.col("doc_id") % 4 + 1).cast("int"))
     d = table(spark, sf_dir, "documents").select(posture.alias("license_posture"), "source")
-    return _big(d.groupBy("license_posture", committable(F.col("license_posture")).alias("committable")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources")))
+    return _big(d.groupBy("license_posture", corpus.committable(F.col("license_posture")).alias("committable")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources")))
 
 
 NAMES = (
-    "tokenize_stats bm25_df_idf bm25_topk bm25_topk_filtered dense_topk dense_topk_filtered best_similarity_gate rrf_fuse hybrid_topk hybrid_fallback dense_only_arm default_year year_inference alias_table alias_route "
+    "tokenize_stats bm25_df_idf bm25_topk bm25_topk_filtered dense_topk dense_topk_filtered best_similarity_gate rrf_fuse hybrid_topk hybrid_fallback dense_only_arm routed_topk default_year year_inference alias_table alias_route "
     "literal_id_route token_estimate word_windows chunk_greedy chunk_ids chunk_dedup chunk_headers normalize_block field_split section_kinds segment_bounds page_asof citations citation_cards snippets context_blocks "
     "answer_state_machine gold_resolution unresolved_labels dataset_validation dataset_summary eval_per_item eval_grouping_sets refusal_accuracy ratchet_gate hybrid_dense_delta judge_verdicts integrity_sha256 license_gate"
 ).split()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +15,17 @@ Reranker = Callable[[DataFrame], DataFrame]
 
 
 def legs(chunks: DataFrame, questions: DataFrame, settings: Settings, *, group: list[str] | None = None, lexical: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Ranked lists (query_id, doc_id, score, rank) by vectors and by BM25. group: columns of both tables that must agree."""
+    """Ranked lists (query_id, doc_id, score, rank) by vectors and by BM25. group: columns of both tables; a question's value, or one of its list, must be the chunk's. Null or an empty list is no filter."""
     group = group or []
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in group]) if group else F.lit("")
-    vectors = chunks.where("embedding is not null").select("doc_id", "embedding", key.alias("g"))
-    asked = questions.where("embedding is not null").select("query_id", "embedding", key.alias("g"))
-    by_vector = dense.top_k(vectors, asked, settings.dense_k, groups="g")
+    by_vector = dense.top_k(chunks.select("doc_id", "embedding", *group), questions.select("query_id", "embedding", *group), settings.dense_k, groups=group)
     if not lexical:
         return by_vector, by_vector.where("false")
     scored = bm25.scores(chunks.select("doc_id", "text"), questions.select("query_id", "query"))
     if group:  # filters look at scored pairs only, never at all pairs of questions and chunks
-        scored = scored.join(questions.select("query_id", *group), "query_id").join(chunks.select("doc_id", *group), ["doc_id", *group], "left_semi").select("query_id", "doc_id", "score")
+        wanted = questions.select("query_id", *[dense.allowed(questions, c).alias(f"w{i}") for i, c in enumerate(group)])
+        held = chunks.select("doc_id", *[F.col(c).cast("string").alias(f"h{i}") for i, c in enumerate(group)])
+        fits = [F.coalesce(F.array_contains(f"w{i}", F.col(f"h{i}")), F.col(f"w{i}").isNull()) for i in range(len(group))]
+        scored = scored.join(wanted, "query_id").join(held, "doc_id").where(reduce(Column.__and__, fits)).select("query_id", "doc_id", "score")
     return by_vector, bm25.ranked(scored, settings.bm25_k)
 
 
@@ -32,17 +33,18 @@ def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings = Setti
     """query_id, doc_id, rank, score, dense_rank, bm25_rank, used_fallback of the final_k best.
 
     chunks: doc_id, text, embedding (may be null) and the filter columns; questions: query_id, query, embedding and the
-    filter columns. Where the measure filter leaves fewer than four, the list without it (but with the year) follows;
-    that list is hybrid even when `lexical` is off.
+    filter columns (values, lists of values, or null for no filter). Where a measure filter leaves fewer than four, the
+    list without it (but with the year) follows; that list is hybrid even when `lexical` is off. `rerank` may reorder and
+    drop, but what it adds goes.
     """
     group = [c for c in (measure, year) if c]
     first = fusion.fuse(*legs(chunks, questions, settings, group=group, lexical=lexical), settings.rrf_k)
     if measure:
         second = fusion.fuse(*legs(chunks, questions, settings, group=[year] if year else None), settings.rrf_k)
-        found = fusion.with_fallback(first, second, questions.select("query_id"))
+        found = fusion.with_fallback(first, second, questions.where(dense.allowed(questions, measure).isNotNull()).select("query_id"))
     else:
         found = first.withColumn("used_fallback", F.lit(False))
-    found = rerank(found) if rerank else found
+    found = rerank(found).join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi") if rerank else found
     return found.where(F.col("rank") <= settings.final_k)
 
 

@@ -55,9 +55,13 @@ def cache_name(doc_id: Column, url: Column) -> Column:
     return F.concat(doc_id, F.when(suffix == "", ".bin").otherwise(suffix))
 
 
+def digest(content: Column) -> Column:
+    return F.sha2(content.cast("binary"), 256)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """path, content, sha256 of whole files."""
-    return spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(path).select("path", "content", digest(F.col("content")).alias("sha256"))
 
 
 def verify_raw(files: DataFrame, manifest: DataFrame) -> DataFrame:

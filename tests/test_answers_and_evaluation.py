@@ -70,6 +70,13 @@ def test_ratchet():
     assert not evaluation.regressions({}, {"hit@1": 1.0})
 
 
+def test_ratchet_gates_the_test_split(spark):
+    rows = [("overall", "", "mrr", 0.9), ("split", "test", "mrr", 0.5), ("split", "dev", "mrr", 1.0)]
+    report, base = spark.createDataFrame(rows, "scope string, name string, metric string, value double"), spark.createDataFrame([("mrr", 0.9), ("hit@1", 1.0)], "metric string, baseline double")
+    assert [(r.metric, r.value, r.regressed) for r in evaluation.ratchet(report, base).collect()] == [("mrr", 0.5, True)]
+    assert [r.regressed for r in evaluation.ratchet(report.where("name <> 'test'"), base).collect()] == [False]
+
+
 def test_violations_and_labels(spark):
     from groundsearch.schemas import GOLD_ITEM
 

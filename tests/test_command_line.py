@@ -2,7 +2,45 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from groundsearch.__main__ import main
+from groundsearch.config import Settings
+from groundsearch.plans import index
+
+
+def by_letter(texts):
+    """A made-up model: texts that speak of vaccines lie one way, all others another."""
+    flu = F.lower("text").contains("vaccin") | F.lower("text").contains("jab")
+    return texts.select("query_id", F.array(flu.cast("float"), (~flu).cast("float")).alias("embedding"))
+
+
+def test_vectors_change_the_order_and_names_route(spark, tmp_path, capsys):
+    section = lambda text: {"kind": "description", "heading": "Metric", "text": text, "page": 1}
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    names = ["Annual Flu Vaccine", "Eye Exam for Members"]
+    measures = [{"measure_id": f"C1{n}", "measure_name": name, "sections": [section(f"{name} of members, part {i}") for i in range(5)]} for n, name in enumerate(names)]
+    (docs / "d.json").write_text(json.dumps({"doc_id": "d", "title": "Notes", "publisher": "p", "source_url": "u", "plan_year": 2026, "doc_type": "t", "license_posture": "redistributable", "retrieval_date": "x", "measures": measures, "general_sections": []}))
+    path = str(tmp_path / "index")
+
+    def first_line(question, embed):
+        assert main(["ask", question, "--index", path], embed) == 0
+        return [line for line in capsys.readouterr().out.splitlines() if line.startswith("    ")]
+
+    assert main(["build", "--source", str(docs), "--index", path], by_letter) == 0
+    capsys.readouterr()
+    assert first_line("a jab", None) == [] and "Flu Vaccine" in first_line("a jab", by_letter)[0]
+    routed = first_line("retinal exam of members", by_letter)
+    assert len(routed) == 5 and all("Eye Exam" in line for line in routed)
+    assert main(["build", "--source", str(docs), "--index", path]) == 0
+    assert index.vectors(spark, path).count() == 0
+
+
+def test_prefix_stands_before_questions_once(spark):
+    seen = spark.createDataFrame([(1, "x"), (2, Settings().query_prefix + "x")], "query_id int, query string")
+    texts = index.embed_questions(seen, lambda t: t.select("query_id", F.array("text").alias("embedding"))).collect()
+    assert {r.embedding[0] for r in texts} == {Settings().query_prefix + "x"}
 
 
 def test_build_ask_eval(spark, tmp_path, capsys):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundsearch.config import Settings
 from groundsearch.operators import bm25, dense, fusion, routing
+from groundsearch.plans import retrieval
 
 
 def ranked(spark, rows):
@@ -62,6 +63,38 @@ def test_dense_ties_and_groups(spark):
     assert [(r.query_id, r.doc_id) for r in got] == [(8, 4), (8, 1), (9, 2), (9, 3)]
     assert dense.top_k(v, q, 3, block_rows=1).count() == 6
     assert dense.top_k(v, q.where("false"), 3).count() == 0
+    either = spark.createDataFrame([(7, [1.0, 0.0], ["1", "2"]), (6, [1.0, 0.0], []), (5, [1.0, 0.0], None), (4, [1.0, 0.0], ["3"])], "query_id long, embedding array<float>, g array<string>")
+    got = dense.top_k(v, either, 3, groups="g").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id) for r in got] == [(i, c) for i in (5, 6, 7) for c in (2, 3, 4)]
+
+
+def test_dense_leaves_out_vectors_it_cannot_compare(spark):
+    nan, inf = float("nan"), float("inf")
+    v = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0, 5.0]), (3, [2.0, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, None), (8, [])]
+    v = spark.createDataFrame(v, "doc_id long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, embedding array<float>")
+    got = dense.top_k(v, q, 9).orderBy("rank").collect()
+    assert [(r.doc_id, round(r.score, 3)) for r in got] == [(1, 1.0), (3, 0.894)]
+    with pytest.raises(ValueError, match="2 to 3 components"):
+        dense.top_k(v, q.unionByName(spark.createDataFrame([(3, [1.0] * 3)], q.schema)), 2)
+
+
+def test_dense_ties_beyond_k_in_one_batch(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i % 3 == 0)]) for i in range(50, 0, -1)], "doc_id long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert [r.doc_id for r in dense.top_k(v, q, 4).orderBy("rank").collect()] == [1, 2, 4, 5]
+
+
+def test_only_a_filter_can_fall_back(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "eye exam" if i < 6 else "flu shot" if i < 8 else f"note {i}", "C1" if i < 2 else "C2", None) for i in range(20)], "doc_id string, text string, measure_id string, embedding array<float>")
+    asked = [(1, "exam", ["C1"]), (2, "exam", None), (3, "shot", []), (4, "exam", ["C1", "C2"])]
+    asked = spark.createDataFrame(asked, "query_id int, query string, measure_id array<string>").withColumn("embedding", F.lit(None).cast("array<float>"))
+    got = retrieval.retrieve(chunks, asked, measure="measure_id").collect()
+    of = lambda q: [r.doc_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]
+    assert {r.query_id for r in got if r.used_fallback} == {1}
+    assert of(1) == of(2) == of(4) == [f"c{i}" for i in range(6)] and of(3) == ["c6", "c7"]
+    added = lambda found: found.unionByName(found.limit(1).withColumn("doc_id", F.lit("new")))
+    assert "new" not in {r.doc_id for r in retrieval.retrieve(chunks, asked, rerank=added).collect()}
 
 
 def test_routes(spark):
