@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Words are separated by the six ASCII white-space bytes only; `bytes.split()` uses just these.
 WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
+#: Bytes that a writing task gathers on the heap before it writes them out; Parquet's default is eight times as many.
+ROW_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/groundsearch/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     atexit.register(_forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -67,7 +69,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def worker_store() -> dict:
-    """A dict that lives as long as the Python worker. Functions sent by value have no module there to keep things in."""
+    """A dict that lives as long as the Python worker. Functions sent by value have no module there to keep things in.
+
+    What is large lies in its entry "held", which the next operator in the worker frees (`emptied`).
+    """
     return sys.modules.setdefault("_groundsearch_worker", types.ModuleType("_groundsearch_worker")).__dict__
 
 
@@ -95,10 +100,21 @@ def frugal(spark: SparkSession) -> None:
         spark.conf.set(key, "8m")
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], limit: int = 4_000_000):
-    """For mapInArrow: `run` over small batches, with memory given back at the end of a task."""
+def emptied() -> None:
+    """Frees what an earlier operator's tasks left in this worker's store."""
+    if worker_store().pop("held", None) is not None:
+        trim()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], limit: int = 4_000_000, holds: bool = False):
+    """For mapInArrow: `run` over small batches, with memory given back at the end of a task.
+
+    Only a `run` that holds things from task to task finds the worker's store as it left it.
+    """
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            emptied()
         yield from run(sliced(batches, limit))
         trim()
 
@@ -109,6 +125,7 @@ def tidy_group(run: Callable[[pa.Table], pa.Table]):
     """The same for applyInArrow."""
 
     def tidied(rows: pa.Table) -> pa.Table:
+        emptied()
         out = run(rows)
         trim()
         return out

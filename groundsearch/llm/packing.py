@@ -235,10 +235,10 @@ def cut(docs: DataFrame, *, tokenizer: str, window: int, end_id: int, id_col: st
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = worker_store()
-        if ("tokenizer", tokenizer) not in store:
-            store["tokenizer", tokenizer] = WordTokenizer(tokenizer)
-        encode = store["tokenizer", tokenizer].encode
+        held = worker_store().setdefault("held", {})
+        if ("tokenizer", tokenizer) not in held:
+            held["tokenizer", tokenizer] = WordTokenizer(tokenizer)
+        encode = held["tokenizer", tokenizer].encode
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in (s for b in batches for s in _slices(b, 200)):
             out = []
@@ -250,7 +250,7 @@ def cut(docs: DataFrame, *, tokenizer: str, window: int, end_id: int, id_col: st
                     out.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(pieces), PIECES)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(pieces, holds=True), PIECES)
 
 
 def pack(docs: DataFrame, *, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
