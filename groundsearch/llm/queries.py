@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, lines, lm, packing, quality, simhash, suffixes, toxicity
+from . import ann, chat, decontam, lines, lm, packing, quality, simhash, spelling, suffixes, toxicity, urls
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rule_table(spark, urls.RULES))
+    return done.select("page_id", "host", "path", "rule", "verdict")
+
+
 _ESCAPED = "replace({0}, chr(92), chr(92)||'b')"
 for _k, _v in chat.CONTROL.items():
     _ESCAPED = f"replace({_ESCAPED}, '{_k}', '{_v}')"
@@ -117,6 +126,41 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from t group by conv_id
 """
 
+#: crc32 by its definition, over the UTF-8 bytes of code points below U+0800.
+OP11_SQL = """
+with tab as materialized (
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)
+), runs as materialized (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{6,}')) as run from documents
+), lowered as materialized (
+  select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as times from runs group by all
+), hashed as materialized (
+  select run, times, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] end))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h from lowered cross join tab
+), words as materialized (
+  select word, sum(times)::bigint as n from (
+    select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times from hashed
+  ) where length(word) >= 6 group by word having sum(times) >= 5
+), gaps as materialized (
+  select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from words, unnest(range(1, length(word) + 1)) u(i)
+), pairs as materialized (
+  select a.word, b.word as near, b.n as near_n from gaps a join gaps b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select g.word, w.word, w.n from gaps g join words w on g.rest = w.word
+  union select w.word, g.word, g.n from gaps g join words w on g.rest = w.word
+), best as materialized (
+  select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from pairs group by word
+), forms as materialized (
+  select word, n, coalesce(n_near, 0) as n_near, case when near_n >= 5 * n then near end as form, case when near_n >= 5 * n then near_n end as form_n from words left join best using (word)
+), chain as (
+  with recursive steps as (
+    select word, form as reached, 1 as step from forms where form is not null
+    union all select s.word, f.form, step + 1 from steps s join forms f on f.word = s.reached where f.form is not null
+  ) select word, arg_max(reached, step) as root from steps group by word
+)
+select f.word, f.form, coalesce(c.root, f.word) as root, f.n, f.n_near, f.form_n from forms f left join chain c using (word)
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -130,8 +174,10 @@ def queries() -> dict[str, Query]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_simhash": op10_simhash,
+        "op11_spelling": op11_spelling,
+        "op12_url_filter": op12_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op9_chat_formatting": OP9_SQL, "op11_spelling": OP11_SQL}
