@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import answering, evaluation, routing
+from .operators import answering, bm25, evaluation, routing
 from .operators.chunking import embed_text
 from .plans import index, retrieval
 from .sources import corpus
@@ -55,17 +55,17 @@ def planned(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     return asked.join(routes.withColumnRenamed("measure_ids", "measure_id"), "query_id")
 
 
-def found(chunks: DataFrame, questions: DataFrame, settings: Settings, embed: Embed | None = None) -> DataFrame:
+def found(chunks: DataFrame, questions: DataFrame, settings: Settings, embed: Embed | None = None, lexicon: bm25.Lexicon | None = None) -> DataFrame:
     """Ranked chunks of the year and the measures that a question names; questions without see all."""
     asked = index.embed_questions(planned(chunks, questions), embed, settings)
-    return retrieval.retrieve(chunks, asked, settings, measure="measure_id", year="plan_year")
+    return retrieval.retrieve(chunks, asked, settings, measure="measure_id", year="plan_year", index=lexicon)
 
 
 def ask(args: argparse.Namespace) -> int:
     spark = session()
     chunks = open_index(spark, args.index)
     question = spark.createDataFrame([("q", args.question, args.year)], "query_id string, query string, year int")
-    ranked = retrieval.hydrate(found(chunks, question, Settings(), args.embed), chunks, "header", "document", "body", "plan_year", "license_posture", "source_url")
+    ranked = retrieval.hydrate(found(chunks, question, Settings(), args.embed, index.lexicon(spark, args.index)), chunks, "header", "document", "body", "plan_year", "license_posture", "source_url")
     from .functions.text import snippet
 
     cards = ranked.select("rank", answering.title(F.col("header"), F.col("document")).alias("title"), "plan_year", "source_url", snippet(F.col("body"), corpus.committable(F.col("license_posture"))).alias("snippet"))
@@ -102,7 +102,7 @@ def evaluate(args: argparse.Namespace) -> int:
     lost = [r.label_id for r in evaluation.unresolved(labels, matches).collect()]
     if lost:
         raise evaluation.DatasetError(f"labels that match no chunk: {sorted(lost)}")
-    ranked = found(chunks, items.select(F.col("item_id").alias("query_id"), F.col("question").alias("query"), F.lit(None).cast("int").alias("year")), Settings(), args.embed)
+    ranked = found(chunks, items.select(F.col("item_id").alias("query_id"), F.col("question").alias("query"), F.lit(None).cast("int").alias("year")), Settings(), args.embed, index.lexicon(spark, args.index))
     listed = items.select("item_id", "category", "split", F.col("category").startswith("refusal").alias("is_refusal"), F.lit(None).cast("boolean").alias("refused"))
     metrics = evaluation.item_metrics(listed, ranked.select(F.col("query_id").alias("item_id"), F.col("doc_id").alias("chunk_id"), "rank"), evaluation.resolved(matches))
     report = evaluation.report(metrics).collect()  # a few rows for each category

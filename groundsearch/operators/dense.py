@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,13 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def _coded(values: pa.Array, rows: int, columns: int) -> tuple[np.ndarray, dict[str, int]]:
+    """A batch's filter values as numbers, -1 for null, and the number of each value: encoded once, whatever the number of filters."""
+    found = values.flatten().dictionary_encode()
+    codes = pc.fill_null(found.indices, -1).to_numpy(zero_copy_only=False)
+    return codes.reshape(rows, columns), {v: i for i, v in enumerate(found.dictionary.to_pylist())}
+
+
 def allowed(queries: DataFrame, column: str) -> Column:
     """What a query's filter column lets pass, as array<string>; null for everything. A list column allows its members, an empty one everything."""
     c = F.col(column)
@@ -78,15 +86,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "doc_id"
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                order = np.argsort(np.array(batch.column(0).to_pylist()), kind="stable")  # so that columns follow the ids
+                order = pc.sort_indices(batch.column(0)).to_numpy()  # so that columns follow the ids
                 unit = _unit(batch.column(1), dim)[order]
-                theirs = np.array(batch.column(2).flatten().to_pylist(), dtype=object).reshape(batch.num_rows, len(groups))[order]
+                codes, known = _coded(batch.column(2), batch.num_rows, len(groups))
+                codes = codes[order]
                 q, c, s = [], [], []
                 for wanted, rows in filters.items():  # one pass for each distinct filter
                     fits = np.ones(len(order), bool)
                     for i, values in enumerate(wanted):
                         if values is not None:
-                            fits &= np.isin(theirs[:, i].astype(str), values) & (theirs[:, i] != None)  # noqa: E711
+                            fits &= np.isin(codes[:, i], [known[v] for v in values if v in known])
                     at = np.flatnonzero(fits)
                     if not len(at):
                         continue

@@ -1,4 +1,4 @@
-"""An index on disk: chunks, vectors, and a stamp that is removed first and written last."""
+"""An index on disk: chunks, their postings, vectors, and a stamp that is removed first and written last."""
 
 from __future__ import annotations
 
@@ -9,19 +9,16 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Settings
+from ..operators import bm25
 from ..operators.chunking import chunk_documents, embed_text
 from ..sources import corpus
+from ..sources.scratch import files as _files
 
 
 class StaleIndexError(RuntimeError):
     """There is no index, or it was built otherwise."""
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def build(docs: DataFrame, directory: str, settings: Settings = Settings(), *, embed: Callable[[DataFrame], DataFrame] | None = None, manifest_version: str = "unversioned") -> dict:
     """Chunks normalised documents and writes them; `embed` turns (chunk_id, text) into (chunk_id, embedding)."""
     from pyspark.sql import functions as F
@@ -32,6 +29,7 @@ def build(docs: DataFrame, directory: str, settings: Settings = Settings(), *, e
     chunks = chunk_documents(docs, max_tokens=settings.chunk_max_tokens, overlap_tokens=settings.chunk_overlap_tokens)
     corpus.write_chunks(chunks, f"{directory}/chunks")
     kept = corpus.read_chunks(spark, f"{directory}/chunks")
+    bm25.write(kept.select("chunk_id", embed_text(F.col("header"), F.col("text")).alias("text")), f"{directory}/lexicon", key="chunk_id")
     if embed:
         embed(kept.select("chunk_id", embed_text(F.col("header"), F.col("text")).alias("text"))).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(f"{directory}/vectors")
         held = spark.read.parquet(f"{directory}/vectors").agg(F.count_distinct("chunk_id").alias("n"), F.count("embedding").alias("vectors"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
@@ -56,6 +54,11 @@ def vectors(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/vectors") if fs.exists(at) else spark.createDataFrame([], "chunk_id string, embedding array<float>")
 
 
+def lexicon(spark: SparkSession, directory: str) -> bm25.Lexicon:
+    """The postings of the chunks, header and text, under their ids."""
+    return bm25.read(spark, f"{directory}/lexicon")
+
+
 def embed_questions(questions: DataFrame, embed: Callable[[DataFrame], DataFrame] | None, settings: Settings = Settings()) -> DataFrame:
     """Questions with `embedding` (null without `embed`, which turns query_id, text into query_id, embedding). The model's prefix stands before each question exactly once."""
     from pyspark.sql import functions as F
@@ -81,4 +84,10 @@ def verify(spark: SparkSession, directory: str, settings: Settings = Settings())
         raise StaleIndexError(f"the index in {directory} was built with {model}, {digest}; wanted: {settings.embedding_model}, {settings.index_hash}")
     if corpus.read_chunks(spark, f"{directory}/chunks").count() != count:
         raise StaleIndexError(f"the index in {directory} doesn't hold the {count} chunks of its stamp")
+    try:
+        held = lexicon(spark, directory).summary.first().n
+    except Exception as e:
+        raise StaleIndexError(f"the postings in {directory} can't be read ({type(e).__name__}); build the index") from None
+    if held != count:
+        raise StaleIndexError(f"the postings in {directory} are of {held} chunks, not of the {count} of its stamp")
     return stamp

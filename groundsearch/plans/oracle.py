@@ -164,7 +164,11 @@ _DEFAULT = "(select max(plan_year) from (select plan_year, count(*) as n from ch
 
 SQL = {
     "tokenize_stats": f"select doc_id, len({TOKENS.format('text')}) as n_tokens, len(list_distinct({TOKENS.format('text')})) as n_distinct from documents",
-    "bm25_df_idf": f"with {IDF} select token, df, round(round(idf, 10), 6) as idf from idf",
+    "bm25_df_idf": f"""with seen as materialized (select distinct doc_id, unnest({TOKENS.format("text")}) as token from documents),
+df as materialized (select token, count(*) as df from seen group by token),
+raw as materialized (select token, df, ln(n - df + 0.5::double) - ln(df + 0.5::double) as raw from df cross join (select count(*) as n from documents)),
+least_ as materialized (select 0.25::double * avg(raw) as least from raw)
+select token, df, round(round(case when raw < 0 then least else raw end, 10), 6) as idf from raw cross join least_""",
     "bm25_topk": f"with {BM25} select query_id, doc_id, rank, round(round(score, 10), 6) as score from {_ranked('scored', 8, 'round(score, 9) > 0')}",
     "bm25_topk_filtered": f"with {CHUNKS}, {BM25} select query_id, doc_id, rank, round(round(score, 10), 6) as score from {_ranked('(select s.* from scored s join chunks c using (doc_id) where lang = ' + chr(39) + 'en' + chr(39) + ' and plan_year = 2026)', 8, 'round(score, 9) > 0')}",
     "dense_topk": f"with {QUESTIONS}, {COSINES} select query_id, doc_id, rank, round(round(score, 10), 6) as score from {_ranked('cosines', 8)}",

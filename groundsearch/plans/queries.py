@@ -62,8 +62,7 @@ def tokenize_stats(spark, sf_dir):
 
 
 def bm25_df_idf(spark, sf_dir):
-    d = texts(spark, sf_dir)
-    return rounded(bm25.inverse_frequencies(bm25.document_frequencies(d), d.agg(F.count("*").alias("n"))))
+    return rounded(bm25.lexicon(texts(spark, sf_dir)).terms)
 
 
 def bm25_topk(spark, sf_dir):
@@ -330,33 +329,36 @@ def dataset_summary(spark, sf_dir):
     return _big(evaluation.summary(_items(spark, sf_dir), gold_resolution(spark, sf_dir)))
 
 
-def _metrics(spark, sf_dir, lexical=True):
+def _metrics(spark, sf_dir, *lexical):
+    """Metrics of each item for every arm: hybrid, or those asked for."""
     c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    ranked = retrieval.retrieve(c, q, SETTINGS, measure="measure_id", year="plan_year", lexical=lexical)
     gate = retrieval.best_similarity(c, q, floor=0.97).select(F.col("query_id").cast("string").alias("item_id"), "refused")
     items = _items(spark, sf_dir).select("item_id", "category", "split", F.col("category").startswith("refusal").alias("is_refusal")).join(gate, "item_id", "left")
-    return evaluation.item_metrics(items, ranked.select(F.col("query_id").cast("string").alias("item_id"), F.col("doc_id").alias("chunk_id"), "rank"), gold_resolution(spark, sf_dir))
+    gold = gold_resolution(spark, sf_dir)
+    found = retrieval.arms(c, q, SETTINGS, measure="measure_id", year="plan_year", lexical=lexical or (True,))
+    return [evaluation.item_metrics(items, ranked.select(F.col("query_id").cast("string").alias("item_id"), F.col("doc_id").alias("chunk_id"), "rank"), gold) for ranked in found]
 
 
 def eval_per_item(spark, sf_dir):
-    return rounded(_metrics(spark, sf_dir))
+    return rounded(_metrics(spark, sf_dir)[0])
 
 
 def eval_grouping_sets(spark, sf_dir):
-    return rounded(evaluation.report(_metrics(spark, sf_dir)))
+    return rounded(evaluation.report(_metrics(spark, sf_dir)[0]))
 
 
 def refusal_accuracy(spark, sf_dir):
-    return rounded(evaluation.refusal_accuracy(_metrics(spark, sf_dir)))
+    return rounded(evaluation.refusal_accuracy(_metrics(spark, sf_dir)[0]))
 
 
 def ratchet_gate(spark, sf_dir):
     baseline = spark.createDataFrame(list(BASELINE.items()), "metric string, baseline double")
-    return rounded(evaluation.ratchet(evaluation.report(_metrics(spark, sf_dir)), baseline))
+    return rounded(evaluation.ratchet(evaluation.report(_metrics(spark, sf_dir)[0]), baseline))
 
 
 def hybrid_dense_delta(spark, sf_dir):
-    both = _metrics(spark, sf_dir).withColumn("arm", F.lit("hybrid")).unionByName(_metrics(spark, sf_dir, False).withColumn("arm", F.lit("dense")))
+    hybrid, only = _metrics(spark, sf_dir, True, False)
+    both = hybrid.withColumn("arm", F.lit("hybrid")).unionByName(only.withColumn("arm", F.lit("dense")))
     pivot = both.where("metric <> 'refused'").groupBy("metric").pivot("arm", ["hybrid", "dense"]).agg(F.avg("value"))
     return rounded(pivot.withColumn("delta", F.col("hybrid") - F.col("dense")))
 

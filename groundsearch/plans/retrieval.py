@@ -10,42 +10,81 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import bm25, dense, fusion
+from ..sources import scratch
 
 Reranker = Callable[[DataFrame], DataFrame]
 
 
-def legs(chunks: DataFrame, questions: DataFrame, settings: Settings, *, group: list[str] | None = None, lexical: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Ranked lists (query_id, doc_id, score, rank) by vectors and by BM25. group: columns of both tables; a question's value, or one of its list, must be the chunk's. Null or an empty list is no filter."""
-    group = group or []
-    by_vector = dense.top_k(chunks.select("doc_id", "embedding", *group), questions.select("query_id", "embedding", *group), settings.dense_k, groups=group)
-    if not lexical:
-        return by_vector, by_vector.where("false")
-    scored = bm25.scores(chunks.select("doc_id", "text"), questions.select("query_id", "query"))
-    if group:  # filters look at scored pairs only, never at all pairs of questions and chunks
-        wanted = questions.select("query_id", *[dense.allowed(questions, c).alias(f"w{i}") for i, c in enumerate(group)])
-        held = chunks.select("doc_id", *[F.col(c).cast("string").alias(f"h{i}") for i, c in enumerate(group)])
-        fits = [F.coalesce(F.array_contains(f"w{i}", F.col(f"h{i}")), F.col(f"w{i}").isNull()) for i in range(len(group))]
-        scored = scored.join(wanted, "query_id").join(held, "doc_id").where(reduce(Column.__and__, fits)).select("query_id", "doc_id", "score")
-    return by_vector, bm25.ranked(scored, settings.bm25_k)
+def _fits(questions: DataFrame, chunks: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """What questions want and chunks hold, and for each filter column whether they agree."""
+    wanted = questions.select("query_id", *[dense.allowed(questions, c).alias(f"w{i}") for i, c in enumerate(group)])
+    held = chunks.select("doc_id", *[F.col(c).cast("string").alias(f"h{i}") for i, c in enumerate(group)])
+    return wanted, held, [F.coalesce(F.array_contains(f"w{i}", F.col(f"h{i}")), F.col(f"w{i}").isNull()) for i in range(len(group))]
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), *, measure: str | None = None, year: str | None = None, lexical: bool = True, rerank: Reranker | None = None) -> DataFrame:
-    """query_id, doc_id, rank, score, dense_rank, bm25_rank, used_fallback of the final_k best.
+def ranked_lists(chunks: DataFrame, questions: DataFrame, settings: Settings, lists: list[list[str]], *, lexical: bool = True, index: bm25.Lexicon | None = None) -> DataFrame:
+    """list, leg (`dense` or `bm25`), query_id, doc_id, score, rank: the best of each question under each list of filters.
+
+    A list names the columns of both tables that filter it: a question's value, or one of its own list, must be the chunk's;
+    null or an empty list is no filter. Every pair is scored once, whatever the number of lists; a pair stands in each list whose
+    filters it passes, and a task hands on the k best of each. Written, so that arms and fallbacks read it and don't score again.
+    """
+    columns = sorted({c for group in lists for c in group})
+    asked = [questions.select(F.struct(F.lit(n).alias("list"), "query_id").alias("task"), "embedding", *[F.col(c) if c in group else F.lit(None).cast(dict(questions.dtypes)[c]).alias(c) for c in columns]) for n, group in enumerate(lists)]
+    found = dense.top_k(chunks.select("doc_id", "embedding", *columns), reduce(DataFrame.unionByName, asked), settings.dense_k, groups=columns, query_key="task")
+    found = found.select("task.list", F.lit("dense").alias("leg"), "task.query_id", "doc_id", "score", "rank")
+    if lexical:
+        scored = bm25.scores(index or chunks.select("doc_id", "text"), questions.select("query_id", "query"))
+        numbers = F.array(F.lit(0))
+        if columns:  # filters look at scored pairs only, never at all pairs of questions and chunks
+            wanted, held, fits = _fits(questions, chunks, columns)
+            passed = [reduce(Column.__and__, [fits[columns.index(c)] for c in group], F.lit(True)) for group in lists]
+            numbers = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in enumerate(passed)]))
+            scored = scored.join(wanted, "query_id").join(held, "doc_id")
+        scored = scored.where(F.round("score", 9) > 0).select("query_id", "doc_id", "score", F.explode(numbers).alias("list"))
+        best = bm25.ranked(scored, settings.bm25_k, query_key=["list", "query_id"])
+        found = found.unionByName(best.select("list", F.lit("bm25").alias("leg"), "query_id", "doc_id", "score", "rank"))
+    return scratch.written(found, "lists")
+
+
+def list_of(ranked: DataFrame, number: int, leg: str) -> DataFrame:
+    return ranked.where((F.col("list") == number) & (F.col("leg") == leg)).drop("list", "leg")
+
+
+def legs(chunks: DataFrame, questions: DataFrame, settings: Settings, *, group: list[str] | None = None, lexical: bool = True, index: bm25.Lexicon | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ranked lists (query_id, doc_id, score, rank) by vectors and by BM25, under the filters of `group`."""
+    found = ranked_lists(chunks, questions, settings, [group or []], lexical=lexical, index=index)
+    return list_of(found, 0, "dense"), list_of(found, 0, "bm25")
+
+
+def arms(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), *, measure: str | None = None, year: str | None = None, lexical: tuple[bool, ...] = (True,), rerank: Reranker | None = None, index: bm25.Lexicon | None = None) -> list[DataFrame]:
+    """For each arm (hybrid, or, where `lexical` is false, dense first lists): query_id, doc_id, rank, score, dense_rank, bm25_rank, used_fallback of the final_k best.
 
     chunks: doc_id, text, embedding (may be null) and the filter columns; questions: query_id, query, embedding and the
     filter columns (values, lists of values, or null for no filter). Where a measure filter leaves fewer than four, the
-    list without it (but with the year) follows; that list is hybrid even when `lexical` is off. `rerank` may reorder and
-    drop, but what it adds goes.
+    list without it (but with the year) follows; that list is hybrid in every arm. `rerank` may reorder and
+    drop, but what it adds goes. All arms and both lists come from one scoring. index: postings of the same chunks.
     """
     group = [c for c in (measure, year) if c]
-    first = fusion.fuse(*legs(chunks, questions, settings, group=group, lexical=lexical), settings.rrf_k)
-    if measure:
-        second = fusion.fuse(*legs(chunks, questions, settings, group=[year] if year else None), settings.rrf_k)
-        found = fusion.with_fallback(first, second, questions.where(dense.allowed(questions, measure).isNotNull()).select("query_id"))
-    else:
-        found = first.withColumn("used_fallback", F.lit(False))
-    found = rerank(found).join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi") if rerank else found
-    return found.where(F.col("rank") <= settings.final_k)
+    lists = [group, [year] if year else []] if measure else [group]
+    found = ranked_lists(chunks, questions, settings, lists, lexical=any(lexical) or bool(measure), index=index)
+    out = []
+    for hybrid in lexical:
+        words = list_of(found, 0, "bm25")
+        first = fusion.fuse(list_of(found, 0, "dense"), words if hybrid else words.where("false"), settings.rrf_k)
+        if measure:
+            second = fusion.fuse(list_of(found, 1, "dense"), list_of(found, 1, "bm25"), settings.rrf_k)
+            best = fusion.with_fallback(first, second, questions.where(dense.allowed(questions, measure).isNotNull()).select("query_id"))
+        else:
+            best = first.withColumn("used_fallback", F.lit(False))
+        best = rerank(best).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi") if rerank else best
+        out.append(best.where(F.col("rank") <= settings.final_k))
+    return out
+
+
+def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), *, lexical: bool = True, **options) -> DataFrame:
+    """One arm of `arms`."""
+    return arms(chunks, questions, settings, lexical=(lexical,), **options)[0]
 
 
 def best_similarity(chunks: DataFrame, questions: DataFrame, floor: float = 0.35) -> DataFrame:
