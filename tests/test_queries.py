@@ -4,9 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from groundsearch.plans.oracle import SQL
+from groundsearch.plans import oracle
+from jobs import queries as jobs
 
 SF = "/root/testdata/sf0.001"
+SQL = oracle.SQL | jobs.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
