@@ -41,8 +41,7 @@ def session() -> SparkSession:
 def open_index(spark: SparkSession, directory: str) -> DataFrame:
     """Chunks as retrieval wants them: doc_id is the chunk's id, text what is searched."""
     index.verify(spark, directory)
-    chunks = corpus.read_chunks(spark, f"{directory}/chunks")
-    chunks = chunks.select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("document"), embed_text(F.col("header"), F.col("text")).alias("text"), F.col("text").alias("body"), "header", "section", "measure_id", "measure_name", "plan_year", "license_posture", "source_url")
+    chunks = index.chunks(spark, directory).select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("document"), embed_text(F.col("header"), F.col("text")).alias("text"), F.col("text").alias("body"), "header", "section", "measure_id", "measure_name", "plan_year", "license_posture", "source_url")
     return chunks.join(index.vectors(spark, directory).withColumnRenamed("chunk_id", "doc_id"), "doc_id", "left")
 
 

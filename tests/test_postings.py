@@ -9,7 +9,6 @@ from groundsearch.config import Settings
 from groundsearch.functions.text import WORD_BREAK
 from groundsearch.operators import bm25, dense
 from groundsearch.plans import index, retrieval
-from groundsearch.sources import corpus
 
 DOCS = [(1, "The cat sat; the CAT sat"), (2, ""), (3, None), (4, "dog"), (5, "l'été à Zürich_2 été"), (6, "x " * 30_000 + "y"), (7, " \n\t!")]
 
@@ -69,16 +68,74 @@ def test_stale_postings_are_found(spark, tmp_path):
     index.build(normalised(spark, ["eye exam", "flu shot", "blood pressure"]), path)
     assert index.verify(spark, path)["chunk_count"] == 3
     found = bm25.scores(index.lexicon(spark, path), spark.createDataFrame([(1, "flu")], "query_id int, query string")).collect()
-    chunk = corpus.read_chunks(spark, f"{path}/chunks").where("text = 'flu shot'").first().chunk_id
+    chunk = index.chunks(spark, path).where("text = 'flu shot'").first().chunk_id
     assert [r.doc_id for r in found] == [chunk]
-    bm25.write(spark.createDataFrame([("c", "other")], "chunk_id string, text string"), f"{path}/lexicon", key="chunk_id")
-    with pytest.raises(index.StaleIndexError, match="postings"):
+    bm25.write(spark.createDataFrame([("c", "other")], "chunk_id string, text string"), f"{index.current(spark, path)}/lexicon", key="chunk_id")
+    with pytest.raises(index.StaleIndexError, match="postings of 1 chunks"):
         index.verify(spark, path)
-    shutil.rmtree(f"{path}/lexicon/summary")
-    with pytest.raises(index.StaleIndexError, match="postings"):
+    shutil.rmtree(f"{index.current(spark, path)}/lexicon/summary")
+    with pytest.raises(index.StaleIndexError, match="can't be read"):
         index.verify(spark, path)
 
 
+def test_only_what_is_new_is_embedded(spark, tmp_path):
+    path, asked = str(tmp_path / "index"), []
+
+    def embed(texts):
+        asked.append(sorted(r.text.split("\n")[1] for r in texts.collect()))
+        return texts.select("chunk_id", F.array(F.length("text").cast("float")).alias("embedding"))
+
+    index.build(normalised(spark, ["eye exam", "flu shot"]), path)  # without vectors
+    one = index.build(normalised(spark, ["eye exam", "flu shot", "blood pressure"]), path, embed=embed)
+    assert one["statuses"] == {"added": 1, "changed": 0, "kept": 2, "removed": 0} and asked.pop() == ["blood pressure", "eye exam", "flu shot"]
+    retitled = normalised(spark, ["eye exam", "flu jab", "blood pressure"]).withColumn("title", F.when(F.col("doc_id") == "d2", "U").otherwise(F.col("title")))
+    two = index.build(retitled, path, embed=embed)
+    assert two["statuses"] == {"added": 1, "changed": 1, "kept": 1, "removed": 1} and asked.pop() == ["blood pressure", "flu jab"]
+    whole = str(tmp_path / "whole")
+    index.build(retitled, whole, embed=embed)
+    for of in (index.chunks, index.vectors, lambda s, p: index.lexicon(s, p).terms, lambda s, p: index.lexicon(s, p).postings):
+        assert sorted(map(str, of(spark, path).collect())) == sorted(map(str, of(spark, whole).collect()))
+    assert index.build(normalised(spark, []), path, embed=embed)["statuses"]["removed"] == 3
+
+
+def test_a_build_that_dies_leaves_the_old_version(spark, tmp_path):
+    path = str(tmp_path / "index")
+
+    def dies(texts):
+        raise RuntimeError("no model")
+
+    with pytest.raises(RuntimeError):
+        index.build(normalised(spark, ["a b"]), path, embed=dies)
+    with pytest.raises(index.StaleIndexError, match="no index stamp"):
+        index.verify(spark, path)
+    first = index.build(normalised(spark, ["eye exam", "flu shot"]), path)
+    reader = index.chunks(spark, path)
+    with pytest.raises(RuntimeError):
+        index.build(normalised(spark, ["flu shot", "other"]), path, embed=dies)
+    assert index.verify(spark, path) == first and index.chunks(spark, path).count() == 2
+    index.build(normalised(spark, ["other"]), path)
+    assert reader.count() == 2 and index.chunks(spark, path).count() == 1  # who began before goes on
+    index.build(normalised(spark, ["more"]), path)
+    assert len(list((tmp_path / "index" / "versions").iterdir())) == 2
+
+
+def test_a_broken_stamp_shows_no_content(spark, tmp_path):
+    path = tmp_path / "index"
+    index.build(normalised(spark, ["eye exam"]), str(path))
+    for text in ('{"secret": 1', '["secret"]', '{"embedding_model": "secret"}', ""):
+        (path / "stamp.json").write_text(text)
+        (path / ".stamp.json.crc").unlink(missing_ok=True)
+        with pytest.raises(index.StaleIndexError) as e:
+            index.verify(spark, str(path))
+        assert "secret" not in str(e.value) and "can't be read" in str(e.value)
+
+
+def test_differences(spark):
+    held = spark.createDataFrame([("a", "x", None), ("b", "x", "y"), ("c", "x", "y"), ("d", None, "-")], "chunk_id string, text string, header string")
+    new = spark.createDataFrame([("a", "x", None), ("b", "x", "z"), ("d", "-", None), ("e", "", "")], held.schema)
+    assert dict(index.differences(held, new).collect()) == {"a": "kept", "b": "changed", "c": "removed", "d": "changed", "e": "added"}
+
+
 def corpus_and_questions(spark):
     chunks = spark.createDataFrame([(i, f"common w{i % 7} v{i % 3}", f"m{i % 4}", 2025 + i % 2, [float(i % 5), float(i % 11), 1.0] if i % 6 else None) for i in range(200)], "doc_id int, text string, measure_id string, plan_year int, embedding array<float>")
     asked = [(1, "common w1", ["m1"], 2025, [1.0, 0.0, 0.0]), (2, "w2 v1", None, 2026, None), (3, "common", ["m0", "m3"], None, [0.0, 1.0, 0.0]), (4, "w3", ["none"], 2025, [1.0, 1.0, 0.0]), (5, "nothing", [], None, [0.0, 0.0, 1.0])]
