@@ -208,6 +208,16 @@ select token, df, round(round(case when raw < 0 then least else raw end, 10), 6)
     "section_kinds": f"with {FIELDS} select kind, label, count(*) as n from kinds group by all",
     "segment_bounds": "select conv_id, turn as start, lead(turn) over (partition by conv_id order by turn) as stop from conversations where role = 'user'",
     "page_asof": "select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as page from conversations",
+    "segment_rows": """with heads as (select conv_id, turn as start from conversations where role = 'user')
+      select h.conv_id, start + 3 as until, count(*) as turns, sum(length(text))::bigint as n_chars from conversations c asof join heads h on c.conv_id = h.conv_id and c.turn >= h.start
+      where turn < start + 3 group by all""",
+    "index_differences": """with one as (select distinct source || ':doc:general:' || substr(sha256(source || '|None|general|' || text), 1, 16) as id from documents where text is not null),
+      two as (
+        select id, min(doc_id), arg_min(lang, doc_id) as lang from (
+          select source || ':doc:general:' || substr(sha256(source || '|None|general|' || t), 1, 16) as id, doc_id, lang from (select *, case when lang = 'fr' then text || ' (2026)' else text end as t from documents where source <> 'src3' and text is not null)
+          union all select 'benchmark:doc:general:' || substr(sha256('benchmark|None|general|' || text), 1, 16), item_id, 'en' from benchmark) group by id)
+      select split_part(coalesce(one.id, two.id), ':', 1) as source, case when one.id is null then 'added' when two.id is null then 'removed' when lang = 'de' then 'changed' else 'kept' end as status, count(*) as n
+      from one full join two on one.id = two.id group by all""",
     "citations": f"""with {REPLIES}, m as (select conv_id, turn, {MARKERS} as m from replies),
       n as (select *, list_sort(list_distinct(list_filter(m, lambda x: x < 1 or x > 3))) as bad, list_filter(m, lambda x: x between 1 and 3) as good from m)
       select conv_id, turn, array_to_string(m, ',') as markers, len(m) > 0 and len(bad) = 0 as valid, array_to_string(bad, ',') as invalid,

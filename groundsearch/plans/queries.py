@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
-from ..operators import answering, bm25, chunking, dense, evaluation, fusion, parsing, routing
+from ..operators import answering, asof, bm25, chunking, dense, evaluation, fusion, parsing, routing
 from ..schemas import SECTION_KINDS
 from ..sources import corpus
-from . import retrieval
+from . import index, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings()
@@ -229,18 +229,36 @@ def _turns(spark, sf_dir):
 
 def segment_bounds(spark, sf_dir):
     """A user's turn begins a segment that runs to the next one."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return _turns(spark, sf_dir).where("role = 'user'").select("conv_id", F.col("turn").alias("start"), F.lead("turn").over(w).alias("stop"))
+    heads = _turns(spark, sf_dir).where("role = 'user'").select("conv_id", F.col("turn").alias("start"))
+    return asof.segments(heads, on="conv_id", at="start")
 
 
 def page_asof(spark, sf_dir):
     """Each turn with the last user turn before or at it."""
-    from pyspark.sql import Window
+    turns = _turns(spark, sf_dir).select("conv_id", "turn", "role")
+    return asof.asof_join(turns.drop("role"), turns.where("role = 'user'"), on="conv_id", left_at="turn", right_at="turn", take={"page": "turn"})
+
+
+def segment_rows(spark, sf_dir):
+    """How many turns, and of which length, stand in each user's segment before its assistant's answer is two turns old."""
+    turns = _turns(spark, sf_dir)
+    heads = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("start"), (F.col("turn") + 3).alias("limit"))
+    held = asof.within(turns.select("conv_id", "turn", F.length("text").alias("n_chars")), heads, on="conv_id", at="turn", head_at="start", stop_at="limit", take={"until": "limit"})
+    return _big(held.groupBy("conv_id", "until").agg(F.count("*").alias("turns"), F.sum("n_chars").alias("n_chars")))
+
 
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("page"))
+def index_differences(spark, sf_dir):
+    """Two versions of a corpus: German headers and French texts changed, one source gone, the benchmark's passages added."""
+    none = F.lit(None).cast("string")
+    made = lambda d: d.select(T.chunk_id(F.col("source"), none, F.lit("general"), F.col("text")).alias("chunk_id"), "text", "header", "doc_id")
+    once = lambda d: chunking.keep_first(made(d), "chunk_id", "doc_id").drop("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").where("text is not null")
+    first = docs.withColumn("header", F.concat_ws(" | ", "source", F.lit("2025")))
+    text = F.when(F.col("lang") == "fr", F.concat("text", F.lit(" (2026)"))).otherwise(F.col("text"))
+    second = docs.where("source <> 'src3'").withColumn("text", text).withColumn("header", F.concat_ws(" | ", "source", F.when(F.col("lang") == "de", "2026").otherwise("2025")))
+    more = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("benchmark").alias("source"), F.lit("en").alias("lang"), F.lit("benchmark | 2026").alias("header"))
+    found = index.differences(once(first), once(second.unionByName(more)))
+    return found.groupBy(F.substring_index("chunk_id", ":", 1).alias("source"), "status").agg(F.count("*").alias("n"))
 
 
 def _replies(spark, sf_dir):
@@ -385,7 +403,7 @@ def license_gate(spark, sf_dir):
 
 NAMES = (
     "tokenize_stats bm25_df_idf bm25_topk bm25_topk_filtered dense_topk dense_topk_filtered best_similarity_gate rrf_fuse hybrid_topk hybrid_fallback dense_only_arm routed_topk default_year year_inference alias_table alias_route "
-    "literal_id_route token_estimate word_windows chunk_greedy chunk_ids chunk_dedup chunk_headers normalize_block field_split section_kinds segment_bounds page_asof citations citation_cards snippets context_blocks "
+    "literal_id_route token_estimate word_windows chunk_greedy chunk_ids chunk_dedup chunk_headers normalize_block field_split section_kinds segment_bounds page_asof segment_rows index_differences citations citation_cards snippets context_blocks "
     "answer_state_machine gold_resolution unresolved_labels dataset_validation dataset_summary eval_per_item eval_grouping_sets refusal_accuracy ratchet_gate hybrid_dense_delta judge_verdicts integrity_sha256 license_gate"
 ).split()
 
