@@ -3,7 +3,7 @@
     python -m groundsearch build --source DIR --index DIR
     python -m groundsearch ask "question" --index DIR [--year 2026]
     python -m groundsearch eval --retrieval --dataset FILE --index DIR [--gate --baseline FILE] [--out FILE]
-    python -m groundsearch report --readme FILE [--artifact FILE]
+    python -m groundsearch report --readme FILE [--artifact FILE | --results DIR]
 
 Without a model every answer is the cards of the passages found. Vectors are read from the index where it has them;
 `main` takes a function that embeds passages and questions, without which search is by words alone.
@@ -123,7 +123,7 @@ def evaluate(args: argparse.Namespace) -> int:
 
 
 def report(args: argparse.Namespace) -> int:
-    artifact = Path(args.artifact) if args.artifact else evaluation.latest_artifact(Path(args.readme).parent)
+    artifact = Path(args.artifact) if args.artifact else evaluation.latest_artifact(Path(args.results))
     evaluation.sync_region(Path(args.readme), json.loads(artifact.read_text()))
     return 0
 
@@ -147,6 +147,7 @@ def main(argv: list[str] | None = None, embed: Embed | None = None) -> int:
     p.add_argument("--out")
     p = commands.add_parser("report")
     p.add_argument("--artifact")
+    p.add_argument("--results", default="results", help="the folder whose last artifact counts, if none is named")
     p.add_argument("--readme", required=True)
     commands.add_parser("version")
     args = parser.parse_args(argv)

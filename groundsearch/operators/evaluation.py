@@ -125,8 +125,8 @@ def summary(items: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def latest_artifact(directory: Path) -> Path:
-    """The newest artifact (*.json) of a folder; of two as new the last by name."""
-    found = sorted(directory.glob("*.json"), key=lambda p: (p.stat().st_mtime, p.name))
+    """The last artifact (*.json) of a results folder, by name: times of files change with every checkout."""
+    found = sorted(directory.glob("*.json"), key=lambda p: p.name)
     if not found:
         raise DatasetError(f"no artifact in {directory}")
     return found[-1]

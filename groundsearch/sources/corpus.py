@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CHUNK, COMMIT_POLICIES, COMMITTABLE, GOLD_ITEM, NORMALIZED_DOC, PARSERS
@@ -96,18 +96,52 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK).parquet(path)
 
 
-def read_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks as JSON lines. Of one id the last line counts."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("place"))
-    parsed = lines.select("place", F.from_json("value", CHUNK, {"mode": "FAILFAST"}).alias("c")).select("place", "c.*")
-    return parsed.groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in parsed.columns if c not in ("chunk_id", "place")]), "place").alias("c")).select("chunk_id", "c.*")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value of every line of text files, blank ones too; lines count from 1 in each file.
+
+    A large file is read in blocks. A line's number is its place in its block and the lines of the blocks before, so no
+    task holds more than a block, and only the blocks' counts meet.
+    """
+    at = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    counts = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file"), at.alias("block")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    counts = counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))
+    return lines.withColumn("place", place).join(counts, ["file", "block"]).select("file", (F.col("before") + F.col("place")).alias("line"), "value")
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Records with their file and line, and the places (file, line, reason) of lines that hold none; blank lines are neither.
+
+    A line holds no record if it isn't JSON of the schema's types, or lacks the key. Reasons name no content.
+    """
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = lines.select("file", "line", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    reason = F.when(F.col("r").isNull() | F.col("r._corrupt").isNotNull(), "not readable").when(F.col(f"r.{key}").isNull(), f"no {key}")
+    marked = parsed.withColumn("reason", reason)
+    return marked.where("reason is null").select("file", "line", "r.*").drop("_corrupt"), marked.where("reason is not null").select("file", "line", "reason")
+
+
+def _refuse(bad: DataFrame, what: str) -> None:
+    rows = bad.orderBy("file", "line").take(20)
+    if rows:
+        raise CorpusError(f"{what} that can't be read: " + "; ".join(f"{r.file.rsplit('/', 1)[-1]} line {r.line}: {r.reason}" for r in rows))
+
+
+def read_chunk_lines(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
+    """Chunks as JSON lines. Of one id the last line counts, by file and line. Lines without a chunk are an error, or are set aside: their places are written to `quarantine`."""
+    good, bad = read_json_lines(spark, path, CHUNK, "chunk_id")
+    if quarantine:
+        bad.write.mode("overwrite").parquet(quarantine)
+    else:
+        _refuse(bad, "lines of chunks")
+    rest = [c for c in good.columns if c not in ("chunk_id", "file", "line")]
+    return good.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), F.struct("file", "line")).alias("c")).select("chunk_id", "c.*")
 
 
 def load_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold items from JSON lines; blank lines are skipped, a line that can't be read is named by its number."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
-    parsed = text.select((F.col("line") + 1).alias("line"), F.from_json("value", GOLD_ITEM).alias("item"))
-    bad = parsed.where("item is null or item.item_id is null").select("line").take(20)
-    if bad:
-        raise CorpusError(f"lines that can't be read: {sorted(r.line for r in bad)}")
-    return parsed.select("item.*")
+    """Gold items from JSON lines; blank lines are skipped, lines without an item are an error that names them."""
+    good, bad = read_json_lines(spark, path, GOLD_ITEM, "item_id")
+    _refuse(bad, "lines")
+    return good.drop("file", "line")
