@@ -6,9 +6,12 @@ import json
 from collections.abc import Mapping
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_scan import first_object
+
 GATES = ("recall@8", "mrr")
 BEGIN, END = "<!-- EVAL:BEGIN -->", "<!-- EVAL:END -->"
 
@@ -147,15 +150,40 @@ def sync_region(path: Path, artifact: Mapping) -> str:
     return new
 
 
-VERDICT = "struct<claims:array<struct<claim:string,verdict:string,citation_valid:boolean>>,notes:string>"
+VERDICTS = ("supported", "unsupported", "contradicted")
+VERDICT = "struct<claims:array<struct<claim:string,verdict:string,citation_valid:boolean>>,notes:string,problem:string>"
+
+
+def _verdict(reply: str | None) -> dict:
+    """claims and notes, or the problem that leaves them null."""
+    found = first_object(reply or "")
+    if found is None:
+        return {"problem": "no JSON object"}
+    claims = found.get("claims")
+    if not isinstance(claims, list):
+        return {"problem": "no 'claims' list"}
+    out = []
+    for i, claim in enumerate(claims):
+        if not isinstance(claim, dict):
+            return {"problem": f"claims[{i}] is not an object"}
+        verdict, valid = claim.get("verdict"), claim.get("citation_valid")
+        if verdict not in VERDICTS:
+            return {"problem": f"claims[{i}]: invalid verdict"}
+        if valid is not None and not isinstance(valid, bool):
+            return {"problem": f"claims[{i}]: citation_valid is neither true, false nor null"}
+        out.append({"claim": str(claim.get("claim") or ""), "verdict": verdict, "citation_valid": valid})
+    return {"claims": out, "notes": str(found.get("notes") or "")}
 
 
 def judged(reply: Column) -> Column:
-    """A judge's reply to counts. The first brace that begins decodable JSON with a claims list counts; else everything is null."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(reply), F.lit(1))), lambda i: reply.substr(i, F.lit(1)) == "{")
-    last = F.length(reply) - F.locate("}", F.reverse(reply)) + 1
-    tries = F.transform(starts, lambda i: F.from_json(reply.substr(i, last - i + 1), VERDICT))
-    return F.get(F.filter(tries, lambda v: v.claims.isNotNull()), F.lit(0))
+    """A judge's reply to claims, notes and problem. The first JSON object in the reply counts, whatever stands around it; if any of its claims breaks the rules, claims are null and the problem says why."""
+
+    @F.pandas_udf(VERDICT)
+    def parse(replies: pd.Series) -> pd.DataFrame:
+        found = [_verdict(r) for r in replies]
+        return pd.DataFrame({k: pd.Series([v.get(k) for v in found], dtype=object) for k in ("claims", "notes", "problem")})
+
+    return parse(reply)
 
 
 def verdict_counts(verdict: Column) -> list[Column]:
