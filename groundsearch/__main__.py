@@ -1,12 +1,12 @@
 """Command line: build, ask, eval, report, version.
 
     python -m groundsearch build --source DIR --index DIR
-    python -m groundsearch ask "question" --index DIR [--year 2026]
+    python -m groundsearch ask "question" --index DIR [--year 2026] [--retrieval-only]
     python -m groundsearch eval --retrieval --dataset FILE --index DIR [--gate --baseline FILE] [--out FILE]
     python -m groundsearch report --readme FILE [--artifact FILE | --results DIR]
 
-Without a model every answer is the cards of the passages found. Vectors are read from the index where it has them;
-`main` takes a function that embeds passages and questions, without which search is by words alone.
+Vectors are read from the index where it has them; `main` takes a function that embeds passages and questions, without
+which search is by words alone, and one that generates replies, without which an answer is the cards of the passages found.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .config import Settings
 from .operators import answering, bm25, evaluation, routing
 from .operators.chunking import embed_text
 from .plans import index, retrieval
-from .sources import corpus
+from .sources import corpus, scratch
 
 VERSION = "0.1.0"
 #: Turns (query_id, text) into (query_id, embedding).
@@ -62,18 +62,31 @@ def found(chunks: DataFrame, questions: DataFrame, settings: Settings, embed: Em
 
 def ask(args: argparse.Namespace) -> int:
     spark = session()
-    chunks = open_index(spark, args.index)
+    chunks, settings = open_index(spark, args.index), Settings()
     question = spark.createDataFrame([("q", args.question, args.year)], "query_id string, query string, year int")
-    ranked = retrieval.hydrate(found(chunks, question, Settings(), args.embed, index.lexicon(spark, args.index)), chunks, "header", "document", "body", "plan_year", "license_posture", "source_url")
+    asked = index.embed_questions(planned(chunks, question), args.embed, settings)
+    best = retrieval.retrieve(chunks, asked, settings, measure="measure_id", year="plan_year", index=index.lexicon(spark, args.index))
+    ranked = scratch.written(retrieval.hydrate(best, chunks, "header", "document", "body", "section", "measure_id", "plan_year", "license_posture", "source_url"), "found")
     from .functions.text import snippet
 
-    cards = ranked.select("rank", answering.title(F.col("header"), F.col("document")).alias("title"), "plan_year", "source_url", snippet(F.col("body"), corpus.committable(F.col("license_posture"))).alias("snippet"))
-    rows = cards.orderBy("rank").collect()  # final_k rows
-    messages = answering.Messages()
-    print(messages.retrieval_only if rows else messages.low_confidence)
+    block = answering.context_block(F.col("rank"), F.col("doc_id"), F.col("header"), F.col("measure_id"), F.col("plan_year"), F.col("source_url"), F.col("body"))
+    similarity = retrieval.best_similarity(chunks, asked, settings.refusal_score_floor).select("query_id", F.col("best_similarity").alias("similarity"))
+    counted = ranked.groupBy("query_id").agg(F.count("*").alias("chunks"))
+    whole = question.select("query_id", F.col("query").alias("question")).join(answering.contexts(ranked, block), "query_id", "left").join(counted, "query_id", "left").join(similarity, "query_id", "left")
+    answer = answering.answers(whole, None if args.retrieval_only else args.generate, floor=settings.refusal_score_floor).first()
+    if answer.kind in ("answered", "retrieval_only"):
+        cards = ranked.select("rank", "query_id", answering.title(F.col("header"), F.col("document")).alias("title"), "plan_year", "source_url", snippet(F.col("body"), corpus.committable(F.col("license_posture"))).alias("snippet"))
+        if answer.kind == "answered":
+            replies = counted.select("query_id", "chunks", F.lit(answer.reply).alias("reply"))
+            cards = answering.cards(replies, cards)
+        rows = cards.orderBy(*(["place"] if answer.kind == "answered" else ["rank"])).collect()  # final_k rows
+    else:
+        rows = []
+    body, _, disclaimer = answer.text.rpartition("\n\n")
+    print(body)
     for r in rows:
         print(f"[{r['rank']}] {r.title} ({r.plan_year}) {r.source_url}\n    {r.snippet}")
-    print(f"\n{messages.disclaimer}")
+    print(f"\n{disclaimer}")
     return 0
 
 
@@ -128,7 +141,7 @@ def report(args: argparse.Namespace) -> int:
     return 0
 
 
-def main(argv: list[str] | None = None, embed: Embed | None = None) -> int:
+def main(argv: list[str] | None = None, embed: Embed | None = None, generate: answering.Generate | None = None) -> int:
     parser = argparse.ArgumentParser(prog="groundsearch")
     commands = parser.add_subparsers(dest="command", required=True)
     p = commands.add_parser("build")
@@ -138,6 +151,7 @@ def main(argv: list[str] | None = None, embed: Embed | None = None) -> int:
     p.add_argument("question")
     p.add_argument("--index", required=True)
     p.add_argument("--year", type=int)
+    p.add_argument("--retrieval-only", action="store_true")
     p = commands.add_parser("eval")
     p.add_argument("--retrieval", action="store_true")
     p.add_argument("--dataset", required=True)
@@ -151,7 +165,7 @@ def main(argv: list[str] | None = None, embed: Embed | None = None) -> int:
     p.add_argument("--readme", required=True)
     commands.add_parser("version")
     args = parser.parse_args(argv)
-    args.embed = embed
+    args.embed, args.generate = embed, generate
     try:
         if args.command == "version":
             print(VERSION)

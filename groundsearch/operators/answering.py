@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
+#: Turns query_id, question, context, correction (null in the first pass) into query_id, reply, in batches of its own.
+Generate = Callable[[DataFrame], DataFrame]
+
 #: A reply that holds this sentence is a refusal. A fixed value.
 REFUSAL = "The public documents in my corpus do not contain the information needed to answer this."
 MARKER = r"\[(\d+)\]"
@@ -97,3 +103,34 @@ def shown(kind: Column, reply: Column, messages: Messages = Messages()) -> Colum
         .otherwise(messages.retrieval_only)
     )
     return F.concat(body, F.lit(f"\n\n{messages.disclaimer}"))
+
+
+def _replies(asked: DataFrame, generate: Generate, name: str) -> DataFrame:
+    """One reply for each question, null where the model gave none. Written, so that nothing is generated twice, whatever reads it."""
+    given = generate(asked.select("query_id", "question", "context", "correction")).groupBy("query_id").agg(F.min("reply").alias(name))
+    return written(asked.select("query_id").join(given, "query_id", "left"), name)
+
+
+def answers(asked: DataFrame, generate: Generate | None = None, *, floor: float = 0.35, messages: Messages = Messages()) -> DataFrame:
+    """query_id, kind, text, reply of every question. asked: query_id, question, context, chunks (their number), similarity (or null).
+
+    Only questions that pass the confidence gate reach the model, and only those whose first reply is no refusal and cites
+    badly reach it again, with what was wrong. A reply that still cites badly is never shown. Without a model the passages
+    stand alone. reply: the text that counts, or null.
+    """
+    if generate is None:
+        first = second = None
+    else:
+        open_ = written(asked.where(~refused_for_confidence(F.col("chunks"), F.col("similarity"), floor)).withColumn("correction", F.lit(None).cast("string")), "asked")
+        first = _replies(open_, generate, "first")
+        reply = F.coalesce("first", F.lit(""))
+        wrong = open_.join(first, "query_id").where(~F.contains(reply, F.lit(REFUSAL)) & ~citations_valid(reply, F.col("chunks")))
+        second = _replies(wrong.withColumn("correction", correction_hint(reply, F.col("chunks"), messages)), generate, "second")
+    rows = asked.select("query_id", "chunks", "similarity")
+    for given, name in ((first, "first"), (second, "second")):
+        rows = rows.join(given, "query_id", "left") if given is not None else rows.withColumn(name, F.lit(None).cast("string"))
+    one, two = F.coalesce("first", F.lit("")), F.coalesce("second", F.lit(""))
+    kind = outcome(F.col("chunks"), F.col("similarity"), F.lit(generate is not None), one, two, floor)
+    kept = F.when(kind == "answered", F.when(citations_valid(one, F.col("chunks")), F.col("first")).otherwise(F.col("second")))
+    rows = rows.select("query_id", kind.alias("kind"), kept.alias("reply"))
+    return rows.select("query_id", "kind", shown(F.col("kind"), F.col("reply"), messages).alias("text"), "reply")
