@@ -91,8 +91,8 @@ def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source",
     return rows.select(*out, stats.alias(into))
 
 
-def dedup_pages(pages: DataFrame, *, max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """Lines of raw web pages, by the host of their url: page_id, host, text, n_lines, n_dropped."""
+def dedup_pages(pages: DataFrame, *, max_ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
+    """Lines of raw web pages, by the host of their url: page_id, host, text, n_lines, n_dropped. Two pages are the least that show a line to be the site's."""
     text = pages.select(F.col("page_id"), url_host(F.col("url")).alias("host"), F.regexp_replace(html_lines(F.col("html")), "[ \\t\\r\\f]*\n[ \\t\\r\\f\n]*", "\n").alias("text"))
     done = drop_boilerplate(text, text="text", host="host", max_ratio=max_ratio, min_pages=min_pages)
     return done.select("page_id", "host", "text", "line_stats.n_lines", "line_stats.n_dropped")

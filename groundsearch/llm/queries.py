@@ -101,7 +101,7 @@ with p as (
 ), seen as (
   select host, trim(line, {_SPACE}) as line, count(distinct page_id) as n from l where trim(line, {_SPACE}) <> '' group by all
 ), bad as (
-  select host, line from seen join (select host, count(*) as total from p group by host) using (host) where n >= 5 and n > 0.1::double * total
+  select host, line from seen join (select host, count(*) as total from p group by host) using (host) where n >= 2 and n > 0.1::double * total
 ), marked as (
   select l.page_id, l.line, l.pos, bad.line is not null as dropped from l left join bad on l.host = bad.host and trim(l.line, {_SPACE}) = bad.line
 )

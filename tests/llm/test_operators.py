@@ -53,6 +53,13 @@ def test_lines_white_space_long_texts_and_clashes(spark):
     assert all(r._line_stats == (2, 1) and "nav" not in r.text for r in got.collect())
 
 
+def test_small_hosts_lose_what_two_pages_share(spark):
+    page = lambda i, host, own: (i, f"http://{host}/x", f"<p>shared of {host}</p><p>{own}</p>")
+    df = spark.createDataFrame([page(1, "two", "a"), page(2, "two", "b"), page(3, "one", "c"), page(4, "four", "d"), page(5, "four", "e"), page(6, "four", "f"), page(7, "four", "d")], "page_id int, url string, html string")
+    got = {r.page_id: r.text.split() for r in lines.dedup_pages(df).collect()}
+    assert got == {1: ["a"], 2: ["b"], 3: ["shared", "of", "one", "c"], 4: [], 5: ["e"], 6: ["f"], 7: []}
+
+
 def test_html_lines(spark):
     html = "<p>a <b>bold</b> x</p><script>var a='<p>';</script><!-- no --><div>c</div>"
     got = spark.createDataFrame([(html,)], ["h"]).select(F.regexp_replace(lines.html_lines(F.col("h")), "\n+", "|").alias("x")).first().x
