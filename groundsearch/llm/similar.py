@@ -11,8 +11,9 @@ Proposals only save work; what links two texts is always their similarity over d
    prefix shingles that no other prefix has. Both bounds prune, and miss none.
 3. Hubs: in each shingle's list the text that shares most is the hub; each text of another component proposes the hub that
    most of its lists name. A family of near-copies becomes a component so, for one pair a text.
-4. All other pairs: texts of different components that meet in k lists, whatever their number. Within a component
-   nothing pairs, so a family costs its lists, not their square.
+4. All other pairs: texts of different components that may meet in as many lists as their sizes ask for, whatever their
+   number. The prefix filter works here again, on the lists themselves, the short ones first. Within a component nothing
+   pairs, so a family costs its lists, not their square.
 
 Lists, votes and pairs are plain rows, joined and summed by Spark, which splits hot lists; only the table of cells, of
 fixed size, is broadcast. Shingles of hot cells skip the count of step 2, so no task gathers a list.
@@ -272,10 +273,14 @@ def within_size(least: float) -> Column:
     return F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - EPSILON
 
 
+def needed(least: float) -> Column:
+    """In how many lists texts x and y (structs) must meet to have similarity `least`."""
+    return F.greatest(F.lit(1), common_least(least) - first_ended(behind(F.col("x.size"), least), behind(F.col("y.size"), least)))
+
+
 def met(pairs: DataFrame, least: float) -> DataFrame:
     """a, b, votes of pairs (x, y: structs of id, size; tokens: how many they meet by) that meet as often as similar texts must."""
-    need = F.greatest(F.lit(1), common_least(least) - first_ended(behind(F.col("x.size"), least), behind(F.col("y.size"), least)))
-    votes = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), need.alias("need"), "tokens").groupBy("a", "b").agg(F.sum("tokens").alias("votes"), F.first("need").alias("need"))
+    votes = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), needed(least).alias("need"), "tokens").groupBy("a", "b").agg(F.sum("tokens").alias("votes"), F.first("need").alias("need"))
     return votes.where("votes >= need").select("a", "b", "votes")
 
 
@@ -288,19 +293,24 @@ def hub_pairs(lists: DataFrame, least: float) -> DataFrame:
 
 
 def other_pairs(lists: DataFrame, least: float) -> DataFrame:
-    """a, b: all texts of different components that meet. Shingles that only one's own component holds are no part of its rest here."""
+    """a, b: all texts of different components that may meet often enough. Shingles that only one's own component holds are no part of its rest here.
+
+    Two texts that must share `need` of their lists, ordered by length, share one that leaves need - 1 of either text's lists
+    behind it: the first that they share. Only there do they pair, so a long list, which comes late, pairs few of its texts.
+    """
     held = lists.groupBy("token", "comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("q"))
     main = held.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.bit_xor("p").alias("p"), F.bit_xor("q").alias("q")).where("comps > 1")
     # Lists of the same texts are one list of so many tokens.
-    main = main.groupBy("n", "p", "q").agg(F.min("token").alias("token"), F.first("main").alias("main"), F.count("*").alias("tokens")).select("token", "main", "tokens")
-    text = F.struct("id", "comp", "size", "rest", "ends")
-    rest = (behind(F.col("size"), least) + F.sum("tokens").over(Window.partitionBy("id"))).cast("int")
-    mixed_lists = lists.join(main, "token").withColumn("rest", rest).select("token", "main", "tokens", text.alias("y"))
+    main = main.groupBy("n", "p", "q").agg(F.min("token").alias("token"), F.first("main").alias("main"), F.count("*").alias("tokens")).select("token", "main", "tokens", "n")
+    by_text = Window.partitionBy("id")
+    mixed = lists.join(main, "token").withColumn("mixed", F.sum("tokens").over(by_text)).withColumn("before", F.sum("tokens").over(by_text.orderBy("n", "token")) - F.col("tokens"))
+    text = F.struct("id", "comp", "size", (behind(F.col("size"), least) + F.col("mixed")).cast("int").alias("rest"), "ends", "mixed", "before")
+    mixed_lists = mixed.select("token", "main", text.alias("y"))
     outside = mixed_lists.where("y.comp <> main").select("token", F.col("y").alias("x"))
     once = (F.col("y.comp") == F.col("main")) | (F.col("x.id") < F.col("y.id"))
-    pairs = outside.join(mixed_lists, "token").where((F.col("x.comp") != F.col("y.comp")) & once & within_size(least) & may(least))
-    ordered = pairs.select("tokens", F.when(F.col("x.id") < F.col("y.id"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("x.id") < F.col("y.id"), F.col("y")).otherwise(F.col("x")).alias("y"))
-    return met(ordered, least).select("a", "b")
+    early = (F.col("x.before") + needed(least) <= F.col("x.mixed")) & (F.col("y.before") + needed(least) <= F.col("y.mixed"))
+    pairs = outside.join(mixed_lists, "token").where((F.col("x.comp") != F.col("y.comp")) & once & within_size(least) & may(least) & early)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
