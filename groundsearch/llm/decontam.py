@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts and benchmark items are runs of word characters, case-folded. A document and an item are compared only
-if they share a seed, a string of `min_match` tokens, found by Karp-Rabin hashes of the document's windows among
-those of the items. Tiling then marks, again and again, the longest matches of unmarked tokens that do not
-overlap, until none of `min_match` tokens is left: Karp-Rabin hashes of one length run over both texts, and the length
+Texts and benchmark items are runs of word characters, case-folded; in scripts that put no spaces between words, each
+character is a token. A document and an item are compared only if they share a seed, a string of `min_match` tokens (of
+all tokens of an item that has fewer), found by Karp-Rabin hashes of the document's windows among those of the
+items. Tiling then marks, again and again, the longest matches of unmarked tokens that do not overlap, until none as
+long as the seed is left: Karp-Rabin hashes of one length run over both texts, and the length
 falls from round to round to the longest that still matches; tokens decide. The share of an item's tokens that is
 marked is its coverage: passages that were cut up and put in another order are covered piece by piece. A document
 is contaminated if any item's coverage reaches `threshold`.
@@ -12,8 +13,8 @@ Items are broadcast in blocks of at most about `block_bytes` of text, with one p
 block; between passes documents are written, so a worker holds one block whatever the benchmark's size. With one
 block documents are neither shuffled, written nor cut.
 
-Defined results. Null or empty text: no overlap. Null text or id of an item, or an item of fewer than `min_match`
-tokens: it takes no part. Repeated items count as one each; repeated documents each get their result. Ties for
+Defined results. Null or empty text: no overlap. Null text or id of an item, or an item without tokens: it takes no
+part. An item of fewer than `min_match` tokens is covered whole or not at all. Repeated items count as one each; repeated documents each get their result. Ties for
 the best item go to the smallest id. An empty table gives an empty result. All columns of the documents stay.
 """
 
@@ -34,7 +35,9 @@ from .common import dropped, frugal, tidy, written
 
 BASE = np.uint64(0x100000001B3)
 OVERLAPS = "array<struct<item_id:bigint,coverage:double,tiles:array<struct<doc_start:int,item_start:int,length:int>>>>"
-WORD = re.compile(r"\w+")
+#: Scripts written without spaces: Thai to Myanmar, Khmer, kana, Han (with its supplementary planes). Fixed ranges.
+UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"(?=\w)[{UNSPACED}]|[^\W{UNSPACED}]+")
 
 
 def tokens(text: str) -> list[str]:
@@ -100,51 +103,48 @@ def tile(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int, int]
 
 
 class Items:
-    """A block of benchmark items: vocabulary, token ids, and the items of each seed hash."""
+    """A block of benchmark items: vocabulary, token ids, and by seed length the items of each seed hash."""
 
     def __init__(self, texts: list[tuple[int, str]], n: int):
-        self.n, self.vocabulary, self.ids = n, {}, {}
-        seeds = defaultdict(set)
+        self.vocabulary, self.items = {}, []
+        seeds = defaultdict(lambda: defaultdict(set))
         for item, text in sorted(set(texts)):
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], dtype=np.int64)
-            if len(ids) < n:
+            if not len(ids):
                 continue
-            at = len(self.ids)
-            self.ids[at] = item, ids, window_hashes(ids, n)
-            for h in self.ids[at][2].tolist():
-                seeds[h].add(at)
-        self.seeds = dict(seeds)
-        self.hashes = np.sort(np.array(list(self.seeds), dtype=np.uint64))
+            size = min(n, len(ids))
+            hashes = window_hashes(ids, size)
+            for h in hashes.tolist():
+                seeds[size][h].add(len(self.items))
+            self.items.append((item, ids, size, hashes))
+        self.seeds = {size: dict(of) for size, of in sorted(seeds.items())}
+        self.hashes = {size: np.sort(np.array(list(of), dtype=np.uint64)) for size, of in self.seeds.items()}
+
+    def shared(self, ids: np.ndarray, run: np.ndarray, size: int) -> list[int]:
+        """The seed hashes of one length that stand in a text. run: unknown tokens before each place."""
+        whole = np.flatnonzero(run[size:] == run[:-size]) if size < len(run) else np.empty(0, np.int64)  # windows of known words only
+        h = np.zeros(len(whole), np.uint64)
+        for i in range(size):
+            h = h * BASE + ids[whole + i].astype(np.uint64)
+        known = self.hashes[size]
+        return np.unique(h[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]).tolist()
 
     def overlaps(self, text: str, least: float) -> list[dict]:
         known = self.vocabulary.get
         ids = np.array([known(w, 0) for w in tokens(text)], dtype=np.int64)
-        n = self.n
-        if len(ids) < n or not len(self.hashes):
-            return []
         run = np.concatenate(([0], np.cumsum(ids == 0)))
-        whole = np.flatnonzero(run[n:] == run[:-n])  # windows of known words only
-        if not len(whole):
-            return []
-        h = np.zeros(len(whole), np.uint64)
-        for i in range(n):
-            h = h * BASE + ids[whole + i].astype(np.uint64)
-        hit = self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
-        if not hit.any():
-            return []
-        places, touched = np.unique(h[hit]).tolist(), set()
-        for key in places:
-            touched |= self.seeds[key]
-        known, out = set(places), []
+        found = {size: set(self.shared(ids, run, size)) for size in self.seeds}
+        touched = {at for size, keys in found.items() for key in keys for at in self.seeds[size][key]}
+        out = []
         for at in sorted(touched):
-            item, item_ids, hashes = self.ids[at]
+            item, item_ids, size, hashes = self.items[at]
             reach = np.zeros(len(item_ids), bool)  # no tiling can cover more
             for p, key in enumerate(hashes.tolist()):
-                if key in known:
-                    reach[p : p + n] = True
+                if key in found[size]:
+                    reach[p : p + size] = True
             if reach.mean() < least:
                 continue
-            tiles = tile(ids, item_ids, n)
+            tiles = tile(ids, item_ids, size)
             coverage = sum(t[2] for t in tiles) / len(item_ids)
             if coverage >= least:
                 out.append({"item_id": item, "coverage": coverage, "tiles": [dict(zip(("doc_start", "item_start", "length"), t, strict=True)) for t in tiles]})

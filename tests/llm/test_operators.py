@@ -321,6 +321,32 @@ def test_decontamination(spark):
     assert decontam.with_overlaps(df.where("false"), bench, into="found").count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    """Items of fewer tokens than a seed match whole; characters are tokens where words aren't spaced."""
+    bench = spark.createDataFrame([(1, "Quick fox"), (2, "zebra"), (3, "今日は良い天気ですね"), (4, "..."), (5, "กินข้าว")], "item_id bigint, text string")
+    rows = [(1, "a quick, FOX ran"), (2, "fox quick"), (3, "Zebra!"), (4, "zebras"), (5, "昨日と違い今日は良い天気ですねと言った"), (6, "今日は雨"), (7, "ฉันกินข้าวแล้ว"), (8, "quick brown fox ... zeb ra"), (9, None), (10, "fox")]
+    for size in (10**6, 8):
+        got = {r.doc_id: [(o.item_id, o.coverage) for o in r.found] for r in decontam.with_overlaps(docs(spark, rows), bench, into="found", block_bytes=size).collect()}
+        assert {d: f for d, f in got.items() if f} == {1: [(1, 1.0)], 3: [(2, 1.0)], 5: [(3, 1.0)], 7: [(5, 1.0)]} and len(got) == 10
+
+
+def test_overlaps_are_plain_tilings_of_every_item():
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5, n))
+    items = [(i, word(rng.integers(0, 9))) for i in range(40)]
+    known = decontam.Items(items, 3)
+    for _ in range(40):
+        text = word(rng.integers(0, 30))
+        want = []
+        for i, item in items:
+            d, b = decontam.tokens(text), decontam.tokens(item)
+            ids = {w: n for n, w in enumerate(dict.fromkeys(b), 1)}
+            tiles = plain_tiles([ids.get(w, 0) for w in d], [ids[w] for w in b], min(3, len(b))) if b else []
+            if b and sum(t[2] for t in tiles) / len(b) >= 0.5:
+                want.append((i, sum(t[2] for t in tiles) / len(b)))
+        assert [(o["item_id"], o["coverage"]) for o in known.overlaps(text, 0.5)] == want
+
+
 # 7
 
 
