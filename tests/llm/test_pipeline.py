@@ -39,3 +39,50 @@ def test_a_large_group_of_copies_leaves_its_text(spark):
     assert text[0] == once and "nav" not in text[1] and all(text[i] for i in range(330))
     left = {r.text for r in corpus_pipeline.drop_near_copies(spark, after, "").collect()}
     assert once in left and any("another kind" in t for t in left)
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, row int, piece string, link bigint, n int"
+LONG = " ".join(f"w{i}" for i in range(60_000))
+SOME = "a plain sentence about the harbour and the boats that lie there in winter when nobody sails"
+ODD = [
+    (1, None, None, None), (2, "", "en", "a"), (3, " \n\t", "en", "a"), (4, LONG, "en", "a"), (5, SOME, "en", "b"), (6, SOME, "en", "b"),
+    (6, SOME, "en", "b"), (None, "a text without an id, of some ten words or so", "en", None), (7, "one", None, "b"), (8, "one", None, "c"), (9, LONG + " more", "en", "c"),
+]
+
+
+def odd(spark):
+    return spark.createDataFrame([(*r, len(r[1] or ""), 0.5, 1, "mine", 3, 4) for r in ODD], SCHEMA)
+
+
+def key(r):
+    return str(r.doc_id), r.text or "", r.text is None
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, no text, very long texts, ties, repeated rows and columns with operators' names, stage by stage."""
+    sf, df = "/root/testdata/sf0.001", odd(spark)
+    good = corpus_pipeline.keep_good(spark, df, sf)
+    kept = [key(r) for r in good.collect()]
+    assert good.columns == df.columns and {text for _, text, _ in kept} <= {r[1] or "" for r in ODD}
+    assert sum(k[1] == SOME for k in kept) in (0, 3) and sum(k[1] == "one" for k in kept) in (0, 2)
+    cut = corpus_pipeline.drop_lines(spark, df, sf)
+    assert cut.columns == df.columns and sorted(key(r) for r in cut.collect()) == sorted(key(r) for r in df.collect())
+    alone = corpus_pipeline.drop_near_copies(spark, df, sf)
+    left = [key(r) for r in alone.collect()]
+    assert alone.columns == df.columns and len(left) == len(set(left))
+    assert sorted((i, t[:6]) for i, t, _ in left if len(t) > 20) == [("4", "w0 w1 "), ("5", "a plai"), ("None", "a text")]
+    assert [i for i, t, _ in left if not t.split()] == ["1"]
+    clean = corpus_pipeline.drop_leaks(spark, df, sf)
+    assert clean.columns == df.columns and sorted(key(r) for r in clean.collect()) == sorted(key(r) for r in df.collect())
+    pieces = corpus_pipeline.pack_windows(spark, df, sf).collect()
+    short = sorted((p.doc_id, p.length) for p in pieces if p.doc_id in (1, 2))
+    assert short == [(1, 1), (2, 1)] and sum(p.length for p in pieces if p.doc_id == 4) > 60_000
+    assert len([p for p in pieces if p.doc_id == 6 and p.start == 0]) == 2 and max(p.offset + p.length for p in pieces) <= 2048
+
+
+def test_stages_on_an_empty_table(spark):
+    none = odd(spark).where("false")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, none, "/root/testdata/sf0.001")
+        assert after.columns == none.columns and after.count() == 0
+    assert corpus_pipeline.pack_windows(spark, none, "/root/testdata/sf0.001").count() == 0
