@@ -9,7 +9,7 @@ shards are scored exactly on the original vectors, in double precision: the `rer
 last, and all that lie within `margin` times the code's error of the k-th, as in a clump of vectors that are almost equal.
 
 Probing: the nearest cells until `probe_share` of the cells, and at least `probe_cells`, and `rerank` entries
-are reached. Model, cell sizes: at most MAX_CELLS centroids and 256 codes a subspace, so what is broadcast is bounded.
+are reached. Centroids that the codes can't tell apart are one cell, so a dense clump is probed whole or not at all. Model, cell sizes: at most MAX_CELLS centroids and 256 codes a subspace, so what is broadcast is bounded.
 
 Defined results. Vectors that are null, zero, hold null or non-finite components, or differ in length from most of
 the sample (of two lengths as frequent, the longer), and rows without an id, take no part. Repeated rows (id and
@@ -51,6 +51,16 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[at : at + 4096] @ centres.T - half, axis=1) for at in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
 
 
+def apart(centres: np.ndarray, least: float) -> np.ndarray:
+    """The centres, without those that are nearer than `least` to an earlier one that stays."""
+    stay, gone = [], np.zeros(len(centres), bool)
+    for i, centre in enumerate(centres):
+        if not gone[i]:
+            stay.append(i)
+            gone |= ((centres - centre) ** 2).sum(1) < least * least
+    return centres[stay]
+
+
 def fit(sample: np.ndarray, rows: int, subspaces: int, seed: int = 7) -> dict[str, np.ndarray]:
     """Centroids of unit vectors, about four times the square root of the rows, and code books of the residuals' subspaces."""
     cells = max(1, min(MAX_CELLS, int(4 * rows**0.5), len(sample) // 4))
@@ -61,6 +71,7 @@ def fit(sample: np.ndarray, rows: int, subspaces: int, seed: int = 7) -> dict[st
     books = np.stack([_padded(kmeans(np.ascontiguousarray(part), 256, 6, seed)) for part in np.split(residual[:16_384], m, axis=1)])
     near = np.concatenate([b[nearest(np.ascontiguousarray(p), b)] for p, b in zip(np.split(residual, m, axis=1), books, strict=True)], axis=1)
     error = np.sqrt(((residual - near) ** 2).sum(1).mean() / dim)  # of a code, in one direction
+    centres = apart(centres, error * dim**0.5)
     return {"centres": centres.astype(np.float32), "books": books.astype(np.float32), "error": float(error)}
 
 
