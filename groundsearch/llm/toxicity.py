@@ -10,7 +10,7 @@ Nothing is left out of the fit: documents are summed up by vote pattern, the pat
 round of the label model and of the classifier is a sum over it. The driver sees sums of fixed size (voters squared).
 
 Bounds. Beginnings are looked for on up to `sample_rows` labelled toxic rows and three times as many others, which also
-scale the score; at most `max_voters` are kept, the likeliest first, which bounds the model.
+scale the score; every one that passes the test is a voter, so their number is bounded by the sample alone.
 
 Defined results. Null or empty text: no voter fires, the score of the constant. Repeated rows and null ids are
 scored like any other. Without labelled toxic rows the lexicon votes alone. An empty table gives an empty
@@ -57,7 +57,7 @@ def tail(hits: int, of: int, share: float) -> float:
     return math.exp(min(0.0, top + math.log(sum(math.exp(v - top) for v in logs))))
 
 
-def find_beginnings(rows: DataFrame, max_voters: int) -> list[str]:
+def find_beginnings(rows: DataFrame) -> list[str]:
     """Word beginnings that toxic rows hold and others hardly do, after correction for the number looked at."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,15 +71,15 @@ def find_beginnings(rows: DataFrame, max_voters: int) -> list[str]:
         return []
     counts = rows.select("label", "text").mapInArrow(tidy(cut), "beginning string, label int").groupBy("beginning").agg(F.sum("label").alias("toxic"), F.count("*").alias("rows"))
     looked = max(1, counts.count())
-    often = counts.where((F.col("toxic") >= 3) & (F.col("toxic") / sizes[1] >= 4 * (F.col("rows") - F.col("toxic")) / sizes[0]))
-    top = often.collect()  # beginnings of a bounded sample
     share = sizes[1] / (sizes[0] + sizes[1])
+    possible = F.col("toxic") * math.log(share) < math.log(0.01 / looked)  # its chance is no less, even if no other row holds it
+    top = counts.where(possible & (F.col("toxic") / sizes[1] >= 4 * (F.col("rows") - F.col("toxic")) / sizes[0])).collect()  # beginnings of a bounded sample
     chance = {r.beginning: tail(r.toxic, r.rows, share) for r in top}
     kept: list[str] = []
     for b in sorted(chance, key=lambda b: (chance[b], len(b), b)):
         if chance[b] < 0.01 / looked and not any(b.startswith(k) or k.startswith(b) for k in kept):
             kept.append(b)
-    return sorted(kept[:max_voters])
+    return sorted(kept)
 
 
 class Voters:
@@ -242,11 +242,11 @@ def classifier(patterns: DataFrame, model: LabelModel, width: int, ridge: float
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, learn_from: Column, label: str = "toxic", sample_rows: int = 3000, max_voters: int = 200, rounds: int = 16, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, *, learn_from: Column, label: str = "toxic", sample_rows: int = 3000, rounds: int = 16, id_col: str = "doc_id", text_col: str = "text"
 ) -> ToxicityModel:
     frugal(docs.sparkSession)
     rows, share = sample(docs, labels, label=label, learn_from=learn_from, rows={1: sample_rows, 0: 3 * sample_rows}, id_col=id_col, text_col=text_col)
-    voters = Voters(LEXICON, find_beginnings(rows, max_voters))
+    voters = Voters(LEXICON, find_beginnings(rows))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
