@@ -1,6 +1,6 @@
 """Command line: build, ask, eval, report, version.
 
-    python -m groundsearch build --source DIR --index DIR
+    python -m groundsearch build --source DIR --index DIR [--texts DIR --manifest FILE [--renormalize]]
     python -m groundsearch ask "question" --index DIR [--year 2026] [--retrieval-only]
     python -m groundsearch eval --retrieval --dataset FILE --index DIR [--gate --baseline FILE] [--out FILE]
     python -m groundsearch report --readme FILE [--artifact FILE | --results DIR]
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import answering, bm25, evaluation, routing
+from .operators import answering, assembly, bm25, evaluation, routing
 from .operators.chunking import embed_text
 from .plans import index, retrieval
 from .sources import corpus, scratch
@@ -90,8 +90,18 @@ def ask(args: argparse.Namespace) -> int:
     return 0
 
 
+def normalize(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Parses extracted texts into the source folder, where that holds no documents or is to be made anew."""
+    if args.renormalize or not corpus.has_normalized(spark, args.source):
+        manifest = corpus.load_manifest(spark, args.manifest)
+        to_write = manifest.where("commit_policy = 'commit_normalized'")
+        corpus.write_normalized(assembly.parsed(corpus.read_texts(spark, args.texts, to_write)), manifest, args.source)
+
+
 def build(args: argparse.Namespace) -> int:
     spark = session()
+    if args.texts:
+        normalize(spark, args)
     print(json.dumps(index.build(corpus.load_normalized(spark, args.source), args.index, Settings(), embed=args.embed and (lambda texts: args.embed(texts.withColumnRenamed("chunk_id", "query_id")).withColumnRenamed("query_id", "chunk_id")))))
     return 0
 
@@ -108,7 +118,7 @@ def evaluate(args: argparse.Namespace) -> int:
     items = corpus.load_gold(spark, args.dataset)
     broken = [f"{r.item_id}: {r.problem}" for r in evaluation.violations(items).collect()]
     if broken:
-        raise evaluation.DatasetError("gold set invalid: " + "; ".join(broken))
+        raise evaluation.DatasetError("the gold set breaks its rules: " + "; ".join(broken))
     labels = items.select("item_id", F.posexplode("gold").alias("pos", "g")).select(F.concat_ws(":", "item_id", F.col("pos").cast("string")).alias("label_id"), "item_id", "g.*")
     matches = evaluation.label_matches(labels, chunks.select(F.col("doc_id").alias("chunk_id"), F.col("document").alias("doc_id"), "section", "measure_name"))
     lost = [r.label_id for r in evaluation.unresolved(labels, matches).collect()]
@@ -147,6 +157,9 @@ def main(argv: list[str] | None = None, embed: Embed | None = None, generate: an
     p = commands.add_parser("build")
     p.add_argument("--source", required=True)
     p.add_argument("--index", required=True)
+    p.add_argument("--texts", help="extracted texts, one file for each document of the manifest, to make the source from")
+    p.add_argument("--manifest")
+    p.add_argument("--renormalize", action="store_true", help="even if the source holds documents")
     p = commands.add_parser("ask")
     p.add_argument("question")
     p.add_argument("--index", required=True)
@@ -165,6 +178,8 @@ def main(argv: list[str] | None = None, embed: Embed | None = None, generate: an
     p.add_argument("--readme", required=True)
     commands.add_parser("version")
     args = parser.parse_args(argv)
+    if args.command == "build" and (args.renormalize or args.texts or args.manifest) and not (args.texts and args.manifest):
+        parser.error("--texts and --manifest go together, and --renormalize needs both")
     args.embed, args.generate = embed, generate
     try:
         if args.command == "version":

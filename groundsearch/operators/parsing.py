@@ -1,7 +1,8 @@
 """Extracted document text to measures and labelled sections.
 
 The text of a document holds page marks (NUL PAGE:n NUL). Headings, fields and pages are found by cutting the text at
-marks that are put before them, so that everything stays in Spark expressions.
+marks that are put before them, so that everything stays in Spark expressions. Characters of a text that are such marks are
+escaped before and restored after.
 """
 
 from __future__ import annotations
@@ -38,10 +39,23 @@ FIELD_KINDS = {
     "NQF": "general",
     "Metric Notes": "general",
 }
+#: How labels, headings of measures and dot leaders look. Fixed values.
 LABEL = r"(?m)^[ \t]*(" + "|".join(label.replace(" ", r"\s+") for label in FIELD_KINDS) + r")\s*:\s*"
 HEADING = r"(?m)^[ \t]*Measure:\s*([CD]\d{2})\s*[-–—:]\s*(.+?)[ \t]*$"
 DOTS = r"\.{5,}"
-CUT, PART = "␞", "␟"
+CUT, PART, ESCAPE = "␞", "␟", "␛"
+
+
+def escaped(text: Column) -> Column:
+    for n, mark in enumerate((ESCAPE, CUT, PART)):
+        text = F.replace(text, F.lit(mark), F.lit(f"{ESCAPE}{n}"))
+    return text
+
+
+def restored(text: Column) -> Column:
+    for n, mark in ((2, PART), (1, CUT), (0, ESCAPE)):
+        text = F.replace(text, F.lit(f"{ESCAPE}{n}"), F.lit(mark))
+    return text
 
 
 def canonical_label(label: Column) -> Column:
@@ -50,9 +64,9 @@ def canonical_label(label: Column) -> Column:
 
 def fields(block: Column) -> Column:
     """Array of (label, text). Text before the first label, if there is any, is `Body`; a block without labels is one."""
-    cut = F.split(F.regexp_replace(block, LABEL, f"{CUT}$1{PART}"), CUT)
-    labelled = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda p: F.struct(canonical_label(F.substring_index(p, PART, 1)).alias("label"), p.substr(F.locate(PART, p) + 1, F.length(p)).alias("text")))
-    head = F.get(cut, F.lit(0))
+    cut = F.split(F.regexp_replace(escaped(block), LABEL, f"{CUT}$1{PART}"), CUT)
+    labelled = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda p: F.struct(canonical_label(F.substring_index(p, PART, 1)).alias("label"), restored(p.substr(F.locate(PART, p) + 1, F.length(p))).alias("text")))
+    head = restored(F.get(cut, F.lit(0)))
     body = F.array(F.struct(F.lit("Body").alias("label"), head.alias("text")))
     return F.when(F.length(head) > 0, F.concat(body, labelled)).otherwise(F.when(F.size(cut) == 1, body).otherwise(labelled))
 
@@ -64,53 +78,52 @@ def section_kind(label: Column) -> Column:
 
 def is_body_heading(name: Column, following: Column) -> Column:
     """Not a line of a table of contents: no dot leader in the name, and a field label soon after, before any dot leader."""
-    window = F.substring(following, 1, 1500)
+    window = escaped(F.substring(following, 1, 1500))
     label_at = F.length(F.get(F.split(F.regexp_replace(window, LABEL, CUT), CUT), F.lit(0)))
     dots_at = F.length(F.get(F.split(F.regexp_replace(window, DOTS, CUT), CUT), F.lit(0)))
     return ~F.regexp_like(name, F.lit(DOTS)) & F.regexp_like(window, F.lit(LABEL)) & (~F.regexp_like(window, F.lit(DOTS)) | (label_at < dots_at))
 
 
-def measure_sections(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, measure_id, measure_name, page, s_pos, kind, heading, text: the sections of each measure in a marked text.
-
-    A block runs from its heading to the next body heading, over rejected ones; its page is that of the last page
-    mark before its heading.
-    """
-    cut = F.split(F.regexp_replace(F.col(text), HEADING, f"{CUT}$1{PART}$2{PART}"), CUT)
+def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, block, page, head (id, name), body: what runs from each body heading to the next, over rejected ones; block 0 stands before the first. Its page is that of the last page mark before its heading."""
+    cut = F.split(F.regexp_replace(escaped(F.col(text)), HEADING, f"{CUT}$1{PART}$2{PART}$0{PART}"), CUT)
     parts = docs.select(key, F.posexplode(cut).alias("pos", "part"))
     by_doc = Window.partitionBy(key).orderBy("pos")
-    pieces = F.split("part", PART)
-    parts = parts.withColumn("pieces", pieces).withColumn("is_head", F.col("pos") > 0).withColumn("body", F.element_at("pieces", -1))
+    parts = parts.withColumn("pieces", F.transform(F.split("part", PART), restored)).withColumn("is_head", F.col("pos") > 0).withColumn("body", F.element_at("pieces", -1))
     marks = F.regexp_extract_all("part", F.lit("\\x00PAGE:(\\d+)\\x00"), F.lit(1))
     last_mark = F.last(F.try_element_at(marks, F.lit(-1)), ignorenulls=True).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("page", last_mark.cast("int"))
     parts = parts.withColumn("real", F.col("is_head") & is_body_heading(F.get("pieces", F.lit(1)), F.col("body")))
-    block = F.sum(F.col("real").cast("int")).over(by_doc)
-    whole = F.when(F.col("real") | ~F.col("is_head"), F.col("body")).otherwise(F.concat(F.lit("\nMeasure: "), F.get("pieces", F.lit(0)), F.lit(": "), F.get("pieces", F.lit(1)), F.col("body")))
-    blocks = (
-        parts.withColumn("block", block).where(F.col("block") > 0).groupBy(key, "block")
+    whole = F.when(F.col("real") | ~F.col("is_head"), F.col("body")).otherwise(F.concat(F.get("pieces", F.lit(2)), F.col("body")))
+    return (
+        parts.withColumn("block", F.sum(F.col("real").cast("int")).over(by_doc).cast("int")).groupBy(key, "block")
         .agg(F.array_sort(F.collect_list(F.struct("pos", whole.alias("body")))).alias("bodies"), F.min_by("page", "pos").alias("page"), F.min_by("pieces", "pos").alias("head"))
+        .select(key, "block", "page", "head", F.array_join(F.transform("bodies", lambda b: b.body), "").alias("body"))
     )
-    body = F.array_join(F.transform("bodies", lambda b: b.body), "")
-    found = blocks.select(key, F.get("head", F.lit(0)).alias("measure_id"), normalized_block(F.get("head", F.lit(1))).alias("measure_name"), "page", F.posexplode(fields(body)).alias("s_pos", "f"))
-    out = found.select(key, "measure_id", "measure_name", "page", "s_pos", section_kind(F.col("f.label")).alias("kind"), F.col("f.label").alias("heading"), normalized_block(F.col("f.text")).alias("text"))
+
+
+def measure_sections(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, measure_id, measure_name, page, m_pos, s_pos, kind, heading, text: the sections of each measure in a marked text."""
+    blocks = _blocks(docs, key, text).where("block > 0")
+    found = blocks.select(key, F.get("head", F.lit(0)).alias("measure_id"), normalized_block(F.get("head", F.lit(1))).alias("measure_name"), "page", (F.col("block") - 1).alias("m_pos"), F.posexplode(fields(F.col("body"))).alias("s_pos", "f"))
+    out = found.select(key, "measure_id", "measure_name", "page", "m_pos", "s_pos", section_kind(F.col("f.label")).alias("kind"), F.col("f.label").alias("heading"), normalized_block(F.col("f.text")).alias("text"))
     return out.where("text <> ''")
 
 
-def introduction(text: Column) -> Column:
-    """What stands before the first measure, cut where the table of contents begins."""
-    return normalized_block(F.substring_index(F.get(F.split(F.regexp_replace(text, HEADING, CUT), CUT), F.lit(0)), "Measure: C01", 1))
+#: The first line of a table of contents. A fixed value.
+CONTENTS = "Measure: C01"
+
+
+def introductions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, kind, heading, text, page: what stands before the first measure, cut where the table of contents begins. Texts without a measure have none."""
+    blocks = _blocks(docs, key, text)
+    started = blocks.where("block = 1").select(key)
+    body = F.when(F.locate(CONTENTS, F.col("body")) > 1, F.substring_index("body", CONTENTS, 1)).otherwise(F.col("body"))
+    said = blocks.where("block = 0").join(started, key, "left_semi").select(key, normalized_block(body).alias("text"))
+    return said.where("text <> ''").select(key, F.lit("general").alias("kind"), F.lit("Introduction").alias("heading"), "text", F.lit(1).alias("page"))
 
 
 def page_sections(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One general section for each page with text: key, kind, heading, text, page."""
     pages = docs.select(key, F.posexplode(F.split(F.col(text), "\\x00PAGE:\\d+\\x00")).alias("page", "part")).where("page > 0")
     return pages.select(key, F.lit("general").alias("kind"), F.concat(F.lit("Page "), F.col("page").cast("string")).alias("heading"), normalized_block(F.col("part")).alias("text"), "page").where("text <> ''")
-
-
-def parse(docs: DataFrame, parser_id: str, **names: str) -> DataFrame:
-    if parser_id == "technical_notes":
-        return measure_sections(docs, **names)
-    if parser_id == "generic_pdf":
-        return page_sections(docs, **names)
-    raise ValueError(f"no parser for parser_id={parser_id}")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .patterns import found_in
 
 #: Parts of measure names and the aliases that stand for them. Fixed values.
 ALIASES = {
@@ -33,6 +36,8 @@ ALIASES = {
     "mtm program completion": ("mtm", "cmr", "comprehensive medication review"),
     "statin use in persons with diabetes": ("supd", "statin"),
 }
+#: Aliases of several words match anywhere in a question.
+PHRASES = tuple(sorted({alias for names in ALIASES.values() for alias in names if " " in alias}))
 #: What says that a question compares years. A fixed value.
 CROSS_YEAR = r"(?i)\b(chang\w*|renam\w*|differ\w*|previous year|prior year|prior to 20\d{2}|compar\w*|versus|vs\.?|new in|retired|no longer|used to be|year.over.year)\b"
 LEAST_SHARE = 0.05
@@ -55,20 +60,31 @@ def literal_ids(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\b([CD]\d{2})\b"), F.lit(1)), F.upper)))
 
 
-def route(queries: DataFrame, aliases: DataFrame, *, text: str = "query", year: str | None = None) -> DataFrame:
-    """query_id, measure_ids: sorted; empty for no filter. One-word aliases match tokens, others match anywhere. The alias table is small: a few names for each measure."""
+def route(queries: DataFrame, aliases: DataFrame, *, text: str = "query", year: str | None = None, phrases: Sequence[str] = PHRASES) -> DataFrame:
+    """query_id, measure_ids: sorted; empty for no filter. One-word aliases match tokens; those of several words (`phrases`) match anywhere, found in one pass over each question."""
     asked = queries.select("query_id", F.lower(text).alias("lowered"), tokens(F.col(text)).alias("tokens"), literal_ids(F.col(text)).alias("literal"), (F.col(year) if year else F.lit(None).cast("int")).alias("year"))
     words = aliases.where(~F.contains("alias", F.lit(" ")))
-    phrases = aliases.where(F.contains("alias", F.lit(" ")))
     in_year = F.col("year").isNull() | (F.col("year") == F.col("plan_year"))
     by_word = asked.select("query_id", "year", F.explode("tokens").alias("alias")).join(words, "alias").where(in_year)
-    by_phrase = asked.crossJoin(F.broadcast(phrases)).where(in_year & F.contains("lowered", F.col("alias")))  # a few dozen fixed phrases
+    said = found_in(asked.select(F.struct("query_id", "year").alias("asked"), "lowered"), phrases, key="asked", text="lowered", into="alias")
+    by_phrase = said.select("asked.*", "alias").join(aliases, "alias").where(in_year)
     found = by_word.select("query_id", F.explode("measure_ids").alias("m")).unionByName(by_phrase.select("query_id", F.explode("measure_ids").alias("m")))
     found = found.unionByName(asked.select("query_id", F.explode("literal").alias("m")))
     ids = found.groupBy("query_id").agg(F.sort_array(F.collect_set("m")).alias("measure_ids"))
     return asked.select("query_id").join(ids, "query_id", "left").select("query_id", F.coalesce("measure_ids", F.expr("cast(array() as array<string>)")).alias("measure_ids"))
 
 
+def measure_index(chunks: DataFrame) -> DataFrame:
+    """measure_name, measure_ids: each name's ids over all years, sorted, to choose measures from."""
+    return entries(chunks).groupBy("measure_name").agg(F.sort_array(F.collect_set("measure_id")).alias("measure_ids"))
+
+
+def augmented(queries: DataFrame, chosen: DataFrame, index: DataFrame, *, text: str = "query") -> DataFrame:
+    """`queries` with the sorted ids of the measures that were chosen (query_id, measure_name) behind the text, for the router to find. Names that `index` lacks add nothing."""
+    ids = chosen.join(index, "measure_name").select("query_id", F.explode("measure_ids").alias("m")).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("m")), " ").alias("__ids"))
+    return queries.join(ids, "query_id", "left").withColumn(text, F.concat_ws(" ", text, "__ids")).drop("__ids")
+
+
 def default_year(chunks: DataFrame) -> DataFrame:
     """One row: the latest year that holds at least a twentieth of the chunks, or null."""
     by_year = chunks.groupBy("plan_year").agg(F.count("*").alias("n"))

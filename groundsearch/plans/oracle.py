@@ -84,9 +84,12 @@ starved as (select query_id from filters left join one using (query_id) where ms
 found as (select query_id, doc_id, score, used_fallback, row_number() over (partition by query_id order by turn, rank) as rank from (
   select one.*, 0 as turn, query_id in (from starved) as used_fallback from one
   union all select two.*, 1, true from two where query_id in (from starved) and not exists (select 1 from one where one.query_id = two.query_id and one.doc_id = two.doc_id)))"""
-ENTRIES = "(values " + ", ".join(f"({2025 + i % 2 + y}, '{'CD'[i % 2]}{10 + i}', '{name.title()}')" for i, name in enumerate(ALIASES) for y in (0, 1)) + ") e(plan_year, measure_id, measure_name)"
+PARTS = _list(name.title() for name in ALIASES)
+MEASURED = f"""measured as (
+  select distinct 2025 + doc_id % 3 as plan_year, case when doc_id % 2 = 0 then 'C' else 'D' end || (10 + doc_id * 7 % 83) as measure_id, ({PARTS})[doc_id % {len(ALIASES)} + 1] || ' of ' || source as measure_name
+  from documents where doc_id % 9 > 0)"""
 NAMED = "(values " + ", ".join(f"('{f}', '{a}')" for f, names in ALIASES.items() for a in names) + ") a(fragment, alias)"
-ALIAS_TABLE = f"aliases as (select distinct alias, plan_year, measure_id from {ENTRIES}, {NAMED} where contains(lower(measure_name), fragment))"
+ALIAS_TABLE = f"{MEASURED}, aliases as (select distinct alias, plan_year, measure_id from measured, {NAMED} where contains(lower(measure_name), fragment))"
 ROUTED = f"routed as (select item_id as query_id, text || ({_list(WORDS)})[item_id % 7 + 1] as query from benchmark)"
 LITERAL = r"list_sort(list_distinct(list_transform(regexp_extract_all(query, '(?i)\b([CD]\d{2})\b', 1), lambda x: upper(x))))"
 MARKERS = r"list_transform(regexp_extract_all(reply, '\[(\d+)\]', 1), lambda x: x::int)"
@@ -135,6 +138,15 @@ FIELDS = f"""blocks as (
 ), split_fields as (
   select doc_id, pos, case when pos = 0 then 'Body' else trim(regexp_replace(string_split(part, '␟')[1], '\\s+', ' ', 'g')) end as label, case when pos = 0 then part else substr(part, instr(part, '␟') + 1) end as body from fields
 ), kinds as (select doc_id, pos, label, {_KIND} as kind, md5(body) as digest from split_fields)"""
+
+
+def _normal(text: str) -> str:
+    """SQL of a block's normalised text."""
+    lines = rf"list_filter(list_transform(string_split_regex({text}, '\r\n|[\n\r\x0B\f]'), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '')"
+    flat = f"array_to_string(list_transform({lines}, lambda x: case when starts_with(x, '•') or starts_with(x, '-') or starts_with(x, '–') then chr(10) else ' ' end || x), '')"
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({flat}, '[ \t]{{2,}}', ' ', 'g'), '•\s+', '• ', 'g'), '([A-Za-z0-9]) ?- ?([A-Za-z0-9])', '\1-\2', 'g'), '^\s+|\s+$', '', 'g')"
+
+
 _MARK = "chr(1)"
 #: Units are sentences, bullets and word windows; a window is the units lo .. hi, of which those from `fresh` on are new. Token counts run on.
 CHUNKED = f"""with recursive docs as (select doc_id, text, {ESTIMATE.format("text")} as tokens from documents),
@@ -199,11 +211,23 @@ select token, df, round(round(case when raw < 0 then least else raw end, 10), 6)
     "chunk_dedup": f"""with {CHUNKS}, c as (select *, case when lang = 'en' then null else lang end as m from chunks)
       select source || ':' || coalesce(m, 'doc') || ':' || section || ':' || substr(sha256(source || '|' || coalesce(m, 'None') || '|' || section || '|' || text), 1, 16) as chunk_id, min(doc_id) as doc_id from c group by 1""",
     "chunk_headers": f"with {CHUNKS} select doc_id, '[' || source || ' | ' || case when lang = 'en' then 'General' else lang || ' ' || measure_id end || ' | ' || upper(section[1]) || section[2:] || ' | ' || plan_year || ']' as header from chunks",
-    "normalize_block": """with raw as (select doc_id, 'Patient - level  ' || replace(text, '. ', '.' || chr(10) || '  • ') || chr(10) || chr(10) || ' - 2025- 2026' as t from documents),
-      lines as (select doc_id, list_filter(list_transform(string_split_regex(t, '\\r\\n|[\\n\\r\\x0B\\f]'), lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), lambda x: x <> '') as l from raw),
-      flat as (select doc_id, array_to_string(list_transform(l, lambda x: case when starts_with(x, '•') or starts_with(x, '-') or starts_with(x, '–') then chr(10) else ' ' end || x), '') as f from lines),
-      done as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '[ \\t]{2,}', ' ', 'g'), '•\\s+', '• ', 'g'), '([A-Za-z0-9]) ?- ?([A-Za-z0-9])', '\\1-\\2', 'g'), '^\\s+|\\s+$', '', 'g') as f from flat)
+    "normalize_block": f"""with raw as (select doc_id, 'Patient - level  ' || replace(text, '. ', '.' || chr(10) || '  • ') || chr(10) || chr(10) || ' - 2025- 2026' as t from documents), done as (select doc_id, {_normal("t")} as f from raw)
       select doc_id, length(f) as n_chars, md5(f) as digest from done""",
+    "measure_index": f"with {MEASURED} select measure_name, string_agg(measure_id, ',' order by measure_id) as measure_ids from (select distinct measure_name, measure_id from measured) group by 1",
+    "augmented_query": f"""with {MEASURED}, chosen as (select item_id as query_id, unnest([({PARTS})[item_id % {len(ALIASES)} + 1] || ' of src' || (item_id % 20), ({PARTS})[(item_id + 23) % {len(ALIASES)} + 1] || ' of src' || ((item_id + 23) % 20)]) as measure_name from benchmark where item_id % 4 > 0),
+      ids as (select query_id, string_agg(measure_id, ' ' order by measure_id) as ids from (select distinct query_id, measure_id from chosen join measured using (measure_name)) group by 1)
+      select item_id as query_id, text || coalesce(' ' || ids, '') as query from benchmark left join ids on query_id = item_id""",
+    "nested_documents": f"""with d as (select doc_id, source, lang, regexp_replace(coalesce(text, ''), '[\\n\\r]', ' ', 'g') as t, 'C' || (10 + doc_id % 80) as c, 'D' || (10 + doc_id % 70) as d, 2025 + doc_id % 3 as y, doc_id % 4 = 3 as plain from documents),
+      flat as (
+        select doc_id, 0 as m_pos, 0 as p, c as measure_id, 'Name of ' || source as measure_name, 'description' as kind, 'Metric' as heading, 2 as page, t as body from d where not plain
+        union all select doc_id, 0, 1, c, 'Name of ' || source, 'exclusions', 'Exclusions', 2, 'none of ' || lang from d where not plain
+        union all select doc_id, 1, 0, d, 'Part of ' || lang, 'timeline', 'Data Time Frame', 3, y::varchar from d where not plain
+        union all select doc_id, null, 0, null, null, 'general', 'Introduction', 1, 'Notes of ' || source from d where not plain
+        union all select doc_id, null, 1, null, null, 'general', 'Page 1', 1, 'Notes of ' || source || chr(10) || 'Measure: C01 - Listed ..... 9' from d where plain
+        union all select doc_id, null, 2, null, null, 'general', 'Page 2', 2, 'Measure: ' || c || ' - Name of ' || source || chr(10) || 'Metric: ' || t || chr(10) || 'Exclusions: none of ' || lang from d where plain
+        union all select doc_id, null, 3, null, null, 'general', 'Page 3', 3, 'Measure: ' || d || ': Part  of ' || lang || chr(10) || '  Data  Time Frame : ' || y from d where plain),
+      done as (select *, {_normal("body")} as f from flat)
+      select doc_id, m_pos::bigint as m_pos, row_number() over (partition by doc_id, m_pos order by p) - 1 as s_pos, measure_id, measure_name, kind, heading, page::bigint as page, md5(f) as digest from done where f <> ''""",
     "field_split": f"with {FIELDS} select doc_id, pos, label, kind, digest from kinds",
     "section_kinds": f"with {FIELDS} select kind, label, count(*) as n from kinds group by all",
     "segment_bounds": "select conv_id, turn as start, lead(turn) over (partition by conv_id order by turn) as stop from conversations where role = 'user'",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
-from ..operators import answering, asof, bm25, chunking, dense, evaluation, fusion, parsing, routing
+from ..operators import answering, asof, assembly, bm25, chunking, dense, evaluation, fusion, parsing, routing
 from ..schemas import SECTION_KINDS
 from ..sources import corpus
 from . import index, retrieval
@@ -142,13 +142,32 @@ def year_inference(spark, sf_dir):
     return _big(asked.select("query_id", routing.inferred_year(F.col("query"), F.col("years"), F.col("default_year")).alias("plan_year")))
 
 
-def _entries(spark):
-    rows = [(2025 + i % 2 + y, f"{'CD'[i % 2]}{10 + i}", name.title()) for i, name in enumerate(routing.ALIASES) for y in (0, 1)]
-    return spark.createDataFrame(rows, "plan_year int, measure_id string, measure_name string")
+def _measured(spark, sf_dir):
+    """Documents as chunks of measures: names from fixed parts and the source, ids and years from the document's id; every ninth has no measure."""
+    i = F.col("doc_id")
+    parts = F.array(*[F.lit(name.title()) for name in routing.ALIASES])
+    name = F.concat_ws(" of ", F.element_at(parts, (i % len(routing.ALIASES) + 1).cast("int")), "source")
+    measure = F.concat(F.when(i % 2 == 0, "C").otherwise("D"), (10 + i * 7 % 83).cast("string"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", (2025 + i % 3).cast("int").alias("plan_year"))
+    return d.select("plan_year", F.when(i % 9 > 0, measure).alias("measure_id"), name.alias("measure_name"))
 
 
 def alias_table(spark, sf_dir):
-    return _big(routing.alias_table(_entries(spark)).select("alias", "plan_year", F.array_join("measure_ids", ",").alias("measure_ids")))
+    made = routing.alias_table(routing.entries(_measured(spark, sf_dir)))
+    return _big(made.select("alias", "plan_year", F.array_join("measure_ids", ",").alias("measure_ids")))
+
+
+def measure_index(spark, sf_dir):
+    return routing.measure_index(_measured(spark, sf_dir)).select("measure_name", F.array_join("measure_ids", ",").alias("measure_ids"))
+
+
+def augmented_query(spark, sf_dir):
+    """Two of the names are chosen for each question, and a third that no chunk has."""
+    q, i = questions(spark, sf_dir).select("query_id", "query"), F.col("query_id")
+    parts = F.array(*[F.lit(name.title()) for name in routing.ALIASES])
+    name = lambda n: F.concat(F.element_at(parts, (n % len(routing.ALIASES) + 1).cast("int")), F.lit(" of src"), (n % 20).cast("string"))
+    chosen = q.where(i % 4 > 0).select("query_id", F.explode(F.array(name(i), name(i + 23), F.lit("nothing"))).alias("measure_name"))
+    return routing.augmented(q, chosen, routing.measure_index(_measured(spark, sf_dir)))
 
 
 WORDS = (" statin", " the fall risk", " c14 and D21", " protocol", " HbA1c", " breast cancer d10", "")
@@ -160,7 +179,7 @@ def _routed(spark, sf_dir):
 
 
 def alias_route(spark, sf_dir):
-    found = routing.route(_routed(spark, sf_dir), routing.alias_table(_entries(spark)))
+    found = routing.route(_routed(spark, sf_dir), routing.alias_table(routing.entries(_measured(spark, sf_dir))))
     return found.select("query_id", F.array_join("measure_ids", ",").alias("measure_ids"))
 
 
@@ -219,6 +238,29 @@ def field_split(spark, sf_dir):
     return _big(f.select("doc_id", "pos", F.col("f.label").alias("label"), parsing.section_kind(F.col("f.label")).alias("kind"), F.md5(F.col("f.text").cast("binary")).alias("digest")))
 
 
+def _notes(spark, sf_dir):
+    """Extracted texts with a list of contents, an introduction, two measures and page marks; every fourth is a plain document of pages."""
+    i, flat = F.col("doc_id"), F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")
+    number = lambda least, n: (least + i % n).cast("string")
+    text = F.concat(
+        F.lit("\0PAGE:1\0\nNotes of "), "source", F.lit("\nMeasure: C01 - Listed ..... 9\n\0PAGE:2\0\nMeasure: C"), number(10, 80), F.lit(" - Name of "), "source", F.lit("\nMetric: "), flat,
+        F.lit("\nExclusions: none of "), "lang", F.lit("\n\0PAGE:3\0\nMeasure: D"), number(10, 70), F.lit(": Part  of "), "lang", F.lit("\n  Data  Time Frame : "), number(2025, 3), F.lit("\n"),
+    )
+    none = F.lit(None).cast("string")
+    rest = [none.alias(c) for c in ("publisher", "source_url", "doc_type", "retrieval_date")]
+    return table(spark, sf_dir, "documents").select(
+        i.cast("string").alias("doc_id"), F.col("source").alias("title"), (2025 + i % 3).cast("int").alias("plan_year"), F.lit("redistributable").alias("license_posture"),
+        F.when(i % 4 == 3, "generic_pdf").otherwise("technical_notes").alias("parser_id"), text.alias("text"), *rest,
+    )
+
+
+def nested_documents(spark, sf_dir):
+    """Texts parsed, nested and laid flat again: every section with its place in its document."""
+    flat = chunking.sections_of(assembly.parsed(_notes(spark, sf_dir)))
+    general = F.col("measure_id").isNull()
+    return _big(flat.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(~general, F.col("m_pos")).alias("m_pos"), "s_pos", "measure_id", "measure_name", "kind", "heading", "page", F.md5(F.col("text").cast("binary")).alias("digest")))
+
+
 def section_kinds(spark, sf_dir):
     return _big(field_split(spark, sf_dir).groupBy("kind", "label").agg(F.count("*").alias("n")))
 
@@ -402,7 +444,7 @@ def license_gate(spark, sf_dir):
 
 
 NAMES = (
-    "tokenize_stats bm25_df_idf bm25_topk bm25_topk_filtered dense_topk dense_topk_filtered best_similarity_gate rrf_fuse hybrid_topk hybrid_fallback dense_only_arm routed_topk default_year year_inference alias_table alias_route "
+    "tokenize_stats bm25_df_idf bm25_topk bm25_topk_filtered dense_topk dense_topk_filtered best_similarity_gate rrf_fuse hybrid_topk hybrid_fallback dense_only_arm routed_topk default_year year_inference alias_table alias_route measure_index augmented_query nested_documents "
     "literal_id_route token_estimate word_windows chunk_greedy chunk_ids chunk_dedup chunk_headers normalize_block field_split section_kinds segment_bounds page_asof segment_rows index_differences citations citation_cards snippets context_blocks "
     "answer_state_machine gold_resolution unresolved_labels dataset_validation dataset_summary eval_per_item eval_grouping_sets refusal_accuracy ratchet_gate hybrid_dense_delta judge_verdicts integrity_sha256 license_gate"
 ).split()

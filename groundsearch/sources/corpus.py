@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CHUNK, COMMIT_POLICIES, COMMITTABLE, GOLD_ITEM, NORMALIZED_DOC, PARSERS
+from .scratch import files
 
 MANIFEST = "doc_id string, title string, publisher string, source_url string, sha256 string, retrieval_date string, plan_year int, doc_type string, license_posture string, commit_policy string, parser_id string"
 
@@ -83,9 +84,24 @@ def load_normalized(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def write_normalized(docs: DataFrame, manifest: DataFrame, directory: str) -> None:
-    """Only documents that the manifest marks for committing."""
+    """Only documents that the manifest marks for committing, one in a file, as they are read."""
     allowed = manifest.where("commit_policy = 'commit_normalized'").select("doc_id")
-    docs.join(allowed, "doc_id", "left_semi").write.mode("overwrite").json(directory)
+    docs.join(allowed, "doc_id", "left_semi").write.mode("overwrite").option("maxRecordsPerFile", 1).json(directory)
+
+
+def has_normalized(spark: SparkSession, directory: str) -> bool:
+    at, fs = files(spark, f"{directory}/*.json")
+    return bool(fs.globStatus(at))
+
+
+def read_texts(spark: SparkSession, directory: str, manifest: DataFrame) -> DataFrame:
+    """The manifest's rows with `text`: extracted texts with page marks, one document a file, named by doc_id. A document without a file is an error."""
+    texts = spark.read.text(f"{directory}/*.txt", wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("doc_id"), F.col("value").alias("text"))
+    docs = manifest.join(texts, "doc_id", "left")
+    lost = docs.where("text is null").select("doc_id").take(20)
+    if lost:
+        raise CorpusError(f"no extracted text of {sorted(r.doc_id for r in lost)} in {directory}")
+    return docs
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

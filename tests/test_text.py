@@ -60,6 +60,6 @@ def test_measure_sections(spark):
         ("D02", 3, "description", "Metric", "other Weird: x"),
     ]
     assert rows[0].measure_name == "Breast Cancer Screening"
-    assert docs.select(parsing.introduction(F.col("text")).alias("x")).first().x == "Intro words"
+    assert [r.text for r in parsing.introductions(docs).collect()] == ["Intro words"]
     pages = parsing.page_sections(docs).orderBy("page").collect()
     assert [p.heading for p in pages] == ["Page 1", "Page 2", "Page 3"]
