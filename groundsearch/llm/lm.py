@@ -8,10 +8,13 @@ weighting gives after the training text: w = P_kt / (P_kt + product of the child
 training never saw adds nothing: the longest seen one stands alone there.
 
 What the corpus gives: counts of all (depth + 1)-byte strings and of all words of the training rows, summed
-map-side and shuffled. Log probabilities of seen strings are kept in a hash table; bytes of unseen strings are
-worked out through the tree. The table is broadcast in slices of at most `slice_rows` strings (by the last
-context byte), one pass for each slice, so that what a worker holds is bounded whatever the corpus; a text's
-score is the sum over slices.
+map-side and shuffled. No process holds the whole tree. What lies under a context of two bytes is a tree of its
+own; a group of Spark's builds it and hands on the logarithms that its parent node sums. The driver gathers these
+sums, at most 65,536 numbers for each of eight bits, and mixes the two uppermost levels. Then come slices, one
+after the other: the strings of some two-byte contexts, at most `slice_rows` unless one context alone has more, of
+which there can be 256^(depth - 1). A slice's log probabilities of seen strings are a hash table; bytes of unseen
+strings are worked out through the slice's tree. Both are broadcast for a pass over the texts; a text's score is
+the sum over slices.
 
 The base score is that of an add-0.1 unigram model of words, which are counted by 128 bits of hashes. The most
 frequent words, at most `hot_words`, are broadcast as a hash table; all others are looked up by a join.
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import tidy
+from .common import tidy, tidy_group
 from .slots import Slots, WordHasher
 
 END = b"\xff"
@@ -80,52 +83,69 @@ class Level(NamedTuple):
     total: np.ndarray
 
 
-class Tree:
-    """levels[d]: counts; weights[d][bits]: node keys (context, bits so far) and how much each node's own estimate counts, for d < depth."""
+def nodes_of(level: Level, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A level's nodes after so many bits, and how often 0 and 1 followed."""
+    keys, total = level
+    node = keys >> np.uint64(8 - bits)
+    edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.empty(0, np.int64)
+    count = np.diff(total)
+    one = (keys >> np.uint64(7 - bits) & np.uint64(1)).astype(np.int64)
+    ones = np.add.reduceat(count * one, edge) if len(edge) else count[:0]
+    every = np.add.reduceat(count, edge) if len(edge) else count[:0]
+    return node[edge], every - ones, ones
 
-    def __init__(self, strings: np.ndarray, counts: np.ndarray, depth: int):
-        """strings: newest context byte uppermost, the next byte lowest; sorted."""
-        self.depth = depth
-        self.levels: list[Level] = []
-        for d in range(depth + 1):
-            keys, n = (strings, counts) if d == depth else counted(strings >> np.uint64(8 * (depth - d + 1)) << np.uint64(8) | strings & np.uint64(255), counts)
-            self.levels.append(Level(keys, np.concatenate(([0], np.cumsum(n)))))
-        self.weights: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(depth)]
+
+def parents(nodes: np.ndarray, bits: int) -> np.ndarray:
+    """The nodes of contexts that are one byte shorter."""
+    return nodes >> np.uint64(bits + 8) << np.uint64(bits) | nodes & np.uint64((1 << bits) - 1)
+
+
+#: By bits: nodes, and what the product of their children's probabilities is (a logarithm).
+Sums = list[tuple[np.ndarray, np.ndarray]]
+
+
+class Tree(NamedTuple):
+    """levels[d]: counts; weights[d][bits]: nodes (context, bits so far) and how much each node's own estimate counts, but for the longest contexts."""
+
+    levels: list[Level]
+    weights: list[list[tuple[np.ndarray, np.ndarray]]]
+
+    @staticmethod
+    def built(strings: np.ndarray, counts: np.ndarray, longest: int, shortest: int = 0, below: Sums | None = None) -> tuple["Tree", Sums]:
+        """Levels of contexts from `shortest` to `longest`, and the logarithms of the shortest ones' probabilities. `strings`: the longest contexts (newest byte uppermost) with their next byte lowest, sorted. `below`: what lies under them; leaves without."""
+        levels = []
+        for d in range(shortest, longest + 1):
+            keys, n = (strings, counts) if d == longest else counted(strings >> np.uint64(8 * (longest - d + 1)) << np.uint64(8) | strings & np.uint64(255), counts)
+            levels.append(Level(keys, np.concatenate(([0], np.cumsum(n)))))
+        weights: list = [[] for _ in range(shortest, longest + (below is not None))]
+        out = []
         for bits in range(8):
-            below = None
-            for d in range(depth, -1, -1):
-                nodes, zeros, ones = self._nodes(d, bits)
+            under = below and below[bits]
+            for d in range(longest, shortest - 1, -1):
+                nodes, zeros, ones = nodes_of(levels[d - shortest], bits)
                 own = log_kt(zeros, ones)
-                if below is None:
+                if under is None:
                     mixed = own
                 else:
-                    parent = below[0] >> np.uint64(bits + 8) << np.uint64(bits) | below[0] & np.uint64((1 << bits) - 1)
-                    children = np.bincount(np.searchsorted(nodes, parent), weights=below[1], minlength=len(nodes))
+                    children = np.bincount(np.searchsorted(nodes, under[0]), weights=under[1], minlength=len(nodes))
                     both = np.logaddexp(own, children)
-                    self.weights[d].insert(bits, (nodes, np.exp(own - both).astype(np.float32)))
+                    weights[d - shortest].append((nodes, np.exp(own - both).astype(np.float32)))
                     mixed = both - np.log(2)
-                below = nodes, mixed
+                under = parents(nodes, bits) if d else nodes, mixed
+            out.append(under)
+        return Tree(levels, weights), out
 
     @staticmethod
-    def of(depth: int, levels: list, weights: list) -> "Tree":
-        """A tree of ready tables, as `parts` gives them."""
-        out = object.__new__(Tree)
-        out.depth, out.levels, out.weights = depth, [Level(*x) for x in levels], weights
-        return out
+    def whole(strings: np.ndarray, counts: np.ndarray, depth: int) -> "Tree":
+        return Tree.built(strings, counts, depth)[0]
 
-    def parts(self) -> tuple[int, list, list]:
-        """Plain tables, for a broadcast."""
-        return self.depth, [tuple(x) for x in self.levels], self.weights
+    def on(self, lower: "Tree") -> "Tree":
+        """This tree of short contexts on one of longer contexts."""
+        return Tree([*self.levels, *lower.levels], [*self.weights, *lower.weights])
 
-    def _nodes(self, d: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, total = self.levels[d]
-        node = keys >> np.uint64(8 - bits)
-        edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.empty(0, np.int64)
-        count = np.diff(total)
-        one = (keys >> np.uint64(7 - bits) & np.uint64(1)).astype(np.int64)
-        ones = np.add.reduceat(count * one, edge) if len(edge) else count[:0]
-        every = np.add.reduceat(count, edge) if len(edge) else count[:0]
-        return node[edge], every - ones, ones
+    @property
+    def depth(self) -> int:
+        return len(self.levels) - 1
 
     def log2(self, strings: np.ndarray) -> np.ndarray:
         """log2 of the probability of each string's last byte after its others."""
@@ -154,22 +174,6 @@ class Tree:
             out += np.log2(p)
         return out
 
-    def part(self, low: int, high: int) -> "Tree":
-        """The tree of contexts whose newest byte is in low..high - 1, and the empty context."""
-        out = Tree.of(self.depth, [], [])
-        for d, (keys, total) in enumerate(self.levels):
-            newest = keys >> np.uint64(8 * d)
-            a, b = (int(np.searchsorted(newest, x)) for x in (low, high)) if d else (0, len(keys))
-            out.levels.append(Level(keys[a:b], total[a : b + 1]))
-            if d < self.depth:
-                cut = []
-                for bits, (nodes, weight) in enumerate(self.weights[d]):
-                    top = nodes >> np.uint64(8 * (d - 1) + bits) if d else None
-                    mine = slice(None) if top is None else slice(int(np.searchsorted(top, low)), int(np.searchsorted(top, high)))
-                    cut.append((nodes[mine], weight[mine]))
-                out.weights.append(cut)
-        return out
-
 
 def ordered(keys: np.ndarray, depth: int) -> np.ndarray:
     """From the newest byte uppermost (as windows are) to the next byte lowest."""
@@ -250,7 +254,7 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def score(docs: DataFrame, *, held_out: Column, depth: int = 5, hot_words: int = 800_000, slice_rows: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability), bits_per_byte (code length over the bytes of the normalised text and its end)."""
     if not 1 <= depth <= 6:
         raise ValueError("depth must lie between 1 and 6")
     spark = docs.sparkSession
@@ -269,22 +273,17 @@ def score(docs: DataFrame, *, held_out: Column, depth: int = 5, hot_words: int =
             break
         least = n
     shared_hot = spark.sparkContext.broadcast(_hot_table(words.where(F.col("n") >= least)))
-    tree = _tree(counts.where("not word").select("a", "n"), depth)
-    cuts = _cuts(tree, slice_rows)
+    strings = counts.where("not word").select((F.col("a") % (1 << 8 * depth) * 256 + F.shiftright("a", 8 * depth)).alias("string"), "n")  # as `ordered` has it
+    top = _top(strings, depth)
     end_log = float(np.log10(train_docs + 0.1))
-    fields = "doc_id bigint, held_out boolean, text string, n_tokens bigint, hot_known bigint, hot_log double, rare array<struct<a:bigint,b:bigint>>, log2 double"
+    fields = "doc_id bigint, held_out boolean, text string, n_tokens bigint, hot_known bigint, hot_log double, rare array<struct<a:bigint,b:bigint>>, n_bytes bigint, log2 double"
     scored = rows
-    for low, high in zip(cuts, cuts[1:], strict=False):
+    for low, high in _cuts(strings, depth, slice_rows):
         if low:  # else the workers of all passes would hold their slices at once
             scored = common.written(scored, "passes")
-        part = tree if len(cuts) == 2 else tree.part(low, high)
-        strings = part.levels[depth].keys
-        table = Slots(len(strings), np.float32)
-        table.insert((strings & np.uint64(255)) << np.uint64(8 * depth) | strings >> np.uint64(8), np.concatenate([np.zeros(0), *[part.log2(strings[at : at + 300_000]) for at in range(0, len(strings), 300_000)]]))
-        model = spark.sparkContext.broadcast((part.parts(), (table.bits, table.keys, table.values), low, high))
-        del table
-        last = high == 256
-        scored = scored.mapInArrow(tidy(_pass(model, None if low else shared_hot, int(train_docs > 0), end_log, last)), fields.replace("text string, ", "") if last else fields)
+        last = high == 256 ** stem(depth)
+        model = spark.sparkContext.broadcast(_slice(strings, depth, low, None if last else high, top))
+        scored = scored.mapInArrow(tidy(_pass(model, low, high, last, None if low else shared_hot, int(train_docs > 0), end_log)), fields.replace("text string, ", "") if last else fields)
     kept = common.written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = kept.select("row", F.inline("rare"))
     sums = rare.join(words.where(F.col("n") < least), ["a", "b"]).groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + F.lit(0.1))).alias("logs"))
@@ -292,7 +291,10 @@ def score(docs: DataFrame, *, held_out: Column, depth: int = 5, hot_words: int =
     each = float(np.log10(all_tokens + 0.1 * (distinct + 1))) if train_docs else None
     unknown = F.col("n_tokens") - F.col("n_known")  # log10(0.1) is -1
     base_score = F.col("hot_log") + F.coalesce("logs", F.lit(0.0)) - unknown - F.col("n_tokens") * F.lit(each).cast("double")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_tokens).cast("bigint").alias("train_tokens"), base_score.alias("base_score"), (F.col("log2") * F.lit(float(np.log10(2)))).alias("score"))
+    return done.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(all_tokens).cast("bigint").alias("train_tokens"), base_score.alias("base_score"), (F.col("log2") * F.lit(float(np.log10(2)))).alias("score"),
+        (-F.col("log2") / F.col("n_bytes")).alias("bits_per_byte"),
+    )
 
 
 def _hot_table(words: DataFrame) -> tuple:
@@ -305,26 +307,64 @@ def _hot_table(words: DataFrame) -> tuple:
     return table.bits, table.keys, table.values, b[first].view(np.uint64), np.log10(n[first] + 0.1)
 
 
-def _tree(grams: DataFrame, depth: int) -> Tree:
-    found = grams.toArrow()
-    strings = ordered(found.column("a").to_numpy().view(np.uint64), depth)
-    order = np.argsort(strings)
-    return Tree(strings[order], found.column("n").to_numpy()[order], depth)
+def stem(depth: int) -> int:
+    """Bytes of a context that name its subtree."""
+    return min(2, depth)
 
 
-def _cuts(tree: Tree, slice_rows: int) -> list[int]:
-    """Bounds of slices by the newest context byte, each of at most slice_rows strings unless one byte has more."""
-    by_newest = np.bincount((tree.levels[tree.depth].keys >> np.uint64(8 * tree.depth)).astype(np.int64), minlength=256)
+def _stem(strings: DataFrame, depth: int) -> DataFrame:
+    return strings.withColumn("stem", F.shiftright("string", 8 * (depth + 1 - stem(depth))))
+
+
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Strings and their counts, sorted."""
+    keys = rows.column("string").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows.column("n").to_numpy()[order]
+
+
+def _top(strings: DataFrame, depth: int) -> Tree:
+    """The levels above all subtrees: of fewer than stem(depth) bytes, at most 65,536 strings."""
+    least = stem(depth)
+
+    def summed(rows: pa.Table) -> pa.Table:
+        _, sums = Tree.built(*_arrays(rows), depth, least)
+        node = np.concatenate([nodes for nodes, _ in sums])
+        return pa.table({"bits": pa.array(np.repeat(np.arange(8), [len(nodes) for nodes, _ in sums])), "node": pa.array(node.astype(np.int64)), "log": pa.array(np.concatenate([logs for _, logs in sums]))})
+
+    each = _stem(strings, depth).groupBy("stem").applyInArrow(tidy_group(lambda rows: summed(rows.drop_columns(["stem"]))), "bits bigint, node bigint, log double")
+    # Decimals, whose sum no order of rows changes.
+    found = each.groupBy("bits", "node").agg(F.sum(F.col("log").cast("decimal(30,9)")).cast("double").alias("log")).orderBy("bits", "node").toArrow()
+    bits, node, log = (found.column(c).to_numpy() for c in ("bits", "node", "log"))
+    below = [(node[bits == b].view(np.uint64), log[bits == b]) for b in range(8)]
+    short = F.shiftright("string", 8 * (depth + 2 - least)) * 256 + F.col("string") % 256
+    upper = strings.groupBy(short.alias("string")).agg(F.sum("n").alias("n")).toArrow()
+    return Tree.built(*_arrays(upper), least - 1, 0, below)[0]
+
+
+def _cuts(strings: DataFrame, depth: int, slice_rows: int) -> list[tuple[int, int]]:
+    """Bounds (low, high) of slices by stem, each of at most slice_rows strings unless one stem has more."""
+    by_stem = _stem(strings, depth).groupBy("stem").count().orderBy("stem").collect()  # 65,536 at most
     cuts, held = [0], 0
-    for byte in range(256):
-        if held and held + by_newest[byte] > slice_rows:
-            cuts.append(byte)
+    for r in by_stem:
+        if held and held + r["count"] > slice_rows:
+            cuts.append(r.stem)
             held = 0
-        held += by_newest[byte]
-    return [*cuts, 256]
+        held += r["count"]
+    return list(zip(cuts, [*cuts[1:], 256 ** stem(depth)], strict=True))
+
+
+def _slice(strings: DataFrame, depth: int, low: int, high: int | None, top: Tree) -> tuple:
+    """Plain tables, for a broadcast: the tree of a slice under `top`, and the hash table of its strings' log probabilities."""
+    mine = _stem(strings, depth).where((F.col("stem") >= low) & (F.col("stem") < high if high else F.lit(True))).select("string", "n")
+    keys, n = _arrays(mine.toArrow())
+    tree = top.on(Tree.built(keys, n, depth, stem(depth))[0])
+    table = Slots(len(keys), np.float32)
+    table.insert((keys & np.uint64(255)) << np.uint64(8 * depth) | keys >> np.uint64(8), np.concatenate([np.zeros(0), *[tree.log2(keys[at : at + 300_000]) for at in range(0, len(keys), 300_000)]]))
+    return [tuple(x) for x in tree.levels], tree.weights, (table.bits, table.keys, table.values)
 
 
-def _pass(model, hot, end_known: int, end_log: float, last: bool):
+def _pass(model, low: int, high: int, last: bool, hot, end_known: int, end_log: float):
     """One slice's log probabilities, added to column log2; the first pass, which has `hot`, makes the other columns."""
 
     def base(batch: pa.RecordBatch, texts: Batch, table: Slots, check: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
@@ -337,13 +377,13 @@ def _pass(model, hot, end_known: int, end_log: float, last: bool):
         offsets = np.searchsorted(rare, texts.first).astype(np.int32)
         pairs = pa.StructArray.from_arrays([pa.array(texts.hash[rare].view(np.int64)), pa.array(texts.check[rare].view(np.int64))], ["a", "b"])
         return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(np.diff(texts.first) + 1), pa.array(summed(found) + end_known), pa.array(summed(log) + end_log), pa.ListArray.from_arrays(pa.array(offsets), pairs), pa.array(np.zeros(batch.num_rows))],
-            [*batch.schema.names, "n_tokens", "hot_known", "hot_log", "rare", "log2"],
+            [*batch.columns, pa.array(np.diff(texts.first) + 1), pa.array(summed(found) + end_known), pa.array(summed(log) + end_log), pa.ListArray.from_arrays(pa.array(offsets), pairs), pa.array(np.fromiter(map(len, texts.texts), np.int64, batch.num_rows) + 1), pa.array(np.zeros(batch.num_rows))],
+            [*batch.schema.names, "n_tokens", "hot_known", "hot_log", "rare", "n_bytes", "log2"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, slots, low, high = model.value
-        tree, table, hasher = Tree.of(*parts), Slots.of(*slots), WordHasher()
+        levels, weights, slots = model.value
+        tree, table, hasher = Tree([Level(*x) for x in levels], weights), Slots.of(*slots), WordHasher()
         words, check, logs = (Slots.of(*hot.value[:3]), *hot.value[3:]) if hot else (None, None, None)
         depth = tree.depth
         for batch in _groups(batches):
@@ -353,8 +393,8 @@ def _pass(model, hot, end_known: int, end_log: float, last: bool):
             keys, first = windows(texts.texts, depth)
             values, found = table.find(keys)
             values = values.astype(np.float64)
-            if (low, high) != (0, 256):
-                newest = keys >> np.uint64(8 * (depth - 1)) & np.uint64(255)
+            if low or not last:
+                newest = keys >> np.uint64(8 * (depth - stem(depth))) & np.uint64(256 ** stem(depth) - 1)
                 other = (newest < low) | (newest >= high)
                 values[other], found[other] = 0, True
             new = np.flatnonzero(~found)

@@ -148,7 +148,7 @@ def test_ann_vectors_of_another_length(spark):
 def test_tree_probabilities_sum_to_one():
     keys, _ = lm.windows([b"the cat sat on the mat", b"the dog"], 3)
     strings, counts = lm.counted(lm.ordered(keys, 3))
-    tree = lm.Tree(strings, counts, 3)
+    tree = lm.Tree.whole(strings, counts, 3)
     for context in (b"the", b"zzz", b" th", b"\xff\xff\xff"):
         c = int.from_bytes(context[::-1], "big") << 8
         p = 2 ** tree.log2(np.array([c | x for x in range(256)], np.uint64))
@@ -161,7 +161,7 @@ def test_tree_is_context_tree_weighting():
     text = b"abababababab"
     keys, _ = lm.windows([text], 1)
     strings, counts = lm.counted(lm.ordered(keys, 1))
-    tree = lm.Tree(strings, counts, 1)
+    tree = lm.Tree.whole(strings, counts, 1)
 
     def kt(zeros, ones):
         p, n = 1.0, [0, 0]
@@ -178,6 +178,62 @@ def test_tree_is_context_tree_weighting():
     assert float(tree.weights[0][0][1][0]) == pytest.approx(own / (own + children), rel=1e-5)
 
 
+def plain_weighting(train, depth):
+    """log2 of a text's probability after `train`, by the definition: a dict of counts, and one recursion for the weights."""
+    counts = defaultdict(lambda: [0, 0])
+    deeper = defaultdict(set)
+
+    def steps(text):
+        padded = b"\xff" * depth + text + b"\xff"
+        for at in range(depth, len(padded)):
+            for bit in range(8):
+                past = padded[at - depth : at][::-1]  # newest first
+                yield past, format(padded[at], "08b")[:bit], padded[at] >> (7 - bit) & 1
+
+    for text in train:
+        for past, bits, bit in steps(text):
+            for d in range(depth + 1):
+                counts[past[:d], bits][bit] += 1
+                if d:
+                    deeper[past[: d - 1], bits].add(past[:d])
+    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+    weighted, own_share = {}, {}
+    for (context, bits), (z, o) in sorted(counts.items(), key=lambda x: -len(x[0][0])):
+        own = kt(z, o)
+        if len(context) == depth:
+            weighted[context, bits] = own
+        else:
+            below = sum(weighted[c, bits] for c in deeper[context, bits])
+            both = np.logaddexp(own, below)
+            own_share[context, bits], weighted[context, bits] = math.exp(own - both), both - math.log(2)
+
+    def probability(past, bits, bit):
+        p = None
+        for d in range(depth, -1, -1):
+            if (past[:d], bits) in counts:
+                z, o = counts[past[:d], bits]
+                own = ((o if bit else z) + 0.5) / (z + o + 1)
+                w = own_share[past[:d], bits] if p is not None else 1
+                p = own if p is None else w * own + (1 - w) * p
+        return 0.5 if p is None else p
+
+    return lambda text: sum(math.log2(probability(*step)) for step in steps(text))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_scores_are_those_of_plain_context_tree_weighting(spark, depth):
+    texts = real(spark).limit(12).select("text").collect()
+    rows = [(i, (r.text or "")[:400]) for i, r in enumerate(texts)] + [(20, None), (21, "zz \u00e9\u4e2d unseen"), (22, "  The\tEND "), (23, "")]
+    normal = lambda t: b" ".join((t or "").encode().lower().split())
+    want = plain_weighting([normal(t) for i, t in rows if i % 3], depth)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for slice_rows in (3_000_000, 150):  # several slices, some of one newest byte's contexts
+        for r in lm.score(df, held_out=F.col("doc_id") % 3 == 0, depth=depth, slice_rows=slice_rows).collect():
+            text = normal(dict(rows)[r.doc_id])
+            assert r.score == pytest.approx(want(text) * math.log10(2), rel=1e-6), (r.doc_id, slice_rows)
+            assert r.bits_per_byte == pytest.approx(-want(text) / (len(text) + 1), rel=1e-6)
+
+
 def test_language_model(spark):
     df = real(spark).unionByName(docs(spark, ODD)).withColumn("n", F.lit(1)).withColumn("rare", F.lit(1))
     args = {"held_out": crc_mod("doc_id", 10) == 0}
