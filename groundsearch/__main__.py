@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import answering, assembly, bm25, evaluation, routing
+from .operators import answering, assembly, evaluation, routing
 from .operators.chunking import embed_text
 from .plans import index, retrieval
 from .sources import corpus, scratch
@@ -54,12 +54,6 @@ def planned(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     return asked.join(routes.withColumnRenamed("measure_ids", "measure_id"), "query_id")
 
 
-def found(chunks: DataFrame, questions: DataFrame, settings: Settings, embed: Embed | None = None, lexicon: bm25.Lexicon | None = None) -> DataFrame:
-    """Ranked chunks of the year and the measures that a question names; questions without see all."""
-    asked = index.embed_questions(planned(chunks, questions), embed, settings)
-    return retrieval.retrieve(chunks, asked, settings, measure="measure_id", year="plan_year", index=lexicon)
-
-
 def ask(args: argparse.Namespace) -> int:
     spark = session()
     chunks, settings = open_index(spark, args.index), Settings()
@@ -116,23 +110,31 @@ def evaluate(args: argparse.Namespace) -> int:
     spark = session()
     chunks = open_index(spark, args.index)
     items = corpus.load_gold(spark, args.dataset)
-    broken = [f"{r.item_id}: {r.problem}" for r in evaluation.violations(items).collect()]
+    broken = [f"{r.item_id}: {r.problem}" for r in evaluation.violations(items).take(20)]
     if broken:
         raise evaluation.DatasetError("the gold set breaks its rules: " + "; ".join(broken))
     labels = items.select("item_id", F.posexplode("gold").alias("pos", "g")).select(F.concat_ws(":", "item_id", F.col("pos").cast("string")).alias("label_id"), "item_id", "g.*")
     matches = evaluation.label_matches(labels, chunks.select(F.col("doc_id").alias("chunk_id"), F.col("document").alias("doc_id"), "section", "measure_name"))
-    lost = [r.label_id for r in evaluation.unresolved(labels, matches).collect()]
+    lost = [r.label_id for r in evaluation.unresolved(labels, matches).select("label_id").take(20)]
     if lost:
         raise evaluation.DatasetError(f"labels that match no chunk: {sorted(lost)}")
-    ranked = found(chunks, items.select(F.col("item_id").alias("query_id"), F.col("question").alias("query"), F.lit(None).cast("int").alias("year")), Settings(), args.embed, index.lexicon(spark, args.index))
-    listed = items.select("item_id", "category", "split", F.col("category").startswith("refusal").alias("is_refusal"), F.lit(None).cast("boolean").alias("refused"))
-    metrics = evaluation.item_metrics(listed, ranked.select(F.col("query_id").alias("item_id"), F.col("doc_id").alias("chunk_id"), "rank"), evaluation.resolved(matches))
-    report = evaluation.report(metrics).collect()  # a few rows for each category
+    listed = items.select("item_id", "category", "split", F.col("category").startswith("refusal").alias("is_refusal"))
+    gold = evaluation.resolved(matches)
+    evaluation.require_gold(listed, gold)
+    asked = index.embed_questions(planned(chunks, items.select(F.col("item_id").alias("query_id"), F.col("question").alias("query"), F.lit(None).cast("int").alias("year"))), args.embed, Settings())
+    if args.embed:  # without vectors there is neither a confidence gate nor a dense arm
+        gate = retrieval.best_similarity(chunks, asked, Settings().refusal_score_floor).select(F.col("query_id").alias("item_id"), "refused")
+        listed = listed.join(gate, "item_id", "left")
+    else:
+        listed = listed.withColumn("refused", F.lit(None).cast("boolean"))
+    arms = retrieval.arms(chunks, asked, Settings(), measure="measure_id", year="plan_year", lexical=(True, False) if args.embed else (True,), index=index.lexicon(spark, args.index))
+    scores = [evaluation.item_metrics(listed, ranked.select(F.col("query_id").alias("item_id"), F.col("doc_id").alias("chunk_id"), "rank"), gold) for ranked in arms]
     by: dict = {"category": {}, "split": {}, "overall": {}}
-    for r in report:
+    for r in evaluation.report(scores[0]).collect():  # a few rows for each category
         (by["overall"] if r.scope == "overall" else by[r.scope].setdefault(r.name, {}))[r.metric] = r.value
+    dense = {r.metric: r.value for r in evaluation.report(scores[1]).where("scope = 'overall'").collect()} if args.embed else {}
     dataset_hash = hashlib.sha256(Path(args.dataset).read_bytes()).hexdigest()[:16]
-    artifact = {"config_hash": Settings().config_hash, "dataset_hash": dataset_hash, "metrics": {"overall": by["overall"], "per_category": by["category"], "per_split": by["split"]}}
+    artifact = {"config_hash": Settings().config_hash, "dataset_hash": dataset_hash, "metrics": {"overall": by["overall"], "per_category": by["category"], "per_split": by["split"], **({"dense_only_overall": dense} if dense else {})}}
     if args.out:
         evaluation.write_artifact(Path(args.out), artifact)
     print(evaluation.markdown(artifact))

@@ -50,6 +50,13 @@ def unresolved(labels: DataFrame, matches: DataFrame) -> DataFrame:
     return labels.join(matches, "label_id", "left_anti")
 
 
+def require_gold(items: DataFrame, gold: DataFrame) -> None:
+    """An answerable item (is_refusal false) without a gold chunk has no metric: an error that names such items, so that none is left out unseen."""
+    lost = items.where(~F.col("is_refusal")).join(gold, "item_id", "left_anti").select("item_id").orderBy("item_id").take(20)
+    if lost:
+        raise DatasetError(f"answerable items without a gold chunk: {[r.item_id for r in lost]}")
+
+
 def item_metrics(items: DataFrame, ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (5, 8)) -> DataFrame:
     """item_id, category, split, metric, value. Answerable items: hit@1, mrr, precision@8, recall at each k. Traps with a `refused` flag: refused.
 

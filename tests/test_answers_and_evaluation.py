@@ -62,6 +62,14 @@ def test_metrics_and_report(spark):
         evaluation.item_metrics(None, None, None, ks=(0,))
 
 
+def test_an_answerable_item_without_gold_is_an_error(spark):
+    items = spark.createDataFrame([("a", False), ("b", False), ("trap", True)], "item_id string, is_refusal boolean")
+    gold = spark.createDataFrame([("a", "c")], "item_id string, chunk_id string")
+    with pytest.raises(evaluation.DatasetError, match=r"\['b'\]"):
+        evaluation.require_gold(items, gold)
+    evaluation.require_gold(items.where("item_id <> 'b'"), gold)
+
+
 def test_ratchet():
     assert evaluation.regressions({"mrr": 0.80}, {"mrr": 0.85})
     assert not evaluation.regressions({"mrr": 0.84}, {"mrr": 0.85})

@@ -33,6 +33,15 @@ def test_vectors_change_the_order_and_names_route(spark, tmp_path, capsys):
     assert first_line("a jab", None) == [] and "Flu Vaccine" in first_line("a jab", by_letter)[0]
     routed = first_line("retinal exam of members", by_letter)
     assert len(routed) == 5 and all("Eye Exam" in line for line in routed)
+    # With vectors, eval has the dense arm beside, and says whether the gate refuses the traps.
+    gold, out = tmp_path / "gold.jsonl", tmp_path / "a.json"
+    item = {"item_id": "a", "question": "retinal exam", "category": "scope", "split": "test", "gold": [{"doc_id": "d", "measure_name_contains": "eye", "section": "description"}], "reference_answer": "r"}
+    trap = {"item_id": "b", "question": "of members", "category": "refusal_scope", "split": "test", "gold": [], "reference_answer": None}
+    gold.write_text(json.dumps(item) + "\n" + json.dumps(trap) + "\n")
+    assert main(["eval", "--retrieval", "--dataset", str(gold), "--index", path, "--out", str(out)], by_letter) == 0
+    assert "Dense-only" in capsys.readouterr().out
+    metrics = json.loads(out.read_text())["metrics"]
+    assert metrics["overall"]["recall@5"] == metrics["dense_only_overall"]["recall@5"] == 1.0 and metrics["per_category"]["refusal_scope"]["refused"] == 0.0
     assert main(["build", "--source", str(docs), "--index", path]) == 0
     assert index.vectors(spark, path).count() == 0
 
