@@ -30,13 +30,22 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _coded(values: pa.Array, rows: int, columns: int) -> tuple[np.ndarray, dict[str, int]]:
+def coded(values: pa.Array, rows: int, columns: int) -> tuple[np.ndarray, dict[str, int]]:
     """A batch's filter values as numbers, -1 for null, and the number of each value: encoded once, whatever the number of filters."""
     found = values.flatten().dictionary_encode()
     codes = pc.fill_null(found.indices, -1).to_numpy(zero_copy_only=False)
     return codes.reshape(rows, columns), {v: i for i, v in enumerate(found.dictionary.to_pylist())}
 
 
+def fitting(codes: np.ndarray, known: dict[str, int], wanted: tuple) -> np.ndarray:
+    """The rows whose filter values are among the wanted ones, for each column that wants any."""
+    fits = np.ones(len(codes), bool)
+    for i, values in enumerate(wanted):
+        if values is not None:
+            fits &= np.isin(codes[:, i], [known[v] for v in values if v in known])
+    return np.flatnonzero(fits)
+
+
 def allowed(queries: DataFrame, column: str) -> Column:
     """What a query's filter column lets pass, as array<string>; null for everything. A list column allows its members, an empty one everything."""
     c = F.col(column)
@@ -88,15 +97,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "doc_id"
                     continue
                 order = pc.sort_indices(batch.column(0)).to_numpy()  # so that columns follow the ids
                 unit = _unit(batch.column(1), dim)[order]
-                codes, known = _coded(batch.column(2), batch.num_rows, len(groups))
+                codes, known = coded(batch.column(2), batch.num_rows, len(groups))
                 codes = codes[order]
                 q, c, s = [], [], []
                 for wanted, rows in filters.items():  # one pass for each distinct filter
-                    fits = np.ones(len(order), bool)
-                    for i, values in enumerate(wanted):
-                        if values is not None:
-                            fits &= np.isin(codes[:, i], [known[v] for v in values if v in known])
-                    at = np.flatnonzero(fits)
+                    at = fitting(codes, known, wanted)
                     if not len(at):
                         continue
                     score = np.round(matrix[rows] @ unit[at].T, 12)

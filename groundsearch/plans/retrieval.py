@@ -15,13 +15,6 @@ from ..sources import scratch
 Reranker = Callable[[DataFrame], DataFrame]
 
 
-def _fits(questions: DataFrame, chunks: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame, list[Column]]:
-    """What questions want and chunks hold, and for each filter column whether they agree."""
-    wanted = questions.select("query_id", *[dense.allowed(questions, c).alias(f"w{i}") for i, c in enumerate(group)])
-    held = chunks.select("doc_id", *[F.col(c).cast("string").alias(f"h{i}") for i, c in enumerate(group)])
-    return wanted, held, [F.coalesce(F.array_contains(f"w{i}", F.col(f"h{i}")), F.col(f"w{i}").isNull()) for i in range(len(group))]
-
-
 def ranked_lists(chunks: DataFrame, questions: DataFrame, settings: Settings, lists: list[list[str]], *, lexical: bool = True, index: bm25.Lexicon | None = None) -> DataFrame:
     """list, leg (`dense` or `bm25`), query_id, doc_id, score, rank: the best of each question under each list of filters.
 
@@ -34,15 +27,9 @@ def ranked_lists(chunks: DataFrame, questions: DataFrame, settings: Settings, li
     found = dense.top_k(chunks.select("doc_id", "embedding", *columns), reduce(DataFrame.unionByName, asked), settings.dense_k, groups=columns, query_key="task")
     found = found.select("task.list", F.lit("dense").alias("leg"), "task.query_id", "doc_id", "score", "rank")
     if lexical:
-        scored = bm25.scores(index or chunks.select("doc_id", "text"), questions.select("query_id", "query"))
-        numbers = F.array(F.lit(0))
-        if columns:  # filters look at scored pairs only, never at all pairs of questions and chunks
-            wanted, held, fits = _fits(questions, chunks, columns)
-            passed = [reduce(Column.__and__, [fits[columns.index(c)] for c in group], F.lit(True)) for group in lists]
-            numbers = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in enumerate(passed)]))
-            scored = scored.join(wanted, "query_id").join(held, "doc_id")
-        scored = scored.where(F.round("score", 9) > 0).select("query_id", "doc_id", "score", F.explode(numbers).alias("list"))
-        best = bm25.ranked(scored, settings.bm25_k, query_key=["list", "query_id"])
+        asked = questions.select("query_id", "query", *columns)
+        held = chunks.select("doc_id", *columns) if columns else None
+        best = bm25.best(index or chunks.select("doc_id", "text"), asked, settings.bm25_k, lists=lists, held=held)
         found = found.unionByName(best.select("list", F.lit("bm25").alias("leg"), "query_id", "doc_id", "score", "rank"))
     return scratch.written(found, "lists")
 

@@ -55,6 +55,33 @@ def test_more_questions_than_are_broadcast(spark, monkeypatch):
     assert sorted(bm25.scores(docs, asked).collect()) == want
 
 
+def test_best_is_the_ranking_of_all_pairs_under_each_list(spark, monkeypatch):
+    texts = [(i % 50, " ".join(f"w{(i * j) % 23}" for j in range(i % 9))) for i in range(60)]  # ids 0 to 9 stand twice
+    docs = spark.createDataFrame([*texts, (50, None), (51, "w1 w1 w1 only")], "doc_id int, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 3} w1 w1", q % 3 if q % 4 else None) for q in range(9)] + [(9, "none of it", 1), (10, None, 1)], "query_id int, query string, part int")
+    held = docs.select("doc_id", (F.col("doc_id") % 3).alias("part")).distinct()
+    index = bm25.lexicon(docs)
+    pairs = bm25.scores(index, asked).join(asked.select("query_id", F.col("part").alias("want")), "query_id").join(held, "doc_id")
+    plain = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    free, fits = plain(bm25.ranked(pairs, 3)), plain(bm25.ranked(pairs.where("want is null or want = part"), 3))
+    assert free != fits and len(free) == 27
+    for rows, cells, batch in ((4096, bm25.CELLS, 10_000), (4, 5, 7)):  # more passes, groups of questions, slices and batches
+        monkeypatch.setattr(bm25, "CELLS", cells)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found = bm25.best(index, asked, 3, lists=[[], ["part"]], held=held, block_rows=rows).cache()
+            assert plain(found.where("list = 0")) == free and plain(found.where("list = 1")) == fits
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert plain(bm25.top_k(index, asked, 3, keep=held.where("part = 0").select("doc_id"))) == plain(bm25.ranked(pairs.where("part = 0"), 3))
+    assert not bm25.best(index, asked, 0).collect() and not bm25.best(index, asked.where("query_id = 9"), 3).collect()
+
+
+def test_ranking_makes_no_row_for_each_pair(spark):
+    plan = bm25.top_k(spark.createDataFrame(DOCS, "doc_id int, text string"), spark.createDataFrame([(1, "cat dog")], "query_id int, query string"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan
+
+
 def normalised(spark, texts):
     section = "struct<kind:string,heading:string,text:string,page:int>"
     rows = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, t string")
