@@ -57,6 +57,6 @@ def parsed(docs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     columns = ["doc_id", "measure_id", "measure_name", "m_pos", "s_pos", "kind", "heading", "text", "page"]
     general = lambda df, s_pos: df.select("*", none.alias("measure_id"), none.alias("measure_name"), F.lit(0).alias("m_pos"), s_pos.alias("s_pos")).select(columns)
-    rows = parsing.measure_sections(notes).select(columns)
-    rows = rows.unionByName(general(parsing.introductions(notes), F.lit(0))).unionByName(general(parsing.page_sections(pages), F.col("page")))
+    rows = parsing.note_sections(notes).select(columns)
+    rows = rows.unionByName(general(parsing.page_sections(pages), F.col("page")))
     return nested(rows, docs.select(*FIELDS)).select(*FIELDS, "measures", "general_sections")

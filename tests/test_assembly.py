@@ -108,3 +108,11 @@ def test_build_from_texts(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["statuses"] == {"added": 1, "changed": 0, "kept": 7, "removed": 1}
     with pytest.raises(SystemExit):
         main(["build", "--source", source, "--index", path, "--renormalize"])
+
+
+def test_texts_are_cut_once_for_measures_and_introductions(spark):
+    docs = spark.createDataFrame([("n", "technical_notes", "Intro.\n\0PAGE:2\0\nMeasure: C01 - One\nMetric: a\nTitle: b\n")], "doc_id string, parser_id string, text string")
+    whole = assembly.parsed(docs.select("*", *[F.lit(None).cast("int" if c == "plan_year" else "string").alias(c) for c in assembly.FIELDS if c not in docs.columns]))
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count(r"([CD]\d{2})") == 1  # the expression that cuts texts at headings
+    row = whole.first()
+    assert [(m.measure_id, [s.text for s in m.sections]) for m in row.measures] == [("C01", ["a", "b"])] and [s.text for s in row.general_sections] == ["Intro."]
