@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .bm25 import Lexicon
+from ..sources.scratch import written
+from .bm25 import BROADCAST_ROWS, Lexicon
 
 BLOCK = 1000
 
@@ -25,7 +26,10 @@ def candidates(passages: DataFrame, lexicon: Lexicon, *, key: str = "item_id", t
     inner = passages.select(key, text).distinct().select(key, text, F.array_distinct(F.slice(found, F.lit(2), F.greatest(F.size(found) - 2, F.lit(0)))).alias("inner"))
     each = inner.select(key, text, F.size("inner").alias("n"), F.explode("inner").alias("token")).join(lexicon.terms.select("token", "df"), "token")
     rarest = each.groupBy(key, text, "n").agg(F.count("*").alias("known"), F.min(F.struct("df", "token")).alias("rarest")).where("known = n").select(key, text, F.col("rarest.token").alias("token"))
-    held = lexicon.postings.select(lexicon.key, F.explode("terms.token").alias("token"))
+    rarest = written(rarest, "rarest")
+    held, asked = lexicon.postings.select(lexicon.key, F.explode("terms.token").alias("token")), rarest.select("token").distinct()
+    if asked.count() <= BROADCAST_ROWS:  # then no other token of the postings is shuffled
+        held = held.join(F.broadcast(asked), "token", "left_semi")
     return held.join(rarest, "token").select(key, text, lexicon.key)
 
 

@@ -167,3 +167,12 @@ def test_command_lines(tmp_path):
     high.write_text('{"baseline": {"mrr": 2.0}}')
     done = command("evaluate_retrieval", "--documents", f"{SF}/documents.parquet", "--benchmark", f"{SF}/benchmark.parquet", "--out", str(tmp_path / "r"), "--config", str(high), "--gate")
     assert done.returncode == 1 and "below the baseline: mrr" in done.stderr, done.stderr[-2000:]
+
+
+def test_only_rarest_tokens_of_postings_are_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a cat sat on it"), (2, "the cat sat down"), (3, None)], "doc_id int, text string")
+    passages = spark.createDataFrame([(7, "cat sat on"), (8, "a cat sat"), (9, "no such word")], "item_id int, text string")
+    lexicon = bm25.lexicon(docs)
+    plan = containment.candidates(passages, lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan
+    assert sorted(map(tuple, containment.holding(passages, docs, lexicon).collect())) == [(7, 1), (8, 1)]
