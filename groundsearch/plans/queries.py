@@ -32,11 +32,15 @@ def _big(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("bigint").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, v = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without their vectors."""
+    d = table(spark, sf_dir, "documents")
     section = F.element_at(F.array(*map(F.lit, SECTION_KINDS)), (F.col("doc_id") % 7 + 1).cast("int"))
-    d = d.select("doc_id", "text", "lang", "source", section.alias("section"), (2025 + F.col("doc_id") % 3).cast("int").alias("plan_year"), F.concat_ws("-", "lang", "source").alias("measure_id"))
-    return d.join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return d.select("doc_id", "text", "lang", "source", section.alias("section"), (2025 + F.col("doc_id") % 3).cast("int").alias("plan_year"), F.concat_ws("-", "lang", "source").alias("measure_id"))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,18 +98,18 @@ def best_similarity_gate(spark, sf_dir):
 
 
 def rrf_fuse(spark, sf_dir):
-    d, b = retrieval.legs(chunks(spark, sf_dir), questions(spark, sf_dir), SETTINGS)
+    d, b = retrieval.legs(chunks(spark, sf_dir), questions(spark, sf_dir), SETTINGS, texts=passages(spark, sf_dir))
     return rounded(fusion.fuse(d, b, SETTINGS.rrf_k))
 
 
 def hybrid_topk(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    found = retrieval.retrieve(c, questions(spark, sf_dir), SETTINGS, year="plan_year")
-    return rounded(retrieval.hydrate(found, c, "section", "source").select("query_id", "doc_id", "rank", "score", "dense_rank", "bm25_rank", "section", "source"))
+    p = passages(spark, sf_dir)
+    found = retrieval.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir), SETTINGS, year="plan_year", texts=p)
+    return rounded(retrieval.hydrate(found, p, "section", "source").select("query_id", "doc_id", "rank", "score", "dense_rank", "bm25_rank", "section", "source"))
 
 
 def _fallback(spark, sf_dir, lexical):
-    found = retrieval.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir), SETTINGS, measure="measure_id", year="plan_year", lexical=lexical)
+    found = retrieval.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir), SETTINGS, measure="measure_id", year="plan_year", lexical=lexical, texts=passages(spark, sf_dir))
     return rounded(found.select("query_id", "doc_id", "rank", "score", "used_fallback"))
 
 
@@ -123,7 +127,7 @@ def routed_topk(spark, sf_dir):
     other = F.concat(F.lit("en-src"), (i % 7).cast("string"))
     measures = F.when(i % 3 == 0, F.array("measure_id", other)).when(i % 3 == 1, F.array("measure_id"))
     q = q.select("query_id", "query", F.when(i % 4 > 0, F.col("plan_year")).alias("plan_year"), measures.alias("measure_id"), F.when(i % 5 > 0, F.col("embedding")).alias("embedding"))
-    found = retrieval.retrieve(chunks(spark, sf_dir), q, SETTINGS, measure="measure_id", year="plan_year")
+    found = retrieval.retrieve(chunks(spark, sf_dir), q, SETTINGS, measure="measure_id", year="plan_year", texts=passages(spark, sf_dir))
     return rounded(found.select("query_id", "doc_id", "rank", "score", "used_fallback"))
 
 
@@ -368,7 +372,7 @@ def _labels(spark, sf_dir):
 
 
 def _gold_chunks(spark, sf_dir):
-    c = chunks(spark, sf_dir)
+    c = passages(spark, sf_dir)
     return c.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "section", F.when(F.col("lang") == "de", F.lit(None)).otherwise(F.col("lang")).alias("measure_name"))
 
 
@@ -395,7 +399,7 @@ def _metrics(spark, sf_dir, *lexical):
     gate = retrieval.best_similarity(c, q, floor=0.97).select(F.col("query_id").cast("string").alias("item_id"), "refused")
     items = _items(spark, sf_dir).select("item_id", "category", "split", F.col("category").startswith("refusal").alias("is_refusal")).join(gate, "item_id", "left")
     gold = gold_resolution(spark, sf_dir)
-    found = retrieval.arms(c, q, SETTINGS, measure="measure_id", year="plan_year", lexical=lexical or (True,))
+    found = retrieval.arms(c, q, SETTINGS, measure="measure_id", year="plan_year", lexical=lexical or (True,), texts=passages(spark, sf_dir))
     return [evaluation.item_metrics(items, ranked.select(F.col("query_id").cast("string").alias("item_id"), F.col("doc_id").alias("chunk_id"), "rank"), gold) for ranked in found]
 
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundsearch.config import Settings
-from groundsearch.functions.text import WORD_BREAK
+from groundsearch.functions.text import WORD_BREAK, tokens
+from groundsearch.functions.token_batches import cut, word_characters
 from groundsearch.operators import bm25, dense
 from groundsearch.plans import index, retrieval
 
@@ -82,6 +83,49 @@ def test_ranking_makes_no_row_for_each_pair(spark):
     assert "Generate" not in plan and "HashAggregate" not in plan
 
 
+def test_tokens_of_batches_are_those_of_the_expression(spark):
+    """Every code point inside, before and after a word and alone; texts that end in a word or are empty; slices."""
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    texts = [" ".join(f"a{c}b {c} a{c} {c}b" for c in points[i : i + 4096]) for i in range(0, 0x30000, 4096)] + ["".join(points[i : i + 65536]) for i in range(0x30000, len(points), 65536)]
+    texts += ["", " ", "a", "b", "", "é", "É a", "\0", "ΑΣ Σ İ_1", "x\n", "–", ""]
+    made = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = made.repartition(2).select("i", F.lower("text").alias("text"), tokens(F.col("text")).alias("tokens")).toArrow().sort_by("i").combine_chunks()
+    for rows in (found, found.slice(len(texts) - 11), found.slice(5, 9)):
+        got, lengths = cut(rows["text"].combine_chunks(), word_characters(spark))
+        want = rows["tokens"].combine_chunks()
+        assert got.to_pylist() == want.flatten().to_pylist() and lengths.tolist() == want.value_lengths().to_pylist()
+
+
+def test_narrowed_postings_give_the_ranking_of_whole_ones(spark, monkeypatch):
+    texts = [(i % 50, " ".join(f"w{(i * j) % 23}" for j in range(i % 9)), f"m{i % 50 % 3}") for i in range(60)]  # ids 0 to 9 stand twice
+    docs = spark.createDataFrame([*texts, (50, None, None), (51, "w1 w1 W1 only é", "m1"), (52, "", "m0")], "doc_id int, text string, part string").repartition(5)
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 3} w1 w1 É", f"m{q % 3}" if q % 4 else None) for q in range(9)] + [(9, "none of it", "m1"), (10, None, None)], "query_id int, query string, part string")
+    rows = lambda df: sorted((r["list"], r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    whole = bm25.lexicon(docs)
+    want = rows(bm25.best(whole, asked, 3, lists=[[], ["part"]], held=docs.select("doc_id", "part").distinct()))
+    for size in (1, bm25.TEXT_BYTES):  # a piece for each text, and all in one
+        monkeypatch.setattr(bm25, "TEXT_BYTES", size)
+        made = bm25.narrowed(docs, asked)
+        assert made.summary.first() == whole.summary.first()
+        assert {r.token: (r.df, round(r.idf, 9)) for r in made.terms.collect()} == {r.token: (r.df, round(r.idf, 9)) for r in whole.terms.collect()}
+        assert {t for r in made.postings.collect() for t in r.codes} == set(range(len(made.vocabulary))) - {made.vocabulary.to_pylist().index(t) for t in ("none", "of", "it")}
+    assert rows(bm25.best(docs, asked, 3, lists=[[], ["part"]])) == want
+    monkeypatch.setattr(bm25, "TASK_ROWS", 1)
+    assert rows(bm25.best(docs, asked, 3, lists=[[], ["part"]], block_rows=4)) == want
+    monkeypatch.setattr(bm25, "VOCABULARY", 3)  # more tokens than workers hold: whole postings
+    assert bm25.narrowed(docs, asked) is None and rows(bm25.best(docs.dropDuplicates(["doc_id"]), asked, 3, lists=[[], ["part"]]))
+
+
+def test_ranking_shuffles_no_text(spark, monkeypatch):
+    """Texts that are ranked once are read once, neither dealt by key nor joined to vectors, and postings of other tokens are not written."""
+    plans, written = [], bm25.scratch.written
+    monkeypatch.setattr(bm25.scratch, "written", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), written(df, name))[1])
+    chunks, asked = corpus_and_questions(spark)
+    found = retrieval.ranked_lists(chunks, asked, Settings(), [["measure_id", "plan_year"]], texts=chunks.drop("embedding"))
+    plan = dict(plans)["narrowed"]
+    assert "Exchange" not in plan and "Join" not in plan and found.where("leg = 'bm25'").count()
+
+
 def normalised(spark, texts):
     section = "struct<kind:string,heading:string,text:string,page:int>"
     rows = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, t string")
